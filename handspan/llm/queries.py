@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handspan.llm import decontaminate, mixing, token_counts, token_output, toxicity
+from handspan.llm import decontaminate, kneser_ney, mixing, near_dedup, token_counts, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,13 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    scored = kneser_ney.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     hit = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), 13, 20, keep=["doc_id"])
@@ -46,12 +53,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op6_token_output": op6_token_output,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

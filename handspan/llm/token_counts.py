@@ -1,186 +1,200 @@
 """Token counts at every prefix, by prefix dynamic programming over a published tokenizer.
 
-A text is cut into units that the tokenizer never joins: for a byte-level BPE with its usual word
-pattern, before every single space between two characters that are not white space. With c(u) the
-library's count for a unit and P[j] the count of the first j units,
+A text is cut into units over whose borders the tokenizer never joins: for a byte-level BPE with its usual
+word pattern, before a run of ASCII white space that follows another character, and between an ASCII letter
+and ASCII punctuation. With c(u) the library's count for a unit and P[j] the count of the first j units,
 
     P[0] = 0,   P[j] = P[j-1] + c(u_j),   count(text[:i]) = P[j-1] + c(u_j[:i - start_j]).
 
-Each distinct unit is given to the library once per worker, so counts are exactly the library's and
-no text is encoded twice. Other tokenizers (with normalizers, word ends or sentencepiece models) take
-each whole text as one unit.
+Each worker gives a distinct unit to the library once (units are told apart by 64-bit hashes), so counts are
+the library's and most text is never encoded again. Other tokenizers (with normalizers, word ends or
+sentencepiece models) take each whole text as one unit, and so does a text that holds a special string.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Entries a worker keeps of distinct units; beyond it the memory is emptied, which costs time only.
-MEMORY_UNITS = 700_000
-PLAIN_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-
+from handspan.llm.text import blocks, slice_hashes
 
-class Encoder:
-    """The library's ids of units and texts; one per worker and tokenizer file."""
-
-    def __init__(self, path: str):
+#: Distinct units that a worker remembers (about 30 bytes each); beyond it they are forgotten, which costs time only.
+MEMORY_UNITS = 4_000_000
+PLAIN_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+BLOCK_BYTES = 2 << 20
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[0x21:0x7F] = True
+_PUNCT[0x30:0x3A] = _PUNCT[0x41:0x5B] = _PUNCT[0x61:0x7B] = False
+#: Last bytes of white-space characters outside ASCII, and the bytes that stand before those.
+_WIDE_LAST = np.zeros(256, bool)
+_WIDE_LAST[[0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)]] = True
+_WIDE_BEFORE = np.zeros(256, bool)
+_WIDE_BEFORE[[0xC2, 0x80, 0x81, 0x9A]] = True
+
+
+class Units:
+    """The library's ids of distinct units, kept in arrays; one per worker and tokenizer file."""
+
+    def __init__(self, path: str, limit: int = MEMORY_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path = path
-        self.marks: list[str] = []
+        self.limit, self.marks, self.cut = limit, [], False
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: model.encode(texts, num_threads=1)
-            self.cut = False
-            return
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cut = spec.get("normalizer") is None and all(pre.get(k) == v for k, v in PLAIN_PRE_TOKENIZER.items())
-
-    def units(self, text: str) -> list[str]:
-        """The text in units; joined they are the text again."""
-        if not self.cut or any(m in text for m in self.marks):
-            return [text] if text else []
-        pieces = text.split(" ")
-        out, held = [], pieces[0]
-        for piece in pieces[1:]:
-            if held and not held[-1].isspace() and piece and not piece[0].isspace():
-                out.append(held)
-                held = " " + piece
-            else:
-                held += " " + piece
-        if held:
-            out.append(held)
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-class UnitMemory:
-    """Remembers for each piece between single spaces what `value` makes of its unit's ids.
-
-    A piece that is empty or begins or ends with white space isn't a unit by itself; it is kept as
-    None, and its text goes the careful way through Encoder.units.
-    """
-
-    def __init__(self, path: str, value, limit: int = MEMORY_UNITS):
-        self.encoder, self.value, self.limit = encoder(path), value, limit
-        self.inner: dict[str, object] = {}
-        self.outer: dict[str, object] = {}
-
-    def _learn(self, memory: dict, keys: set, before: str) -> None:
-        if len(memory) + len(keys) > self.limit:
-            memory.clear()
-        fit = []
-        for k in keys:
-            if not k or k[0].isspace() or k[-1].isspace():
-                memory[k] = None
-            else:
-                fit.append(k)
-        for i in range(0, len(fit), 20_000):
-            part = fit[i : i + 20_000]
-            for k, ids in zip(part, self.encoder.encode([before + k for k in part]), strict=True):
-                memory[k] = self.value(ids)
-
-    def of_texts(self, texts: list[str]) -> list[list]:
-        """For each text the values of its units, in order."""
-        e = self.encoder
-        if not e.cut:
-            return [[self.value(ids)] if t else [] for t, ids in zip(texts, e.encode(texts), strict=True)]
-        plain = [bool(t) and not any(m in t for m in e.marks) for t in texts]
-        pieces = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
-        wanted = set(chain.from_iterable(p[1:] for p in pieces if p))
-        if unknown := wanted - self.inner.keys():
-            self._learn(self.inner, unknown, " ")
-            if missing := wanted - self.inner.keys():  # the memory was emptied
-                self._learn(self.inner, missing, " ")
-        get = self.inner.__getitem__
-        out: list[list | None] = []
-        careful: list[int] = []
-        firsts = {p[0] for p in pieces if p} - self.outer.keys()
-        if firsts:
-            self._learn(self.outer, firsts, "")
-            if missing := {p[0] for p in pieces if p} - self.outer.keys():
-                self._learn(self.outer, missing, "")
-        for i, p in enumerate(pieces):
-            if p is None:
-                out.append([self.value(e.encode([texts[i]])[0])] if texts[i] else [])
-                continue
-            values = [self.outer[p[0]], *map(get, p[1:])]
-            if None in values:
-                careful.append(i)
-                out.append(None)
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            pre = spec.get("pre_tokenizer") or {}
+            self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
+            self.cut = spec.get("normalizer") is None and all(pre.get(k) == v for k, v in PLAIN_PRE_TOKENIZER.items())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.n, self.start = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+        self.used = self.pooled = 0
+
+    def borders(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of every unit of a block; rows never share one."""
+        n = len(data)
+        first = np.zeros(n, bool)
+        if self.cut and n:
+            white = _WHITE[data]
+            first[1:] = (white[1:] & ~white[:-1]) | (_PUNCT[data[1:]] & _LETTER[data[:-1]])
+            wide = _WIDE_LAST[data[1:-1]] & _WIDE_BEFORE[data[:-2]]
+            first[2:] &= ~wide
+            for mark in self.marks:
+                if len(mark) > 1 and n >= len(mark):
+                    maybe = np.flatnonzero((data[:-1] == mark[0]) & (data[1:] == mark[1]))
+                    for row in np.unique(np.searchsorted(offsets, maybe, "right") - 1):
+                        a, z = offsets[row], offsets[row + 1]
+                        if mark in data[a:z].tobytes():
+                            first[a:z] = False
+        at = offsets[:-1]
+        first[at[at < n]] = True
+        start = np.flatnonzero(first)
+        return start, np.append(start[1:], n)
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each unit its index into n, and into start for its ids in the pool."""
+        keys, at, code = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
+        if self.used + len(keys) > self.limit:
+            self._forget()
+        i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        slot = np.empty(len(keys), np.int64)
+        if len(self.keys):
+            slot[known] = self.slots[i[known]]
+        if len(new):
+            a, z = start[at[new]], end[at[new]]
+            new = np.concatenate([new[order] for order in self._encode_new(data, a, z)])
+            slot[new] = np.arange(self.used - len(new), self.used)
+            keys_all = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(keys_all, kind="stable")
+            self.keys, self.slots = keys_all[order], np.concatenate([self.slots, slot[new]])[order]
+        return slot[code]
+
+    def _encode_new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Has units encoded and keeps their ids; gives the order in which they were kept.
+
+        Units that begin with at most one space and hold no other white space are set in lines of one
+        text: a line break before them is always a token of its own. Each other unit is a text.
+        """
+        plain = np.zeros(len(start), bool)
+        if self.cut:
+            many = np.concatenate([[0], np.cumsum(_WHITE[data])])
+            inner = np.minimum(start + 1, end)
+            plain = (many[end] == many[inner]) & (_LETTER | _PUNCT)[data[end - 1]] & ((data[start] == 0x20) | ~_WHITE[data[start]])
+            plain &= (end - start > 1) | ~_WHITE[data[start]]
+        if self.marks:  # a text that holds a special string is a unit; it isn't set in a line
+            for i in np.flatnonzero(plain & (end - start >= min(map(len, self.marks)))).tolist():
+                if any(m in data[start[i] : end[i]].tobytes() for m in self.marks):
+                    plain[i] = False
+        lines = np.flatnonzero(plain)
+        for k in range(0, len(lines), 50_000):
+            part = lines[k : k + 50_000]
+            text = b"".join(b"\n" + data[a:z].tobytes() for a, z in zip(start[part].tolist(), end[part].tolist(), strict=True)).decode()
+            ids = np.array(self.encode([text])[0], np.uint32)
+            breaks = np.flatnonzero(ids == ids[0])
+            if len(breaks) == len(part):
+                keep = np.ones(len(ids), bool)
+                keep[breaks] = False
+                self._keep(np.diff(np.append(breaks, len(ids))).astype(np.int32) - 1, ids[keep])
+                yield part
             else:
-                out.append(values)
-        if careful:
-            cut = [e.units(texts[i]) for i in careful]
-            wanted = set(chain.from_iterable(cut))
-            known: dict[str, object] = {}
-            unknown = []
-            for u in wanted:
-                v = self.inner.get(u[1:]) if u[0] == " " else self.outer.get(u)
-                if v is None:
-                    unknown.append(u)
-                else:
-                    known[u] = v
-            for k in range(0, len(unknown), 20_000):
-                for u, ids in zip(unknown[k : k + 20_000], e.encode(unknown[k : k + 20_000]), strict=True):
-                    known[u] = self.value(ids)
-            for i, us in zip(careful, cut, strict=True):
-                out[i] = [known[u] for u in us]
-        return out
-
-
-_memories: dict[tuple, UnitMemory] = {}
-
-
-def memory(path: str, kind: str, value) -> UnitMemory:
-    """The worker's own memory for a tokenizer and a kind of value; it outlives a task."""
-    if (path, kind) not in _memories:
-        _memories[path, kind] = UnitMemory(path, value)
-    return _memories[path, kind]
-
-
-def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) in runs of about `limit` characters; null counts as empty."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(column):
-        t = t.as_py() or ""
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
-
-
-def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
-    """P of each text: P[j] is the exact token count of its first j units; P[-1] that of the text."""
-    return [np.concatenate([[0], np.cumsum(np.array(v, np.int64))]) if v else np.zeros(1, np.int64) for v in memory(path, "n", len).of_texts(texts)]
+                plain[part] = False
+        rest = np.flatnonzero(~plain)
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            ids = self.encode([data[a:z].tobytes().decode() for a, z in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+            self._keep(np.array([len(i) for i in ids], np.int32), np.array([x for i in ids for x in i], np.uint32))
+            yield part
+
+    def _keep(self, n: np.ndarray, flat: np.ndarray) -> None:
+        self.n = _room(self.n, self.used + len(n))
+        self.start = _room(self.start, self.used + len(n))
+        self.pool = _room(self.pool, self.pooled + len(flat))
+        self.n[self.used : self.used + len(n)] = n
+        self.start[self.used : self.used + len(n)] = self.pooled + np.cumsum(n, dtype=np.int64) - n
+        self.pool[self.pooled : self.pooled + len(flat)] = flat
+        self.used += len(n)
+        self.pooled += len(flat)
+
+    def ids(self, slot: np.ndarray) -> np.ndarray:
+        """The ids of units one after the other."""
+        n = self.n[slot].astype(np.int64)
+        total = int(n.sum())
+        before = np.cumsum(n) - n
+        return self.pool[np.repeat(self.start[slot] - before, n) + np.arange(total)]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.empty(max(n, len(a) * 3 // 2, 1 << 16), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+_units: dict[str, Units] = {}
+
+
+def units(path: str) -> Units:
+    """The worker's own units of a tokenizer; they outlive a task."""
+    if path not in _units:
+        _units[path] = Units(path)
+    return _units[path]
+
+
+def prefix_counts(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, count, first) of a block of texts: the byte at which each unit ends, the exact token count of its text up
+    to there, and where each row's units begin (one entry more than there are rows)."""
+    u = units(path)
+    start, end = u.borders(data, offsets)
+    slot = u.look_up(data, start, end)
+    total = np.concatenate([[0], np.cumsum(u.n[slot], dtype=np.int64)])
+    first = np.searchsorted(start, offsets)
+    row = np.searchsorted(offsets, start, "right") - 1
+    return end - offsets[row], total[1:] - total[first[row]], first
 
 
 def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -192,16 +206,18 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     schema = T.StructType([docs.schema[key], T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
     def work(batches):
-        e = encoder(tokenizer)
         for b in batches:
             ends, counts = [], []
-            for _, texts in texts_of(b.column(1)):
-                for t, p in zip(texts, prefix_counts(texts, tokenizer), strict=True):
-                    ends.append(np.cumsum([len(u) for u in e.units(t)], dtype=np.int64).tolist())
-                    counts.append(p[1:].tolist())
+            for _, _, data, offsets in blocks(b, "_text", BLOCK_BYTES):
+                end, count, first = prefix_counts(data, offsets, tokenizer)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                for r in range(len(offsets) - 1):
+                    a, z = first[r], first[r + 1]
+                    ends.append(chars[offsets[r] + end[a:z]] - chars[offsets[r]])
+                    counts.append(count[a:z])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[key, "ends", "counts"])
 
-    return docs.select(docs[key], docs[text]).mapInArrow(work, schema)
+    return docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(work, schema)
 
 
 def count_at(end: str = "at", ends: str = "ends", counts: str = "counts"):
@@ -228,11 +244,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
 
     def work(batches):
         for b in batches:
-            size, count = [], []
-            for _, texts in texts_of(b.column(0)):
-                size += [len(t.encode()) for t in texts]
-                count += [int(p[-1]) for p in prefix_counts(texts, tokenizer)]
-            n = np.array(count, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], names=schema.names)
-
-    return docs.select(docs[text].alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(work, schema)
+            size, n = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for start, stop, data, offsets in blocks(b, "_text", BLOCK_BYTES):
+                _, count, first = prefix_counts(data, offsets, tokenizer)
+                some = first[1:] > first[:-1]
+                size[start:stop] = np.diff(offsets)
+                n[start:stop][some] = count[first[1:][some] - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size), pa.array(n), pa.array(n > limit)], names=schema.names)
+
+    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(work, schema)

@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from handspan.llm.shared import file_system, new_folder, stored
-from handspan.llm.token_counts import memory, texts_of
+from handspan.llm.text import blocks
+from handspan.llm.token_counts import BLOCK_BYTES, units
 
 MAGIC = b"HSPLANE1"
 BLOCK_IDS = 1 << 16
@@ -148,7 +149,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
         shard = TaskContext.get().partitionId()
         writer = name = None
         docs_seen = 0
-        value = memory(tokenizer, "ids", lambda ids: np.array(ids, "<u4").tobytes())
+        u = units(tokenizer)
         tail = int(end_id).to_bytes(4, "little")
         for b in batches:
             if writer is None:
@@ -156,9 +157,14 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
                 name = f"{shard:06d}-{uuid.uuid4().hex}.ids"
                 writer = ShardWriter(store.open_output_stream(f"{top}/{name}"), kind)
             keys = b.column(0).to_pylist()
-            for first, texts in texts_of(b.column(1)):
-                for i, parts in enumerate(value.of_texts(texts)):
-                    writer.add(keys[first + i], b"".join(parts) + tail)
+            for row, _, data, offsets in blocks(b, "_text", BLOCK_BYTES):
+                start, end = u.borders(data, offsets)
+                slot = u.look_up(data, start, end)
+                ids = u.ids(slot).astype("<u4").tobytes()
+                total = np.concatenate([[0], np.cumsum(u.n[slot], dtype=np.int64)])
+                cut = (4 * total[np.searchsorted(start, offsets)]).tolist()
+                for i in range(len(offsets) - 1):
+                    writer.add(keys[row + i], ids[cut[i] : cut[i + 1]] + tail)
                     docs_seen += 1
         if writer is not None:
             total = writer.close()
