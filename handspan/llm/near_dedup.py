@@ -4,8 +4,9 @@ A document's set holds the distinct shingles of `size` lower-cased white-space w
 where 100 * |intersection| >= percent * |union|. The way to the links:
 
 1. Documents of equal sets collapse to the smallest id.
-2. BANDS * ROWS universal hash minima make a signature; documents that agree in a band share a bucket. At a
-   similarity of 0.85 a pair misses every bucket with probability (1 - 0.85**5)**28, below 1e-7.
+2. Universal hash minima, in BANDS bands of a few rows each, make a signature; documents that agree in a band
+   share a bucket. A pair at the threshold s misses every bucket with probability (1 - s**rows)**BANDS; there are
+   as many rows, up to five, as keep that below MISS.
 3. In each bucket all members are checked against one centre, the member that shares most buckets (of a
    group of edited copies that is the original). Full sets are compared, from whole texts.
 4. Components of the links found. A bucket is finished if its members are in one component, or if the rest
@@ -27,35 +28,40 @@ from handspan.llm.components import connected_components
 from handspan.llm.shared import stored
 from handspan.llm.text import U64, blocks, mix, shingles
 
-BANDS, ROWS = 28, 5
+BANDS, MOST_ROWS, MISS = 28, 5, 1e-6
 #: Members checked against one centre in a task.
 SALT_ROWS = 256
 #: Members of an unfinished bucket in one block.
 BLOCK_ROWS = 512
 #: A pair whose signatures agree in less than this part below the threshold isn't checked on full sets: over five standard deviations.
-SLACK = 0.16
+SLACK = 0.18
 
 _rng = np.random.default_rng(99)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, dtype=np.uint64) * U64(2) + U64(1)
+_B = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, dtype=np.uint64)
 
 
-def minima(sets: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def band_rows(percent: int) -> int:
+    """Minima in a band for a threshold."""
+    return max([1, *(r for r in range(1, MOST_ROWS + 1) if (1 - (percent / 100) ** r) ** BANDS <= MISS)])
+
+
+def minima(sets: np.ndarray, row: np.ndarray, n_rows: int, n_minima: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have a set, their minima as a table of unsigned 32-bit values)."""
     first = np.searchsorted(row, np.arange(n_rows))
     count = np.diff(np.append(first, len(row)))
     some = np.flatnonzero(count)
-    out = np.empty((len(some), BANDS * ROWS), np.uint32)
+    out = np.empty((len(some), n_minima), np.uint32)
     if len(some):
         at, held = first[some], np.empty(len(sets), np.uint64)
-        for k in range(BANDS * ROWS):
+        for k in range(n_minima):
             np.multiply(sets, _A[k], out=held)
             np.add(held, _B[k], out=held)
             out[:, k] = np.minimum.reduceat(held, at) >> U64(32)
     return some, out
 
 
-def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, size: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, s1, s2, bands, signature) of each row; s1 and s2 are two hashes of the whole set."""
 
     def work(batches):
@@ -67,16 +73,16 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
             signature: list = [None] * n
             for start, stop, data, offsets in blocks(b, "_text"):
                 sets, row = shingles(data, offsets, size)
-                some, table = minima(sets, row, stop - start)
+                some, table = minima(sets, row, stop - start, BANDS * rows)
                 if not len(some):
                     continue
                 first = np.searchsorted(row, some)
                 count[start + some] = np.diff(np.append(first, len(row)))
                 s1[start + some] = np.add.reduceat(mix(sets), first)
                 s2[start + some] = np.add.reduceat(mix(sets ^ U64(0x5BF03635DCF5A1E7)), first)
-                wide = table.astype(np.uint64).reshape(len(some), BANDS, ROWS)
+                wide = table.astype(np.uint64).reshape(len(some), BANDS, rows)
                 h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS))
-                for k in range(ROWS):
+                for k in range(rows):
                     h = mix(h * U64(0x9E3779B97F4A7C15) + wide[:, :, k])
                 low = table.astype("<u2")
                 for i, r in enumerate(some.tolist()):
@@ -139,7 +145,7 @@ def _unfinished(members: DataFrame, percent: int) -> DataFrame:
     m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     m = m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature")
-    least = (percent / 100 - SLACK) * BANDS * ROWS
+    least = (percent / 100 - SLACK) * BANDS * band_rows(percent)
 
     def work(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -167,7 +173,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     is linked with nothing: its component is null and it is kept. Repeated rows are all returned.
     """
     named = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    sig = stored(signatures(named, size), "signatures")
+    sig = stored(signatures(named, size, band_rows(percent)), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("x")).select("s1", "s2", "doc_id", "x.*"), "distinct-sets")
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handspan.llm import decontaminate, kneser_ney, mixing, near_dedup, suffix_dedup, token_counts, token_output, toxicity
+from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, suffix_dedup, token_counts, token_output, toxicity, warc_fixity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,51 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(F.broadcast(known) if known.count() <= mixing.HELD_SOURCES else known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
+def replica_of(pages: DataFrame) -> DataFrame:
+    """A second archive of the same pages as a worn disk would give it: some records flipped, cut short, lost or doubled, by their ids."""
+    k = F.col("page_id")
+    html = F.when(k % 97 == 13, F.concat(F.lit("#"), F.col("html"))).when(k % 131 == 40, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html"))
+    kept = pages.where(k.isNull() | (k % 211 != 7)).withColumn("html", html)
+    return kept.union(kept.where(k % 499 == 3))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_fixity.audit(pages, replica_of(pages))
+
+
+OP4_SQL = r"""
+WITH rec AS (
+  SELECT page_id AS slot, url, html FROM pages
+), size AS (
+  SELECT slot, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || slot || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, html,
+    CASE WHEN slot % 97 = 13 THEN '#' || html WHEN slot % 131 = 40 THEN left(html, length(html) - 1) ELSE html END AS html_b
+  FROM rec
+), two AS (
+  SELECT slot, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS a,
+    head || strlen(html_b) || chr(13) || chr(10) || chr(13) || chr(10) || html_b || chr(13) || chr(10) || chr(13) || chr(10) AS b,
+    slot % 211 = 7 AS lost, CASE WHEN slot % 499 = 3 THEN 2 ELSE 1 END AS n_b
+  FROM size
+), leaf AS (
+  SELECT slot, strlen(a) AS size, strlen(b) * n_b AS size_b, lost, n_b,
+    sha256('1:' || array_to_string(list_transform([0, 1, 2, 3, 4], lambda k: CAST(('0x' || substr(sha256(a), 1 + 12 * k, 12))::UBIGINT::HUGEINT AS VARCHAR)), ':')) AS digest,
+    sha256(n_b || ':' || array_to_string(list_transform([0, 1, 2, 3, 4], lambda k: CAST(n_b * ('0x' || substr(sha256(b), 1 + 12 * k, 12))::UBIGINT::HUGEINT AS VARCHAR)), ':')) AS digest_b
+  FROM two
+), placed AS (
+  SELECT *, slot // 4096 AS file, coalesce(sum(size) OVER (PARTITION BY slot // 4096 ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM leaf
+)
+SELECT slot, CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status, file, CAST(off AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, CAST(1 AS BIGINT) AS records,
+  CASE WHEN NOT lost THEN CAST(size_b AS BIGINT) END AS replica_size, digest, CASE WHEN NOT lost THEN digest_b END AS replica_digest
+FROM placed WHERE lost OR digest <> digest_b
+"""
+
+
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hilbert_ann.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_output.token_digest(token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER)))
@@ -66,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_warc_fixity": op4_warc_fixity,
+    "op5_hilbert_ann": op5_hilbert_ann,
     "op6_token_output": op6_token_output,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
@@ -73,4 +120,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL}
