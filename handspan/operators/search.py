@@ -61,7 +61,7 @@ def transition_allowed(m_a: Column, d_a: Column, m_b: Column, d_b: Column, hand:
     else:
         over, under = apart <= span(table, "max_prac", hand, d_a, d_b), apart >= span(table, "min_prac", hand, d_a, d_b)
         fits = {"max": over, "min": under, "both": over & under}[mode]
-    return F.coalesce(F.when(apart == 0, d_a == d_b).otherwise((d_a != d_b) & fits), F.lit(True))
+    return F.when(apart.isNull(), True).when(apart == 0, d_a == d_b).otherwise((d_a != d_b) & fits)
 
 
 def candidates(notes: DataFrame, *, table: str = "parncutt", mode: str = "max", first: int | Column | None = None, last: int | Column | None = None, hand: str = "hand", keys=KEY) -> DataFrame:
@@ -233,7 +233,7 @@ def strike_distance(suggestions: DataFrame, gold: DataFrame, method: str = "hamm
     return tips.join(gold, [*keys, "pos"]).groupBy(*keys, "rank").agg(F.sum(d).alias("distance"))
 
 
-def strike_reentry(notes: DataFrame, gold: DataFrame, preset: str = "parncutt", method: str = "hamming", *, hand: str = "hand", keys=KEY, rounds: int = 100) -> DataFrame:
+def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "hamming", *, hand: str = "hand", keys=KEY, rounds: int = 100) -> DataFrame:
     """(keys, corrections, distance): advise, and at the first finger that isn't gold's begin again there with gold's finger.
 
     One job for all segments in each round, each from its own place, until none differs. Needs notes.digit as gold's.

@@ -740,7 +740,7 @@ def bad_fingers(spark, d):
 
 @query("strike_reentry", "score_id:i segment_idx:i corrections:i distance:i")
 def strike_reentry(spark, d):
-    return search.strike_reentry(_phrases(spark, d), None, keys=PHRASE)
+    return search.strike_reentry(_phrases(spark, d), keys=PHRASE)
 
 
 @query("edit_distances", "score_id:i hamming:i natural:i pivot:i", """
