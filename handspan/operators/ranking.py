@@ -287,3 +287,70 @@ def rbo_res(a: Column, b: Column, p: float) -> Column:
         F.pow(F.lit(p), s.cast("double")) + F.pow(F.lit(p), n.cast("double")) - F.pow(F.lit(p), f.cast("double"))
         - (1 - p) / p * (s * term(s + 1, f) + n * term(n + 1, f) + x_l * (F.log(F.lit(1 / (1 - p))) - term(F.lit(1), f)))
     )
+
+
+# --- result sets ----------------------------------------------------------------------------------------------------
+
+TAUS = {"tri": "trigram", "nua": "nuanced", "rlx": "relaxed"}
+
+
+def pivot_clash_discount(clashes: DataFrame, base: float = 2.0, *, rho: str = "rho") -> DataFrame:
+    """Adds discount, base ** -clashes, and aligned, no clash at all."""
+    return clashes.withColumns({"discount": F.pow(F.lit(base), -F.col(rho)), "aligned": F.col(rho) == 0})
+
+
+def rank_tags(pairs: DataFrame, *, keys=RANKED) -> DataFrame:
+    """One row per ranked suggestion with every rank measure: distances, clashes, chances to satisfy.
+
+    rho_uni_d equals rho_no_d, as clashes are weighted by the general decay.
+    """
+    out = big_delta(pairs, delta="hmg", keys=keys).select(*keys, "n", F.col("big_delta").alias("hmg"), F.col("normalized").alias("norm_hmg"))
+    out = out.join(big_delta(pairs, delta="al", keys=keys).select(*keys, F.col("big_delta").alias("al"), F.col("normalized").alias("norm_al")), list(keys))
+    out = out.join(pivot_clashes(pairs, keys=keys).select(*keys, F.col("rho").alias("rho_no_d"), F.col("rho").alias("rho_uni_d")), list(keys))
+    for tag, tau in TAUS.items():
+        out = out.join(trigram_big_delta(pairs, tau=tau, keys=keys).select(*keys, F.col("tri_delta").alias(f"{tag}_D"), F.col("tri_normalized").alias(f"norm_{tag}_D")), list(keys))
+    return out.withColumns({"p_sat": 1 - F.col("norm_hmg"), **{f"{tag}_p_sat": 1 - F.col(f"norm_{tag}_D") for tag in TAUS}})
+
+
+def err_tags(pairs: DataFrame, *, keys=KEY) -> DataFrame:
+    """(keys, one column for each reciprocal-rank measure): rho tags divide by mu(clashes); clvrst decays distances and clashes."""
+    ranked = (*keys, "rank")
+    rho, rho_u = pivot_clashes(pairs, keys=ranked), pivot_clashes(pairs, decay="uniform", keys=ranked)
+    hmg, al, al_u = big_delta(pairs, keys=ranked), big_delta(pairs, delta="al", keys=ranked), big_delta(pairs, delta="al", decay="uniform", keys=ranked)
+    tri = {tag: trigram_big_delta(pairs, tau=tau, keys=ranked).withColumn("n", F.col("n") + 2) for tag, tau in TAUS.items()}
+    rlx_u = trigram_big_delta(pairs, tau="relaxed", decay="uniform", keys=ranked).withColumn("n", F.col("n") + 2)
+    t = {"normalized": "tri_normalized"}
+    probs = {
+        "hmg": (hmg, None, {}), "hmg_rho": (hmg, rho, {}), "al": (al, None, {}), "al_rho": (al, rho, {}), "clvrst": (al_u, rho_u, {}), "tri": (tri["tri"], None, t), "tri_rho": (tri["tri"], rho, t),
+        "tri_nua": (tri["nua"], None, t), "tri_nua_rho": (tri["nua"], rho, t), "tri_rlx": (tri["rlx"], None, t), "tri_rlx_rho": (tri["rlx"], rho, t), "tri_clvrst": (rlx_u, rho_u, t),
+    }
+    out = None
+    for tag, (delta, clashes, options) in probs.items():
+        e = expected_reciprocal_rank(prob_satisfied(delta, clashes, keys=ranked, **options), keys=keys).withColumnRenamed("err", tag)
+        out = e if out is None else out.join(e, list(keys))
+    return out
+
+
+def annotation_pairs(suggestions: DataFrame, annotations: DataFrame, notes: DataFrame, *, keys=KEY, k: int = 5) -> DataFrame:
+    """The k best suggestions (keys, rank, digits) beside every annotation (keys, annot_id, weight, note_idx, hand, digit), note by note."""
+    tips = suggestions.where(F.col("rank") <= k).select(*keys, "rank", F.posexplode(F.split("digits", "")).alias("_pos", "_d")).where("_d != ''").select(*keys, "rank", "_pos", F.col("_d").cast("int").alias("other"))
+    n = notes.select(*keys, "note_idx", "midi", F.col("hand").alias("other_hand"), (F.row_number().over(Window.partitionBy(*keys).orderBy("note_idx")) - 1).alias("_pos"))
+    a = annotations.select(*keys, "annot_id", "weight", "note_idx", F.col("hand").alias("one_hand"), F.col("digit").alias("one"))
+    return a.join(n, [*keys, "note_idx"]).join(tips, [*keys, "_pos"]).withColumn("same_hand", F.col("one_hand") == F.col("other_hand"))
+
+
+def evaluate_model(suggestions: DataFrame, annotations: DataFrame, notes: DataFrame, *, keys=KEY, k: int = 5) -> DataFrame:
+    """(keys, annot_id, weight, notes, reciprocal-rank measures): a model against every annotation."""
+    p = annotation_pairs(suggestions, annotations, notes, keys=keys, k=k)
+    size = notes.groupBy(*keys).agg(F.count("*").alias("notes"))
+    weights = annotations.select(*keys, "annot_id", "weight").distinct()
+    return err_tags(p, keys=(*keys, "annot_id")).join(weights, [*keys, "annot_id"]).join(size, list(keys))
+
+
+def discounted_proximal_gain(gains: DataFrame, ideal: DataFrame | None = None, *, keys=KEY) -> DataFrame:
+    """(keys, dcpg[, ndcpg]): proximal gains over ranks, discounted; beside the ideal order's where it is given."""
+    total = lambda g, name: g.groupBy(*keys).agg(F.sum(F.col("gain") / _discount(F.col("rank"), "2")).alias(name))
+    own = total(gains, "dcpg")
+    if ideal is None:
+        return own
+    return own.join(total(ideal, "_ideal"), list(keys)).withColumn("ndcpg", F.when(F.col("_ideal") > 0, F.col("dcpg") / F.col("_ideal")).otherwise(0.0)).drop("_ideal")

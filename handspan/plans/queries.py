@@ -1023,6 +1023,163 @@ def viterbi_decode(spark, d):
     return search.viterbi_decode(e, t, keys=PHRASE)
 
 
+_TAGS_SQL = f"""
+  SELECT a.*, r.rho AS rho_no_d, r.rho AS rho_uni_d, t.trigram AS tri_D, t.nuanced AS nua_D, t.relaxed AS rlx_D, t.trigram / (t.n + 2) AS norm_tri_D, t.nuanced / (t.n + 2) AS norm_nua_D, t.relaxed / (t.n + 2) AS norm_rlx_D,
+    1 - norm_hmg AS p_sat, 1 - t.trigram / (t.n + 2) AS tri_p_sat, 1 - t.nuanced / (t.n + 2) AS nua_p_sat, 1 - t.relaxed / (t.n + 2) AS rlx_p_sat
+  FROM (SELECT score_id, rank, sum({_DELTA['hmg']}) AS hmg, avg({_DELTA['hmg']}) AS norm_hmg, sum({_DELTA['al']}) AS al, avg({_DELTA['al']}) AS norm_al FROM tips GROUP BY 1, 2) a JOIN ({_RHO}) r USING (score_id, rank) JOIN ({_TAU}) t ON t.score_id = a.score_id AND t.rank = a.rank"""
+
+
+@query("rank_tags", "score_id:i rank:i hmg:d norm_hmg:d al:d norm_al:d rho_no_d:d rho_uni_d:d p_sat:d tri_p_sat:d nua_p_sat:d rlx_p_sat:d tri_D:d nua_D:d rlx_D:d norm_tri_D:d norm_nua_D:d norm_rlx_D:d", _TAGS_SQL, SUGGESTIONS_SQL)
+def rank_tags(spark, d):
+    return ranking.rank_tags(pairs(bound_notes(spark, d)))
+
+
+def _err_of(tags: dict[str, str]) -> str:
+    parts = [f"(SELECT score_id, err AS {t} FROM ({_err(f'SELECT m.score_id, m.rank, {p} AS p FROM m')}))" for t, p in tags.items()]
+    return "SELECT * FROM " + parts[0] + "".join(f" JOIN {p} USING (score_id)" for p in parts[1:])
+
+
+_ERRS = {"hmg": "p_sat", "hmg_rho": "p_sat / pow(1 + 1.0 / n, rho_no_d)", "al": "1 - norm_al", "al_rho": "(1 - norm_al) / pow(1 + 1.0 / n, rho_no_d)"} | {
+    k: v for t, c in (("tri", "tri"), ("tri_nua", "nua"), ("tri_rlx", "rlx")) for k, v in ((t, f"{c}_p_sat"), (f"{t}_rho", f"{c}_p_sat / pow(1 + 1.0 / (n + 2), rho_no_d)"))
+}
+
+
+@query("err_tags", "score_id:i " + " ".join(f"{t}:d" for t in _ERRS), _err_of(_ERRS), SUGGESTIONS_SQL + f", m AS (SELECT x.*, (SELECT count(*) FROM notes WHERE notes.score_id = x.score_id) AS n FROM ({_TAGS_SQL}) x)")
+def err_tags(spark, d):
+    return ranking.err_tags(pairs(bound_notes(spark, d)))
+
+
+@query("evaluate_model", "score_id:i segment_idx:i annot_id:s notes:i hmg:d tri_clvrst:d clvrst:d")
+def evaluate_model(spark, d):
+    """The rule model's five best fingerings of each phrase against both annotators."""
+    p = _phrases(spark, d)
+    long = p.groupBy(*PHRASE).agg(F.count("*").alias("n")).where("n > 1").select(*PHRASE)
+    p = p.join(long, list(PHRASE), "left_semi")
+    b = bound_notes(spark, d).select("score_id", "note_idx", "digit_b")
+    a = p.join(b, ["score_id", "note_idx"]).select(*PHRASE, "note_idx", "hand", F.explode(F.create_map(F.lit("1"), F.col("digit"), F.lit("2"), F.col("digit_b"))).alias("annot_id", "digit")).withColumn("weight", F.lit(1))
+    return ranking.evaluate_model(search.advise(p, "parncutt", 5, keys=PHRASE), a, p, keys=PHRASE)
+
+
+@query("segmented_err", "score_id:i segment_idx:i err:d", f"SELECT score_id // 1000 AS score_id, score_id % 1000 AS segment_idx, err FROM ({_err('SELECT score_id * 1000 + segment_idx AS score_id, rank, 1 - avg(CAST(digit <> tip AS INT)) AS p FROM (SELECT *, ' + _SEG.replace('PARTITION BY score_id ORDER', 'PARTITION BY score_id, rank ORDER') + ' AS segment_idx FROM tips) GROUP BY score_id, segment_idx, rank')})", SUGGESTIONS_SQL)
+def segmented_err(spark, d):
+    s = sequence.with_segments(bound_notes(spark, d))
+    p = suggestions(s).select(*PHRASE, "rank", "note_idx", "midi", F.col("digit").alias("one"), F.col("tip").alias("other"), F.lit(True).alias("same_hand"))
+    return ranking.expected_reciprocal_rank(ranking.prob_satisfied(ranking.big_delta(p, keys=(*PHRASE, "rank")), keys=(*PHRASE, "rank")), keys=PHRASE)
+
+
+_PG = "SELECT score_id, rank, sum(velocity * (9 - abs(digit - tip))) AS gain, sum(velocity * (9 - abs(digit - tip))) / (9.0 * sum(velocity)) AS p FROM tips GROUP BY 1, 2"
+
+
+@query("proximal_reciprocal_rank", "score_id:i err:d", _err(_PG), SUGGESTIONS_SQL)
+def proximal_reciprocal_rank(spark, d):
+    s = suggestions(bound_notes(spark, d)).withColumn("votes", F.col("velocity"))
+    g = ranking.proximal_gain(s, dims.edit_distance("natural", F.col("hand"), F.col("digit"), F.col("hand"), F.col("tip")), 9)
+    return ranking.expected_reciprocal_rank(g.select("score_id", "rank", F.col("normalized_gain").alias("p")))
+
+
+@query("discounted_proximal_gain", "score_id:i dcpg:d ndcpg:d", f"SELECT score_id, sum(gain / CASE rank WHEN 1 THEN 1 ELSE log2(rank) END) AS dcpg, sum(gain / CASE rank WHEN 1 THEN 1 ELSE log2(rank) END) / sum(gain / CASE r WHEN 1 THEN 1 ELSE log2(r) END) AS ndcpg FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY gain DESC, rank) AS r FROM ({_PG})) GROUP BY 1", SUGGESTIONS_SQL)
+def discounted_proximal_gain(spark, d):
+    s = suggestions(bound_notes(spark, d)).withColumn("votes", F.col("velocity"))
+    g = ranking.proximal_gain(s, dims.edit_distance("natural", F.col("hand"), F.col("digit"), F.col("hand"), F.col("tip")), 9)
+    ideal = g.withColumn("rank", F.row_number().over(Window.partitionBy("score_id").orderBy(F.desc("gain"), "rank")))
+    return ranking.discounted_proximal_gain(g, ideal)
+
+
+@query("pivot_clash_discount", "score_id:i rank:i discount:d aligned:b", f"SELECT score_id, rank, pow(1.1, -rho) AS discount, rho = 0 AS aligned FROM ({_RHO})", SUGGESTIONS_SQL)
+def pivot_clash_discount(spark, d):
+    return ranking.pivot_clash_discount(ranking.pivot_clashes(pairs(bound_notes(spark, d))), 1.1)
+
+
+@query("pseudo_model", "score_id:i rank:i annot_idx:i notes:i", "SELECT score_id, 1 + digit - min(digit) OVER (PARTITION BY score_id) * 0 - 1 + 0 * count(*) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit")
+def pseudo_model(spark, d):
+    n = bound_notes(spark, d).withColumn("annot_idx", F.col("digit"))
+    return search.pseudo_model(n, k=3).groupBy("score_id", "rank", "annot_idx").agg(F.count("*").alias("notes"))
+
+
+ORACLE_SQL["pseudo_model"] = ORACLE_SQL["pseudo_model"].replace("SELECT score_id, 1 + digit - min(digit) OVER (PARTITION BY score_id) * 0 - 1 + 0 * count(*) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit", "SELECT * FROM (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY digit) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit) WHERE rank <= 3")
+
+
+@query("strike_distance", "score_id:i segment_idx:i rank:i distance:i")
+def strike_distance(spark, d):
+    p = _phrases(spark, d)
+    gold = p.withColumn("pos", F.row_number().over(Window.partitionBy(*PHRASE).orderBy("note_idx")) - 1)
+    return search.strike_distance(search.advise(p, "parncutt", 3, keys=PHRASE), gold, "pivot", keys=PHRASE, k=3)
+
+
+@query("advise_cyclic", "score_id:i segment_idx:i rank:i closed:b")
+def advise_cyclic(spark, d):
+    """The three cheapest fingerings of the first phrase of each score, played over and over."""
+    p = _phrases(spark, d).where("segment_idx = 0")
+    return search.advise_cyclic(p, "parncutt", 3, keys=PHRASE).withColumn("closed", F.substring("digits", 1, 1) == F.substring("digits", -1, 1))
+
+
+@query("order_gold", "o_custkey:i place:i votes:i", "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY votes) AS place, votes FROM (SELECT o_custkey, l_returnflag || l_linestatus AS fingering, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")
+def order_gold(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("fingering"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return corpus.order_gold(corpus.gold_votes(li.join(o, "l_orderkey"), keys=["o_custkey"]), keys=["o_custkey"])
+
+
+@query("gold_ending_with", "score_id:i notes:i", "SELECT score_id, count(*) AS notes FROM notes GROUP BY 1 HAVING arg_max(digit, note_idx) = 2")
+def gold_ending_with(spark, d):
+    g = bound_notes(spark, d).groupBy("score_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "digit"))), lambda s: s["digit"]).alias("fingering"))
+    return corpus.gold_ending_with(g, 2).withColumn("notes", F.size("fingering"))
+
+
+@query("preset_test_set", "score_id:i is_test:b", "SELECT DISTINCT score_id, score_id <= 30 AS is_test FROM notes")
+def preset_test_set(spark, d):
+    t = bound_notes(spark, d).select("score_id", F.concat(F.col("score_id").cast("string"), F.lit("-1")).alias("title")).distinct()
+    return corpus.preset_test_set(t)
+
+
+def _pig(spark, d):
+    from handspan.sources import pig
+
+    return pig.segments_to_pig(bound_notes(spark, d)).withColumns({"piece_id": F.col("score_id").cast("string"), "annot_id": (F.col("event_id") % 2).cast("string")})
+
+
+@query("pig_rows", "score_id:i note_idx:i name:s channel:i finger:s on_s:d off_s:d", "SELECT score_id, note_idx, list_extract(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'], midi % 12 + 1) || (midi // 12 - 1) AS name, CASE hand WHEN '<' THEN 1 ELSE 0 END AS channel, CASE hand WHEN '<' THEN '-' ELSE '' END || digit AS finger, onset_ms / 1000.0 AS on_s, (onset_ms + dur_ms) / 1000.0 AS off_s FROM notes")
+def pig_rows(spark, d):
+    return _pig(spark, d)
+
+
+@query("pig_text", "piece_id:s annot_id:s lines:i", "SELECT score_id AS piece_id, event_id % 2 AS annot_id, count(*) + 1 AS lines FROM notes GROUP BY 1, 2")
+def pig_text(spark, d):
+    from handspan.sources import pig
+
+    return pig.render_pig(_pig(spark, d)).withColumn("lines", F.size(F.split("text", "\n")))
+
+
+@query("standard_channels", "score_id:i note_idx:i channel:i", """
+  SELECT n.score_id, n.note_idx, coalesce(f.c, n.c) AS channel FROM (SELECT *, event_id % 5 AS c FROM notes) n LEFT JOIN (
+    SELECT score_id, onset_ms // 20000 AS o, midi, min(event_id % 5) AS c FROM (SELECT *, min(event_id % 2) OVER (PARTITION BY score_id) AS a FROM notes) WHERE event_id % 2 = a GROUP BY 1, 2, 3) f ON f.score_id = n.score_id AND f.o = n.onset_ms // 20000 AND f.midi = n.midi""")
+def standard_channels(spark, d):
+    from handspan.sources import pig
+
+    p = _pig(spark, d).withColumns({"on_s": F.floor(F.col("onset_ms") / 20000), "channel": F.col("event_id") % 5})
+    return pig.standardize_channels(p)
+
+
+@query("same_song", "piece_id:s annot_id:s song_id:s", "SELECT score_id AS piece_id, v AS annot_id, CASE WHEN v = 2 THEN 2 ELSE 0 END AS song_id FROM (SELECT DISTINCT score_id FROM notes), (SELECT unnest([0, 1, 2]) AS v)")
+def same_song(spark, d):
+    """Three annotations of each score, of which the third is a beat late."""
+    from handspan.sources import pig
+
+    p = _pig(spark, d).drop("annot_id").withColumn("annot_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
+    late = F.when(F.col("annot_id") == "2", 0.5).otherwise(0.0)
+    return pig.group_same_song(p.withColumns({"on_s": F.col("on_s") + late, "off_s": F.col("off_s") + late}))
+
+
+@query("abcd_header", "score_id:i abcdf:s authority:s weight:i", "SELECT score_id, string_agg(digit || '', '' ORDER BY note_idx) AS abcdf, 'A ' || score_id AS authority, count(*) AS weight FROM notes GROUP BY 1")
+def abcd_header(spark, d):
+    """Headers written from the scores' fingerings, and read back."""
+    from handspan.sources import abcd
+
+    t = bound_notes(spark, d).groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "digit"))), lambda s: s["digit"].cast("string")), "").alias("abcdf"), F.count("*").alias("n"))
+    a = t.select("score_id", F.lit(0).alias("annot_idx"), F.lit("1").alias("annot_id"), "abcdf", F.concat(F.lit("A "), F.col("score_id").cast("string")).alias("authority"), F.lit("1900").alias("authority_year"), F.lit("T").alias("transcriber"), F.lit(None).cast("timestamp").alias("transcription_date"), F.concat(F.lit("Weight: "), F.col("n").cast("string")).alias("comments"))
+    return abcd.parse_annotations(abcd.render_abcd(a).select("score_id", F.lit("p").alias("path"), F.col("header").alias("text")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query: the five cheapest fingerings of every phrase, on the smallest tables."""
     return QUERIES["advise_parncutt"](spark, "/root/testdata/sf0.001")
