@@ -3,8 +3,8 @@
 Large-star gives every larger neighbour of a node the node's smallest neighbour; small-star links a node's
 smaller neighbours to the smallest of them. The two alternate until nothing changes; then every node links
 to the smallest of its component. Each half round ends in a table in the shared folder, so the lineage stays
-short, a lost executor costs one step, and a node with very many links meets the others in a join that
-Spark can split or broadcast.
+short and a lost executor costs one step. The minima that a half round joins are few (Spark broadcasts them),
+or a table of their own too, so that Spark can split the join at a node with very many links.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from handspan.llm.shared import stored
 
 
+#: Links from which the minima are tables of their own.
+MANY_LINKS = 500_000
+
+
 def _print(links: DataFrame) -> tuple[int, int]:
     n, h = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return n, int(h or 0)
@@ -30,10 +34,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = stored(e, "links")
     last = _print(e)
     while last[0]:
+        keep = stored if last[0] >= MANY_LINKS else lambda df, _: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "large-star-minima")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "large-star-minima")
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-minima")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-minima")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = _print(e)

@@ -12,8 +12,8 @@ where 100 * |intersection| >= percent * |union|. The way to the links:
 4. Components of the links found. A bucket is finished if its members are in one component, or if the rest
    is too far away: 1 - similarity is a metric, so a document that is further than twice the allowed distance
    from the centre can't be linked with a member that is linked with the centre.
-5. Members of unfinished buckets are compared among each other by signature, in blocks, across components
-   only; pairs that may be similar enough are checked on full sets, and components are built again.
+5. Members of unfinished buckets are compared among each other in blocks, across components only: by signature,
+   and on full sets where that may be similar enough. The tasks give links, and components are built again.
 
 No bucket is capped and no group is expanded into all pairs: a group of copies costs one check per member.
 """
@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.components import connected_components
+from handspan.llm.packed import frees_memory
 from handspan.llm.shared import stored
 from handspan.llm.text import U64, blocks, mix, shingles
 
 BANDS, MOST_ROWS, MISS = 28, 5, 1e-6
 #: Members checked against one centre in a task.
 SALT_ROWS = 256
-#: Members of an unfinished bucket in one block.
+#: Members of unfinished buckets in one block.
 BLOCK_ROWS = 512
-#: A pair whose signatures agree in less than this part below the threshold isn't checked on full sets: over five standard deviations.
-SLACK = 0.18
+#: A pair whose signatures agree in so many standard deviations less than the threshold isn't checked on full sets.
+DEVIATIONS = 5
 
 _rng = np.random.default_rng(99)
 _A = _rng.integers(0, 1 << 63, BANDS * MOST_ROWS, dtype=np.uint64) * U64(2) + U64(1)
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, size: int, rows: int, key: str = "doc_id", text:
                 names=["doc_id", "n_shingles", "s1", "s2", "bands", "signature"],
             )
 
-    return docs.select(docs[key].alias("doc_id"), docs[text].alias("_text")).mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
+    return docs.select(docs[key].alias("doc_id"), docs[text].alias("_text")).mapInArrow(frees_memory(work), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
 
 
 def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -132,37 +133,57 @@ def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     dealt = texts.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return dealt.mapInArrow(work, "centre long, doc_id long, both long, either long")
+    return dealt.mapInArrow(frees_memory(work), "centre long, doc_id long, both long, either long")
 
 
-def _unfinished(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs across components in unfinished buckets whose signatures agree enough.
+def _unfinished(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the links across components among the members of unfinished buckets.
 
-    members: bucket, doc_id, component, signature. Buckets are cut into blocks by a hash, and each pair of
-    blocks is one group, so a large bucket is many tasks of bounded size.
+    members: cluster, doc_id, component, signature; a cluster holds the documents of unfinished buckets whose centres
+    are in one component. It is cut into blocks by a hash, and each pair of blocks is one task's group, so a large cluster is many tasks of
+    bounded size. A task looks at signatures first, and compares full sets where these agree enough; it gives links
+    only, never the pairs that it has looked at.
     """
-    sizes = stored(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks")), "bucket-sizes")
-    m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    m = m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature")
-    least = (percent / 100 - SLACK) * BANDS * band_rows(percent)
+    sizes = stored(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks")), "cluster-sizes")
+    m = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    m = m.join(docs, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature", "text")
+    n, p = BANDS * band_rows(percent), percent / 100
+    least = n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5
 
     def work(key, table):
         i, j = key[1].as_py(), key[2].as_py()
+        table = table.combine_chunks()
         block = table.column("block").to_numpy()
         ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).to_batches():
+            for start, stop, data, offsets in blocks(batch):
+                h, row = shingles(data, offsets, size)
+                first = np.searchsorted(row, np.arange(stop - start + 1))
+                sets += [h[x:z] for x, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        count = np.array([len(x) for x in sets], np.int64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out_a, out_b = [], []
-        for x in left:
-            others = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if len(others):
-                close = others[(sig[others] == sig[x]).sum(axis=1) >= least]
-                out_a += [ids[x]] * len(close)
-                out_b += ids[close].tolist()
+        for x in left.tolist():
+            near = right[(comp[right] != comp[x]) & (np.minimum(count[right], count[x]) * 100 >= np.maximum(count[right], count[x]) * percent)]
+            if i == j:
+                near = near[ids[near] > ids[x]]
+            if len(near):
+                near = near[(sig[near] == sig[x]).sum(axis=1) >= least]
+            if not len(near):
+                continue
+            theirs = np.concatenate([sets[y] for y in near.tolist()])
+            at = np.minimum(np.searchsorted(sets[x], theirs), count[x] - 1)
+            starts = np.cumsum(count[near]) - count[near]
+            both = np.add.reduceat((sets[x][at] == theirs).astype(np.int64), starts)
+            hit = near[both * 100 >= (count[near] + count[x] - both) * percent]
+            out_a += [ids[x]] * len(hit)
+            out_b += ids[hit].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return m.groupBy("bucket", "i", "j").applyInArrow(work, "a long, b long")
+    return m.groupBy("cluster", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,19 +219,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         .withColumn("similar", F.when(F.col("doc_id") == F.col("centre"), 1.0).otherwise(F.col("both") / F.col("either")))
     )
     apart = F.col("component") != F.col("centre_component")
-    state = stored(state.select("bucket", "doc_id", "component", apart.alias("apart"), (F.col("similar") >= percent / 100 - 1e-12).alias("direct"), (F.col("similar") >= far).alias("ring")), "bucket-states")
+    state = stored(state.select("bucket", F.col("centre_component").alias("cluster"), "doc_id", "component", apart.alias("apart"), (F.col("similar") >= percent / 100 - 1e-12).alias("direct"), (F.col("similar") >= far).alias("ring")), "bucket-states")
     ringed = state.groupBy("bucket").agg(F.max(F.col("apart") & F.col("ring")).alias("ringed"), F.max("apart").alias("any_apart")).where("any_apart")
     open_rows = state.join(stored(ringed, "ringed-buckets"), "bucket").where("apart or not direct or ringed")
-    open_rows = stored(open_rows.select("bucket", "doc_id", "component"), "open-members")
-    several = open_rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    several = stored(several, "open-buckets")
-    if not several.isEmpty():
-        members = open_rows.join(several, "bucket").join(reps.select("doc_id", "signature"), "doc_id")
-        pairs = _unfinished(members, percent).distinct().select(F.col("a").alias("centre"), F.col("b").alias("doc_id"))
-        pairs = stored(pairs.join(checked.select("centre", "doc_id"), ["centre", "doc_id"], "left_anti"), "open-pairs")
-        if not pairs.isEmpty():
-            more = similarities(pairs, once, size).where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-            found = stored(connected_components(links.union(more)), "components")
+    # buckets whose centres are in one component are looked at together: each document once
+    members = stored(open_rows.select("cluster", "doc_id", "component").distinct(), "open-members")
+    several = members.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
+    members = stored(members.join(several, "cluster", "left_semi"), "unfinished-members")
+    if not members.isEmpty():
+        more = stored(_unfinished(members.join(reps.select("doc_id", "signature"), "doc_id"), once, size, percent), "more-links")
+        if not more.isEmpty():
+            # links between components: only these are joined anew
+            name = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+            between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+            wider = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+            found = found.unionAll(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+            found = stored(found.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component")), "components")
     final = reps.select("s1", "s2", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     final = stored(final.select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id")), "set-components")
     out = sig.where("doc_id is not null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).alias("s1"), F.when(F.col("n_shingles") > 0, F.col("s2")).alias("s2")).join(final, ["s1", "s2"], "left")
