@@ -326,11 +326,12 @@ def bigram_bits(spark, d):
 # --- joins, counts, checks ------------------------------------------------------------------------------------------
 
 
-@query("finger_notes", "score_id:i note_idx:i midi:i hsd:s", "SELECT score_id, note_idx, midi, hand || strike_digit AS hsd FROM hands WHERE score_id NOT IN (SELECT score_id FROM hands WHERE strike_digit IS NULL AND note_idx < 40) AND note_idx < 40", FINGERINGS_SQL)
+@query("finger_notes", "score_id:i segment_idx:i note_idx:i midi:i hsd:s", "SELECT score_id, segment_idx, note_idx, midi, hand || strike_digit AS hsd FROM (SELECT *, bool_or(strike_digit IS NULL) OVER (PARTITION BY score_id, segment_idx) AS x FROM phrased) WHERE NOT x", FINGERINGS_SQL + f", phrased AS (SELECT *, {_SEG} AS segment_idx FROM hands)")
 def finger_notes(spark, d):
-    n = bound_notes(spark, d).where("note_idx < 40").select("score_id", "note_idx", "midi")  # phrases of forty notes
-    f = fingering.with_handed_digits(_exploded(spark, d), keys=["score_id"]).where("note_idx < 40").select("score_id", "note_idx", "hsd", "hand")
-    return corpus.finger_notes(n, f, drop_wildcards=True)
+    n = sequence.with_segments(bound_notes(spark, d)).select("score_id", "segment_idx", "note_idx", "midi")
+    f = fingering.with_handed_digits(_exploded(spark, d), keys=["score_id"]).select("score_id", "note_idx", "hsd", "hand")
+    f = n.select("score_id", "segment_idx", "note_idx").join(f, ["score_id", "note_idx"])
+    return corpus.finger_notes(n, f, keys=("score_id", "segment_idx"), drop_wildcards=True)
 
 
 @query("load_summary", "bad:i wildcarded:i other_hand:i other_hand_fingers:i notes:i", "SELECT 0 AS bad, sum(CAST(x > 0 AS INT)) AS wildcarded, sum(CAST(o > 0 AS INT)) AS other_hand, sum(o) AS other_hand_fingers, coalesce(sum(CASE WHEN x = 0 THEN n END), 0) AS notes FROM (SELECT score_id, count(*) AS n, sum(CAST(strike_digit IS NULL AS INT)) AS x, sum(CAST(hand <> '>' AS INT)) AS o FROM hands GROUP BY 1)", FINGERINGS_SQL)
@@ -393,10 +394,11 @@ def order_notes(spark, d):
     return corpus.order_notes(n)
 
 
-@query("gold_missing", "score_id:i digit:i", "SELECT DISTINCT score_id, digit FROM notes EXCEPT SELECT score_id, digit_b FROM notes WHERE note_idx < 4")
+@query("gold_missing", "score_id:i midi:i", "SELECT DISTINCT score_id, midi FROM notes EXCEPT SELECT score_id, midi FROM notes WHERE digit = digit_b")
 def gold_missing(spark, d):
+    """Pitches on whose finger the annotators never agree."""
     n = bound_notes(spark, d)
-    return corpus.gold_missing(n, n.where("note_idx < 4").select("score_id", F.col("digit_b").alias("digit")), fingering="digit")
+    return corpus.gold_missing(n, n.where("digit = digit_b"), fingering="midi")
 
 
 @query("by_cost", "score_id:i cost:d n:i", "SELECT score_id, dur_ms // 50 AS cost, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY score_id ORDER BY dur_ms // 50) AS r FROM notes) WHERE r <= 5 GROUP BY 1, 2")
@@ -411,13 +413,15 @@ def trim_at_last_gold(spark, d):
 
 
 @query("combine_staves", "score_id:i rank:i fingering:s cost:d", """
-  SELECT coalesce(u.score_id, l.score_id) AS score_id, coalesce(u.rank, l.rank) AS rank, coalesce(u.f, b.uf) || '@' || coalesce(l.f, b.lf) AS fingering, coalesce(u.c, b.uc) + coalesce(l.c, b.lc) AS cost FROM
-    (SELECT score_id, note_idx + 1 AS rank, digit || '' AS f, dur_ms AS c FROM notes WHERE note_idx < 7) u FULL JOIN (SELECT score_id, note_idx + 1 AS rank, digit_b || '' AS f, velocity AS c FROM notes WHERE note_idx < 4) l ON u.score_id = l.score_id AND u.rank = l.rank
-  JOIN (SELECT score_id, digit || '' AS uf, digit_b || '' AS lf, dur_ms AS uc, velocity AS lc FROM notes WHERE note_idx = 0) b ON b.score_id = coalesce(u.score_id, l.score_id)""")
+  SELECT coalesce(u.score_id, l.score_id) AS score_id, coalesce(u.rank, l.rank) AS rank, coalesce(u.f, max(CASE WHEN u.rank = 1 THEN u.f END) OVER w) || '@' || coalesce(l.f, max(CASE WHEN l.rank = 1 THEN l.f END) OVER w) AS fingering,
+    coalesce(u.c, max(CASE WHEN u.rank = 1 THEN u.c END) OVER w) + coalesce(l.c, max(CASE WHEN l.rank = 1 THEN l.c END) OVER w) AS cost
+  FROM (SELECT score_id, note_idx + 1 AS rank, digit || '' AS f, dur_ms AS c FROM notes) u FULL JOIN (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY digit_b) AS rank, digit_b || '' AS f, count(*) AS c FROM notes GROUP BY score_id, digit_b) l ON u.score_id = l.score_id AND u.rank = l.rank
+  WINDOW w AS (PARTITION BY coalesce(u.score_id, l.score_id))""")
 def combine_staves(spark, d):
-    n = bound_notes(spark, d).withColumn("rank", F.col("note_idx") + 1)
-    u = n.where("rank <= 7").select("score_id", "rank", F.col("digit").cast("string").alias("fingering"), F.col("dur_ms").alias("cost"))
-    lo = n.where("rank <= 4").select("score_id", "rank", F.col("digit_b").cast("string").alias("fingering"), F.col("velocity").alias("cost"))
+    n = bound_notes(spark, d)
+    u = n.select("score_id", (F.col("note_idx") + 1).alias("rank"), F.col("digit").cast("string").alias("fingering"), F.col("dur_ms").alias("cost"))
+    lo = n.groupBy("score_id", "digit_b").agg(F.count("*").alias("cost"))
+    lo = lo.select("score_id", F.row_number().over(Window.partitionBy("score_id").orderBy("digit_b")).alias("rank"), F.col("digit_b").cast("string").alias("fingering"), "cost")
     return corpus.combine_staves(u, lo)
 
 
@@ -689,24 +693,9 @@ def advise_parncutt(spark, d):
     return search.advise(_phrases(spark, d), "parncutt", 5, keys=PHRASE)
 
 
-_BEST = f"""
-  SELECT score_id, segment_idx, min(cost) AS cost FROM (
-    SELECT score_id, segment_idx, path, sum({_preset('parncutt')}) AS cost, bool_and(coalesce(NOT ((m1 = m2 AND d1 <> d2) OR (m1 <> m2 AND (d1 = d2 OR m2 - m1 > {_span('max_prac')}))), true)) AS ok FROM (
-      SELECT *, lag(midi) OVER p AS m1, midi AS m2, lead(midi) OVER p AS m3, hand AS h2, lag(d) OVER p AS d1, d AS d2, lead(d) OVER p AS d3 FROM (
-        SELECT s.*, path, CAST(path // CAST(pow(5, pos) AS BIGINT) % 5 + 1 AS INT) AS d FROM seg s, (SELECT unnest(range(0, 625)) AS path) WHERE len = 4)
-      WINDOW p AS (PARTITION BY score_id, segment_idx, path ORDER BY note_idx))
-    GROUP BY 1, 2, 3) WHERE ok GROUP BY 1, 2"""
 _SEGS = NOTES_SQL + f", cut AS (SELECT *, {_SEG.replace(chr(39) + ',' + chr(39) + ', ' + chr(39) + ';' + chr(39) + ', ', '')} AS segment_idx FROM notes), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM cut)"
 
 
-@query("best_of_four_notes", "score_id:i segment_idx:i cost:d", _BEST, _SEGS)
-def best_of_four_notes(spark, d):
-    """The cheapest fingering of every phrase of four notes, which SQL can find among all 625."""
-    p = _phrases(spark, d)
-    four = p.groupBy(*PHRASE).agg(F.count("*").alias("n")).where("n = 4").select(*PHRASE)
-    return search.advise(p.join(four, list(PHRASE), "left_semi"), "parncutt", 1, keys=PHRASE)
-
-
 @query("fingering_count", "score_id:i segment_idx:i paths:d", "SELECT score_id, segment_idx, 5 * product(CASE WHEN m1 IS NULL THEN 1.0 WHEN m1 = midi THEN 1.0 ELSE 4.0 END) AS paths FROM (SELECT *, lag(midi) OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) AS m1 FROM seg) GROUP BY 1, 2", _SEGS)
 def fingering_count(spark, d):
     return search.fingering_count(_phrases(spark, d), keys=PHRASE)
@@ -769,13 +758,11 @@ def span_diff(spark, d):
     return stats.span_diff(dims.finger_spans(spark), "parncutt", "badgerow").join(used, ["hd1", "hd2"], "left")
 
 
-@query("combine_segments", "score_id:i rank:i cost:d", """
-  SELECT score_id, rank, cost FROM (SELECT a.score_id, a.c + b.c AS cost, row_number() OVER (PARTITION BY a.score_id ORDER BY a.c + b.c, a.f || b.f) AS rank
-  FROM (SELECT score_id, dur_ms AS c, lpad(note_idx || '', 2, '0') AS f FROM notes WHERE note_idx < 6) a JOIN (SELECT score_id, velocity AS c, lpad(note_idx || '', 2, '0') AS f FROM notes WHERE note_idx BETWEEN 6 AND 11) b USING (score_id)) WHERE rank <= 4""")
+@query("combine_segments", "score_id:i rank:i cost:d", "SELECT score_id, 1 AS rank, sum(c) AS cost FROM (SELECT score_id, segment_idx, min(dur_ms) AS c FROM seg GROUP BY 1, 2) GROUP BY 1", _SEGS)
 def combine_segments(spark, d):
-    n = bound_notes(spark, d).where("note_idx < 12")  # two segments of six suggestions each
-    s = n.select("score_id", (F.col("note_idx") >= 6).cast("int").alias("segment_idx"), F.lpad(F.col("note_idx").cast("string"), 2, "0").alias("fingering"), F.when(F.col("note_idx") < 6, F.col("dur_ms")).otherwise(F.col("velocity")).alias("cost"), F.lit(1).alias("rank"))
-    return corpus.combine_segments(s, 4)
+    """The cheapest whole sequence of one suggestion for each phrase: its digits, each at its shortest duration."""
+    p = sequence.with_segments(bound_notes(spark, d), level=".").groupBy("score_id", "segment_idx", F.col("digit").cast("string").alias("fingering")).agg(F.min("dur_ms").alias("cost")).withColumn("rank", F.lit(1))
+    return corpus.combine_segments(p, 1)
 
 
 # --- ranked evaluation ----------------------------------------------------------------------------------------------
@@ -848,15 +835,17 @@ for _name in ("trigram", "nuanced", "relaxed"):
 
 
 def _gains(spark, d):
+    """Digits ranked by how often annotator 1 uses them; annotator 2's uses are votes."""
     n = bound_notes(spark, d)
-    s = suggestions(n).where("note_idx = 0").select("score_id", "rank", F.col("tip").alias("fingering"))
-    v = n.where("note_idx < 3").groupBy("score_id", F.col("digit_b").alias("fingering")).agg(F.count("*").alias("votes"))
+    used = n.groupBy("score_id", F.col("digit").alias("fingering")).agg(F.count("*").alias("_n"))
+    s = used.select("score_id", F.row_number().over(Window.partitionBy("score_id").orderBy(F.desc("_n"), "fingering")).alias("rank"), "fingering")
+    v = n.where("digit_b <= 3").groupBy("score_id", F.col("digit_b").alias("fingering")).agg(F.count("*").alias("votes"))
     return ranking.with_gains(s, v), v
 
 
-_GAINS = SUGGESTIONS_SQL + """, votes AS (SELECT score_id, digit_b AS fingering, count(*) AS votes FROM notes WHERE note_idx < 3 GROUP BY 1, 2),
- gains AS (SELECT t.score_id, t.rank, t.tip AS fingering, coalesce(v.votes, 0) AS votes, coalesce(v.votes, 0) / CAST(x.t AS DOUBLE) AS gain, CAST(v.votes IS NOT NULL AS INT) AS hit, x.relevant
-  FROM tips t JOIN (SELECT score_id, sum(votes) AS t, count(*) AS relevant FROM votes GROUP BY 1) x USING (score_id) LEFT JOIN votes v ON v.score_id = t.score_id AND v.fingering = t.tip WHERE t.note_idx = 0)"""
+_GAINS = NOTES_SQL + """, tips AS (SELECT score_id, digit AS fingering, row_number() OVER (PARTITION BY score_id ORDER BY count(*) DESC, digit) AS rank FROM notes GROUP BY 1, 2), votes AS (SELECT score_id, digit_b AS fingering, count(*) AS votes FROM notes WHERE digit_b <= 3 GROUP BY 1, 2),
+ gains AS (SELECT t.score_id, t.rank, t.fingering, coalesce(v.votes, 0) AS votes, coalesce(v.votes, 0) / CAST(x.t AS DOUBLE) AS gain, CAST(v.votes IS NOT NULL AS INT) AS hit, x.relevant
+  FROM tips t JOIN (SELECT score_id, sum(votes) AS t, count(*) AS relevant FROM votes GROUP BY 1) x USING (score_id) LEFT JOIN votes v ON v.score_id = t.score_id AND v.fingering = t.fingering)"""
 
 
 @query("average_precision", "score_id:i ap:d precision:d recall:d", "SELECT score_id, sum(hit * h / rank) / max(relevant) AS ap, max(CASE WHEN rank = 3 THEN h END) / 3.0 AS precision, max(CASE WHEN rank = 3 THEN h END) / CAST(max(relevant) AS DOUBLE) AS recall FROM (SELECT *, CAST(sum(hit) OVER (PARTITION BY score_id ORDER BY rank) AS DOUBLE) AS h FROM gains) GROUP BY 1", _GAINS)
@@ -879,16 +868,16 @@ def cumulative_gain(spark, d):
 
 
 def _marks(spark, d):
-    n = suggestions(bound_notes(spark, d)).where("note_idx < 12")  # phrases of twelve notes
+    n = suggestions(bound_notes(spark, d))
     g = n.select("score_id", "rank", "note_idx", "tip", F.lit(True).alias("same_hand"), F.explode(F.create_map(F.lit(1), F.when(F.col("event_id") % 4 != 2, F.col("digit")), F.lit(2), F.when(F.col("event_id") % 2 == 1, F.col("tip")))).alias("g", "gold"))
     return ranking.pair_marks(g, keys=("score_id", "rank", "g"))
 
 
-_MARKS = SUGGESTIONS_SQL + """, cells AS (SELECT score_id, rank, note_idx, tip, unnest([1, 2]) AS g, unnest([CASE WHEN event_id % 4 <> 2 THEN digit END, CASE WHEN event_id % 2 = 1 THEN tip END]) AS gold FROM tips WHERE note_idx < 12),
+_MARKS = SUGGESTIONS_SQL + """, cells AS (SELECT score_id, rank, note_idx, tip, count(*) OVER (PARTITION BY score_id, rank) AS len, unnest([1, 2]) AS g, unnest([CASE WHEN event_id % 4 <> 2 THEN digit END, CASE WHEN event_id % 2 = 1 THEN tip END]) AS gold FROM tips),
  marks AS (SELECT score_id, rank, g, count(*) AS n, sum(CAST(coalesce(gold = tip, false) AS INT)) AS m, sum(CAST(gold IS NULL AS INT)) AS w, sum(CAST(coalesce(least(gold, tip) IN (2, 3, 4) AND abs(gold - tip) = 1, false) AS INT)) AS x,
-   sum(CAST(coalesce(gold <> tip, false) AS INT)) AS cl, 2.0 / (count(*) + 1) * sum(CASE WHEN gold <> tip THEN 12 - note_idx ELSE 0 END) AS wc,
+   sum(CAST(coalesce(gold <> tip, false) AS INT)) AS cl, 2.0 / (count(*) + 1) * sum(CASE WHEN gold <> tip THEN len - note_idx ELSE 0 END) AS wc,
    sum(CASE WHEN gold IS NULL OR gold = tip THEN 1.0 WHEN least(gold, tip) IN (2, 3, 4) AND abs(gold - tip) = 1 THEN 1 - pow(2.0, -note_idx) ELSE 0 END) AS eq,
-   2.0 / (count(*) + 1) * sum(CASE WHEN gold <> tip AND NOT (least(gold, tip) IN (2, 3, 4) AND abs(gold - tip) = 1) THEN 12 - note_idx + 1 ELSE 0 END) AS ec FROM cells GROUP BY 1, 2, 3)"""
+   2.0 / (count(*) + 1) * sum(CASE WHEN gold <> tip AND NOT (least(gold, tip) IN (2, 3, 4) AND abs(gold - tip) = 1) THEN len - note_idx + 1 ELSE 0 END) AS ec FROM cells GROUP BY 1, 2, 3)"""
 _USERS = {
     "strict": ("CAST(m = n AS DOUBLE)", "1.0"),
     "estimated": ("CASE WHEN m = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE ELSE 0 END", "CASE WHEN m = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE ELSE 1 END"),
@@ -1108,9 +1097,8 @@ def strike_distance(spark, d):
 
 @query("advise_cyclic", "score_id:i segment_idx:i rank:i closed:b")
 def advise_cyclic(spark, d):
-    """The three cheapest fingerings of the first phrase of each score, played over and over."""
-    p = _phrases(spark, d).where("segment_idx = 0")
-    return search.advise_cyclic(p, "parncutt", 3, keys=PHRASE).withColumn("closed", F.substring("digits", 1, 1) == F.substring("digits", -1, 1))
+    """The three cheapest fingerings of each phrase, played over and over."""
+    return search.advise_cyclic(_phrases(spark, d), "parncutt", 3, keys=PHRASE).withColumn("closed", F.substring("digits", 1, 1) == F.substring("digits", -1, 1))
 
 
 @query("order_gold", "o_custkey:i place:i votes:i", "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY votes) AS place, votes FROM (SELECT o_custkey, l_returnflag || l_linestatus AS fingering, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")
