@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from handspan.llm.packed import frees_memory
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, _power, blocks, mix, raw, slice_hashes, words
 
 #: Words of benchmark items in one broadcast set (about 100 bytes each).
@@ -156,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     final = T.StructType(kept + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields)
     for k in range(len(sets)):
         last = k == len(sets) - 1
-        out = out.mapInArrow(scan(k, last), final if last else carried)
+        out = out.mapInArrow(frees_memory(scan(k, last)), final if last else carried)
     return out
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from handspan.llm.packed import by_part, dealt, pack, part_of, parts_of, unpack
+from handspan.llm.packed import by_part, dealt, frees_memory, pack, part_of, parts_of, unpack
 from handspan.llm.shared import file_system, local_path, new_folder, stored
 from handspan.llm.text import LOWER, SPACE, U64, blocks, mix, slice_hashes, words
 
@@ -208,8 +208,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     kinds = {"kind": pa.string(), "part": pa.int32(), "data": pa.binary(), "name": pa.list_(pa.string()), "n": pa.list_(pa.int64())}
     schema = "kind string, part int, data binary, name array<string>, n array<long>"
-    counted = dealt(docs.select(docs[text].cast("string").alias("_text")).mapInArrow(count, "part int, data binary"), parts)
-    merged = stored(counted.mapInArrow(merge, schema), "bigrams")
+    counted = dealt(docs.select(docs[text].cast("string").alias("_text")).mapInArrow(frees_memory(count), "part int, data binary"), parts)
+    merged = stored(counted.mapInArrow(frees_memory(merge), schema), "bigrams")
 
     def add_words(batches):
         got, own = [], None
@@ -233,7 +233,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         stats = [int(token.sum()), int(value[token, 0].sum()), int(start), int(different.sum()), *[int((different == k).sum()) for k in (1, 2, 3, 4)], int((different > 2).sum())]
         yield _batch([{"kind": "file", "part": own, "data": None, "name": [files["keys"], files["values"]], "n": stats}], **kinds)
 
-    known = stored(dealt(merged.where("kind != 'file'"), parts).mapInArrow(add_words, schema), "words")
+    known = stored(dealt(merged.where("kind != 'file'"), parts).mapInArrow(frees_memory(add_words), schema), "words")
     # one row per part from here on
     pair_rows = merged.where("kind = 'file'").select("part", "name", "n").collect()
     word_rows = known.select("part", "name", "n").collect()
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 names=schema.names,
             )
 
-    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(work, schema)
+    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(frees_memory(work), schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 7, fold: int = 2):

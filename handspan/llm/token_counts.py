@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from handspan.llm.packed import frees_memory
 from handspan.llm.text import blocks, slice_hashes
 
-#: Distinct units that a worker remembers (about 30 bytes each); beyond it they are forgotten, which costs time only.
-MEMORY_UNITS = 4_000_000
+#: Distinct units that a worker remembers (about 60 bytes each); beyond it they are forgotten, which costs time only.
+MEMORY_UNITS = 1_500_000
 PLAIN_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -217,7 +218,7 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
                     counts.append(count[a:z])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[key, "ends", "counts"])
 
-    return docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(work, schema)
+    return docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(frees_memory(work), schema)
 
 
 def count_at(end: str = "at", ends: str = "ends", counts: str = "counts"):
@@ -252,4 +253,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
                 n[start:stop][some] = count[first[1:][some] - 1]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size), pa.array(n), pa.array(n > limit)], names=schema.names)
 
-    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(work, schema)
+    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(frees_memory(work), schema)

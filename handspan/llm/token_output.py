@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
+from handspan.llm.packed import frees_memory
 from handspan.llm.shared import file_system, new_folder, stored
 from handspan.llm.text import blocks
 from handspan.llm.token_counts import BLOCK_BYTES, units
@@ -178,7 +179,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
         .sortWithinPartitions("_key", "_tie")
         .select("_key", "_text")
     )
-    manifest = stored(sorted_docs.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = stored(sorted_docs.mapInArrow(frees_memory(write), "shard long, path string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard only
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
@@ -202,7 +203,7 @@ def read_token_shards(manifest: DataFrame, key_type: str = "long") -> DataFrame:
                             at += n
                         yield pa.RecordBatch.from_pydict({"key": pa.array(rows["key"], pa.int64() if key_type == "long" else pa.string()), "start": pa.array(rows["start"], pa.int64()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "ids": pa.array(rows["ids"], pa.binary())})
 
-    return manifest.select("path", "start").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(read, f"key {key_type}, start long, n_tokens long, ids binary")
+    return manifest.select("path", "start").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(frees_memory(read), f"key {key_type}, start long, n_tokens long, ids binary")
 
 
 def token_digest(manifest: DataFrame) -> DataFrame:
