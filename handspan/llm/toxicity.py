@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from handspan.llm.packed import frees_memory
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, blocks, mix, slice_hashes, words
 
 #: Most labelled rows that the model is fitted on.
@@ -24,6 +25,8 @@ MOST_FEATURES = 4_000
 PREFIXES = (4, 5, 6)
 GRADES = 3
 LEAST_Z = 5.0
+#: A feature is in this part of the toxic rows of the sample at least, and in three of them, so that no few copies of one text make features of all its words.
+LEAST_SHARE = 0.01
 LEAST_LIFT = 3.0
 
 
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     p1, p0 = F.col("pos") / n_pos, (F.col("n") - F.col("pos")) / max(n_neg, 1)
     mean = F.col("n") / n_all
     z = (p1 - p0) / F.sqrt(mean * (1 - mean + 1e-9) * (1 / n_pos + 1 / max(n_neg, 1)))
-    stats = texts.mapInArrow(each, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("pos >= 3")
+    stats = texts.mapInArrow(frees_memory(each), "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("pos") >= max(3, int(LEAST_SHARE * n_pos)))
     best = stats.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (p1 >= LEAST_LIFT * p0)).orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
     keys = np.sort(np.array([r[0] for r in best.select("f").collect()], np.int64).view(np.uint64))
 
@@ -158,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 names=["y", "c", "n"],
             )
 
-    rows = texts.mapInArrow(chosen, "y int, c array<int>, n array<int>").collect()  # at most SAMPLE_ROWS rows of MOST_FEATURES features
+    rows = texts.mapInArrow(frees_memory(chosen), "y int, c array<int>, n array<int>").collect()  # at most SAMPLE_ROWS rows of MOST_FEATURES features
     y = np.array([r[0] > 0 for r in rows], bool)
     used = np.array([sum(r[2]) for r in rows], float)
     grade = np.zeros(len(rows), np.int64)
@@ -194,7 +197,7 @@ def severity(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 [*b.columns[1:], pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1), pa.int32()), pa.array(p[:, 0] >= 0.5)], names=schema.names
             )
 
-    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(work, schema)
+    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(frees_memory(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
