@@ -30,12 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.induced import QUEUE_BYTES, sorted_suffixes
-from handspan.llm.packed import by_part, dealt, pack, part_of, parts_of, unpack
+from handspan.llm.packed import by_part, dealt, frees_memory, pack, part_of, parts_of, unpack
 from handspan.llm.text import _BASE, _BYTE, U64, blocks, mix
 
 GRAM = 16
-CHUNK_BYTES = 24 << 20
-WINDOWS = 1 << 18
+CHUNK_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20
+WINDOWS = 1 << 16
 #: Pieces of a class from which it is cut finer.
 LARGE_CLASS = 400
 #: Bytes of strings whose suffixes are sorted together.
@@ -45,6 +46,9 @@ _PLACE = U64((1 << 20) - 1)
 _P = {n: U64(pow(int(_BASE), n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 
 
+_KINDS = {"row": np.int32, "start": np.uint32, "windows": np.uint8, "anchor": np.uint8, "left": np.uint8, "right": np.uint8}
+
+
 def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 16 and the 32 bytes from each place on."""
     h = _BYTE[data]
@@ -99,8 +103,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.n
         left = np.where(reach > half, mix(h32[np.maximum(g - half - 1, 0)] + mark) >> U64(56) | U64(1), U64(0))
         right = np.where(least_reach <= half, mix(h32[np.minimum(g + length - half - 32, len(h32) - 1)] + mark) >> U64(56) | U64(1), U64(0))
         for k, v in (("row", row[first]), ("start", s + a - offsets[row[first]]), ("windows", windows), ("anchor", reach), ("mark", mark), ("text", text), ("left", left), ("right", right)):
-            cols[k].append(v)
-    return {k: np.concatenate(v) if v else np.empty(0, np.uint64 if k in ("mark", "text", "left", "right") else np.int64) for k, v in cols.items()}
+            cols[k].append(v.astype(_KINDS.get(k, np.uint64)))
+    return {k: np.concatenate(v) if v else np.empty(0, _KINDS.get(k, np.uint64)) for k, v in cols.items()}
 
 
 def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +197,7 @@ def _pack_texts(docs: DataFrame, parts: int) -> DataFrame:
                     if size[p] > 4 << 20:
                         total -= size[p]
                         yield out(p)
-                if total > 3 * CHUNK_BYTES:
+                if total > 2 * CHUNK_BYTES:
                     for p in range(parts):
                         if held[p]:
                             yield out(p)
@@ -202,7 +206,7 @@ def _pack_texts(docs: DataFrame, parts: int) -> DataFrame:
             if held[p]:
                 yield out(p)
 
-    return docs.mapInArrow(work, SCHEMA)
+    return docs.mapInArrow(frees_memory(work), SCHEMA)
 
 
 def _texts(data: bytes):
@@ -345,7 +349,9 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
     if not 48 <= length <= 56:  # so that 32-byte hashes cover a piece, and what is known of its sides
         raise ValueError("strings of 48 to 56 bytes are supported")
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # both sides of the pipe to a worker hold a batch
     parts = parts_of(spark)
+    finer = 2 * parts  # a part's pieces are sorted in memory
     half = (length - GRAM) // 2
     named = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("tie"), docs[text].cast("string").alias("_text"))
 
@@ -355,21 +361,22 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
 
         def flush():
             c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            held.clear()
             order, new = _first_of([c["mark"], c["text"]])
             group = np.cumsum(new) - 1
             least = np.minimum.reduceat(c["doc"][order], np.flatnonzero(new)) if len(order) else np.empty(0, np.int64)
             own = c["doc"][order] == least[group] if len(order) else np.empty(0, bool)
             g = order[~own]
-            yield from _gone(parts, c["doc"][g], c["tie"][g], c["start"][g], c["start"][g] + c["windows"][g] + length - 1)
+            start = c["start"][g].astype(np.int64)
+            yield from _gone(parts, c["doc"][g], c["tie"][g], start, start + c["windows"][g] + length - 1)
             keep = np.sort(order[own])
-            part = part_of(c["mark"][keep], parts)
-            o, at = by_part(part, parts)
-            for p in range(parts):
+            o, at = by_part(part_of(c["mark"][keep], finer), finer)
+            for p in range(finer):
                 i = keep[o[at[p] : at[p + 1]]]
                 if not len(i):
                     continue
                 pair = np.column_stack([c["doc"][i].view(np.uint64), c["tie"][i]])
-                start = c["start"][i]
+                start = c["start"][i].astype(np.int64)
                 change = np.append(True, (pair[1:] != pair[:-1]).any(axis=1) | (start[1:] < start[:-1]))
                 first = np.flatnonzero(change)
                 yield _row(
@@ -388,7 +395,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
                 size += len(data)
                 if size >= CHUNK_BYTES:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -408,10 +415,13 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
                 got.append([np.repeat(a[0], n), np.repeat(a[1], n), start.astype(np.uint32), a[4], a[5], _from_planes(*a[6:8]), _from_planes(*a[8:10]), a[10], a[11]])
         if not got:
             return
-        doc, tie, start, windows, anchor, mark, text, left, right = [np.concatenate(c) for c in zip(*got)]
-        del got
-        order = np.lexsort((doc, text, mark))
-        doc, tie, start, windows, anchor, mark, text, left, right = [c[order] for c in (doc, tie, start, windows, anchor, mark, text, left, right)]
+        whole = []
+        for k in range(len(got[0])):
+            whole.append(np.concatenate([g[k] for g in got]))
+            for g in got:
+                g[k] = None
+        order = np.lexsort((whole[0], whole[6], whole[5])).astype(np.int32)
+        doc, tie, start, windows, anchor, mark, text, left, right = (whole.pop(0)[order] for _ in range(9))
         new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -509,9 +519,9 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             yield from _gone(parts, doc[which], tie[which], at, at + length)
 
     texts = _pack_texts(named, parts)
-    cut_up = dealt(named.mapInArrow(cut, SCHEMA), parts)
-    fetched = dealt(cut_up.mapInArrow(classes, SCHEMA).unionAll(texts), parts).sortWithinPartitions("kind").mapInArrow(fetch, SCHEMA)
-    ranges = dealt(fetched, parts).mapInArrow(sort, SCHEMA)
+    cut_up = dealt(named.mapInArrow(frees_memory(cut), SCHEMA), finer)
+    fetched = dealt(cut_up.mapInArrow(frees_memory(classes), SCHEMA).unionAll(texts), parts).sortWithinPartitions("kind").mapInArrow(frees_memory(fetch), SCHEMA)
+    ranges = dealt(fetched, parts).mapInArrow(frees_memory(sort), SCHEMA)
     return dealt(ranges.unionAll(texts), parts).sortWithinPartitions("kind"), parts
 
 
@@ -546,9 +556,11 @@ def _finished(ranges: DataFrame, names: str, each) -> DataFrame:
                     got = finder.of(doc, tie) if valid else []
                     s, e = (got[0].tolist(), got[1].tolist()) if got else ([], [])
                     rows.append(each(doc if valid else None, t, s, e))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) if k else pa.array(list(c), pa.int64()) for k, c in enumerate(zip(*rows))], names=[n.split()[0] for n in names.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), types[k]) for k, c in zip(kinds, zip(*rows), strict=True)], names=[n.split()[0] for n in names.split(", ")])
 
-    return ranges.mapInArrow(work, names)
+    types = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = [n.split()[1] for n in names.split(", ")]
+    return ranges.mapInArrow(frees_memory(work), names)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
