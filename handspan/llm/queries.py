@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, suffix_dedup, token_counts, token_output, toxicity, warc_fixity
+from handspan.llm.shared import workers_find_library
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def workers_find_library(spark: SparkSession) -> None:
+    """Puts this library's folder on the workers' Python path, for sessions begun elsewhere; on a cluster it is shipped or mounted there."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only where that is unset (tests, a single machine) one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
