@@ -11,34 +11,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from handspan.llm import decontaminate, mixing, near_dedup, token_output, toxicity
-from handspan.llm.shared import stored
+from handspan.llm.shared import stored, workers_find_library
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on labelled ones, rejects go."""
+    workers_find_library(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five words to a shingle, a similarity of 0.8 or more."""
+    workers_find_library(spark)
     return near_dedup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark windows go."""
+    workers_find_library(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of small sources are repeated to bring the sources' weights to the target."""
+    workers_find_library(spark)
     plan = mixing.mixture(docs, public_tokenizers.path(TOKENIZER))
     return mixing.mix(docs, plan).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as bit-plane token files; one row per document as read back from them."""
+    workers_find_library(spark)
     return token_output.token_digest(token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER)))
 
 
