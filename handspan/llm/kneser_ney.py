@@ -1,17 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted arrays.
-
-    P(w | v) = (c(v w) - D(c(v w))) / c(v) + b(v) * P(w)
-    P(w)     = (n(w) - D'(n(w))) / n + b' / (V + 1)
-
-with c the counts in training tokens, n(w) the different words before w, n the different bigrams, V the
-different tokens, and D, D' three discounts each (for 1, 2 and more) from the counts of counts; b(v) and b'
-are the weights the discounts leave. A word that was never seen shares in the last term, so the model is
-never at a loss. Words are told apart by 64-bit hashes of their bytes.
-
-Counting: each task counts its bigrams in runs of about CHUNK_TOKENS and sends one packed row to each part;
-a part is a range of a hash of the first word and four bits of the second, so that a very frequent word is
-spread over sixteen. Each part writes one sorted array of bigram hashes and counts. A second exchange by word
-adds up, for each word, its count, its followers by their counts of counts, and its different predecessors.
+"""Interpolated modified Kneser-Ney model of any order from 2, counted in Spark and scored from memory-mapped sorted arrays.
+
+    P_m(w | h) = (a(h w) - D_m(a(h w))) / a(h) + b_m(h) * P_m-1(w | h without its first word)
+    P_1(w)     = (n(w) - D_1(n(w))) / n + b_1 / (V + 1)
+
+for m from the order N down to 2, h being the m - 1 words before w. a is the count in training tokens at the top
+level and for grams that begin with a text; at lower levels it is the number of different words before the gram.
+n(w) is that of one word, n its sum, a(h) the sum over all w, V the different tokens, and D_m three discounts for
+each level (for 1, 2 and more) from its counts of counts; b_m(h) and b_1 are the weights the discounts leave. A
+context that was never seen leaves all to the next level, as does one that would reach past the text's beginning; a
+word that was never seen shares in the last term, so the model is never at a loss. Words are told apart by 64-bit
+hashes of their bytes, and so are grams.
+
+Counting: each token is the end of one gram of N words, or of fewer that begin with the text. Each task counts grams
+in runs of about CHUNK_TOKENS and sends one packed row (its words once, and their places in that list) to each part;
+a part is a range of a hash of the last word but one and four bits of the last, so that a very frequent word is
+spread over sixteen, and all grams that share their last two words meet. So each part knows the counts of every level
+above one, and writes a sorted array of gram hashes and counts for each. A second exchange, by context, adds up each
+context's count and its followers by their counts of counts, and for each word its different predecessors.
 Scoring maps these files, one binary search per token and table, in the order of the arrays.
 """
 
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from handspan.llm.packed import by_part, dealt, frees_memory, pack, part_of, parts_of, unpack
@@ -30,8 +36,10 @@ from handspan.llm.shared import file_system, local_path, new_folder, stored
 from handspan.llm.text import LOWER, SPACE, U64, blocks, mix, slice_hashes, words
 
 CHUNK_TOKENS = 1_500_000
-START, END = np.uint64(0x51A7B2C90D3E4F61), np.uint64(0xE2D3C4B5A6978879)
+START, END, NONE = np.uint64(0x51A7B2C90D3E4F61), np.uint64(0xE2D3C4B5A6978879), np.uint64(0)
 _K = U64(0x9E3779B97F4A7C15)
+#: Value columns of each kind of table: a gram's count; a context's count and its followers by theirs; a word's as a context, its different predecessors, its count.
+WIDTH = {"grams": 1, "contexts": 4, "words": 6}
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -42,8 +50,16 @@ def pair_part(v: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
     return part_of(mix(v + (w & U64(15)) * _K), parts)
 
 
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of each gram of two or more words, the oldest first; it grows by older words."""
+    h = pair_hash(words[-2], words[-1])
+    for w in words[-3::-1]:
+        h = mix(h * _K + w)
+    return h
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, token, row): the words of each text and one end; the first token follows START."""
+    """(token, place, row): the words of each text and one end, and each one's place in its text."""
     n = len(offsets) - 1
     low = LOWER[data]
     start, end, row = words(low, offsets, SPACE)
@@ -54,40 +70,58 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     inside[last] = False
     token[inside] = slice_hashes(low, start, end)
     token[last] = END
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[last - count] = START
-    return before, token, np.repeat(np.arange(n), count + 1)
-
-
-def _counts(before: np.ndarray, token: np.ndarray, parts: int) -> Iterator[dict]:
-    """Packed bigram counts of a run of tokens, one row for each part."""
-    known, code = np.unique(np.concatenate([before, token]), return_inverse=True)
-    n = len(token)
-    pair, count = np.unique(code[:n].astype(np.int64) * len(known) + code[n:], return_counts=True)
-    v, w = known[pair // len(known)], known[pair % len(known)]
-    order, at = by_part(pair_part(v, w, parts), parts)
-    v, w, count = v[order], w[order], count[order].astype(np.uint32)
+    place = np.arange(len(token)) - np.repeat(last - count, count + 1)
+    return token, place, np.repeat(np.arange(n), count + 1)
+
+
+def back(x: np.ndarray, place: np.ndarray, k: int, start, none) -> np.ndarray:
+    """Each token's k-th predecessor: `start` just before the text's first token, `none` beyond."""
+    out = np.full_like(x, none)
+    out[k:] = x[:-k]
+    out[place < k] = none
+    out[place == k - 1] = start
+    return out
+
+
+def _counts(token: np.ndarray, place: np.ndarray, parts: int, order: int) -> Iterator[dict]:
+    """Packed gram counts of a run of whole texts, one row for each part."""
+    known, code = np.unique(np.append(token, [START, NONE]), return_inverse=True)
+    start, none, code = code[-2], code[-1], code[:-2]
+    grams = [*(back(code, place, k, start, none) for k in range(order - 1, 0, -1)), code]
+    whole, limit = grams[-2] * len(known) + code, len(known) ** 2
+    for g in grams[-3::-1]:
+        if limit * len(known) >= 1 << 63:
+            distinct, whole = np.unique(whole, return_inverse=True)
+            limit = len(distinct)
+        whole, limit = whole * len(known) + g, limit * len(known)
+    _, at, count = np.unique(whole, return_index=True, return_counts=True)
+    grams = [g[at] for g in grams]
+    by, at = by_part(pair_part(known[grams[-2]], known[grams[-1]], parts), parts)
     for p in range(parts):
-        a, z = at[p], at[p + 1]
-        if z > a:  # v stays sorted within a part, as `pair` was sorted and the order is stable
-            yield {"part": p, "data": pack(v[a:z], w[a:z], count[a:z])}
+        own = by[at[p] : at[p + 1]]
+        if len(own):
+            used, local = np.unique(np.concatenate([g[own] for g in grams]), return_inverse=True)
+            local = local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).reshape(order, -1)
+            yield {"part": p, "data": pack(known[used], count[own].astype(np.uint32), *local)}
 
 
 def _batch(rows: list[dict], **types) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in types.items()})
 
 
-def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct keys (sorted) and the sums of their values."""
-    if not len(keys[0]):
-        return keys, values
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], [np.add.reduceat(v[order].astype(np.int64), at) for v in values]
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, at): an order that sorts the keys, and where each distinct one begins in it."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return order, np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+
+
+def _sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (sorted) and the sums of their values, a column for each."""
+    order, at = _grouped(key)
+    if not len(at):
+        return key, np.zeros((0, len(values)), np.int64)
+    return key[order][at], np.column_stack([np.add.reduceat(v[order].astype(np.int64), at) for v in values])
 
 
 def _save(folder: str, name: str, **arrays: np.ndarray) -> dict[str, str]:
@@ -103,10 +137,13 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> dict[str, str]:
 
 
 class Model:
-    """The constants and the files of a trained model; small, whatever the corpus."""
+    """The constants and the files of a trained model; small, whatever the corpus.
 
-    def __init__(self, folder: str, parts: int, pairs: dict[int, list[str]], known: dict[int, list[str]], stats: dict[str, float]):
-        self.folder, self.parts, self.pairs, self.known = folder, parts, pairs, known
+    files names, for each table (kind, level) and part, its keys, its rows of values and their type.
+    """
+
+    def __init__(self, folder: str, parts: int, order: int, files: dict[tuple[str, int], dict[int, list[str]]], stats: dict[str, object]):
+        self.folder, self.parts, self.order, self.files = folder, parts, order, files
         self.__dict__.update(stats)
         self.maps: dict[str, np.ndarray] = {}
 
@@ -119,11 +156,12 @@ class Model:
             self.maps[name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
         return self.maps[name]
 
-    def _look_up(self, part: np.ndarray, key: np.ndarray, files: dict[int, list[str]], value: str) -> np.ndarray:
+    def _look_up(self, part: np.ndarray, key: np.ndarray, table: tuple[str, int]) -> np.ndarray:
         """The table's values of each key, zero where it has none; rows of int64."""
-        width = int(value[1:]) if value[0] == "x" else 1
+        files, width = self.files.get(table, {}), WIDTH[table[0]]
         out = np.zeros((len(key), width), np.int64)
-        order = np.lexsort((key, part))
+        order = np.argsort(key)
+        order = order[np.argsort(part[order].astype(np.uint16 if self.parts < 1 << 16 else np.uint32), kind="stable")]
         at = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in range(self.parts):
             own = order[at[p] : at[p + 1]]
@@ -134,26 +172,31 @@ class Model:
                 continue
             i = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
             fit = keys[i] == key[own]
-            values = self._map(files[p][1], "<i8" if width > 1 else "<u4").reshape(-1, width)
-            out[own[fit]] = values[i[fit]]
+            out[own[fit]] = self._map(files[p][1], files[p][2]).reshape(-1, width)[i[fit]]
         return out
 
-    def score(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each token, log10 of its probability after `before`)."""
-        known, code = np.unique(np.concatenate([before, token]), return_inverse=True)
-        w = self._look_up(part_of(known, self.parts), known, self.known, "x5")
-        n = len(token)
-        v, t = code[:n], code[n:]
-        total, followers, different = w[:, 0], w[:, 1:4], w[:, 4]
-        d1, d2 = np.array([0, *self.d_low]), np.array([0, *self.d_high])
-        low = self.b_low / (self.V + 1) + (different - d1[np.minimum(different, 3)]) / max(self.types, 1) * (different > 0)
-        c = self._look_up(pair_part(before, token, self.parts), pair_hash(before, token), self.pairs, "one")[:, 0]
-        seen = total[v] > 0
-        base = np.maximum(total[v], 1)
-        left = np.where(seen, (followers[v] * d2[1:]).sum(axis=1) / base, 1.0)
-        p = np.where(seen, (c - d2[np.minimum(c, 3)]) / base, 0.0) + left * low[t]
-        count = np.where(known == END, self.texts, np.where(known == START, 0, total))[t]
-        return count, np.log10(np.maximum(p, 1e-300))
+    def score(self, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each token, log10 of its probability after the tokens before it in its text)."""
+        known, code = np.unique(np.append(token, START), return_inverse=True)
+        w = self._look_up(part_of(known, self.parts), known, ("words", 1))
+        start, t = code[-1], code[:-1]
+        different, d = w[:, 4], np.array([0, *self.d[1]])
+        p = (self.b_low / (self.V + 1) + (different - d[np.minimum(different, 3)]) / max(self.types, 1) * (different > 0))[t]
+        before = [back(token, place, k, START, NONE) for k in range(1, self.order)]  # the nearest first
+        part = pair_part(before[0], token, self.parts)
+        for m in range(2, self.order + 1):
+            d = np.array([0, *self.d[m]])
+            if m == 2:
+                at, context = np.arange(len(token)), w[back(t, place, 1, start, start), :4]
+            else:
+                at = at[place[at] >= m - 2]  # a gram that begins with the text is the longest there is
+                h = gram_hash([x[at] for x in before[m - 2 :: -1]])
+                context = self._look_up(part_of(h, self.parts), h, ("contexts", m))
+            seen = context[:, 0] > 0
+            at, context = at[seen], context[seen]  # longer contexts of one that was never seen weren't either
+            c = self._look_up(part[at], gram_hash([*(x[at] for x in before[m - 2 :: -1]), token[at]]), ("grams", m))[:, 0]
+            p[at] = (c - d[np.minimum(c, 3)]) / context[:, 0] + (context[:, 1:] * d[1:]).sum(axis=1) / context[:, 0] * p[at]
+        return w[t, 5], np.log10(np.maximum(p, 1e-300))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -163,8 +206,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [float(min(max(d, 0.05), k + 0.95)) for k, d in enumerate(raw_values)]
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts all rows of docs; a null text counts as an empty one (its only token is the end). An empty table gives a model that knows nothing."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     folder, parts = new_folder(spark, "kneser-ney"), parts_of(spark)
 
@@ -172,77 +217,105 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         held, size = [], 0
         for b in batches:
             for _, _, data, offsets in blocks(b, "_text"):
-                before, token, _ = tokens(data, offsets)
-                held.append((before, token))
+                token, place, _ = tokens(data, offsets)
+                held.append((token, place))
                 size += len(token)
                 if size >= CHUNK_TOKENS:
-                    for row in _counts(*map(np.concatenate, zip(*held)), parts):
+                    for row in _counts(*map(np.concatenate, zip(*held)), parts, order):
                         yield _batch([row], part=pa.int32(), data=pa.binary())
                     held, size = [], 0
         if held:
-            for row in _counts(*map(np.concatenate, zip(*held)), parts):
+            for row in _counts(*map(np.concatenate, zip(*held)), parts, order):
                 yield _batch([row], part=pa.int32(), data=pa.binary())
 
+    def written(kind, level, part, keys, values, n):
+        dtype = "<u4" if values.max(initial=0) < 1 << 32 else "<u8"
+        files = _save(folder, f"{kind}-{level}-{part:05d}", keys=keys, values=values.astype(dtype))
+        return _batch([{"kind": kind, "level": level, "part": part, "data": None, "name": [files["keys"], files["values"], dtype], "n": n}], **kinds)
+
+    def sent(kind, level, keys, values):
+        o, cut = by_part(part_of(keys, parts), parts)
+        columns = [v.astype(np.uint32 if v.max(initial=0) < 1 << 32 else np.uint64) for v in values.T]
+        for p in range(parts):
+            i = o[cut[p] : cut[p + 1]]
+            if len(i):
+                yield _batch([{"kind": kind, "level": level, "part": p, "data": pack(keys[i], *[v[i] for v in columns]), "name": None, "n": None}], **kinds)
+
     def merge(batches):
         got, own = [], None
         for b in batches:
             own = b.column(0)[0].as_py() if b.num_rows else own
-            got += [unpack(x) for x in b.column(1).to_pylist()]
+            for x in b.column(1).to_pylist():
+                known, c, *local = unpack(x)
+                got.append((c, *[known[i] for i in local]))
         if not got:
             return
-        (v, w), (c,) = _summed([np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])], [np.concatenate([g[2] for g in got])])
+        c, *grams = map(np.concatenate, zip(*got))
         del got
-        h = pair_hash(v, w)
-        order = np.argsort(h)
-        files = _save(folder, f"pairs-{own:05d}", keys=h[order], values=np.minimum(c[order], 0xFFFFFFFF).astype("<u4"))
-        yield _batch([{"kind": "file", "part": own, "data": None, "name": [files["keys"], files["values"]], "n": [int((c == k).sum()) for k in (1, 2, 3, 4)]}], **kinds)
-        at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        sums = [np.add.reduceat(x, at, dtype=np.int64) for x in (c, c == 1, c == 2, c > 2)]
-        (w,), (n,) = _summed([w], [np.ones(len(w), np.int64)])
-        for kind, keys, values in (("before", v[at], sums), ("after", w, [n])):
-            o, cut = by_part(part_of(keys, parts), parts)
-            for p in range(parts):
-                i = o[cut[p] : cut[p + 1]]
-                if len(i):
-                    yield _batch([{"kind": kind, "part": p, "data": pack(keys[i], *[x[i].astype(np.uint64 if x is sums[0] else np.uint32) for x in values]), "name": None, "n": None}], **kinds)
-
-    kinds = {"kind": pa.string(), "part": pa.int32(), "data": pa.binary(), "name": pa.list_(pa.string()), "n": pa.list_(pa.int64())}
-    schema = "kind string, part int, data binary, name array<string>, n array<long>"
+        key = gram_hash(grams)
+        o, at = _grouped(key)
+        key, c, grams = key[o][at], np.add.reduceat(c[o].astype(np.int64), at), [g[o][at] for g in grams]
+        yield from sent("counts", 1, *_sums(grams[-1], [c]))
+        whole = grams[0] != NONE
+        short, short_c = [g[~whole] for g in grams], c[~whole]
+        key, c, grams = key[whole], c[whole], [g[whole] for g in grams]
+        for m in range(order, 1, -1):
+            yield written("grams", m, own, key, c[:, None], [int((c == k).sum()) for k in (1, 2, 3, 4)])
+            context = grams[0] if m == 2 else gram_hash(grams[:-1])
+            yield from sent("contexts", m, *_sums(context, [c, c == 1, c == 2, c > 2]))
+            if m == 2:
+                yield from sent("after", 1, *_sums(grams[1], [np.ones(len(c), bool)]))
+                break
+            grams = grams[1:]
+            key = gram_hash(grams)
+            o, at = _grouped(key)
+            first = short[order - m + 1] == START
+            grams = [np.concatenate([g[o][at], s[first]]) for g, s in zip(grams, short[order - m + 1 :], strict=True)]
+            key, c = np.concatenate([key[o][at], gram_hash([s[first] for s in short[order - m + 1 :]])]), np.concatenate([np.diff(np.append(at, len(o))), short_c[first]])
+            o = np.argsort(key)
+            key, c, grams = key[o], c[o], [g[o] for g in grams]
+
+    kinds = {"kind": pa.string(), "level": pa.int32(), "part": pa.int32(), "data": pa.binary(), "name": pa.list_(pa.string()), "n": pa.list_(pa.int64())}
+    schema = "kind string, level int, part int, data binary, name array<string>, n array<long>"
     counted = dealt(docs.select(docs[text].cast("string").alias("_text")).mapInArrow(frees_memory(count), "part int, data binary"), parts)
-    merged = stored(counted.mapInArrow(frees_memory(merge), schema), "bigrams")
+    merged = counted.mapInArrow(frees_memory(merge), schema)
 
-    def add_words(batches):
-        got, own = [], None
+    def add(batches):
+        got, own = {}, None
         for b in batches:
-            own = b.column(1)[0].as_py() if b.num_rows else own
-            for kind, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            done = pc.equal(b.column(0), "grams")
+            yield b.filter(done)
+            b = b.filter(pc.invert(done))
+            own = b.column(2)[0].as_py() if b.num_rows else own
+            for kind, level, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 a = unpack(data)
-                z = np.zeros(len(a[0]), np.int64)
-                got.append((a[0], np.column_stack([*[x.astype(np.int64) for x in a[1:]], z] if kind == "before" else [z, z, z, z, a[1].astype(np.int64)])))
-        if not got:
-            return
-        key, value = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        order = np.argsort(key, kind="stable")
-        key, value = key[order], value[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        key, value = key[at], np.add.reduceat(value, at, axis=0)
-        files = _save(folder, f"words-{own:05d}", keys=key, values=value.astype("<i8"))
-        token = key != START
-        different = value[:, 4]
-        start = value[key == START, 0].sum()
-        stats = [int(token.sum()), int(value[token, 0].sum()), int(start), int(different.sum()), *[int((different == k).sum()) for k in (1, 2, 3, 4)], int((different > 2).sum())]
-        yield _batch([{"kind": "file", "part": own, "data": None, "name": [files["keys"], files["values"]], "n": stats}], **kinds)
-
-    known = stored(dealt(merged.where("kind != 'file'"), parts).mapInArrow(frees_memory(add_words), schema), "words")
-    # one row per part from here on
-    pair_rows = merged.where("kind = 'file'").select("part", "name", "n").collect()
-    word_rows = known.select("part", "name", "n").collect()
-    n = np.sum([r.n for r in pair_rows], axis=0) if pair_rows else np.zeros(4, int)
-    s = np.sum([r.n for r in word_rows], axis=0) if word_rows else np.zeros(9, int)
-    d_low = discounts(*s[4:8].tolist())
-    b_low = (d_low[0] * s[4] + d_low[1] * s[5] + d_low[2] * s[8]) / s[3] if s[3] else 1.0
-    stats = {"V": int(s[0]), "N": int(s[1] + s[2]), "texts": int(s[2]), "types": int(s[3]), "d_high": discounts(*n.tolist()), "d_low": d_low, "b_low": float(b_low)}
-    return Model(folder, parts, {r.part: r.name for r in pair_rows}, {r.part: r.name for r in word_rows}, stats)
+                value = np.column_stack([x.astype(np.int64) for x in a[1:]])
+                if level < 3:  # contexts of one word, and words: one table
+                    at = {"contexts": 0, "after": 4, "counts": 5}[kind]
+                    value = np.pad(value, ((0, 0), (at, 6 - at - value.shape[1])))
+                    level = 1
+                got.setdefault(level, []).append((a[0], value))
+        for level in list(got):
+            key, value = map(np.concatenate, zip(*got.pop(level)))
+            o, at = _grouped(key)
+            key, value = key[o][at], np.add.reduceat(value[o], at, axis=0)
+            if level > 1:
+                yield written("contexts", level, own, key, value, None)
+                continue
+            different = value[:, 4]
+            stats = [int((value[:, 5] > 0).sum()), int(value[:, 5].sum()), int(different.sum()), *[int((different == k).sum()) for k in (1, 2, 3, 4)], int((different > 2).sum())]
+            yield written("words", 1, own, key, value, stats)
+
+    # one row per part and table from here on
+    rows = stored(dealt(merged, parts).mapInArrow(frees_memory(add), schema), "tables").drop("data").collect()
+    files: dict[tuple[str, int], dict[int, list[str]]] = {}
+    for r in rows:
+        files.setdefault((r.kind, r.level), {})[r.part] = r.name
+    total = lambda kind, level, width: np.sum([np.zeros(width, np.int64), *[r.n for r in rows if (r.kind, r.level) == (kind, level)]], axis=0)
+    s = total("words", 1, 8)
+    d = {1: discounts(*s[3:7].tolist())} | {m: discounts(*total("grams", m, 4).tolist()) for m in range(2, order + 1)}
+    b_low = (d[1][0] * s[3] + d[1][1] * s[4] + d[1][2] * s[7]) / s[2] if s[2] else 1.0
+    return Model(folder, parts, order, files, {"V": int(s[0]), "N": int(s[1]), "types": int(s[2]), "d": d, "b_low": float(b_low)})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -263,8 +336,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             n = b.num_rows
             out = np.zeros((4, n))
             for first, stop, data, offsets in blocks(b, "_text", 6 << 20):
-                before, token, row = tokens(data, offsets)
-                count, log_p = m.score(before, token)
+                token, place, row = tokens(data, offsets)
+                count, log_p = m.score(token, place)
                 k = stop - first
                 out[0, first:stop] = np.bincount(row, minlength=k)
                 out[1, first:stop] = np.bincount(row, count > 0, minlength=k)

@@ -89,7 +89,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()), order=3)
     scored = kneser_ney.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -360,6 +360,43 @@ def test_language_model(docs, rows, empty):
     assert kneser_ney.score(docs, nothing).where("n_known = 0 and score <= 0").count() == len(rows)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "CHUNK_TOKENS", 500)
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()), order=order)
+    got = {r.doc_id: r for r in kneser_ney.score(docs, model).collect()}
+    count, a = collections.Counter(), {m: collections.Counter() for m in range(1, order + 1)}
+    of_text = lambda t: [None, *words_of(t), 0]
+    for i, t, *_ in rows:
+        s = of_text(t)
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(s[1:])
+            for m in range(2, order + 1):
+                a[m].update(tuple(s[k : k + m]) for k in range(len(s) - m + 1) if m == order or k == 0)
+    for m in range(order, 1, -1):
+        a[m - 1].update(g[1:] for g in a[m])
+    d = {m: [0, *kneser_ney.discounts(*[sum(x == k for x in a[m].values()) for k in (1, 2, 3, 4)])] for m in a}
+    after = collections.defaultdict(list)
+    for m in a:
+        for g, c in a[m].items():
+            after[g[:-1]].append(c)
+
+    def p(h, w):
+        m = len(h) + 1
+        low = p(h[1:], w) if h else 1 / (len(count) + 1)
+        if not after[h]:
+            return low
+        c, held = a[m][(*h, w)], sum(d[m][min(x, 3)] for x in after[h])
+        return (c - d[m][min(c, 3)]) / sum(after[h]) + held / sum(after[h]) * low
+
+    some = next(g for g in a[order] if len(after[g[:-1]]) > 1 and None not in g)[:-1]
+    assert math.isclose(sum(p(some, w) for w in count) + p(some, "unseen"), 1)
+    for i, t, *_ in rows:
+        s = of_text(t)
+        assert got[i].n_known == sum(count[w] > 0 for w in s[1:]) and got[i].train_tokens == sum(count.values())
+        assert math.isclose(got[i].score, sum(math.log10(p(tuple(s[max(0, k - order + 1) : k]), s[k])) for k in range(1, len(s))), rel_tol=1e-9)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
