@@ -9,6 +9,8 @@ and ASCII punctuation. With c(u) the library's count for a unit and P[j] the cou
 Each worker gives a distinct unit to the library once (units are told apart by 64-bit hashes), so counts are
 the library's and most text is never encoded again. Other tokenizers (with normalizers, word ends or
 sentencepiece models) take each whole text as one unit, and so does a text that holds a special string.
+Inside a unit the library counts each of its prefixes, so the cost of a prefix table grows with the square of
+the longest units; total counts need none of it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from handspan.llm.text import blocks, slice_hashes
 MEMORY_UNITS = 1_500_000
 PLAIN_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 BLOCK_BYTES = 1 << 20
+#: Prefixes of units of up to this size are remembered as units are; longer ones are counted and their ids let go.
+SHORT_PREFIX = 64
+ENCODED_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -114,6 +119,22 @@ class Units:
             self.keys, self.slots = keys_all[order], np.concatenate([self.slots, slot[new]])[order]
         return slot[code]
 
+    def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The token count of each data[start:end], a unit or a prefix of one."""
+        out = np.empty(len(start), np.int64)
+        short = end - start <= SHORT_PREFIX
+        slot = self.look_up(data, start[short], end[short])
+        out[short] = self.n[slot]
+        long = np.flatnonzero(~short)
+        _, at, code = np.unique(slice_hashes(data, start[long], end[long]), return_index=True, return_inverse=True)
+        a, z = start[long[at]], end[long[at]]
+        n, run = np.empty(len(at), np.int64), np.cumsum(z - a) // ENCODED_BYTES
+        for k in np.unique(run):
+            i = np.flatnonzero(run == k)
+            n[i] = [len(ids) for ids in self.encode([data[x:y].tobytes().decode() for x, y in zip(a[i].tolist(), z[i].tolist(), strict=True)])]
+        out[long] = n[code]
+        return out
+
     def _encode_new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
         """Has units encoded and keeps their ids; gives the order in which they were kept.
 
@@ -198,8 +219,23 @@ def prefix_counts(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.
     return end - offsets[row], total[1:] - total[first[row]], first
 
 
+def character_counts(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(count, first) of a block of texts: the exact token count of its text up to the end of each character, and where
+    each row's characters begin (one entry more than there are rows)."""
+    u = units(path)
+    start, stop = u.borders(data, offsets)
+    begins = (data & 0xC0) != 0x80
+    end = np.append(np.flatnonzero(begins)[1:], len(data)) if len(data) else np.empty(0, np.int64)
+    unit = np.searchsorted(start, end, "left") - 1  # of the byte before each end
+    own = u.counts(data, start[unit], end)
+    closes = end == stop[unit]
+    total = np.concatenate([[0], np.cumsum(own[closes])])
+    row = np.searchsorted(offsets, end, "left") - 1
+    return total[unit] - total[np.searchsorted(start, offsets[row])] + own, np.concatenate([[0], np.cumsum(begins)])[offsets]
+
+
 def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, ends, counts): the character offset of each unit's end, and the token count of the prefix that ends there.
+    """Rows (key, ends, counts): the offset of each character's end, and the token count of the prefix that ends there.
 
     With `count_at` and `cut_at` these answer budget and truncation questions without encoding a
     text again. Null or empty text: empty arrays. Repeated keys give repeated rows.
@@ -210,11 +246,10 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         for b in batches:
             ends, counts = [], []
             for _, _, data, offsets in blocks(b, "_text", BLOCK_BYTES):
-                end, count, first = prefix_counts(data, offsets, tokenizer)
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                count, first = character_counts(data, offsets, tokenizer)
                 for r in range(len(offsets) - 1):
                     a, z = first[r], first[r + 1]
-                    ends.append(chars[offsets[r] + end[a:z]] - chars[offsets[r]])
+                    ends.append(np.arange(1, z - a + 1))
                     counts.append(count[a:z])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[key, "ends", "counts"])
 
@@ -222,13 +257,13 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
 
 
 def count_at(end: str = "at", ends: str = "ends", counts: str = "counts"):
-    """Column: tokens of the longest stored prefix of at most `end` characters (0 before the first unit's end)."""
+    """Column: tokens of the first `end` characters, or of the whole text where it is shorter (0 for none)."""
     fit = F.size(F.filter(ends, lambda e: e <= F.col(end)))
     return F.when(fit > 0, F.element_at(counts, fit)).otherwise(F.lit(0).cast("long"))
 
 
 def cut_at(budget: int, ends: str = "ends", counts: str = "counts"):
-    """Column: the character offset at which to cut a text so that it keeps whole units and at most `budget` tokens."""
+    """Column: the largest character offset at which a text can be cut so that what is left has at most `budget` tokens."""
     return F.coalesce(F.array_max(F.transform(F.filter(F.arrays_zip(F.col(ends).alias("e"), F.col(counts).alias("c")), lambda z: z["c"] <= budget), lambda z: z["e"])), F.lit(0).cast("long"))
 
 

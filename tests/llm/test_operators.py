@@ -172,6 +172,30 @@ def test_every_stored_prefix_is_exact(docs, rows):
         assert r.all == (r.counts[-1] if r.counts else 0)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_prefixes_at_every_character(spark, name):
+    path = public_tokenizers.path(name)
+    if name.endswith("model"):
+        import sentencepiece
+
+        ids_of = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    else:
+        t = Tokenizer.from_file(path)
+        ids_of = lambda x: t.encode(x, add_special_tokens=False).ids
+    rng = random.Random(8)
+    bits = ["a", "don't", "  ", " \n", "\t", " ", "\u3000", "é", "日本語", "1", "23", "...", "'s", "<|endoftext|>", "<|", "word", "***", " è", "\u00a0", "\r\n", "tokenizer", "a" * 70, "½", "😀"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(60)] + ["日本語の文章には空白がない" * 4, "supercalifragilistic", "", None]
+    table = token_counts.prefix_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    want = {k: [len(ids_of((x or "")[:i])) for i in range(len(x or "") + 1)] for k, x in enumerate(texts)}
+    every = table.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("ends")))).withColumn("n", token_counts.count_at())
+    got = {(r.doc_id, r["at"]): r.n for r in every.select("doc_id", "at", "n").collect()}
+    assert got == {(k, i): n for k, w in want.items() for i, n in enumerate(w)}
+    budgets = (0, 1, 2, 3, 5, 8, 13, 40, 10**6)
+    for r in table.select("doc_id", *[token_counts.cut_at(b).alias(f"b{b}") for b in budgets]).collect():
+        for b in budgets:
+            assert r[f"b{b}"] == max((i for i, n in enumerate(want[r.doc_id]) if n <= b), default=0)
+
+
 def test_token_memory_is_bounded(monkeypatch):
     u = token_counts.Units(BPE, limit=50)
     texts = [f"word{i} other{i % 7} text" for i in range(200)]
