@@ -765,6 +765,13 @@ def combine_segments(spark, d):
     return corpus.combine_segments(p, 1)
 
 
+@query("combine_segments_best", "score_id:i rank:i fingering:s cost:d")
+def combine_segments_best(spark, d):
+    """The four cheapest whole sequences of one suggestion for each phrase: its digits, each at its shortest duration."""
+    p = sequence.with_segments(bound_notes(spark, d), level=".").groupBy("score_id", "segment_idx", F.col("digit").cast("string").alias("fingering")).agg(F.min("dur_ms").alias("cost")).withColumn("rank", F.lit(1))
+    return corpus.combine_segments(p, 4)
+
+
 # --- ranked evaluation ----------------------------------------------------------------------------------------------
 
 _LONG = "(least(digit, tip) IN (2, 3) AND abs(digit - tip) = 1)"
@@ -993,14 +1000,15 @@ def edge_features(spark, d):
     return features.edge_features(bound_notes(spark, d))
 
 
-@query("tag_scores", "score_id:i notes:i rate_known:b")
+@query("tag_scores", "score_id:i notes:i matches:i rate:d")
 def tag_scores(spark, d):
     """Match rates by score of a tagger trained on the other scores."""
     n = features.group_split(features.features(bound_notes(spark, d), 3), 0.3)
     columns = ["chord_left", "x_m1", "x_p1", "black", "velocity", "window_nps"]
     model = features.train_tagger(n.where(~F.col("is_test")), columns)
     out = features.tag(model, n.where("is_test"))
-    return out.groupBy("score_id").agg(F.count("*").alias("notes"), F.avg((F.col("predicted") == F.col("digit")).cast("int")).between(0, 1).alias("rate_known"))
+    same = (F.col("predicted") == F.col("digit")).cast("int")
+    return out.groupBy("score_id").agg(F.count("*").alias("notes"), F.sum(same).alias("matches"), F.avg(same).alias("rate"))
 
 
 @query("viterbi_decode", "score_id:i segment_idx:i digits:s score:d")

@@ -58,3 +58,36 @@ def test_evaluate_model_takes_lone_notes(spark, events):
                 assert (r.hmg, r.tri_clvrst, r.clvrst) == want
                 lone.add(want)
     assert len(lone) == 3
+
+
+def test_best_combined_segments(spark, events):
+    own = {}
+    for (score, segment), notes in phrases(spark, events).items():
+        cheapest = own.setdefault(score, {}).setdefault(segment, {})
+        for n in notes:
+            cheapest[str(n.digit)] = min(cheapest.get(str(n.digit), n.dur_ms), n.dur_ms)
+    want = []
+    for score, segments in own.items():
+        every = sorted((float(sum(c for _, c in p)), "".join(f for f, _ in p)) for p in itertools.product(*[segments[s].items() for s in sorted(segments)]))
+        want += [(score, r, f, c) for r, (c, f) in enumerate(every[:4], 1)]
+    assert len(want) == 8
+    assert sorted(map(tuple, QUERIES["combine_segments_best"](spark, events).collect())) == sorted(want)
+
+
+def test_tag_scores_gives_match_rates(spark, sf_dir, monkeypatch):
+    """Against rates counted from the notes that the tagger tagged."""
+    from handspan.operators import features
+
+    tagged, tag = [], features.tag
+
+    def keep(model, rows):
+        tagged.append(tag(model, rows))
+        return tagged[-1]
+
+    monkeypatch.setattr(features, "tag", keep)
+    got = {r.score_id: (r.notes, r.matches, r.rate) for r in QUERIES["tag_scores"](spark, sf_dir).collect()}
+    own = {}
+    for r in tagged[0].select("score_id", "predicted", "digit").collect():
+        own.setdefault(r.score_id, []).append(r.predicted == r.digit)
+    assert got == {s: (len(x), sum(x), round(sum(x) / len(x), 6)) for s, x in own.items()}
+    assert 0 < sum(m for _, m, _ in got.values()) < sum(n for n, _, _ in got.values())
