@@ -303,14 +303,27 @@ def viterbi_decode(emissions: DataFrame, transitions: DataFrame, *, label: str =
     return k_best_paths(layers(costed, keys=keys), 1, keys=keys).select(*keys, "digits", (-F.col("cost")).alias("score"))
 
 
-def recall_all(suggest, gold: DataFrame, *, step: int = 25, most: int = 200, keys=KEY) -> DataFrame:
-    """Deepens k until all gold is suggested, no more suggestions come, or `most` is reached; suggest(k) -> (keys, rank, fingering, cost)."""
+def recall_all(suggest, gold: DataFrame, *, step: int = 25, keys=KEY) -> DataFrame:
+    """Doubles k until all gold of a segment is suggested or no more suggestions come for it.
+
+    suggest(k, only) -> (keys, rank, fingering, cost) of the segments in `only` (keys), or of all where it is None; only
+    those that still miss gold are deepened. Gold that can't be played makes a segment go through all its fingerings.
+    """
     from handspan.operators.corpus import gold_missing
+    from handspan.plans.lineage import cut_lineage
 
-    k, before = step, -1
+    k, only, before, done = step, None, None, None
     while True:
-        got = suggest(k)
-        n = got.count()
-        if k >= most or n == before or gold_missing(gold, got, keys=keys).isEmpty():
-            return got
-        before, k = n, k + step
+        got = cut_lineage(suggest(k, only))
+        n = got.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if only is not None:
+            gold = gold.join(only, list(keys), "left_semi")
+        more = gold_missing(gold, got, keys=keys).select(*keys).distinct().join(n, list(keys))
+        if before is not None:
+            more = more.join(before, list(keys)).where("_n > _before").drop("_before")
+        more = cut_lineage(more)
+        ended = got.join(more, list(keys), "left_anti").select(*got.columns)
+        done = ended if done is None else done.unionByName(ended)
+        if more.isEmpty():
+            return done
+        k, only, before = k * 2, more.select(*keys), more.withColumnRenamed("_n", "_before")

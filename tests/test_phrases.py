@@ -91,3 +91,28 @@ def test_tag_scores_gives_match_rates(spark, sf_dir, monkeypatch):
         own.setdefault(r.score_id, []).append(r.predicted == r.digit)
     assert got == {s: (len(x), sum(x), round(sum(x) / len(x), 6)) for s, x in own.items()}
     assert 0 < sum(m for _, m, _ in got.values()) < sum(n for n, _, _ in got.values())
+
+
+def test_recall_reaches_gold_past_rank_200(spark):
+    from pyspark.sql import functions as F
+
+    from handspan.operators import search
+
+    midi = {1: [69, 60, 69, 76], 2: [69, 60, 69, 76], 3: [60, 64, 64], 4: [60, 62]}
+    n = spark.createDataFrame([(s, i, m, ">") for s, own in midi.items() for i, m in enumerate(own)], "score_id long, note_idx int, midi int, hand string")
+    every = {s: [r.digits for r in search.advise(n.where(F.col("score_id") == s), k=1000, mode="none").orderBy("rank").collect()] for s in midi}
+    assert len(every[1]) == 320 and "123" not in every[3]
+    gold = spark.createDataFrame([(1, every[1][249]), (1, every[1][0]), (2, every[2][3]), (3, "123"), (4, every[4][-1])], "score_id long, fingering string")
+    asked = []
+
+    def suggest(k, only):
+        own = n if only is None else n.join(only, ["score_id"], "left_semi")
+        asked.append((k, sorted(r.score_id for r in own.select("score_id").distinct().collect())))
+        return search.advise(own, k=k, mode="none").withColumnRenamed("digits", "fingering")
+
+    got = {}
+    for r in search.recall_all(suggest, gold).orderBy("rank").collect():
+        got.setdefault(r.score_id, []).append(r.fingering)
+    assert got[1] == every[1][:250] + every[1][250 : asked[-1][0]] and every[1][249] in got[1]
+    assert got[2] == every[2][:25] and got[3] == every[3] and got[4] == every[4]
+    assert asked == [(25, [1, 2, 3, 4]), (50, [1, 3]), (100, [1]), (200, [1]), (400, [1])]
