@@ -28,6 +28,9 @@ CURVES, DIMENSIONS, BITS = 4, 8, 7
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 SAMPLE_QUERIES = 96
+#: More than a product of unit vectors is off by, and how many exact cosines are computed at once.
+ROUNDING = 1e-9
+PAIRS = 1 << 16
 RECALL = 0.97
 
 
@@ -87,15 +90,19 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
-def _best(q_unit: np.ndarray, rows: np.ndarray, unit: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k nearest rows of each query."""
+def _best(q_unit: np.ndarray, rows: np.ndarray, unit: np.ndarray, q: np.ndarray, k: int, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k nearest rows of each query; of equal scores those of the smaller entries."""
     if not len(q) or not len(rows):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     near = q_unit @ unit.T
     m = min(k, len(rows))
-    top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(rows) else np.broadcast_to(np.arange(len(rows)), near.shape)
-    i, j = np.repeat(np.arange(len(q)), m), top.reshape(-1)
-    return i, j, _cosines(q[i], rows[j])
+    least = np.partition(near, len(rows) - m, axis=1)[:, [len(rows) - m]]
+    i, j = np.nonzero(near >= least - ROUNDING)  # all that may tie with the m-th
+    score = np.concatenate([_cosines(q[i[a : a + PAIRS]], rows[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)])
+    order = np.lexsort((entry[j], -score, i))
+    place = np.arange(len(order)) - np.searchsorted(i, i)  # i is sorted before and after
+    order = order[place < m]
+    return i[order], j[order], score[order]
 
 
 def distinct_vectors(vectors: DataFrame, k: int, queries, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -152,7 +159,7 @@ def _window(ordered: DataFrame, entries: DataFrame, n: int, k: int) -> int:
             if not b.num_rows:
                 continue
             v, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-            i, j, s = _best(q_unit, v, _unit(v), q, k + 1)
+            i, j, s = _best(q_unit, v, _unit(v), q, k + 1, ids)
             apart = ids[j] != own[i]
             yield pa.RecordBatch.from_arrays([pa.array(own[i[apart]]), pa.array(ids[j[apart]]), pa.array(s[apart])], names=["query", "entry", "score"])
 
@@ -190,7 +197,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
         out = {"query": [], "entry": [], "ids": [], "score": []}
         if q.num_rows and r.num_rows:
             qv, rv = _matrix(q.column("vector")), _matrix(r.column("vector"))
-            i, j, s = _best(_unit(qv), rv, _unit(rv), qv, k + 1)
+            i, j, s = _best(_unit(qv), rv, _unit(rv), qv, k + 1, r.column("entry").to_numpy())
             ids = r.column("ids").combine_chunks()
             return pa.table({"query": q.column("entry").combine_chunks().take(pa.array(i)), "entry": r.column("entry").combine_chunks().take(pa.array(j)), "ids": ids.take(pa.array(j)), "score": pa.array(s)})
         return pa.table({"query": pa.array(out["query"], pa.int64()), "entry": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})

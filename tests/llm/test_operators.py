@@ -328,6 +328,16 @@ def test_neighbours(spark, kind, monkeypatch):
     assert hit / total >= 0.9
 
 
+def test_ties_of_parallel_vectors_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal(16)
+    rows = [(i, (v * 2.0 ** int(e)).tolist()) for i, e in enumerate(rng.permutation(30) - 15)] + [(100 + i, rng.standard_normal(16).tolist()) for i in range(20)]
+    got = collections.defaultdict(list)
+    for r in hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 30, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i in range(6) if i != q][:5] for q in range(30)}
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = hilbert_ann.hilbert_keys(cells, 3)
