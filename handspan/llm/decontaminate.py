@@ -3,7 +3,9 @@
 A window is `n` consecutive words of an item, or all words of a shorter item. Documents are scanned
 once; every hash hit is verified against the window's words. The set is broadcast only in pieces of a
 checked size: a benchmark with more words than `set_words` is cut into several sets by item, and the
-documents are scanned with one after the other, so memory stays bounded and no item is left out.
+documents are scanned with one after the other. After each set but the last the documents and their hits
+are written to the shared folder and the broadcast is let go, so no more than two sets are on the driver and
+one on a worker, and no item is left out. Each set still passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from handspan.llm.packed import frees_memory
+from handspan.llm.shared import stored
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, _power, blocks, mix, raw, slice_hashes, words
 
 #: Words of benchmark items in one broadcast set (about 100 bytes each).
@@ -41,16 +44,15 @@ class GramSet:
         start, end, row = words(low, offsets, NOT_ALNUM)
         h = slice_hashes(low, start, end)
         first = np.searchsorted(row, np.arange(len(items) + 1))
-        self.known: dict[int, dict[int, tuple[bytes, set]]] = {}
+        self.low, self.start, self.end = low, start, end
+        self.known: dict[int, dict[int, tuple[int, set]]] = {}  # by length and hash: the first word, and the items
         for i, (item, _) in enumerate(items):
             a, b = first[i], first[i + 1]
             size = min(n, b - a)
             if not size:
                 continue
             for k, x in enumerate(window_hashes(h[a:b], size).tolist()):
-                at = a + k
-                said = b" ".join(low[start[j] : end[j]].tobytes() for j in range(at, at + size))
-                self.known.setdefault(int(size), {}).setdefault(x, (said, set()))[1].add(str(item))
+                self.known.setdefault(int(size), {}).setdefault(x, (int(a + k), set()))[1].add(str(item))
         self.sorted = {size: np.array(sorted(d), np.uint64) for size, d in self.known.items()}
         self.filter = {}
         for size, keys in self.sorted.items():
@@ -70,8 +72,8 @@ class GramSet:
             maybe = maybe[keys[np.minimum(at, len(keys) - 1)] == x[maybe]]
             known = self.known[size]
             for i in maybe.tolist():
-                said, items = known[int(x[i])]
-                if b" ".join(low[start[j] : end[j]].tobytes() for j in range(i, i + size)) == said:
+                at, items = known[int(x[i])]
+                if all(low[start[i + j] : end[i + j]].tobytes() == self.low[self.start[at + j] : self.end[at + j]].tobytes() for j in range(size)):
                     out.append((i, size, items))
         return out
 
@@ -101,12 +103,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     carried = T.StructType([T.StructField("_text", T.StringType()), *kept, *T._parse_datatype_string("n_words long, ranges array<struct<start:long,end:long>>, items array<string>").fields])
     spark = docs.sparkSession
     out = docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept])
-    none = GramSet([], n)
-    sets = [spark.sparkContext.broadcast(s) for s in _sets(benchmark, n, item, item_text, set_words)] or [spark.sparkContext.broadcast(none)]
-
-    def scan(which, last):
-        shared = sets[which]
+    sets = _sets(benchmark, n, item, item_text, set_words)
 
+    def scan(shared, which, last):
         def work(batches):
             grams = shared.value
             for b in batches:
@@ -155,10 +154,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
         return work
 
     final = T.StructType(kept + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields)
-    for k in range(len(sets)):
-        last = k == len(sets) - 1
-        out = out.mapInArrow(frees_memory(scan(k, last)), final if last else carried)
-    return out
+    grams, k = next(sets, None) or GramSet([], n), 0
+    while True:
+        following = next(sets, None)
+        last = following is None
+        shared = spark.sparkContext.broadcast(grams)
+        out = out.mapInArrow(frees_memory(scan(shared, k, last)), final if last else carried)
+        if last:
+            return out
+        out = stored(out, "hits")
+        shared.destroy()
+        grams, k = following, k + 1
 
 
 def items_digest(items: str = "items"):

@@ -464,6 +464,26 @@ def test_decontamination(spark, docs, rows, set_words):
     assert left == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_decontamination_holds_one_set_at_a_time(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+
+    made, gone = [], []
+    broadcast, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def make(self, value):
+        assert len(made) == len(gone)
+        made.append(broadcast(self, value))
+        return made[-1]
+
+    monkeypatch.setattr(SparkContext, "broadcast", make)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (gone.append(self), destroy(self, *a)))
+    bench = spark.createDataFrame([(i, f"item{i} says some words of its own") for i in range(6)], "item_id long, text string")
+    d = spark.createDataFrame([(0, "x item1 says some words of its own and item4 says some words of its own")], "doc_id long, text string")
+    r = decontaminate.contamination(d, bench, set_words=40).first()
+    assert len(made) > 1 and len(gone) == len(made) - 1 and (r.n_hit, r["items"]) == (14, ["1", "4"])
+
+
 def test_decontamination_against_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("n_hit > 0 or contaminated").count() == 0
