@@ -2,7 +2,7 @@
 
 A task pre-aggregates what it has read, sorts it by part and gives one row for each part. Spark shuffles
 these rows by part number; the receiving task works on whole arrays. Parts are the leading bits of a hash,
-so they are even, and their number follows spark.sql.shuffle.partitions.
+so they are even, and their number follows spark.sql.shuffle.partitions and the size of the texts.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ import struct
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.text import U64
 
+#: Bytes of text for a part: on average no fewer (so that rows aren't many and tiny) and no more (a task holds a part's arrays).
+LEAST_BYTES, MOST_BYTES = 1 << 20, 32 << 20
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as byte planes under zstandard; a sorted unsigned 64-bit array is kept as its differences."""
@@ -75,8 +78,11 @@ def frees_memory(work):
     return wrapped
 
 
-def parts_of(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts_of(texts: DataFrame, column: str = "_text") -> int:
+    """As many parts as the session has shuffle partitions; fewer where a part would get less than LEAST_BYTES of text, more where it would get more than MOST_BYTES."""
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    session = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // MOST_BYTES), min(session, -(-size // LEAST_BYTES)))
 
 
 def dealt(df: DataFrame, parts: int, column: str = "part") -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -34,12 +34,45 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes a job's shuffle files when the job has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there: lineage ends and a lost executor costs nothing."""
+    """The rows of df, written once to the shared folder and read from there: lineage ends and a lost executor costs nothing.
+
+    What the job has shuffled is not kept: nothing reads it again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_in = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` has given; nothing may read them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_in)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def carried(docs: DataFrame, text: str, new: dict[str, str], keep: list[str] | None) -> tuple[DataFrame, T.StructType]:
+    """(rows for a task: the text as _text, then the columns to keep; the schema that the task returns).
+
+    Columns named like a new one are replaced; those to keep have names of their own on the way, so none can clash.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
+    col = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    rows = docs.select(col(text).cast("string").alias("_text"), *[col(f.name).alias(f"c_{i}") for i, f in enumerate(kept)])
+    return rows, T.StructType([*kept, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields])
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:

@@ -350,7 +350,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
         raise ValueError("strings of 48 to 56 bytes are supported")
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # both sides of the pipe to a worker hold a batch
-    parts = parts_of(spark)
+    parts = parts_of(docs.select(docs[text].cast("string").alias("_text")))
     finer = 2 * parts  # a part's pieces are sorted in memory
     half = (length - GRAM) // 2
     named = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("tie"), docs[text].cast("string").alias("_text"))
