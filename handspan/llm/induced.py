@@ -8,16 +8,23 @@ descending suffixes, one descending sweep the ascending ones. Tuples (suffix, co
 before it in its bucket) wait in a priority queue by first symbol, first in first out within it; the queue
 keeps its tail on disk beyond a memory limit. A tuple's common prefix is one more than the least common
 prefix among the suffixes swept since the last tuple of its bucket, so no pair of suffixes is compared.
+
+Beyond the limit the symbols are a mapped file too, and so are the suffixes that the first sweep has placed;
+the second sweep's result is kept in such a queue and given bucket by bucket. What stays in memory is a byte
+per symbol (which suffixes ascend) and the sort of the local minima, one key word at a time.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Bytes of queued tuples that one sweep keeps in memory.
-QUEUE_BYTES = 64 << 20
+QUEUE_BYTES = 8 << 20
+#: Symbols that are looked at together.
+RUN = 1 << 20
 
 
 class BucketQueue:
@@ -61,6 +68,29 @@ class BucketQueue:
             self.file.close()
 
 
+def mapped(n: int, dtype: type, memory: int) -> np.ndarray:
+    """An array of zeros: in memory if it fits the limit, else in a file of this task."""
+    if n * np.dtype(dtype).itemsize <= memory:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile() as f:
+        f.truncate(n * np.dtype(dtype).itemsize)
+        return np.memmap(f, dtype, "r+", shape=(n,))
+
+
+def _rising(t: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next one, by the first symbol that differs; the last one counts as rising."""
+    out = np.ones(len(t), bool)
+    for z in range(len(t) - 1, 0, -RUN):
+        a = max(z - RUN, 0)
+        step = np.sign(t[a + 1 : z + 1].astype(np.int32) - t[a:z])
+        turn = np.flatnonzero(step)
+        following = np.searchsorted(turn, np.arange(z - a))
+        inside = following < len(turn)
+        out[a:z][inside] = step[turn[following[inside]]] > 0
+        out[a:z][~inside] = out[z]
+    return out
+
+
 def _range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo:hi]) of each range; ranges aren't empty."""
     table = [values]
@@ -138,70 +168,73 @@ def _ranked(names: np.ndarray, reach: int, span: int, depth: int) -> np.ndarray:
     return _ranked(pairs.astype(np.int64), reach * 2, span * 2, depth)
 
 
-def sorted_suffixes(symbols: np.ndarray, depth: int = 50, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, common): all suffixes but the last in order of at least their first `depth` symbols, and each one's common prefix with the one before it, up to depth.
+def _key_word(t: np.ndarray, rising: np.ndarray, minima: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """Symbols k to k + 3 of each piece as one number; of equal symbols a rising one is larger."""
+    word = np.zeros(len(minima), np.uint64)
+    for j in range(k, k + 4):
+        at = np.minimum(minima + j, len(t) - 1)
+        word = (word << np.uint64(16)) | np.where(j < length, t[at].astype(np.uint64) * np.uint64(2) + rising[at] + np.uint64(1), np.uint64(0))
+    return word
+
+
+def _named(t: np.ndarray, rising: np.ndarray, minima: np.ndarray, depth: int) -> np.ndarray:
+    """The ranks of the pieces between local minima, equal ones alike, by one key word after the other from the last."""
+    following = np.append(minima[1:], len(t) - 1)
+    length = np.minimum(following - minima + 1, depth + 2)
+    words = range(0, int(length.max(initial=1)), 4)
+    order = np.arange(len(minima))
+    for k in reversed(words):
+        order = order[np.argsort(_key_word(t, rising, minima[order], length[order], k), kind="stable")]
+    new = np.zeros(len(order), bool)
+    for k in words:
+        word = _key_word(t, rising, minima[order], length[order], k)
+        new[1:] |= word[1:] != word[:-1]
+    names = np.empty(len(order), np.int64)
+    names[order] = np.cumsum(new)
+    return names
+
+
+def sorted_buckets(symbols: np.ndarray, depth: int = 50, memory: int = QUEUE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(suffixes, common) of each first symbol in ascending order: all suffixes but the last in order of at least their first
+    `depth` symbols, and each one's common prefix with the one before it in its bucket, up to depth.
 
     symbols: small positive integers, and a 0 at the end and nowhere else; strings are parted by 1.
     """
     t = symbols
     n = len(t)
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.uint8)
+        return
     buckets = int(t.max()) + 1
-    step = np.sign(t[1:].astype(np.int32) - t[:-1])
-    turn = np.flatnonzero(step)
-    following = np.searchsorted(turn, np.arange(n - 1))
-    rising = np.zeros(n, bool)
-    if len(turn):
-        ok = following < len(turn)
-        rising[:-1][ok] = step[turn[following[ok]]] > 0
-    rising[-1] = True
+    rising = _rising(t)
     minima = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-    following = np.append(minima[1:], n - 1)
-    length = np.minimum(following - minima + 1, depth + 2)
-    keys = []
-    for k in range(0, int(length.max(initial=1)), 4):
-        word = np.zeros(len(minima), np.uint64)
-        for j in range(k, k + 4):
-            inside = j < length
-            at = np.minimum(minima + j, n - 1)  # of equal symbols a rising one is larger
-            word = (word << np.uint64(16)) | np.where(inside, t[at].astype(np.uint64) * np.uint64(2) + rising[at] + np.uint64(1), np.uint64(0))
-        keys.append(word)
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), np.int64)
-    if len(order):
-        new[1:] = np.any([w[order][1:] != w[order][:-1] for w in keys], axis=0)
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
-    seeds = minima[np.argsort(_ranked(names, 1, 2, depth + 2), kind="stable")]
+    seeds = minima[np.argsort(_ranked(_named(t, rising, minima, depth), 1, 2, depth + 2), kind="stable")]
     common = np.zeros(len(seeds), np.uint8)
     if len(seeds) > 1:
         common[1:] = _common(t, seeds[:-1], seeds[1:], depth)
     cut = np.searchsorted(t[seeds], np.arange(buckets + 1))
 
     one = lambda a, b: _common(t, np.array([a]), np.array([b]), depth)
-    falling: list[tuple[np.ndarray, np.ndarray]] = []
+    falling, done = BucketQueue(buckets, memory), BucketQueue(buckets, memory)
     up = _Sweep(t, ~rising, depth, memory, buckets)
     for c in range(buckets):
-        got = []
+        own_last = None
         up.least[:] = 0
         p, v = up.queue.pop(c)
         while len(p):
-            got.append((p, v))
+            if own_last is None:
+                v = v.copy()
+                v[0] = 0
+            falling.push(c, p, v)
+            own_last = p[-1]
             up.take(p, v)
             p, v = up.queue.pop(c)
-        own = (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.empty(0, np.int64), np.empty(0, np.uint8))
-        if len(own[0]):
-            own[1][0] = 0
-        falling.append(own)
         s, v = seeds[cut[c] : cut[c + 1]], common[cut[c] : cut[c + 1]].copy()
         if len(s):
-            v[:1] = one(own[0][-1], s[0]) if len(own[0]) else 0
+            v[:1] = one(own_last, s[0]) if own_last is not None else 0
             up.take(s, v)
     up.queue.close()
 
     down = _Sweep(t, rising, depth, memory, buckets)
-    out_p, out_v = [], []
     for c in range(buckets - 1, -1, -1):
         got = []
         down.least[:] = 0
@@ -215,16 +248,25 @@ def sorted_suffixes(symbols: np.ndarray, depth: int = 50, memory: int = QUEUE_BY
             p, v = down.queue.pop(c)
         sp = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.int64)
         sv = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.uint8)
-        lp, lv = falling[c]
+        lp, lv = falling.pop(c)
         joint = one(lp[-1], sp[-1])[0] if len(lp) and len(sp) else np.uint8(0)
         if len(lp):
             back = np.empty(len(lp), np.uint8)
             back[0], back[1:] = joint, lv[1:][::-1]
             down.take(lp[::-1], back)
-        asc_p, asc_v = sp[::-1], np.empty(len(sp), np.uint8)
+            done.push(c, lp, lv)
         if len(sp):
-            asc_v[0], asc_v[1:] = joint, sv[1:][::-1]
-        out_p.append(np.concatenate([lp, asc_p]))
-        out_v.append(np.concatenate([lv, asc_v]))
+            done.push(c, np.ascontiguousarray(sp[::-1]), np.append(joint, sv[1:][::-1]).astype(np.uint8))
     down.queue.close()
-    return np.concatenate(out_p[::-1]), np.concatenate(out_v[::-1])
+    falling.close()
+    for c in range(buckets):
+        p, v = done.pop(c)
+        if len(p):
+            yield p, v
+    done.close()
+
+
+def sorted_suffixes(symbols: np.ndarray, depth: int = 50, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """What sorted_buckets gives, in two arrays."""
+    got = [(np.empty(0, np.int64), np.empty(0, np.uint8)), *sorted_buckets(symbols, depth, memory)]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])

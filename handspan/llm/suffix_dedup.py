@@ -29,8 +29,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from handspan.llm.induced import QUEUE_BYTES, sorted_suffixes
+from handspan.llm.induced import QUEUE_BYTES, mapped, sorted_buckets
 from handspan.llm.packed import by_part, dealt, frees_memory, pack, part_of, parts_of, unpack
+from handspan.llm.shared import stored
 from handspan.llm.text import _BASE, _BYTE, U64, blocks, mix
 
 GRAM = 16
@@ -319,25 +320,26 @@ def _send_strings(parts: int, length: int, half: int, found: list[tuple[bytes, i
 def sort_shard(texts: list[bytes], docs: np.ndarray, length: int, memory: int = QUEUE_BYTES) -> list[np.ndarray]:
     """For each string the windows (by place) that also stand in a string of a smaller document, by sorted suffixes."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    symbols = np.ones(int(sizes.sum()) + len(texts) + 1, np.uint16)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    inside = np.ones(len(symbols), bool)
-    inside[starts + sizes] = False
-    inside[-1] = False
-    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 2
-    symbols[-1] = 0
-    suffix, common = sorted_suffixes(symbols, length, memory)
-    owner = np.searchsorted(starts, suffix, "right") - 1
-    place = suffix - starts[owner]
-    window = place + length <= sizes[owner]
-    group = np.cumsum(common < length)
-    suffix, owner, place, group = owner[window], owner[window], place[window], group[window]
-    if not len(group):
-        return [np.empty(0, np.int64) for _ in texts]
-    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.minimum.reduceat(docs[owner], at)
-    repeated = docs[owner] > np.repeat(least, np.diff(np.append(at, len(group))))
-    o, p = owner[repeated], place[repeated]
+    symbols = mapped(int(sizes.sum()) + len(texts) + 1, np.uint16, memory)
+    for at, t in zip(starts.tolist(), texts, strict=True):
+        symbols[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        symbols[at : at + len(t)] += 2
+        symbols[at + len(t)] = 1
+    lost = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for suffix, common in sorted_buckets(symbols, length, memory):
+        owner = np.searchsorted(starts, suffix, "right") - 1
+        place = suffix - starts[owner]
+        window = place + length <= sizes[owner]
+        group = np.cumsum(common < length)
+        owner, place, group = owner[window], place[window], group[window]
+        if not len(group):
+            continue
+        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        least = np.minimum.reduceat(docs[owner], at)
+        repeated = docs[owner] > np.repeat(least, np.diff(np.append(at, len(group))))
+        lost.append((owner[repeated], place[repeated]))
+    o, p = map(np.concatenate, zip(*lost))
     order = np.lexsort((p, o))
     o, p = o[order], p[order]
     cut = np.searchsorted(o, np.arange(len(texts) + 1))
@@ -350,10 +352,9 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
         raise ValueError("strings of 48 to 56 bytes are supported")
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # both sides of the pipe to a worker hold a batch
-    parts = parts_of(docs.select(docs[text].cast("string").alias("_text")))
-    finer = 2 * parts  # a part's pieces are sorted in memory
     half = (length - GRAM) // 2
     named = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("tie"), docs[text].cast("string").alias("_text"))
+    parts = parts_of(named)
 
     def cut(batches):
         held: list[dict] = []
@@ -370,8 +371,8 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             start = c["start"][g].astype(np.int64)
             yield from _gone(parts, c["doc"][g], c["tie"][g], start, start + c["windows"][g] + length - 1)
             keep = np.sort(order[own])
-            o, at = by_part(part_of(c["mark"][keep], finer), finer)
-            for p in range(finer):
+            o, at = by_part(part_of(mix(c["mark"][keep] * _K), parts), parts)  # marks are minima, so their own leading bits are small
+            for p in range(parts):
                 i = keep[o[at[p] : at[p + 1]]]
                 if not len(i):
                     continue
@@ -519,9 +520,10 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             yield from _gone(parts, doc[which], tie[which], at, at + length)
 
     texts = _pack_texts(named, parts)
-    cut_up = dealt(named.mapInArrow(frees_memory(cut), SCHEMA), finer)
+    cut_up = dealt(named.mapInArrow(frees_memory(cut), SCHEMA), parts)
     fetched = dealt(cut_up.mapInArrow(frees_memory(classes), SCHEMA).unionAll(texts), parts).sortWithinPartitions("kind").mapInArrow(frees_memory(fetch), SCHEMA)
-    ranges = dealt(fetched, parts).mapInArrow(frees_memory(sort), SCHEMA)
+    # a table, so that what was shuffled for it is gone before the texts are dealt again
+    ranges = stored(dealt(fetched, parts).mapInArrow(frees_memory(sort), SCHEMA), "removed-ranges")
     return dealt(ranges.unionAll(texts), parts).sortWithinPartitions("kind"), parts
 
 
