@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from handspan.llm.packed import frees_memory
-from handspan.llm.shared import stored
+from handspan.llm.shared import carried, dropped, numbered, stored
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, _power, blocks, mix, raw, slice_hashes, words
 
 #: Words of benchmark items in one broadcast set (about 100 bytes each).
@@ -94,15 +94,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     """Adds to each row of docs: n_words, n_hit, items (ids as sorted strings), spans and contaminated.
 
     n_hit counts the words inside any occurrence of a window; spans are the byte ranges (start, end) of
-    maximal runs of such words; contaminated means n_hit > 0 and share * n_hit >= n_words. A null text
-    has no words. Items without words match nothing; repeated items count once by id. `keep` names the
-    columns of docs to return (default: all); columns that clash with the new names are replaced.
+    maximal runs of such words; contaminated means n_hit > 0 and share * n_hit >= n_words. A null or empty text
+    has no words; nulls in other columns stay; repeated rows are judged each; a very long text is scanned whole; an
+    empty table gives no rows, an empty benchmark no hits. Items without words match nothing; repeated items count
+    once by id. `keep` names the columns of docs to return (default: all); columns that clash with the new names
+    are replaced, and any other name may occur.
     """
     new = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:long,end:long>>", "contaminated": "boolean"}
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    carried = T.StructType([T.StructField("_text", T.StringType()), *kept, *T._parse_datatype_string("n_words long, ranges array<struct<start:long,end:long>>, items array<string>").fields])
     spark = docs.sparkSession
-    out = docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept])
+    out, final = carried(docs, text, new, keep)
+    between = T.StructType([*out.schema.fields, *T._parse_datatype_string("n_words long, ranges array<struct<start:long,end:long>>, items array<string>").fields])
+    n_kept = len(out.columns) - 1
     sets = _sets(benchmark, n, item, item_text, set_words)
 
     def scan(shared, which, last):
@@ -143,26 +145,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
                         spans.append([{"start": int(start[begin[r] + a] - offsets[r]), "end": int(end[begin[r] + z - 1] - offsets[r])} for a, z in pairs])
                         hit_words.append(int((pairs[:, 1] - pairs[:, 0]).sum()))
                 pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                mine = [b.column(i) for i in range(1, len(kept) + 1)]
-                names = [f.name for f in kept]
+                mine = [b.column(i) for i in range(1, n_kept + 1)]
                 if last:
                     flags = [x > 0 and share * x >= w for x, w in zip(hit_words, counts, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*mine, pa.array(counts, pa.int64()), pa.array(hit_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pair), pa.array(flags, pa.bool_())], names=names + list(new))
+                    yield pa.RecordBatch.from_arrays([*mine, pa.array(counts, pa.int64()), pa.array(hit_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pair), pa.array(flags, pa.bool_())], names=final.names)
                 else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), *mine, pa.array(counts, pa.int64()), pa.array(ranges, pair), pa.array(items, pa.list_(pa.string()))], names=carried.names)
+                    yield pa.RecordBatch.from_arrays([b.column(0), *mine, pa.array(counts, pa.int64()), pa.array(ranges, pair), pa.array(items, pa.list_(pa.string()))], names=between.names)
 
         return work
 
-    final = T.StructType(kept + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields)
-    grams, k = next(sets, None) or GramSet([], n), 0
+    grams, k, held = next(sets, None) or GramSet([], n), 0, None
     while True:
         following = next(sets, None)
         last = following is None
         shared = spark.sparkContext.broadcast(grams)
-        out = out.mapInArrow(frees_memory(scan(shared, k, last)), final if last else carried)
+        out = out.mapInArrow(frees_memory(scan(shared, k, last)), final if last else between)
         if last:
             return out
-        out = stored(out, "hits")
+        if held is not None:
+            old, held = held, stored(out, "hits")
+            dropped(old)
+        else:
+            held = stored(out, "hits")
+        out = held
         shared.destroy()
         grams, k = following, k + 1
 
@@ -175,7 +180,7 @@ def items_digest(items: str = "items"):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated rows, columns as they were."""
     names = docs.columns
-    flagged = contamination(docs.withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(names)}), benchmark, text=f"c_{names.index(options.pop('text', 'text'))}", **options)
+    flagged = contamination(numbered(docs), benchmark, text=f"c_{names.index(options.pop('text', 'text'))}", **options)
     return flagged.where(~F.col("contaminated")).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)])
 
 
@@ -183,7 +188,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **optio
     """docs with the hit spans of every text cut out (bytes outside the spans stay as they are)."""
     names = docs.columns
     at = f"c_{names.index(text)}"
-    flagged = contamination(docs.withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(names)}), benchmark, text=at, **options)
+    flagged = contamination(numbered(docs), benchmark, text=at, **options)
     raw_text = F.encode(at, "utf-8")
     ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(at).cast("long")))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))

@@ -66,7 +66,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
+    if not n:
+        return np.empty((0, 0))
+    if len(column.value_lengths().unique()) > 1:
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -178,8 +182,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     """(query_id, rank, vec_id, score): the k nearest found of every row where the Column `queries` holds, by cosine; ties go to the smaller id.
 
     A query is never its own neighbour, but rows of an equal vector are. Vectors that are null, empty or zero, or
-    hold null or non-finite components, take no part; all others must have one length. With fewer candidates all
-    are returned; an empty table or no query gives no rows. Rows that repeat an id count as one.
+    hold null or non-finite components, take no part; all others must have one length (others are an error). With
+    fewer candidates all are returned; an empty table or no query gives no rows. Rows that repeat an id and a vector
+    count as one; of an id's different vectors each may be found, and the largest cosine counts. A null id takes no
+    part. Other columns are not read.
     """
     entries = stored(distinct_vectors(vectors, k, queries, key, vector), "vectors")
     n = entries.count()
@@ -207,9 +213,9 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     found = found.groupBy("query", "entry").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k + 1)
     found = stored(found.select("query", "score", "ids"), "nearest-vectors")
-    asked = vectors.where(queries).select(vectors[key].cast("long").alias("query_id"), vectors[vector].cast("array<double>").alias("vector")).dropDuplicates(["query_id"])
-    of = entries.where("asked").select("entry", "vector")
-    asked = asked.join(of, "vector").select("query_id", F.col("entry").alias("query"))
-    each = asked.join(found, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    asked = vectors.where(queries).select(vectors[key].cast("long").alias("query_id"), vectors[vector].cast("array<double>").alias("own")).withColumn("h", F.xxhash64("own"))
+    of = entries.where("asked").select(F.col("entry").alias("query"), "vector", F.xxhash64("vector").alias("h"))
+    asked = asked.join(of, "h").where(F.col("own") == F.col("vector")).select("query_id", "query").distinct()
+    each = asked.join(found, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

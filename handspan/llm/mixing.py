@@ -17,43 +17,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from handspan.llm.shared import stored
+from handspan.llm.shared import dropped, stored
 from handspan.llm.token_counts import token_counts
 
 #: Sources up to which the source table is held by the driver and broadcast; beyond it it stays a table.
 HELD_SOURCES = 10_000
 BLOCK_DOCS = 1024
-STEPS = 60
+#: Points of a round of the bisection, and its rounds: 16 ** 15 parts of the interval, one job each where sources are many.
+POINTS, ROUNDS = 15, 15
 
 
-def bisect(holds: Callable[[float], bool], low: float, high: float, steps: int = STEPS) -> float:
-    """The largest t in [low, high] for which `holds`, where it holds for all smaller ones (low if for none)."""
-    if holds(high):
+def bisect(holds: Callable[[list[float]], list[bool]], low: float, high: float, rounds: int = ROUNDS, points: int = POINTS) -> float:
+    """The largest t in [low, high] for which `holds`, where it holds for all smaller ones (low if for none).
+
+    Each round asks for several points of the interval at once and goes on between the last that holds and the next.
+    """
+    if holds([high])[0]:
         return high
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if holds(mid) else (low, mid)
+    for _ in range(rounds):
+        at = [low + (high - low) * k / (points + 1) for k in range(1, points + 1)]
+        good = holds(at)
+        k = next((i for i, g in enumerate(good) if not g), points)
+        low, high = (at[k - 1] if k else low), (at[k] if k < points else high)
     return low
 
 
-def _moments(sources: DataFrame, held: bool) -> Callable[[float], tuple[float, float, float]]:
-    """t -> (sum of share**t, entropy in bits of the weights, largest weight / share)."""
+def _moments(sources: DataFrame, held: bool) -> Callable[[list[float]], list[tuple[float, float]]]:
+    """exponents t -> (sum of share**t, entropy in bits of the weights) of each."""
+    entropy = lambda t, z, s: math.log2(z) - t * s / z  # noqa: E731  of weights share**t / z, s the sum of share**t * log2(share)
     if held:
         shares = [r[0] for r in sources.where("share > 0").select("share").collect()]
 
-        def at(t):
-            z = math.fsum(s**t for s in shares)
-            w = [s**t / z for s in shares]
-            return z, -math.fsum(x * math.log2(x) for x in w if x > 0), max(x / s for x, s in zip(w, shares, strict=True))
+        def at(ts):
+            z = [(t, math.fsum(s**t for s in shares), math.fsum(s**t * math.log2(s) for s in shares)) for t in ts]
+            return [(zt, entropy(t, zt, st)) for t, zt, st in z]
 
         return at
     cut = stored(sources.where("share > 0").select("share"), "shares")
 
-    def at(t):
-        z = cut.agg(F.sum(F.pow("share", F.lit(t)))).first()[0]
-        w = F.pow("share", F.lit(t)) / z
-        h, m = cut.agg(F.sum(-w * F.log2(w)), F.max(w / F.col("share"))).first()
-        return z, h, m
+    def at(ts):
+        p = [F.pow("share", F.lit(t)) for t in ts]
+        row = cut.agg(*[F.sum(x).alias(f"z{i}") for i, x in enumerate(p)], *[F.sum(x * F.log2("share")).alias(f"s{i}") for i, x in enumerate(p)]).first()
+        return [(row[i], entropy(t, row[i], row[len(ts) + i])) for i, t in enumerate(ts)]
 
     return at
 
@@ -73,7 +78,7 @@ def mixture(docs: DataFrame, tokenizer: str, entropy: float = 0.95, repeats: flo
     counted = token_counts(docs.select(docs[key].alias("k"), docs[source].alias("s"), docs[text].alias("text")), tokenizer, keep=["k", "s"])
     counted = stored(counted.select(F.col("k").alias("key"), _source(F.col("s")).alias("src"), "n_tokens"), "mixing-tokens")
     sources = counted.groupBy("src").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sources = stored(sources, "mixing-sources")
+    sources = per_source = stored(sources, "mixing-sources")
     total, n = sources.agg(F.sum("n_tokens"), F.count("*")).first()
     total = total or 0
     held = n <= HELD_SOURCES
@@ -81,20 +86,21 @@ def mixture(docs: DataFrame, tokenizer: str, entropy: float = 0.95, repeats: flo
     t, z, size = 1.0, 1.0, float(total)
     if total:
         at = _moments(sources, held)
-        with_tokens = sources.where("share > 0").count()
+        with_tokens, top, bottom = sources.where("share > 0").agg(F.count("*"), F.max("share"), F.min("share")).first()
         goal = entropy * math.log2(with_tokens) if with_tokens > 1 else 0.0
 
-        def least(x):  # the budget at this exponent
-            if budget is not None:
-                return float(budget)
-            z_x, _, _ = at(x)
-            rows = sources.where("share > 0").agg(F.max(F.pow("share", F.lit(1 - x)))).first()[0]
-            return total * rows * z_x
-
-        t = bisect(lambda x: at(x)[1] >= goal, 0.0, 1.0)
-        if at(t)[2] * least(t) / total > repeats:
-            t = 1 - bisect(lambda y: at(1 - y)[2] * least(1 - y) / total <= repeats, 0.0, 1 - t)
-        z, size = at(t)[0], least(t)
+        # powers grow with the share, so the extremes are those of the largest and the smallest share
+        def least(x, z_x):  # the budget at this exponent
+            return float(budget) if budget is not None else total * top ** (1 - x) * z_x
+
+        def repeated(x, z_x):  # the most epochs of a source
+            return bottom ** (x - 1) / z_x * least(x, z_x) / total
+
+        t = bisect(lambda xs: [h >= goal for _, h in at(xs)], 0.0, 1.0)
+        if repeated(t, at([t])[0][0]) > repeats:
+            t = 1 - bisect(lambda ys: [repeated(1 - y, z_y) <= repeats for y, (z_y, _) in zip(ys, at([1 - y for y in ys]), strict=True)], 0.0, 1 - t)
+        z = at([t])[0][0]
+        size = least(t, z)
     weight = F.when(F.col("share") > 0, F.pow("share", F.lit(t)) / z).otherwise(0.0)
     plan = (
         sources.withColumn("weight", weight)
@@ -116,7 +122,9 @@ def mixture(docs: DataFrame, tokenizer: str, entropy: float = 0.95, repeats: flo
     order = Window.partitionBy("src").orderBy("doc_place").rangeBetween(Window.unboundedPreceding, -1)  # one block of each source
     inside = inside.withColumn("done", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) + F.col("before")).where("done < rest")
     cut = inside.groupBy("src").agg(F.max("block_place").alias("cut_block"), F.max("doc_place").alias("cut_doc"))
-    return stored(plan.join(cut, "src", "left").drop("rest"), "mixing-cuts")
+    cuts = stored(plan.join(cut, "src", "left").drop("rest"), "mixing-cuts")
+    dropped(counted, per_source, plan)
+    return cuts
 
 
 def _block(seed: int):
@@ -135,14 +143,18 @@ def mix(docs: DataFrame, plan: DataFrame, seed: int = 7, key: str = "doc_id", so
     """The rows of docs as often as the plan takes them, with mix_epoch, mix_block (its place) and mix_place.
 
     Read in order of (mix_epoch, mix_block, mix_place) a source's rows are its block permutations. Rows
-    of a source that is not in the plan don't appear; repeated rows of docs are taken like any other.
+    of a source that is not in the plan don't appear; repeated rows of docs are taken like any other; a null key
+    is dealt like any other value, a null source is a source; an empty table gives no rows. Columns that clash with
+    the three new names are replaced, and any other name may occur.
     """
     held = plan.count() <= HELD_SOURCES
     own = plan.select("src", F.col("epochs").alias("_epochs"), "n_blocks", "cut_block", "cut_doc")
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), _source(docs[source]).alias("src"))
+    new = ("mix_epoch", "mix_block", "mix_place")
+    kept = [c for c in docs.columns if c not in new]
+    d = docs.select(F.struct(*[docs[c].alias(f"c_{i}") for i, c in enumerate(kept)]).alias("row"), docs[key].alias("key"), _source(docs[source]).alias("src"))
     d = d.join(F.broadcast(own) if held else own, "src").withColumn("block", _block(seed))
     last = _block_place(seed, F.col("_epochs"))
     taken = F.col("cut_block").isNotNull() & ((last < F.col("cut_block")) | ((last == F.col("cut_block")) & (_doc_place(seed, F.col("_epochs")) <= F.col("cut_doc"))))
     n = F.col("_epochs") + F.when(taken, 1).otherwise(0)
     d = d.where(n > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return d.select("row.*", F.col("epoch").alias("mix_epoch"), _block_place(seed, F.col("epoch")).alias("mix_block"), _doc_place(seed, F.col("epoch")).alias("mix_place"))
+    return d.select(*[F.col(f"row.c_{i}").alias(c) for i, c in enumerate(kept)], F.col("epoch").alias("mix_epoch"), _block_place(seed, F.col("epoch")).alias("mix_block"), _doc_place(seed, F.col("epoch")).alias("mix_place"))

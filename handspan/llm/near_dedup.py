@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.components import connected_components
 from handspan.llm.packed import frees_memory
-from handspan.llm.shared import stored
+from handspan.llm.shared import dropped, stored
 from handspan.llm.text import U64, blocks, mix, shingles
 
 BANDS, MOST_ROWS, MISS = 28, 5, 1e-6
@@ -191,25 +191,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     Null and empty texts, and texts without words, have empty sets and are linked with nothing; a shorter
     text has its whole word sequence as one shingle. Rows with equal sets are linked. A row without an id
-    is linked with nothing: its component is null and it is kept. Repeated rows are all returned.
+    is linked with nothing: its component is null and it is kept. Repeated rows are all returned; rows of one id
+    are one document that has all their links. Very long texts are compared whole; an empty table gives no rows;
+    other columns of docs are not read, so their names may be any.
     """
+    used: list[DataFrame] = []
+
+    def kept(df, name):
+        used.append(stored(df, name))
+        return used[-1]
+
     named = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     sig = stored(signatures(named, size, band_rows(percent)), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("x")).select("s1", "s2", "doc_id", "x.*"), "distinct-sets")
+    reps = kept(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("x")).select("s1", "s2", "doc_id", "x.*"), "distinct-sets")
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    full = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = stored(rows.join(full, "bucket"), "bucket-members")
+    full = kept(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    rows = kept(rows.join(full, "bucket"), "bucket-members")
     shared = rows.groupBy("doc_id").agg(F.sum("n").alias("shared"))
     centre = rows.join(shared, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("centre"))
-    rows = stored(rows.join(stored(centre, "bucket-centres"), "bucket").select("bucket", "doc_id", "centre"), "centred-members")
+    rows = kept(rows.join(kept(centre, "bucket-centres"), "bucket").select("bucket", "doc_id", "centre"), "centred-members")
     once = named.where("doc_id is not null")
-    pairs = stored(rows.where("doc_id != centre").select("centre", "doc_id").distinct(), "star-pairs")
-    checked = stored(similarities(pairs, once, size).groupBy("centre", "doc_id").agg(F.max_by(F.struct("both", "either"), F.col("both") / F.col("either")).alias("x")).select("centre", "doc_id", "x.*"), "star-similarities")
+    pairs = kept(rows.where("doc_id != centre").select("centre", "doc_id").distinct(), "star-pairs")
+    checked = kept(similarities(pairs, once, size).groupBy("centre", "doc_id").agg(F.max_by(F.struct("both", "either"), F.col("both") / F.col("either")).alias("x")).select("centre", "doc_id", "x.*"), "star-similarities")
     links = checked.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    found = stored(connected_components(links), "components")
+    found = connected_components(links)
+    used.append(found)
     far = 1 - 2 * (1 - percent / 100) - 1e-9
-    of = found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component")
+    of = found.withColumnRenamed("node", "doc_id")
     state = (
         rows.join(of, "doc_id", "left")
         .join(found.select(F.col("node").alias("centre"), F.col("component").alias("centre_component")), "centre", "left")
@@ -219,24 +228,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         .withColumn("similar", F.when(F.col("doc_id") == F.col("centre"), 1.0).otherwise(F.col("both") / F.col("either")))
     )
     apart = F.col("component") != F.col("centre_component")
-    state = stored(state.select("bucket", F.col("centre_component").alias("cluster"), "doc_id", "component", apart.alias("apart"), (F.col("similar") >= percent / 100 - 1e-12).alias("direct"), (F.col("similar") >= far).alias("ring")), "bucket-states")
+    state = kept(state.select("bucket", F.col("centre_component").alias("cluster"), "doc_id", "component", apart.alias("apart"), (F.col("similar") >= percent / 100 - 1e-12).alias("direct"), (F.col("similar") >= far).alias("ring")), "bucket-states")
     ringed = state.groupBy("bucket").agg(F.max(F.col("apart") & F.col("ring")).alias("ringed"), F.max("apart").alias("any_apart")).where("any_apart")
-    open_rows = state.join(stored(ringed, "ringed-buckets"), "bucket").where("apart or not direct or ringed")
+    open_rows = state.join(kept(ringed, "ringed-buckets"), "bucket").where("apart or not direct or ringed")
     # buckets whose centres are in one component are looked at together: each document once
-    members = stored(open_rows.select("cluster", "doc_id", "component").distinct(), "open-members")
+    members = kept(open_rows.select("cluster", "doc_id", "component").distinct(), "open-members")
     several = members.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
-    members = stored(members.join(several, "cluster", "left_semi"), "unfinished-members")
+    members = kept(members.join(several, "cluster", "left_semi"), "unfinished-members")
     if not members.isEmpty():
-        more = stored(_unfinished(members.join(reps.select("doc_id", "signature"), "doc_id"), once, size, percent), "more-links")
+        more = kept(_unfinished(members.join(reps.select("doc_id", "signature"), "doc_id"), once, size, percent), "more-links")
         if not more.isEmpty():
             # links between components: only these are joined anew
             name = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
             between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-            wider = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+            used.append(connected_components(between))
+            wider = used[-1].select(F.col("node").alias("component"), F.col("component").alias("wider"))
             found = found.unionAll(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-            found = stored(found.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component")), "components")
+            found = kept(found.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component")), "components")
     final = reps.select("s1", "s2", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     final = stored(final.select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id")), "set-components")
+    dropped(*used)
     out = sig.where("doc_id is not null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).alias("s1"), F.when(F.col("n_shingles") > 0, F.col("s2")).alias("s2")).join(final, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     lone = sig.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
@@ -246,4 +257,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group (the smallest id), columns as they were; rows without an id stay."""
     gone = stored(near_duplicates(docs, size, percent, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

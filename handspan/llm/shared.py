@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -64,14 +64,23 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c_0, c_1, .. in their order, so that none can clash."""
+    return docs.select(*[column(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)])
+
+
 def carried(docs: DataFrame, text: str, new: dict[str, str], keep: list[str] | None) -> tuple[DataFrame, T.StructType]:
     """(rows for a task: the text as _text, then the columns to keep; the schema that the task returns).
 
     Columns named like a new one are replaced; those to keep have names of their own on the way, so none can clash.
     """
     kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    col = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    rows = docs.select(col(text).cast("string").alias("_text"), *[col(f.name).alias(f"c_{i}") for i, f in enumerate(kept)])
+    rows = docs.select(column(text).cast("string").alias("_text"), *[column(f.name).alias(f"c_{i}") for i, f in enumerate(kept)])
     return rows, T.StructType([*kept, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields])
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from handspan.llm.packed import frees_memory
+from handspan.llm.shared import carried
 from handspan.llm.text import blocks, slice_hashes
 
 #: Distinct units that a worker remembers (about 60 bytes each); beyond it they are forgotten, which costs time only.
@@ -244,16 +245,13 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
 
     def work(batches):
         for b in batches:
-            ends, counts = [], []
-            for _, _, data, offsets in blocks(b, "_text", BLOCK_BYTES):
+            for row, stop, data, offsets in blocks(b, "_text", BLOCK_BYTES):
                 count, first = character_counts(data, offsets, tokenizer)
-                for r in range(len(offsets) - 1):
-                    a, z = first[r], first[r + 1]
-                    ends.append(np.arange(1, z - a + 1))
-                    counts.append(count[a:z])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[key, "ends", "counts"])
+                ends = [np.arange(1, z - a + 1) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                counts = [count[a:z] for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, stop - row), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[key, "ends", "counts"])
 
-    return docs.select(docs[key], docs[text].cast("string").alias("_text")).mapInArrow(frees_memory(work), schema)
+    return docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).mapInArrow(frees_memory(work), schema)
 
 
 def count_at(end: str = "at", ends: str = "ends", counts: str = "counts"):
@@ -271,12 +269,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to the rows of docs, from each text's prefix counts.
 
     `keep` names the columns of docs to return (default: all); columns with one of the three new names
-    are replaced. Null and empty texts have 0 bytes and 0 tokens; nothing is shuffled. Special strings
-    in texts are handled as the library does by default; texts are never cut.
+    are replaced, and any other name may occur. Null and empty texts have 0 bytes and 0 tokens; nulls in other
+    columns stay; repeated rows are counted each; an empty table gives no rows; nothing is shuffled. Special
+    strings in texts are handled as the library does by default; very long texts are never cut.
     """
-    new = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    schema = T.StructType(kept + [T.StructField(k, v) for k, v in new.items()])
+    own, schema = carried(docs, text, {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}, keep)
 
     def work(batches):
         for b in batches:
@@ -288,4 +285,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
                 n[start:stop][some] = count[first[1:][some] - 1]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size), pa.array(n), pa.array(n > limit)], names=schema.names)
 
-    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(frees_memory(work), schema)
+    return own.mapInArrow(frees_memory(work), schema)

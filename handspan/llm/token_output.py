@@ -29,6 +29,8 @@ from handspan.llm.token_counts import BLOCK_BYTES, units
 
 MAGIC = b"HSPLANE1"
 BLOCK_IDS = 1 << 16
+#: Ids of documents that a reader holds together; a longer document is held alone.
+BATCH_IDS = 1 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -138,7 +140,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
 
     Returns the manifest: shard (ascending with the keys), path, n_docs, n_ids, start (ids of all shards
     before it). Equal keys are ordered by their texts' hash and may stand in neighbouring shards; null
-    keys come first; null texts count as empty; an empty table gives no shard.
+    keys come first; null and empty texts give the end id only; a very long text is written whole, block by block;
+    repeated rows are written each; an empty table gives no shard. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
@@ -195,9 +198,12 @@ def read_token_shards(manifest: DataFrame, key_type: str = "long") -> DataFrame:
                     r = ShardReader(f)
                     at = 0
                     keys, counts = r.index["keys"], r.index["counts"]
-                    for i in range(0, len(keys), 2000):
-                        rows = {"key": keys[i : i + 2000], "start": [], "n_tokens": counts[i : i + 2000], "ids": []}
-                        for n in counts[i : i + 2000]:
+                    ends, i = np.cumsum(counts, dtype=np.int64), 0
+                    while i < len(keys):
+                        z = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_IDS, "right")))
+                        rows = {"key": keys[i:z], "start": [], "n_tokens": counts[i:z], "ids": []}
+                        i, own = z, counts[i:z]
+                        for n in own:
                             rows["start"].append(start + at)
                             rows["ids"].append(r.ids(at, n).tobytes())
                             at += n

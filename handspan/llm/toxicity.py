@@ -1,8 +1,10 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are 0 (labelled not toxic) and 1..3 (labelled toxic; thirds by how much of the text's distinctly
-toxic vocabulary it uses). One weight vector serves all thresholds: P(grade >= k) = 1 / (1 + exp(t_k - w x))
-with t_1 < t_2 < t_3, and the expected severity is the sum of these probabilities.
+Labels above 1 are severity grades and are taken as they are. Where labels say only whether a text is toxic, grade 0
+is not toxic and 1..3 are thirds of the toxic rows by how much of the distinctly toxic vocabulary they use: an
+order of severity that comes from the texts, as the labels have none. One weight vector serves all thresholds:
+P(grade >= k) = 1 / (1 + exp(t_k - w x)) with t_1 < t_2 < .., and the expected severity is the sum of these
+probabilities.
 
 Features are the white-space words and their leading 4, 5 and 6 bytes (A-Z lower-cased, outer ASCII
 punctuation cut), hashed to 64 bits; x is log(1 + count). The model is fitted on a bounded sample of labelled
@@ -13,9 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.packed import frees_memory
+from handspan.llm.shared import carried, numbered
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, blocks, mix, slice_hashes, words
 
 #: Most labelled rows that the model is fitted on.
@@ -43,12 +46,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
 
 def _counted(batch: pa.RecordBatch, keys: np.ndarray | None = None):
     """(row, feature, count) over a batch; with keys only of those features, which must be sorted."""
-    rows, feats = [], []
+    rows, feats, counts = [], [], []
     known = None
     if keys is not None:
         known = np.zeros(1 << 20, bool)
         known[(keys >> U64(44)).astype(np.int64)] = True
     for first, _, data, offsets in blocks(batch, "_text"):
+        own_f, own_r = [], []
         for h, row in features(data, offsets):
             if known is not None:
                 at = np.flatnonzero(known[(h >> U64(44)).astype(np.int64)])
@@ -56,16 +60,16 @@ def _counted(batch: pa.RecordBatch, keys: np.ndarray | None = None):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.empty(0, np.int64)
                 fit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 h, row = h[fit], row[fit]
-            feats.append(h)
-            rows.append(row + first)
-    f = np.concatenate(feats) if feats else np.empty(0, np.uint64)
-    r = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    order = np.lexsort((f, r))
-    f, r = f[order], r[order]
-    new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (r[1:] != r[:-1])
-    at = np.flatnonzero(new)
-    return r[at], f[at], np.diff(np.append(at, len(f)))
+            own_f.append(h)
+            own_r.append(row + first)
+        f, r = np.concatenate(own_f), np.concatenate(own_r)
+        order = np.lexsort((f, r))
+        f, r = f[order], r[order]
+        at = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (r[1:] != r[:-1]))) if len(f) else np.empty(0, np.int64)
+        rows.append(r[at])
+        feats.append(f[at])
+        counts.append(np.diff(np.append(at, len(f))))
+    return tuple(np.concatenate([np.empty(0, t), *x]) for t, x in ((np.int64, rows), (np.uint64, feats), (np.int64, counts)))
 
 
 class Model:
@@ -120,7 +124,9 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: n
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model from labelled documents; rows whose label or id is null aren't labelled, a repeated id takes its largest label.
 
-    Without toxic labels nothing is toxic; without any features only the share of labels counts.
+    Labels are 0 or 1, or grades from 0 up. Without toxic labels nothing is toxic; without any features only the share
+    of labels counts; a null text has no features; rows of one id are all used; an empty table of labels or documents
+    is like one without toxic labels. No other column of either table is read.
     """
     named = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y is not null")
     named = named.groupBy("key").agg(F.max("y").alias("y"))
@@ -162,28 +168,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             )
 
     rows = texts.mapInArrow(frees_memory(chosen), "y int, c array<int>, n array<int>").collect()  # at most SAMPLE_ROWS rows of MOST_FEATURES features
-    y = np.array([r[0] > 0 for r in rows], bool)
-    used = np.array([sum(r[2]) for r in rows], float)
-    grade = np.zeros(len(rows), np.int64)
-    if y.any():
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))  # sums of floating-point numbers depend on the order
+    grade = np.array([max(r[0], 0) for r in rows], np.int64)
+    grades = int(grade.max())
+    if grades == 1:
+        grades, y = GRADES, grade > 0
+        used = np.array([sum(r[2]) for r in rows], float)
         grade[y] = 1 + np.searchsorted(np.quantile(used[y], [1 / 3, 2 / 3]), used[y], "left")
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     column = np.array([c for r in rows for c in r[1]], np.int64)
     value = np.log1p(np.array([c for r in rows for c in r[2]], float))
-    order = np.lexsort((column, row, grade)) if len(row) == 0 else np.arange(len(row))  # rows may come in any order: sums don't depend on it
-    w, cuts = fit_ordinal(row[order], column[order], value[order], grade, len(keys))
+    w, cuts = fit_ordinal(row, column, value, grade, len(keys), grades)
     return Model(keys, w, cuts)
 
 
 def severity(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds to each row: p_toxic (P(grade >= 1)), severity (the expected grade), grade (the likeliest) and rejected (p_toxic >= 0.5).
 
-    A null or empty text has no features. `keep` names the columns of docs to return (default: all);
-    columns that clash with the new names are replaced.
+    A null or empty text has no features; nulls in other columns stay; repeated rows are scored each; a very long
+    text is scored whole; an empty table gives no rows; of equally likely grades the lower one is taken. `keep`
+    names the columns of docs to return (default: all); columns that clash with the new names are replaced, and any
+    other name may occur.
     """
-    new = {"p_toxic": "double", "severity": "double", "grade": "int", "rejected": "boolean"}
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    schema = T.StructType(kept + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields)
+    own, schema = carried(docs, text, {"p_toxic": "double", "severity": "double", "grade": "int", "rejected": "boolean"}, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
 
     def work(batches):
@@ -197,11 +204,11 @@ def severity(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 [*b.columns[1:], pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1), pa.int32()), pa.array(p[:, 0] >= 0.5)], names=schema.names
             )
 
-    return docs.select(docs[text].cast("string").alias("_text"), *[docs[f.name] for f in kept]).mapInArrow(frees_memory(work), schema)
+    return own.mapInArrow(frees_memory(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without the rejected rows, columns as they were."""
     names = docs.columns
-    scored = severity(docs.withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(names)}), model, f"c_{names.index(text)}")
+    scored = severity(numbered(docs), model, f"c_{names.index(text)}")
     return scored.where(~F.col("rejected")).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)])

@@ -3,8 +3,9 @@
 A table of pages stands for an archive of WARC resource records in order of their slots (page ids). A
 record's leaf is the SHA-256 of its bytes; a slot's leaf digests all records of the slot, whatever their order,
 from sums that merge, so a slot that very many rows share is summed before the exchange. A node covers FAN
-consecutive slots, then FAN nodes, and so on: it has the digest of its children in order, its records, and its
-range of bytes in the archive, up to one root. Replicas are compared from the root down; only children of
+consecutive slots, then FAN nodes, and so on: it has its records, its bytes, and the digest of its children in order,
+each with its place, records, bytes and digest, so that it vouches for the offset range of every child; up to one
+root. Each level is a table, made from the one below. Replicas are compared from the root down; only children of
 nodes that differ are looked at, and the leaves that are left are the damaged slots.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from handspan.llm.shared import stored
+from handspan.llm.shared import dropped, stored
 
 FAN = 16
 #: Slots in one archive file; offsets start anew in each.
@@ -42,8 +43,9 @@ def tree(leaf_rows: DataFrame, levels: int) -> list[DataFrame]:
     out = [leaf_rows]
     for _ in range(levels):
         up = out[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "digest"))), lambda c: F.concat_ws(":", c["child"].cast("string"), c["digest"])), "\n"), 256)
-        out.append(up.groupBy("node").agg(F.sum("records").alias("records"), F.sum("size").alias("size"), digest.alias("digest")))  # at most FAN children
+        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "records", "size", "digest"))), lambda c: F.concat_ws(":", c["child"].cast("string"), c["records"].cast("string"), c["size"].cast("string"), c["digest"])), "\n"), 256)
+        level = up.groupBy("node").agg(F.sum("records").alias("records"), F.sum("size").alias("size"), digest.alias("digest"))  # at most FAN children
+        out.append(stored(level, "tree-level"))
     return out
 
 
@@ -51,6 +53,8 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> DataFrame:
     """The slots in which two archives differ: slot, status (changed, missing, extra), file, offset and size in the primary, records, replica_size, the two digests.
 
     A slot that only the replica holds has no file, offset or size. Equal archives, and two empty ones, give no rows.
+    Pages with a null id share slot -1; null texts count as empty; records of one slot count in any order, repeated ones
+    each time; a very long text is one record. Other columns are not read.
     """
     a, b = stored(leaves(primary, **names), "leaves"), stored(leaves(replica, **names), "replica-leaves")
     top = max((r[0] or 0) for r in (a.agg(F.max("node")).first(), b.agg(F.max("node")).first()))
@@ -58,14 +62,16 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> DataFrame:
     while FAN**levels <= top:
         levels += 1
     ours, theirs = tree(a, levels), tree(b, levels)
-    suspects = None
+    suspects, used = None, []
     for x, y in zip(ours[::-1], theirs[::-1], strict=True):
         if suspects is not None:
             x, y = (t.withColumn("above", F.floor(F.col("node") / FAN).cast("long")).join(suspects, "above", "left_semi").drop("above") for t in (x, y))
         y = y.select("node", F.col("records").alias("replica_records"), F.col("size").alias("replica_size"), F.col("digest").alias("replica_digest"))
         differ = x.join(y, "node", "full").where(~F.col("digest").eqNullSafe(F.col("replica_digest")))
-        suspects = stored(differ, "differing-nodes").select(F.col("node").alias("above"))
-        last = differ
+        last = stored(differ, "differing-nodes")
+        used.append(last)
+        suspects = last.select(F.col("node").alias("above"))
+    dropped(*ours[1:], *theirs, *used[:-1])
     file = F.floor(F.col("node") / FILE_SLOTS).cast("long")
     before = Window.partitionBy("file").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # at most FILE_SLOTS slots
     places = a.withColumn("file", file).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).select("node", "file", "offset")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from handspan.llm import components, decontaminate, hilbert_ann, induced, kneser_ney, mixing, near_dedup, suffix_dedup, text, token_counts, token_output, toxicity, warc_fixity
+from handspan.llm import components, decontaminate, hilbert_ann, induced, kneser_ney, mixing, near_dedup, packed, suffix_dedup, text, token_counts, token_output, toxicity, warc_fixity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,6 +46,12 @@ def corpus(seed=1, n=60):
     return rows
 
 
+@pytest.fixture(autouse=True)
+def many_parts(monkeypatch):
+    """Small tables are dealt to as many parts as the session has, as large ones are."""
+    monkeypatch.setattr(packed, "LEAST_BYTES", 1024)
+
+
 @pytest.fixture(scope="module")
 def rows():
     return corpus()
@@ -123,6 +129,37 @@ def test_induced_sorting(memory):
             assert c == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_shards_of_production_size_spill(monkeypatch):
+    """A shard of the size that the query sorts has its queues, its symbols and its result on disk beyond their limits."""
+    rng = np.random.default_rng(8)
+    passages = [rng.integers(97, 123, 300, dtype=np.uint8).tobytes() for _ in range(40)]
+    texts = [rng.integers(97, 123, 900, dtype=np.uint8).tobytes() + (passages[i % 40] if i % 3 else b"") + rng.integers(97, 123, 100, dtype=np.uint8).tobytes() for i in range(2600)]
+    assert sum(map(len, texts)) <= suffix_dedup.SORT_BYTES
+    docs = rng.permutation(len(texts)).astype(np.int64)
+    spilled = []
+    close = induced.BucketQueue.close
+    monkeypatch.setattr(induced.BucketQueue, "close", lambda self: (spilled.append(self.file is not None), close(self)))
+    got = suffix_dedup.sort_shard(texts, docs, 50)
+    assert spilled.count(True) >= 3
+    least = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for k in range(len(t) - 49):
+            s = t[k : k + 50]
+            least[s] = min(least.get(s, d), d)
+    for t, d, g in zip(texts, docs.tolist(), got, strict=True):
+        assert g.tolist() == [k for k in range(len(t) - 49) if least[t[k : k + 50]] < d]
+
+
+def test_parts_follow_the_size(spark):
+    t = spark.createDataFrame([("x" * 1000,)] * 50, "_text string").repartition(2)
+    assert packed.parts_of(t) == 4
+    packed.LEAST_BYTES, packed.MOST_BYTES, old = 40_000, 1 << 30, packed.MOST_BYTES
+    assert packed.parts_of(t) == 2
+    packed.MOST_BYTES = 5_000
+    assert packed.parts_of(t) == 10 and packed.parts_of(t.where("false")) == 1
+    packed.MOST_BYTES = old
+
+
 # --- 2 and 6 ---------------------------------------------------------------------------------------------------------
 
 
