@@ -8,10 +8,10 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from handspan.llm import decontaminate, mixing, near_dedup, token_output, toxicity
-from handspan.llm.shared import stored, workers_find_library
+from handspan.llm.shared import numbered, stored, workers_find_library
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,7 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of small sources are repeated to bring the sources' weights to the target."""
     workers_find_library(spark)
     plan = mixing.mixture(docs, public_tokenizers.path(TOKENIZER))
-    return mixing.mix(docs, plan).select(*docs.columns)
+    names = docs.columns
+    mixed = mixing.mix(numbered(docs), plan, key=f"c_{names.index('doc_id')}", source=f"c_{names.index('source')}")
+    return mixed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
