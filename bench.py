@@ -13,7 +13,7 @@ from handspan.plans.queries import QUERIES
 
 HEADLINE = (
     "key_predicates", "lattice_ngrams", "chord_counts", "tempo_features", "sounding_at_onset", "features_v7", "explode_abcdf", "confusion", "alpha_trigram", "match_rates",
-    "gold_votes", "rule_costs", "segment_cost_parncutt", "tau_relaxed", "expected_reciprocal_rank", "transition_weights", "advise_parncutt",
+    "gold_votes", "rule_costs", "segment_cost_parncutt", "tau_relaxed", "expected_reciprocal_rank", "transition_weights", "advise_parncutt", "strike_reentry", "rank_tags", "err_tags", "evaluate_model",
 )
 
 

@@ -31,26 +31,36 @@ RISING_SPANS = {
     ),
 }
 
+# The left hand's spans that aren't the right hand's mirrored, by (larger digit, smaller digit), rising.
+LEFT_SPANS = {"badgerow": {(4, 1): (-3, -1, 3, 9, 13, 14), (3, 2): (1, 1, 1, 2, 3, 5)}}
+
 HANDED_DIGITS = ("<5", "<4", "<3", "<2", "<1", ">1", ">2", ">3", ">4", ">5")
 
 
-def span_of(table: str, a: int, b: int) -> dict[str, int]:
-    """The right hand's span from digit a to digit b: a falling pair is the rising one turned about, one digit spans nothing."""
+def span_of(table: str, hand: str, a: int, b: int) -> dict[str, int]:
+    """A hand's span from digit a to digit b: a falling pair is the rising one turned about, one digit spans nothing.
+
+    The right hand rises from the smaller digit to the larger one; the left hand is its mirror image but for LEFT_SPANS.
+    """
     if a == b:
         return dict.fromkeys(FIELDS, 0)
-    rising = RISING_SPANS[table][PAIRS.index((min(a, b), max(a, b)))]
-    return dict(zip(FIELDS, rising if a < b else [-x for x in rising[::-1]], strict=True))
+    small, large = sorted((a, b))
+    rising = RISING_SPANS[table][PAIRS.index((small, large))]
+    if hand == "<":
+        rising = LEFT_SPANS.get(table, {}).get((large, small), rising)
+    return dict(zip(FIELDS, rising if (a < b) == (hand == ">") else [-x for x in rising[::-1]], strict=True))
 
 
-def span_array(table: str, field: str) -> list[int]:
-    """The right hand's values at index 5 * (a - 1) + b - 1."""
-    return [span_of(table, a, b)[field] for a in range(1, 6) for b in range(1, 6)]
+def span_array(table: str, field: str, hand: str = ">") -> list[int]:
+    """A hand's values at index 5 * (a - 1) + b - 1."""
+    return [span_of(table, hand, a, b)[field] for a in range(1, 6) for b in range(1, 6)]
 
 
 def span(table: str, field: str, hand: Column, a: Column, b: Column) -> Column:
-    """A span of one hand's digit pair; the left hand is the right hand's mirror image."""
-    values = F.array(*[F.lit(x) for x in span_array(table, field)])
-    return F.element_at(values, F.when(hand == ">", (a - 1) * 5 + b).otherwise((b - 1) * 5 + a).cast("int"))
+    """A span of one hand's digit pair."""
+    values = lambda h: F.array(*[F.lit(x) for x in span_array(table, field, h)])
+    at = ((a - 1) * 5 + b).cast("int")
+    return F.when(hand == ">", F.element_at(values(">"), at)).otherwise(F.element_at(values("<"), at))
 
 
 def finger_spans(spark: SparkSession) -> DataFrame:
@@ -59,8 +69,7 @@ def finger_spans(spark: SparkSession) -> DataFrame:
     for t in RISING_SPANS:
         for a in range(1, 6):
             for b in range(1, 6):
-                s = tuple(span_of(t, a, b).values())
-                rows += [(t, f">{a}", f">{b}", *s), (t, f"<{b}", f"<{a}", *s)]
+                rows += [(t, f"{h}{a}", f"{h}{b}", *span_of(t, h, a, b).values()) for h in "<>"]
     return spark.createDataFrame(rows, "table string, hd1 string, hd2 string, " + ", ".join(f"{f} int" for f in FIELDS))
 
 
@@ -97,13 +106,13 @@ PRESETS = {
     "parncutt": (PARNCUTT_RULES, "parncutt", "semitone", {}),
     "jacobs": (JACOBS_RULES, "parncutt", "physical", {}),
     "jarules": (JACOBS_RULES, "parncutt", "semitone", {}),
-    "jaball": (JACOBS_RULES, "balliauw_large", "physical", {}),
-    "jaSball": (JACOBS_RULES, "balliauw_small", "physical", {}),
-    "jaMball": (JACOBS_RULES, "balliauw_medium", "physical", {}),
+    "jaball": (JACOBS_RULES, "balliauw_large", "imaginary", {}),
+    "jaSball": (JACOBS_RULES, "balliauw_small", "imaginary", {}),
+    "jaMball": (JACOBS_RULES, "balliauw_medium", "imaginary", {}),
     "badgerow": (BADGEROW_RULES, "badgerow", "semitone", {}),
     "badpar": (BADGEROW_RULES, "parncutt", "semitone", {}),
     "balliauw": (BALLIAUW_RULES, "balliauw_large", "imaginary", HALF_BLACK),
-    "badball": (BADGEROW_RULES, "balliauw_large", "semitone", {}),
-    "badSball": (BADGEROW_RULES, "balliauw_small", "semitone", {}),
-    "badMball": (BADGEROW_RULES, "balliauw_medium", "semitone", {}),
+    "badball": (BADGEROW_RULES, "balliauw_large", "imaginary", {}),
+    "badSball": (BADGEROW_RULES, "balliauw_small", "imaginary", {}),
+    "badMball": (BADGEROW_RULES, "balliauw_medium", "imaginary", {}),
 }

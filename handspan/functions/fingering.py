@@ -12,15 +12,20 @@ TOKEN = rf"(?:{ORNAMENT}(?:/{ORNAMENT})?|{SCORED}(?:/{SCORED})?)[,;.]?"
 PLAIN = r"^([pf]*)([<>]?)([1-5]|x)?(?:-([<>]?)([1-5]))?([_^]*)"
 
 
-def explode_abcdf(annotations: DataFrame, *, text: str = "abcdf") -> DataFrame:
-    """One row per note of a fingering string: staff, line_idx, note_idx, token and its parts.
+def explode_abcdf(annotations: DataFrame, *, text: str = "abcdf", strict: bool = True) -> DataFrame:
+    """One row per note of a fingering string: staff, line_idx, note_idx, token, its parts, and the handed digits of an ornament.
 
     '@' parts the staffs (upper, lower), '&' the lines; note_idx counts on through the lines of a staff. Of an
-    ornament the first finger is taken, of alternatives the first. A null or empty string gives no rows.
+    ornament the first finger is taken, of alternatives the first. A null or empty string gives no rows. White space
+    is left out; other text that is no fingering fails the job, or is left out too if not strict.
     """
     a = annotations.withColumn("_id", F.struct(*[F.col(c) for c in annotations.columns if c != text]))
     lines = a.select("*", F.posexplode(F.split(text, "@")).alias("_s", "_staff")).select("*", F.posexplode(F.split("_staff", "&")).alias("line_idx", "_line"))
-    tokens = lines.withColumn("_tokens", F.regexp_extract_all("_line", F.lit(f"({TOKEN})"), 1))
+    lines = lines.withColumn("_line", F.regexp_replace("_line", r"\s+", ""))
+    found, rest = F.regexp_extract_all("_line", F.lit(f"({TOKEN})"), 1), F.regexp_replace("_line", TOKEN, "")
+    if strict:
+        found = F.when((rest == "") | rest.isNull(), found).otherwise(F.raise_error(F.concat(F.lit("not a fingering: "), rest, F.lit(" in "), F.col("_line"))).cast("array<string>"))
+    tokens = lines.withColumn("_tokens", found)
     before = Window.partitionBy("_id", "_s").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
     tokens = tokens.withColumn("_before", F.coalesce(F.sum(F.size("_tokens")).over(before), F.lit(0)))
     rows = tokens.select(*annotations.columns, "_s", "line_idx", "_before", F.posexplode("_tokens").alias("_i", "token"))
@@ -35,6 +40,7 @@ def explode_abcdf(annotations: DataFrame, *, text: str = "abcdf") -> DataFrame:
         blank(part(2)).alias("strike_hand"), F.when(part(3).rlike("[1-5]"), part(3).cast("int")).alias("strike_digit"),
         blank(part(4)).alias("release_hand"), F.when(part(5) != "", part(5).cast("int")).alias("release_digit"),
         blank(part(1)).alias("soft"), blank(part(6)).alias("damper"), F.col("token").startswith("(").alias("is_ornament"),
+        F.when(F.col("token").startswith("("), F.regexp_extract_all(F.regexp_extract("token", r"^\(([^)]*)\)", 1), F.lit(f"({FINGER})"), 1)).alias("ornament"),
         blank(F.coalesce(F.regexp_extract("token", r"/([^,;.]*)", 1), F.lit(""))).alias("alt"), blank(F.regexp_extract("token", r"([,;.])$", 1)).alias("seg_mark"),
     )
 
@@ -52,10 +58,8 @@ def with_handed_digits(fingerings: DataFrame, *, keys) -> DataFrame:
 
     A mark on the release part counts for the notes after it.
     """
-    w = _carried(keys)
     before = Window.partitionBy(*keys).orderBy("note_idx").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.coalesce(F.col("strike_hand"), F.last(F.coalesce("release_hand", "strike_hand"), ignorenulls=True).over(before))
-    del w
     hand = F.coalesce(mark, default_hand(F.col("staff")))
     return fingerings.withColumns({"hand": hand, "hsd": F.coalesce(F.concat(hand, F.col("strike_digit").cast("string")), F.lit("x"))})
 
@@ -88,13 +92,16 @@ def flatten_abcdf(text) -> Column:
 def simplify_abcdf(text) -> Column:
     """Drops hand marks that repeat the one before; each staff begins anew."""
     c = F.col(text) if isinstance(text, str) else text
+    # each mark stands before its run of other signs; one like the mark before it, with no '@' between, is dropped
+    runs = F.regexp_extract_all(c, F.lit(r"([<>]?[^<>]+|[<>])"), 1)
+    mark = lambda x: F.regexp_extract(x, r"^[<>]", 0)
 
-    def step(acc, ch):
-        again = ch.isin("<", ">") & (ch == acc["hand"])
-        hand = F.when(ch.isin("<", ">"), ch).when(ch == "@", "").otherwise(acc["hand"])
-        return F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], ch)).alias("out"), hand.alias("hand"))
+    def shown(x, i):
+        before = F.get(runs, i - 1)
+        again = (i > 0) & (mark(x) != "") & (mark(x) == mark(before)) & ~before.contains("@")
+        return F.when(again, F.substring(x, 2, 1 << 30)).otherwise(x)
 
-    return F.aggregate(F.split(c, ""), F.struct(F.lit("").alias("out"), F.lit("").alias("hand")), step, lambda acc: acc["out"])
+    return F.array_join(F.transform(runs, shown), "")
 
 
 def join_segments(segments: DataFrame, *, text: str = "abcdf", order: str = "segment_idx", keys=("score_id",)) -> DataFrame:

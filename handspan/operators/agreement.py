@@ -17,7 +17,7 @@ def confusion(pairs: DataFrame, labels: list, *, one: str = "one", other: str =
     label = F.array(*[F.lit(x) for x in labels])
     grid = grid.withColumn(one, F.explode(label)).withColumn(other, F.explode(label))
     n = pairs.where(F.col(one).isNotNull() & F.col(other).isNotNull()).groupBy(*keys, one, other).agg(F.count("*").alias("n"))
-    return grid.join(F.broadcast(n) if not keys else n, [*keys, one, other], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return grid.join(n, [*keys, one, other], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def confusion_matrix(table: DataFrame, labels: list, *, one: str = "one", other: str = "other", keys=()) -> DataFrame:
@@ -49,7 +49,8 @@ def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Col
     """(keys, pairable, observed, expected, alpha): 1 - Do/De from the coincidence matrix; units of fewer than two values don't count.
 
     Pairs are made within a unit between its different values, with their counts, so a unit that very many coders
-    share is summed first. `among` keeps some coders. Values that are null aren't given.
+    share is summed first. `among` keeps some coders. Values that are null aren't given. Chance disagreement is in
+    closed form for the nominal and the interval distance; another distance is asked for each pair of different labels.
     """
     d = data.where(F.col(value).isNotNull())
     if among is not None:
@@ -62,10 +63,15 @@ def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Col
     pairs = counts.alias("a").join(counts.select(*by, F.col("v").alias("w"), F.col("c").alias("e")), by)
     coincidence = pairs.groupBy(*keys, "v", "w").agg(F.sum(F.col("c") * (F.col("e") - F.when(F.col("v") == F.col("w"), 1).otherwise(0)) / (F.col("m") - 1)).alias("o"))
     observed = coincidence.groupBy(*keys).agg(F.sum(F.col("o") * distance(F.col("v"), F.col("w"))).alias("do"), F.sum("o").alias("n"))
-    other = values.select(*keys, F.col("v").alias("w"), F.col("n_v").alias("n_w"))
-    # a row for each pair of labels, not of items
-    cross = values.join(other, list(keys)) if keys else values.crossJoin(F.broadcast(other))
-    expected = cross.groupBy(*keys).agg(F.sum(F.col("n_v") * F.col("n_w") * distance(F.col("v"), F.col("w"))).alias("de"))
+    n, v = F.col("n_v").cast("double"), F.col("v")
+    if distance is nominal:
+        expected = values.groupBy(*keys).agg((F.pow(F.sum(n), F.lit(2.0)) - F.sum(n * n)).alias("de"))
+    elif distance is interval:
+        expected = values.groupBy(*keys).agg((2.0 * (F.sum(n) * F.sum(n * v * v) - F.pow(F.sum(n * v), F.lit(2.0)))).alias("de"))
+    else:  # a distance of the caller's is asked for each pair of different labels
+        other = values.select(*keys, F.col("v").alias("w"), F.col("n_v").alias("n_w"))
+        cross = values.join(other, list(keys)) if keys else values.join(other, F.lit(True))
+        expected = cross.groupBy(*keys).agg(F.sum(F.col("n_v") * F.col("n_w") * distance(F.col("v"), F.col("w"))).alias("de"))
     both = observed.join(expected, list(keys)) if keys else observed.crossJoin(F.broadcast(expected))
     do, de = F.col("do") / F.col("n"), F.col("de") / (F.col("n") * (F.col("n") - 1))
     return both.select(*keys, F.col("n").alias("pairable"), do.alias("observed"), de.alias("expected"), F.when(de > 0, 1 - do / de).alias("alpha"))

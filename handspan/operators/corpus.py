@@ -66,13 +66,14 @@ def human_performance(notes: DataFrame, *, onset: str = "onset_ms", dur: str = "
 
 
 def human_performance_ms(notes: DataFrame, *, onset: str = "onset_ms", dur: str = "dur_ms", near_ms: int = 30, legato_ms: int = 5, keys=KEY) -> DataFrame:
-    """(keys, human_ms): the older test, by equal onsets among near neighbours and by gaps too small to be played."""
+    """(keys, human_ms): the older test, by equal onsets among near neighbours, and by gaps too small to be played as a part of the melodic (not near) steps."""
     w = by_note(keys)
     step = F.col(onset) - F.lag(onset).over(w)
     gap = F.abs(F.col(onset) - (F.lag(onset).over(w) + F.lag(dur).over(w)))
-    n = notes.withColumns({"_near": (step < near_ms).cast("int"), "_equal": (step == 0).cast("int"), "_legato": (gap < legato_ms).cast("int"), "_any": step.isNotNull().cast("int")})
+    near = F.abs(step) < near_ms
+    n = notes.withColumns({"_near": near.cast("int"), "_equal": (step == 0).cast("int"), "_legato": (gap < legato_ms).cast("int"), "_melodic": (~near).cast("int")})
     share = lambda a, b: F.coalesce(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), F.lit(0.0))
-    return n.groupBy(*keys).agg(((share("_equal", "_near") <= 0.5) & (share("_legato", "_any") <= 0.5)).alias("human_ms"))
+    return n.groupBy(*keys).agg(((share("_equal", "_near") <= 0.5) & (share("_legato", "_melodic") <= 0.5)).alias("human_ms"))
 
 
 def gold_votes(gold: DataFrame, *, keys=KEY, fingering: str = "fingering") -> DataFrame:

@@ -107,12 +107,18 @@ def group_split(rows: DataFrame, test_size: float, seed: int = 1, *, group=KEY)
 def group_kfold(rows: DataFrame, k: int, *, group=KEY) -> DataFrame:
     """Adds fold: groups whole, dealt out by size there and back, so that folds are of like size.
 
-    The order of groups needs one window over a row per group.
+    Groups are sorted in ranges of their size and numbered within each range; a range's first number is the count of
+    those before it, so no task sees all groups.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.orderBy(F.desc("_n"), *group)) - 1
-    at = F.pmod(place, F.lit(2 * k))
-    folds = sizes.withColumn("fold", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int")).drop("_n")
+    from handspan.plans.lineage import cut_lineage
+
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n")).repartitionByRange(F.desc("_n"), *group).sortWithinPartitions(F.desc("_n"), *group)
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = cut_lineage(sizes.select(*group, F.spark_partition_id().alias("_range"), in_range.alias("_at")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = sizes.groupBy("_range").agg(F.count("*").alias("_c")).withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    at = F.pmod(F.col("_first") + F.col("_at"), F.lit(2 * k))
+    folds = sizes.join(F.broadcast(ranges), "_range").select(*group, F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias("fold"))
     return rows.join(folds, list(group))
 
 

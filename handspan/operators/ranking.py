@@ -56,9 +56,8 @@ def trigram_big_delta(pairs: DataFrame, *, tau: str = "trigram", decay: str = "n
     return out.select(*keys, "n", (F.col("tri_normalized") * total).alias("tri_delta"), "tri_normalized")
 
 
-def pivot_clashes(pairs: DataFrame, *, decay: str = "none", keys=RANKED) -> DataFrame:
-    """(keys, rho): steps where exactly one of the two fingerings pivots by the right-hand rule. Needs one_hand and other_hand."""
-    p = with_counts(pairs, keys=keys)
+def _clash(keys) -> Column:
+    """1 at a step where exactly one of the two fingerings pivots by the right-hand rule."""
     w = Window.partitionBy(*keys).orderBy("note_idx")
     step = F.lead("midi").over(w) - F.col("midi")
 
@@ -67,11 +66,49 @@ def pivot_clashes(pairs: DataFrame, *, decay: str = "none", keys=RANKED) -> Data
         on = F.when(step > 0, d1 == 1).when(step < 0, F.col(digit) == 1).otherwise(False)
         return F.coalesce((F.lead(hand).over(w) == F.col(hand)) & on & (d1 != F.col(digit)), F.lit(False))
 
-    weight = DECAYS[decay](F.col("n"), F.col("i"))
-    p = p.withColumns({"_clash": (pivots("one", "one_hand") != pivots("other", "other_hand")).cast("int"), "_w": weight})
+    return (pivots("one", "one_hand") != pivots("other", "other_hand")).cast("int")
+
+
+def pivot_clashes(pairs: DataFrame, *, decay: str = "none", keys=RANKED) -> DataFrame:
+    """(keys, rho): steps where exactly one of the two fingerings pivots by the right-hand rule. Needs one_hand and other_hand."""
+    p = with_counts(pairs, keys=keys).withColumns({"_clash": _clash(keys), "_w": DECAYS[decay](F.col("n"), F.col("i"))})
     return p.groupBy(*keys).agg((F.count("*") * F.sum(F.col("_w") * F.col("_clash")) / F.sum("_w")).alias("rho"))
 
 
+def rank_measures(pairs: DataFrame, *, keys=RANKED, eps: float = 0.99) -> DataFrame:
+    """Every distance and clash count of the result sets in one pass: (keys, n) and, each without and with (_u) decay, the
+    normalised hmg and al, rho, and the normalised tri, nua and rlx over n + 2 trigrams.
+
+    One window and one aggregate by the same keys. A trigram stands at its last note; the two that reach past the end
+    stand at the last note too.
+    """
+    w = Window.partitionBy(*keys).orderBy("note_idx")
+    p = with_counts(pairs, keys=keys)
+    p = p.withColumns({"_same": (F.col("one") == F.col("other")) & F.col("same_hand"), "_near": adjacent_long(F.col("one"), F.col("other")) & F.col("same_hand")})
+    at = lambda c, k: F.coalesce((F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w), F.lit(c == "_same")) if k else F.col(c)
+    fine = lambda k: at("_same", k) | (at("_near", k) & at("_same", k - 1) & at("_same", k + 1))
+
+    def trigram(o):
+        equal = at("_same", o - 2) & at("_same", o - 1) & at("_same", o)
+        soft = {"tri": F.lit(False), "nua": at("_same", o - 2) & at("_near", o - 1) & at("_same", o), "rlx": fine(o - 2) & fine(o - 1) & fine(o)}
+        return {tag: F.when(equal, 0.0).when(x, 1.0 - eps).otherwise(1.0) for tag, x in soft.items()}
+
+    here, last = trigram(0), F.col("i") == F.col("n")
+    after = [trigram(1), trigram(2)]
+    delta = {d: DELTAS[d](F.col("one"), F.col("other"), F.col("midi"), F.col("same_hand")) for d in ("hmg", "al")}
+    p = p.withColumns({"_clash": _clash(keys), **{f"_{d}": x for d, x in delta.items()}, **{f"_{t}": x for t, x in here.items()}, **{f"_{t}{k}": F.when(last, a[t]) for k, a in enumerate(after, 1) for t in here}})
+    n, i, sums = F.col("n"), F.col("i"), []
+    for mark, decay in (("", "none"), ("_u", "uniform")):
+        weigh = DECAYS[decay]
+        one = weigh(n, i)
+        sums += [(F.sum(one * F.col(f"_{d}")) / F.sum(one)).alias(f"{d}{mark}") for d in delta]
+        sums.append((F.count("*") * F.sum(one * F.col("_clash")) / F.sum(one)).alias(f"rho{mark}"))
+        three, tail = weigh(n + 2, i), [weigh(n + 2, n + k) for k in (1, 2)]
+        all_weights = F.sum(three + F.when(last, tail[0] + tail[1]).otherwise(0.0))
+        sums += [(F.sum(three * F.col(f"_{t}") + F.when(last, tail[0] * F.col(f"_{t}1") + tail[1] * F.col(f"_{t}2")).otherwise(0.0)) / all_weights).alias(f"{t}{mark}") for t in here]
+    return p.groupBy(*keys, "n").agg(*sums)
+
+
 def prob_satisfied(deltas: DataFrame, rho: DataFrame | None = None, *, normalized: str = "normalized", mu: str = "scale", keys=RANKED) -> DataFrame:
     """(keys, p): 1 - normalised distance, divided by mu(rho)."""
     p = 1.0 - F.col(normalized)
@@ -83,10 +120,15 @@ def prob_satisfied(deltas: DataFrame, rho: DataFrame | None = None, *, normalize
 def expected_reciprocal_rank(probs: DataFrame, *, keys=KEY, k: int | None = None, phi=phi_inverse) -> DataFrame:
     """(keys, err): sum over ranks of phi(rank) * p * the chance that no better rank satisfied. Exact for p = 1."""
     s = probs if k is None else probs.where(F.col("rank") <= k)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "p")))
+    ordered = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "p"))).alias("_ranks"))
+    return ordered.select(*keys, _cascade(F.col("_ranks"), "p", phi).alias("err"))
+
+
+def _cascade(ranks: Column, p: str, phi=phi_inverse) -> Column:
+    """The expected reciprocal rank of ranks in order, each a struct of its rank and chances to satisfy."""
     start = F.struct(F.lit(0.0).alias("err"), F.lit(1.0).alias("left"))
-    step = lambda a, x: F.struct((a["err"] + phi(x["rank"]) * x["p"] * a["left"]).alias("err"), (a["left"] * (1 - x["p"])).alias("left"))
-    return s.groupBy(*keys).agg(F.aggregate(ordered, start, step, lambda a: a["err"]).alias("err"))
+    step = lambda a, x: F.struct((a["err"] + phi(x["rank"]) * x[p] * a["left"]).alias("err"), (a["left"] * (1 - x[p])).alias("left"))
+    return F.aggregate(ranks, start, step, lambda a: a["err"])
 
 
 def phrase_mean_err(errs: DataFrame, *, keys=("corpus", "model", "title"), value: str = "err", weight: str = "weight") -> DataFrame:
@@ -119,6 +161,19 @@ def average_precision(gains: DataFrame, *, k: int | None = None, keys=KEY) -> Da
     return s.groupBy(*keys).agg((F.sum(F.col("_at") * F.col("hit")) / relevant).alias("ap"))
 
 
+def average_precision_at_recall(gains: DataFrame, *, keys=KEY) -> DataFrame:
+    """(keys, ap): average precision over the ranks down to the last relevant one; null where the ranks don't hold all relevant ones."""
+    w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    s = gains.withColumn("_h", F.sum("hit").over(w)).withColumn("_at", F.col("_h") / F.col("rank"))
+    whole = F.max("_h") == F.max("relevant")
+    return s.groupBy(*keys).agg(F.when(whole, F.sum(F.col("_at") * F.col("hit")) / F.max("relevant")).alias("ap"))
+
+
+def mean_average_precision(precisions: DataFrame, *, by=()) -> DataFrame:
+    """(by, map, pieces): the mean of the pieces' average precisions; pieces without one don't count."""
+    return precisions.groupBy(*by).agg(F.avg("ap").alias("map"), F.count("ap").alias("pieces"))
+
+
 def precision_recall_at_k(gains: DataFrame, k: int, *, keys=KEY) -> DataFrame:
     s = gains.where(F.col("rank") <= k)
     return s.groupBy(*keys).agg((F.sum("hit") / F.lit(k)).alias("precision"), (F.sum("hit") / F.max("relevant")).alias("recall"))
@@ -291,9 +346,6 @@ def rbo_res(a: Column, b: Column, p: float) -> Column:
 
 # --- result sets ----------------------------------------------------------------------------------------------------
 
-TAUS = {"tri": "trigram", "nua": "nuanced", "rlx": "relaxed"}
-
-
 def pivot_clash_discount(clashes: DataFrame, base: float = 2.0, *, rho: str = "rho") -> DataFrame:
     """Adds discount, base ** -clashes, and aligned, no clash at all."""
     return clashes.withColumns({"discount": F.pow(F.lit(base), -F.col(rho)), "aligned": F.col(rho) == 0})
@@ -304,31 +356,27 @@ def rank_tags(pairs: DataFrame, *, keys=RANKED) -> DataFrame:
 
     rho_uni_d equals rho_no_d, as clashes are weighted by the general decay.
     """
-    out = big_delta(pairs, delta="hmg", keys=keys).select(*keys, "n", F.col("big_delta").alias("hmg"), F.col("normalized").alias("norm_hmg"))
-    out = out.join(big_delta(pairs, delta="al", keys=keys).select(*keys, F.col("big_delta").alias("al"), F.col("normalized").alias("norm_al")), list(keys))
-    out = out.join(pivot_clashes(pairs, keys=keys).select(*keys, F.col("rho").alias("rho_no_d"), F.col("rho").alias("rho_uni_d")), list(keys))
-    for tag, tau in TAUS.items():
-        out = out.join(trigram_big_delta(pairs, tau=tau, keys=keys).select(*keys, F.col("tri_delta").alias(f"{tag}_D"), F.col("tri_normalized").alias(f"norm_{tag}_D")), list(keys))
-    return out.withColumns({"p_sat": 1 - F.col("norm_hmg"), **{f"{tag}_p_sat": 1 - F.col(f"norm_{tag}_D") for tag in TAUS}})
-
-
-def err_tags(pairs: DataFrame, *, keys=KEY) -> DataFrame:
-    """(keys, one column for each reciprocal-rank measure): rho tags divide by mu(clashes); clvrst decays distances and clashes."""
-    ranked = (*keys, "rank")
-    rho, rho_u = pivot_clashes(pairs, keys=ranked), pivot_clashes(pairs, decay="uniform", keys=ranked)
-    hmg, al, al_u = big_delta(pairs, keys=ranked), big_delta(pairs, delta="al", keys=ranked), big_delta(pairs, delta="al", decay="uniform", keys=ranked)
-    tri = {tag: trigram_big_delta(pairs, tau=tau, keys=ranked).withColumn("n", F.col("n") + 2) for tag, tau in TAUS.items()}
-    rlx_u = trigram_big_delta(pairs, tau="relaxed", decay="uniform", keys=ranked).withColumn("n", F.col("n") + 2)
-    t = {"normalized": "tri_normalized"}
+    n, c = F.col("n"), F.col
+    out = rank_measures(pairs, keys=keys).select(
+        *keys, "n", (n * c("hmg")).alias("hmg"), c("hmg").alias("norm_hmg"), (n * c("al")).alias("al"), c("al").alias("norm_al"), c("rho").alias("rho_no_d"), c("rho").alias("rho_uni_d"),
+        *[x for t in ("tri", "nua", "rlx") for x in (((n + 2) * c(t)).alias(f"{t}_D"), c(t).alias(f"norm_{t}_D"))],
+    )
+    return out.withColumns({"p_sat": 1 - F.col("norm_hmg"), **{f"{t}_p_sat": 1 - F.col(f"norm_{t}_D") for t in ("tri", "nua", "rlx")}})
+
+
+def err_tags(pairs: DataFrame, *, keys=KEY, mu: str = "scale") -> DataFrame:
+    """(keys, one column for each reciprocal-rank measure): rho tags divide by mu(clashes); clvrst decays distances and clashes.
+
+    The measures of all ranks are collected once; each tag is a fold over them.
+    """
+    c, n, t = F.col, F.col("n"), F.col("n") + 2
     probs = {
-        "hmg": (hmg, None, {}), "hmg_rho": (hmg, rho, {}), "al": (al, None, {}), "al_rho": (al, rho, {}), "clvrst": (al_u, rho_u, {}), "tri": (tri["tri"], None, t), "tri_rho": (tri["tri"], rho, t),
-        "tri_nua": (tri["nua"], None, t), "tri_nua_rho": (tri["nua"], rho, t), "tri_rlx": (tri["rlx"], None, t), "tri_rlx_rho": (tri["rlx"], rho, t), "tri_clvrst": (rlx_u, rho_u, t),
+        "hmg": (c("hmg"), None, n), "hmg_rho": (c("hmg"), c("rho"), n), "al": (c("al"), None, n), "al_rho": (c("al"), c("rho"), n), "clvrst": (c("al_u"), c("rho_u"), n), "tri": (c("tri"), None, t), "tri_rho": (c("tri"), c("rho"), t),
+        "tri_nua": (c("nua"), None, t), "tri_nua_rho": (c("nua"), c("rho"), t), "tri_rlx": (c("rlx"), None, t), "tri_rlx_rho": (c("rlx"), c("rho"), t), "tri_clvrst": (c("rlx_u"), c("rho_u"), t),
     }
-    out = None
-    for tag, (delta, clashes, options) in probs.items():
-        e = expected_reciprocal_rank(prob_satisfied(delta, clashes, keys=ranked, **options), keys=keys).withColumnRenamed("err", tag)
-        out = e if out is None else out.join(e, list(keys))
-    return out
+    p = [((1.0 - far) if rho is None else (1.0 - far) / MUS[mu](rho, size)).alias(tag) for tag, (far, rho, size) in probs.items()]
+    ranks = rank_measures(pairs, keys=(*keys, "rank")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *p))).alias("_ranks"))
+    return ranks.select(*keys, *[_cascade(F.col("_ranks"), tag).alias(tag) for tag in probs])
 
 
 def annotation_pairs(suggestions: DataFrame, annotations: DataFrame, notes: DataFrame, *, keys=KEY, k: int = 5) -> DataFrame:
@@ -340,11 +388,13 @@ def annotation_pairs(suggestions: DataFrame, annotations: DataFrame, notes: Data
 
 
 def evaluate_model(suggestions: DataFrame, annotations: DataFrame, notes: DataFrame, *, keys=KEY, k: int = 5) -> DataFrame:
-    """(keys, annot_id, weight, notes, reciprocal-rank measures): a model against every annotation."""
+    """(keys, annot_id, weight, notes, reciprocal-rank measures): a model against every annotation; 0 where it suggests nothing."""
     p = annotation_pairs(suggestions, annotations, notes, keys=keys, k=k)
     size = notes.groupBy(*keys).agg(F.count("*").alias("notes"))
     weights = annotations.select(*keys, "annot_id", "weight").distinct()
-    return err_tags(p, keys=(*keys, "annot_id")).join(weights, [*keys, "annot_id"]).join(size, list(keys))
+    tags = err_tags(p, keys=(*keys, "annot_id"))
+    new = [c for c in tags.columns if c not in (*keys, "annot_id")]
+    return weights.join(tags, [*keys, "annot_id"], "left").fillna(0.0, new).join(size, list(keys))
 
 
 def discounted_proximal_gain(gains: DataFrame, ideal: DataFrame | None = None, *, keys=KEY) -> DataFrame:

@@ -79,20 +79,32 @@ def candidates(notes: DataFrame, *, table: str = "parncutt", mode: str = "max",
     return n.withColumn("allowed", ok)
 
 
-def layers(costed: DataFrame, *, keys=KEY) -> DataFrame:
-    """(keys, n, first_midi, layers): each segment's notes in order as arrays of 125 costs, null where not allowed. Needs q, cost, allowed."""
-    c = costed.withColumn("cost", F.when(F.col("allowed"), F.col("cost").cast("double")))
-    per = c.groupBy(*keys, "note_idx").agg(F.first("midi").alias("midi"), F.transform(F.array_sort(F.collect_list(F.struct("q", "cost"))), lambda s: s["cost"]).alias("m"))
-    return per.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("midi", "note_idx").alias("first_midi"), F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"]).alias("layers"))
+def playable(candidate_rows: DataFrame) -> DataFrame:
+    """The candidates that are allowed, and one row more of each note, so that no note is lost."""
+    return candidate_rows.where("allowed or q = 0")
+
+
+def layers(costed: DataFrame, *, width: int = 125, keys=KEY) -> DataFrame:
+    """(keys, n, first_midi, layers): each segment's notes in order as arrays of `width` costs, null where not allowed or not given. Needs q, cost, allowed.
+
+    A segment with a note that nothing is allowed for has no layers, as no path passes it.
+    """
+    some = F.array_sort(F.collect_list(F.when(F.col("allowed"), F.struct("q", F.col("cost").cast("double").alias("cost")))))
+    per = costed.groupBy(*keys, "note_idx").agg(F.first("midi").alias("midi"), some.alias("_some"))
+    spread = F.get(F.transform(F.array(F.map_from_entries("_some")), lambda m: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda q: F.try_element_at(m, q))), F.lit(0))
+    per = per.withColumn("m", F.when(F.size("_some") == width, F.transform("_some", lambda s: s["cost"])).when(F.size("_some") > 0, spread))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
+    return per.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("midi", "note_idx").alias("first_midi"), F.when(F.count("m") == F.count("*"), whole).alias("layers"))
 
 
 _CELL = "array<struct<c:double,p:string>>"
 
 
 def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
-    """(keys, rank, digits, cost): the k cheapest digit strings of each segment of two or more notes; ties in order of the digits.
+    """(keys, rank, digits, cost): the k cheapest digit strings of each segment; ties in order of the digits.
 
-    A segment without any allowed path has no rows. k should stay small (50): the state is 25 * k paths.
+    A segment without any allowed path has one row of rank 0, without digits or cost. k should stay small (50): the
+    state is 25 * k paths.
     """
     digit = lambda i: (i + 1).cast("string")
     known = lambda cell: F.filter(cell, lambda x: x["c"].isNotNull())
@@ -112,8 +124,18 @@ def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
     tail = F.element_at("layers", -1)
     end = lambda acc: F.slice(F.array_sort(known(F.flatten(F.transform(acc, lambda cell, q: F.transform(cell, lambda x: F.struct((x["c"] + F.get(tail, q * 5)).alias("c"), x["p"].alias("p"))))))), 1, k)
     inner = F.when(F.col("n") > 2, F.slice("layers", F.lit(2), (F.col("n") - 2).cast("int"))).otherwise(F.expr("array()").cast("array<array<double>>"))
-    best = layered.where("n > 1").select(*keys, F.posexplode(F.aggregate(inner, start, step, end)).alias("_r", "x"))
-    return best.select(*keys, (F.col("_r") + 1).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
+    lone = F.slice(F.array_sort(known(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.struct(F.get(head, d * 5).alias("c"), digit(d).alias("p"))))), 1, k)
+    best = layered.select(*keys, F.posexplode_outer(F.when(F.col("layers").isNull(), None).when(F.col("n") > 1, F.aggregate(inner, start, step, end)).otherwise(lone)).alias("_r", "x"))
+    return best.select(*keys, F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
+
+
+def _with_lone(layered: DataFrame, k: int, given: int | None = None, *, keys=KEY) -> DataFrame:
+    """The k best paths, but a lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost."""
+    from handspan.functions.fingering import one_note_advice
+
+    lone = F.col("n") == 1
+    best = k_best_paths(layered.where(~lone), k, keys=keys)
+    return best.unionAll(layered.where(lone).select(*keys, F.lit(1), one_note_advice("first_midi", F.lit(given)).cast("string"), F.lit(0.0)))
 
 
 def fingering_count(notes: DataFrame, *, table: str = "parncutt", mode: str = "none", hand: str = "hand", keys=KEY) -> DataFrame:
@@ -130,45 +152,58 @@ def fingering_count(notes: DataFrame, *, table: str = "parncutt", mode: str = "n
     return seq.select(*keys, F.aggregate(rest, F.expr("array_repeat(1D, 5)"), step, lambda acc: F.aggregate(acc, F.lit(0.0), add)).alias("paths"))
 
 
-def advise(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, mode: str = "max", first: int | None = None, last: int | None = None, weights: dict[str, float] | None = None, hand: str = "hand", keys=KEY) -> DataFrame:
+def advise(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, mode: str = "max", first: int | None = None, last: int | None = None, weights: dict[str, float] | None = None, unplayable: str = "row", hand: str = "hand", keys=KEY) -> DataFrame:
     """(keys, rank, digits, cost): the k cheapest fingerings of each segment under a preset.
 
-    A lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost.
+    A lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost. A segment
+    that no fingering fits has one row of rank 0 without digits or cost (unplayable="row"), or fails the job ("error").
     """
-    from handspan.functions.fingering import one_note_advice
-
     table = PRESETS[preset][1]
-    costed = trigram_cost(candidates(notes, table=table, mode=mode, first=first, last=last, hand=hand, keys=keys), preset, weights)
-    layered = layers(costed, keys=keys)
-    given = first if first is not None else last
-    lone = layered.where("n = 1").select(*keys, F.lit(1).alias("rank"), one_note_advice("first_midi", F.lit(given)).cast("string").alias("digits"), F.lit(0.0).alias("cost"))
-    return k_best_paths(layered, k, keys=keys).unionAll(lone)
+    costed = trigram_cost(playable(candidates(notes, table=table, mode=mode, first=first, last=last, hand=hand, keys=keys)), preset, weights)
+    best = _with_lone(layers(costed, keys=keys), k, first if first is not None else last, keys=keys)
+    if unplayable == "error":
+        where = F.concat_ws(", ", *[F.col(c).cast("string") for c in keys])
+        best = best.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.raise_error(F.concat(F.lit("no fingering for "), where)).cast("int")))
+    return best
 
 
-def advise_cyclic(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, keys=KEY, **options) -> DataFrame:
-    """The k cheapest fingerings that can be played over and over: the first note is set at the end again, with its finger."""
+def suggestion_details(suggestions: DataFrame, notes: DataFrame, preset: str = "parncutt", weights: dict[str, float] | None = None, *, hand: str = "hand", keys=KEY) -> DataFrame:
+    """(keys, rank, note_idx, digit, cost, detail): what each rule adds to each note of a suggestion, as a map; suggestions without digits have no rows."""
+    w = by_note(keys)
+    own = notes.select(*keys, "note_idx", "midi", F.col(hand).alias("hand"), (F.row_number().over(w) - 1).alias("pos"))
+    tips = explode_digits(suggestions, keys=keys).withColumnRenamed("tip", "digit").join(own, [*keys, "pos"])
+    costed = trigram_cost(with_trigrams(tips, keys=(*keys, "rank")), preset, weights)
+    return costed.select(*keys, "rank", "note_idx", "digit", "cost", "detail")
+
+
+def advise_cyclic(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, mode: str = "max", weights: dict[str, float] | None = None, hand: str = "hand", keys=KEY) -> DataFrame:
+    """The k cheapest fingerings that can be played over and over: the first note is set at the end again, with its finger.
+
+    One search, in which the first finger is a part of the key. A segment that no such fingering fits has a row of rank 0.
+    """
     end = notes.groupBy(*keys).agg(F.max("note_idx").alias("_last"))
     first = notes.join(notes.groupBy(*keys).agg(F.min("note_idx").alias("note_idx")), [*keys, "note_idx"])
     again = first.join(end, list(keys)).withColumn("note_idx", (F.col("_last") + 1).cast(notes.schema["note_idx"].dataType)).select(*notes.columns)
     ring = notes.unionByName(again)
-    parts = [advise(ring, preset, k, first=d, last=d, keys=keys, **options) for d in range(1, 6)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    w = Window.partitionBy(*keys).orderBy("cost", "digits")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own, first = (*keys, "_first"), F.col("_first")
+    ring = ring.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    costed = trigram_cost(playable(candidates(ring, table=PRESETS[preset][1], mode=mode, first=first, last=first, hand=hand, keys=own)), preset, weights)
+    every = k_best_paths(layers(costed, keys=own), k, keys=own).drop("_first")
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("cost"), "digits")
+    best = every.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= k) & ((F.col("_r") == 1) | F.col("digits").isNotNull()))
+    return best.withColumn("rank", F.when(F.col("digits").isNull(), 0).otherwise(F.col("_r"))).drop("_r")
 
 
 def table_advise(notes: DataFrame, costs: DataFrame, k: int = 1, *, hand: str = "hand", missing: int = 999, keys=KEY) -> DataFrame:
     """The k cheapest fingerings by a table of interval costs (low_color, high_color, low_finger, high_finger, semitones, cost).
 
     A step is looked up by its lower and higher note; a step that the table lacks costs `missing`. For the left hand
-    the roles of low and high change.
+    the roles of low and high change. A repeated pitch counts as not ascending. A lone note has one suggestion.
     """
     from handspan.functions.keys import is_black
 
-    c = candidates(notes, mode="none", hand=hand, keys=keys).where("allowed or true")
-    up = (F.col("m2") >= F.col("m1")) == (F.col(hand) == ">")
+    c = candidates(notes, mode="none", hand=hand, keys=keys)
+    up = (F.col("m2") > F.col("m1")) == (F.col(hand) == ">")
     color = lambda m: is_black(m).cast("int")
     c = c.withColumns({
         "low_color": F.when(up, color("m1")).otherwise(color("m2")), "high_color": F.when(up, color("m2")).otherwise(color("m1")),
@@ -176,16 +211,17 @@ def table_advise(notes: DataFrame, costs: DataFrame, k: int = 1, *, hand: str =
     })
     looked = c.join(F.broadcast(costs.withColumnRenamed("cost", "_cost")), ["low_color", "high_color", "low_finger", "high_finger", "semitones"], "left")  # a fixed table of some hundred rows
     costed = looked.withColumns({"cost": F.when(F.col("m1").isNull(), 0.0).otherwise(F.coalesce("_cost", F.lit(missing)).cast("double")), "allowed": F.lit(True)})
-    return k_best_paths(layers(costed, keys=keys), k, keys=keys)
+    return _with_lone(layers(costed, keys=keys), k, keys=keys)
 
 
 def transition_weights(fingered: DataFrame, *, keys=KEY, digit: str = "digit", by=()) -> DataFrame:
-    """(by, p, q, f, g, weight): for each two pitches in a row the share of each two fingers."""
+    """(by, p, q, f, g, weight): for each two pitches in a row the share of each two fingers within a sequence, summed over the sequences."""
     w = by_note(keys)
-    b = fingered.select(*by, F.lag("midi").over(w).alias("p"), F.col("midi").alias("q"), F.lag(digit).over(w).alias("f"), F.col(digit).alias("g")).where("p is not null")
-    four = b.groupBy(*by, "p", "q", "f", "g").agg(F.count("*").alias("n"))
-    two = four.groupBy(*by, "p", "q").agg(F.sum("n").alias("all"))
-    return four.join(two, [*by, "p", "q"]).select(*by, "p", "q", "f", "g", (F.col("n") / F.col("all")).alias("weight"))
+    own = list(dict.fromkeys([*by, *keys]))
+    b = fingered.select(*own, F.lag("midi").over(w).alias("p"), F.col("midi").alias("q"), F.lag(digit).over(w).alias("f"), F.col(digit).alias("g")).where("p is not null")
+    four = b.groupBy(*own, "p", "q", "f", "g").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*own, "p", "q"))
+    return four.withColumn("share", share).groupBy(*by, "p", "q", "f", "g").agg(F.sum("share").alias("weight"))
 
 
 def trained_advise(notes: DataFrame, weights: DataFrame, k: int = 1, *, hand: str = "hand", keys=KEY) -> DataFrame:
@@ -193,7 +229,7 @@ def trained_advise(notes: DataFrame, weights: DataFrame, k: int = 1, *, hand: st
     c = candidates(notes, mode="none", hand=hand, keys=keys)
     looked = c.join(weights.select(F.col("p").alias("m1"), F.col("q").alias("m2"), F.col("f").alias("d1"), F.col("g").alias("d2"), "weight"), ["m1", "m2", "d1", "d2"], "left")
     costed = looked.withColumns({"cost": -F.coalesce("weight", F.lit(0.0)), "allowed": F.lit(True)})
-    return k_best_paths(layers(costed, keys=keys), k, keys=keys)
+    return _with_lone(layers(costed, keys=keys), k, keys=keys)
 
 
 def pseudo_model(annotations: DataFrame, *, best: bool = True, k: int = 5, keys=KEY) -> DataFrame:
@@ -211,9 +247,13 @@ def random_advise(notes: DataFrame, k: int, seed: int = 1, *, keys=KEY) -> DataF
 
 
 def bad_fingers(notes: DataFrame, preset: str = "parncutt", *, hand: str = "hand", keys=KEY) -> DataFrame:
-    """(keys, note_idx, position, bad): for the note before (-1), the note (0) and the one after (1) the digits in no cheapest local trigram."""
-    table = PRESETS[preset][1]
-    c = trigram_cost(candidates(notes, table=table, mode="none", hand=hand, keys=keys).where("allowed"), preset)
+    """(keys, note_idx, position, bad): for the note before (-1), the note (0) and the one after (1) the digits in no cheapest local trigram.
+
+    Neighbouring digits of a trigram differ, on a repeated pitch too.
+    """
+    c = candidates(notes, table=PRESETS[preset][1], mode="none", hand=hand, keys=keys)
+    differ = (F.col("m1").isNull() | (F.col("d1") != F.col("d2"))) & (F.col("m3").isNull() | (F.col("d2") != F.col("d3")))
+    c = trigram_cost(c.where(differ), preset)
     w = Window.partitionBy(*keys, "note_idx")
     best = c.withColumn("_min", F.min("cost").over(w)).where("cost = _min")
     long = best.select(*keys, "note_idx", F.explode(F.create_map(F.lit(-1), F.when(F.col("m1").isNotNull(), F.col("d1")), F.lit(0), F.col("d2"), F.lit(1), F.when(F.col("m3").isNotNull(), F.col("d3")))).alias("position", "d"))
@@ -233,35 +273,53 @@ def strike_distance(suggestions: DataFrame, gold: DataFrame, method: str = "hamm
     return tips.join(gold, [*keys, "pos"]).groupBy(*keys, "rank").agg(F.sum(d).alias("distance"))
 
 
-def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "hamming", *, hand: str = "hand", keys=KEY, rounds: int = 100) -> DataFrame:
-    """(keys, corrections, distance): advise, and at the first finger that isn't gold's begin again there with gold's finger.
+def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "hamming", *, hand: str = "hand", keys=KEY) -> DataFrame:
+    """(keys, corrections, distance, playable): advise, and at the first finger that isn't gold's begin again there with gold's finger, until none differs.
 
-    One job for all segments in each round, each from its own place, until none differs. Needs notes.digit as gold's.
+    Needs notes.digit as gold's; a null one agrees with any finger. Where no fingering fits from some beginning on, it
+    ends there with playable false. One fold from the end gives the least cost to come after each pair of fingers, so one
+    from the beginning can follow the cheapest fingering, and begin anew at any note, without another search.
     """
-    from handspan.plans.lineage import cut_lineage
+    from handspan.functions.fingering import one_note_advice
 
     table = PRESETS[preset][1]
-    left = notes.select(*keys, "note_idx", "midi", F.col(hand).alias("hand"), "digit", F.lit(None).cast("int").alias("_fix"))
-    done = None
-    for turn in range(rounds):
-        if turn:
-            tips = k_best_paths(layers(trigram_cost(candidates(left, table=table, first=F.col("_fix"), keys=keys), preset), keys=keys), 1, keys=keys)  # a last note alone has gold's finger
-        else:
-            tips = advise(left, preset, 1, keys=keys)
-        pos = F.row_number().over(by_note(keys)) - 1
-        now = left.withColumn("pos", pos).join(explode_digits(tips, keys=keys).drop("rank"), [*keys, "pos"])
-        wrong = now.where("tip != digit").groupBy(*keys).agg(F.min("pos").alias("_at"))
-        miss = now.join(wrong, list(keys)).where("pos = _at").select(*keys, edit_distance(method, F.col("hand"), F.col("digit"), F.col("hand"), F.col("tip")).cast("long").alias("d"), F.col("note_idx").alias("_from"), F.col("digit").alias("_fix"))
-        miss = cut_lineage(miss)
-        if miss.isEmpty():
-            break
-        done = miss.select(*keys, "d") if done is None else done.unionAll(miss.select(*keys, "d"))
-        left = cut_lineage(left.drop("_fix").join(miss.select(*keys, "_from", "_fix"), list(keys)).where("note_idx >= _from").drop("_from"))
-    whole = notes.select(*keys).distinct()
-    if done is None:
-        return whole.select(*keys, F.lit(0).cast("long").alias("corrections"), F.lit(0).cast("long").alias("distance"))
-    sums = done.groupBy(*keys).agg(F.count("*").alias("corrections"), F.sum("d").alias("distance"))
-    return whole.join(sums, list(keys), "left").select(*keys, F.coalesce("corrections", F.lit(0).cast("long")).alias("corrections"), F.coalesce("distance", F.lit(0).cast("long")).alias("distance"))
+    own = notes.select(*keys, "note_idx", "midi", F.col(hand).alias("hand"), "digit")
+    c = candidates(own, table=table, keys=keys)
+    begin = c.where("d1 = 1").withColumns({"m1": F.lit(None).cast("int"), "h1": F.lit(None).cast("string")})
+    c = playable(c)
+    begin = begin.withColumn("allowed", transition_allowed(F.col("m2"), F.col("d2"), F.col("m3"), F.col("d3"), F.col("hand"), table))
+    starts = layers(trigram_cost(playable(begin), preset), width=25, keys=keys).select(*keys, F.col("layers").alias("starts"))
+    gold = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("note_idx", "hand", "digit"))).alias("gold"))
+    every = layers(trigram_cost(c, preset), keys=keys).join(starts, list(keys)).join(gold, list(keys))
+
+    n, five, pairs = F.col("n"), F.sequence(F.lit(0), F.lit(4)), F.sequence(F.lit(0), F.lit(24))
+
+    def back(acc, p):
+        layer = F.get("layers", p)
+        best = lambda ab: F.array_min(F.transform(five, lambda x: F.get(layer, ab * 5 + x) + F.get(F.get(acc, F.lit(0)), ab % 5 * 5 + x)))
+        return F.concat(F.array(F.transform(pairs, lambda ab: F.when(F.size(acc) == 0, F.get(layer, ab * 5)).otherwise(best(ab)))), acc)
+
+    nothing = F.expr("array()").cast("array<array<double>>")
+    down = F.when((n > 1) & F.col("layers").isNotNull(), F.sequence((n - 1).cast("int"), F.lit(1), F.lit(-1))).otherwise(F.expr("array()").cast("array<int>"))
+    every = every.withColumn("rest", F.aggregate(down, nothing, back))
+    cheapest = lambda values, cost: F.array_min(F.transform(values, lambda x: F.when(cost(x).isNotNull(), F.struct(cost(x).alias("c"), x.alias("d")))))["d"]
+    first = F.when(n > 1, F.floor(cheapest(pairs, lambda q: F.get(F.get("starts", F.lit(0)), q) + F.get(F.get("rest", F.lit(0)), q)) / 5).cast("int")).otherwise(one_note_advice("first_midi", F.lit(None)) - 1)
+    state = lambda finger, tip, corrections, distance, ok: F.struct(finger.cast("int").alias("finger"), tip.cast("int").alias("tip"), corrections.cast("long").alias("corrections"), distance.cast("long").alias("distance"), ok.alias("ok"))
+
+    def step(st, p):
+        g = F.get("gold", p)
+        finger = F.coalesce(g["digit"] - 1, st["tip"])
+        hit = finger == st["tip"]
+        on = lambda before: cheapest(five, lambda x: before(x) + F.get(F.get("rest", p), finger * 5 + x))
+        anew = on(lambda x: F.get(F.get("starts", p), finger * 5 + x))
+        along = on(lambda x: F.get(F.get("layers", p), st["finger"] * 25 + finger * 5 + x))
+        tip = F.when(p < n - 1, F.when(hit & (p > 0), along).otherwise(anew))
+        far = edit_distance(method, g["hand"], g["digit"], g["hand"], st["tip"] + 1)
+        after = state(finger, tip, st["corrections"] + F.when(hit, 0).otherwise(1), st["distance"] + F.when(hit, 0).otherwise(far), st["ok"])
+        return F.when(st["tip"].isNull(), state(st["finger"], st["tip"], st["corrections"], st["distance"], F.lit(False))).otherwise(after)
+
+    walked = F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), state(F.lit(None), first, F.lit(0), F.lit(0), F.lit(True)), step)
+    return every.select(*keys, walked.alias("w")).select(*keys, "w.corrections", "w.distance", F.col("w.ok").alias("playable"))
 
 
 def pivot_alignment(pairs: DataFrame, *, a: str = "a_pivot", b: str = "b_pivot", keys=KEY) -> DataFrame:
@@ -281,7 +339,7 @@ def rule_ablation(notes: DataFrame, preset: str, n: int, value, *, k: int = 5, h
     The candidates' rule costs are computed once; each version is a sum of the rules it keeps.
     """
     tags, table, _, own = PRESETS[preset]
-    base = trigram_cost(candidates(notes, table=table, hand=hand, keys=keys), preset)
+    base = trigram_cost(playable(candidates(notes, table=table, hand=hand, keys=keys)), preset)
     versions = ablations(preset, n)
     keep = F.array(*[F.struct(F.lit(name).alias("version"), F.array(*[F.lit(w.get(t, 1.0)) for t in tags]).alias("w")) for name, w in versions])
     each = base.withColumn("_v", F.explode(keep)).withColumns({"version": F.col("_v.version"), "cost": sum((F.col("detail")[t] * F.col("_v.w")[i] for i, t in enumerate(tags)), F.lit(0.0))})

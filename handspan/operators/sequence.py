@@ -28,11 +28,14 @@ def with_prior(notes: DataFrame, *, keys=KEY) -> DataFrame:
 
 
 def ngram_labels(labels: DataFrame, n: int, *, label: str = "hsd", keys=KEY) -> DataFrame:
-    """(keys, ngram_idx, ngram): each label with the n - 1 before it, 'x' where there is none, and n - 1 trailing items."""
-    items = F.concat(F.expr(f"array_repeat('x', {n - 1})"), F.transform(F.array_sort(F.collect_list(F.struct("note_idx", label))), lambda s: s[label]), F.expr(f"array_repeat('x', {n - 1})"))
-    whole = labels.groupBy(*keys).agg(items.alias("_items"), F.count("*").alias("_n"))
-    at = whole.select(*keys, "_items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") + (n - 2))).alias("ngram_idx"))
-    return at.select(*keys, "ngram_idx", F.array_join(F.slice("_items", (F.col("ngram_idx") + 1).cast("int"), n), "").alias("ngram"))
+    """(keys, ngram_idx, ngram): each label with the n - 1 before it, 'x' where there is none or it is null, and n - 1 trailing items."""
+    w = by_note(keys)
+    rows = labels.select(*keys, F.col(label).alias("_label"), (F.row_number().over(w) - 1).cast("long").alias("_i"), F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    more = F.when(F.col("_last"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("_k", F.explode(more)).select(*keys, (F.col("_i") + F.col("_k")).alias("ngram_idx"), F.when(F.col("_k") == 0, F.col("_label")).alias("_label"))
+    w = Window.partitionBy(*keys).orderBy("ngram_idx")
+    parts = [F.coalesce(F.lag("_label", k).over(w) if k else F.col("_label"), F.lit("x")) for k in range(n - 1, -1, -1)]
+    return rows.select(*keys, "ngram_idx", F.concat(*parts).alias("ngram"))
 
 
 def bigram_labels(notes: DataFrame, *, hand: str = "hand", digit: str = "digit", keys=KEY) -> DataFrame:

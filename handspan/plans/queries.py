@@ -365,7 +365,7 @@ def monophony(spark, d):
 
 @query("human_performance", "score_id:i human:b human_ms:b", f"""
   SELECT score_id, 1 - count(DISTINCT dur_ms) / count(*)::DOUBLE <= 0.5 AND 1 - count(DISTINCT onset_ms) / count(*)::DOUBLE <= 0.1 AS human,
-    coalesce(sum(CAST(s = 0 AS INT)) / nullif(sum(CAST(s < 30 AS INT)), 0)::DOUBLE, 0) <= 0.5 AND coalesce(sum(CAST(abs(g) < 5 AS INT)) / nullif(count(s), 0)::DOUBLE, 0) <= 0.5 AS human_ms
+    coalesce(sum(CAST(s = 0 AS INT)) / nullif(sum(CAST(s < 30 AS INT)), 0)::DOUBLE, 0) <= 0.5 AND coalesce(sum(CAST(abs(g) < 5 AS INT)) / nullif(sum(CAST(s >= 30 AS INT)), 0)::DOUBLE, 0) <= 0.5 AS human_ms
   FROM (SELECT *, onset_ms - lag(onset_ms) {W} AS s, onset_ms - (lag(onset_ms) {W} + lag(dur_ms) {W}) AS g FROM notes) GROUP BY 1""")
 def human_performance(spark, d):
     n = bound_notes(spark, d)
@@ -498,16 +498,29 @@ def alpha_with_candidate(spark, d):
     return agreement.alpha_with_candidate(_two(n), model, unit=("score_id", "note_idx"))
 
 
+_TRIGRAMS = NOTES_SQL + """, items AS (SELECT score_id, note_idx AS i, digit AS a, digit_b AS b FROM notes UNION ALL SELECT score_id, n + k, NULL, NULL FROM (SELECT score_id, count(*) AS n FROM notes GROUP BY 1), (SELECT unnest([0, 1]) AS k)),
+    g AS (SELECT coalesce(lag(a, 2) OVER w || '', 'x') || coalesce(lag(a) OVER w || '', 'x') || coalesce(a || '', 'x') AS a, coalesce(lag(b, 2) OVER w || '', 'x') || coalesce(lag(b) OVER w || '', 'x') || coalesce(b || '', 'x') AS b FROM items WINDOW w AS (PARTITION BY score_id ORDER BY i)),
+    v AS (SELECT v, CAST(count(*) AS DOUBLE) AS c FROM (SELECT a AS v FROM g UNION ALL SELECT b FROM g) GROUP BY 1)"""
+
+
 @query("alpha_trigram", "pairable:i observed:d expected:d alpha:d", """
   SELECT *, 1 - observed / expected AS alpha FROM (SELECT 2 * count(*) AS pairable, avg(CAST(a <> b AS INT)) AS observed, (4.0 * count(*) * count(*) - (SELECT sum(c * c) FROM v)) / (2.0 * count(*) * (2.0 * count(*) - 1)) AS expected FROM g)""",
-    NOTES_SQL + """, items AS (SELECT score_id, note_idx AS i, digit AS a, digit_b AS b FROM notes UNION ALL SELECT score_id, n + k, NULL, NULL FROM (SELECT score_id, count(*) AS n FROM notes GROUP BY 1), (SELECT unnest([0, 1]) AS k)),
-    g AS (SELECT coalesce(lag(a, 2) OVER w || '', 'x') || coalesce(lag(a) OVER w || '', 'x') || coalesce(a || '', 'x') AS a, coalesce(lag(b, 2) OVER w || '', 'x') || coalesce(lag(b) OVER w || '', 'x') || coalesce(b || '', 'x') AS b FROM items WINDOW w AS (PARTITION BY score_id ORDER BY i)),
-    v AS (SELECT v, CAST(count(*) AS DOUBLE) AS c FROM (SELECT a AS v FROM g UNION ALL SELECT b FROM g) GROUP BY 1)""")
+    _TRIGRAMS)
 def alpha_trigram(spark, d):
     t = _two(bound_notes(spark, d)).withColumn("value", F.col("value").cast("string"))
     return agreement.alpha_ngram(t, 3, label="value")
 
 
+_SOFT = "CASE WHEN {0} = {1} THEN 0.0 WHEN {0}[1] = {1}[1] AND {0}[3] = {1}[3] AND coalesce(least(TRY_CAST({0}[2] AS INT), TRY_CAST({1}[2] AS INT)) IN (2, 3) AND abs(TRY_CAST({0}[2] AS INT) - TRY_CAST({1}[2] AS INT)) = 1, false) THEN 0.01 ELSE 1.0 END"
+
+
+@query("alpha_trigram_nuanced", "pairable:i observed:d expected:d alpha:d", f"""
+  SELECT *, 1 - observed / expected AS alpha FROM (SELECT 2 * count(*) AS pairable, avg({_SOFT.format('a', 'b')}) AS observed, (SELECT sum(p.c * q.c * ({_SOFT.format('p.v', 'q.v')})) FROM v p, v q) / (2.0 * count(*) * (2.0 * count(*) - 1)) AS expected FROM g)""", _TRIGRAMS)
+def alpha_trigram_nuanced(spark, d):
+    t = _two(bound_notes(spark, d)).withColumn("value", F.col("value").cast("string"))
+    return agreement.alpha_ngram(t, 3, lambda a, b: agreement.trigram_distance(a, b, nuanced=True), label="value")
+
+
 @query("simple_match_rate", "score_id:i matches:i notes:i rate:d", "SELECT score_id, sum(CAST(digit = digit_b AS INT)) AS matches, count(*) AS notes, avg(CAST(digit = digit_b AS INT)) AS rate FROM notes GROUP BY 1")
 def simple_match_rate(spark, d):
     t = _two(bound_notes(spark, d))
@@ -516,7 +529,7 @@ def simple_match_rate(spark, d):
 
 _RATES = """
   SELECT score_id, staff, count(*) AS notes, 2 AS truths, (sum(a) + sum(b)) / (2.0 * count(*)) AS gen, greatest(avg(a), avg(b)) AS high, avg(greatest(a, b)) AS soft
-  FROM (SELECT *, CAST(1 + digit % 5 = digit AS INT) + CAST(1 + digit % 5 = digit_b AS INT) * 0 AS z, CAST(p = digit AS INT) AS a, CAST(p = digit_b AS INT) AS b FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN digit ELSE 1 + (event_id % 5) END AS p FROM notes)) GROUP BY 1, 2"""
+  FROM (SELECT *, CAST(p = digit AS INT) AS a, CAST(p = digit_b AS INT) AS b FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN digit ELSE 1 + (event_id % 5) END AS p FROM notes)) GROUP BY 1, 2"""
 
 
 def _predictions(spark, d):
@@ -544,14 +557,11 @@ def corpus_match_rates(spark, d):
     return matchrates.corpus_match_rates(r).crossJoin(u)  # one row each
 
 
-@query("human_match_rates", "score_id:i a_coder:s notes:i gen:d", "SELECT score_id, unnest(['a', 'b']) AS a_coder, count(*) AS notes, avg(CAST(digit = digit_b AS INT)) AS gen FROM notes GROUP BY score_id, a_coder")
+@query("human_match_rates", "score_id:i a_coder:s notes:i gen:d", "SELECT score_id, unnest(['a', 'b']) AS a_coder, notes, gen FROM (SELECT score_id, count(*) AS notes, avg(CAST(digit = digit_b AS INT)) AS gen FROM notes GROUP BY 1)")
 def human_match_rates(spark, d):
     return matchrates.human_match_rates(_two(bound_notes(spark, d)))
 
 
-ORACLE_SQL["human_match_rates"] = ORACLE_SQL["human_match_rates"].replace("SELECT score_id, unnest(['a', 'b']) AS a_coder, count(*) AS notes, avg(CAST(digit = digit_b AS INT)) AS gen FROM notes GROUP BY score_id, a_coder", "SELECT score_id, unnest(['a', 'b']) AS a_coder, notes, gen FROM (SELECT score_id, count(*) AS notes, avg(CAST(digit = digit_b AS INT)) AS gen FROM notes GROUP BY 1)")
-
-
 @query("classification_report", "label:i support:i predicted_n:i precision:d recall:d f1:d", """
   SELECT label, support, predicted_n, hit / nullif(predicted_n, 0)::DOUBLE AS precision, hit / nullif(support, 0)::DOUBLE AS recall, 2.0 * hit / (support + predicted_n) AS f1 FROM (
     SELECT l AS label, sum(CAST(digit = l AS INT)) AS support, sum(CAST(digit_b = l AS INT)) AS predicted_n, sum(CAST(digit = l AND digit_b = l AS INT)) AS hit FROM notes, (SELECT unnest(range(1, 6)) AS l) GROUP BY 1)""")
@@ -604,15 +614,13 @@ def feature_tallies(spark, d):
 
 # --- rule models ----------------------------------------------------------------------------------------------------
 
-_SPANS = {f: {t: dims.span_array(t, f) for t in dims.RISING_SPANS} for f in dims.FIELDS}
-
-
 def _span(field: str, a: str = "d1", b: str = "d2", table: str = "parncutt") -> str:
-    return f"list_extract({_SPANS[field][table]}, CAST(CASE WHEN h2 = '>' THEN ({a} - 1) * 5 + {b} ELSE ({b} - 1) * 5 + {a} END AS INT))"
+    at = f"CAST(({a} - 1) * 5 + {b} AS INT)"
+    return f"CASE WHEN h2 = '>' THEN list_extract({dims.span_array(table, field, '>')}, {at}) ELSE list_extract({dims.span_array(table, field, '<')}, {at}) END"
 
 
 def _spread(field: str, table: str = "parncutt") -> str:
-    return f"list_extract({_SPANS[field][table]}, CAST((least(d1, d2) - 1) * 5 + greatest(d1, d2) AS INT))"
+    return f"list_extract({dims.span_array(table, field)}, CAST((least(d1, d2) - 1) * 5 + greatest(d1, d2) AS INT))"
 
 
 def _rules_sql(table: str = "parncutt", step: str = "greatest(least(m2 - m1, 17), -17)", skip: str = "greatest(least(m3 - m1, 17), -17)") -> dict[str, str]:
@@ -661,11 +669,35 @@ def rule_costs(spark, d):
     return search.rule_costs(search.with_trigrams(bound_notes(spark, d)), _TAGS)
 
 
+_JACOBS = "str sma larj pcc pcs weaj 3t4 bl4 bl1 bl5 pa1"
+_BADGEROW = "str sma larb pcc pcs wea 345 3t4 bl4 bl1 bl5 pa1 aprb afcb b1wb b1pb"
+#: What the published code gives each model: rules, spans, ruler, and rules of half weight.
+_MODELS = {
+    "parncutt": ("str sma lar pcc pcs wea 345 3t4 bl4 bl1 bl5 pa1", "parncutt", "semitone", ""),
+    "jacobs": (_JACOBS, "parncutt", "physical", ""),
+    "jarules": (_JACOBS, "parncutt", "semitone", ""),
+    "jaball": (_JACOBS, "balliauw_large", "imaginary", ""),
+    "jaSball": (_JACOBS, "balliauw_small", "imaginary", ""),
+    "jaMball": (_JACOBS, "balliauw_medium", "imaginary", ""),
+    "badgerow": (_BADGEROW, "badgerow", "semitone", ""),
+    "badpar": (_BADGEROW, "parncutt", "semitone", ""),
+    "balliauw": ("str smaw pchw pcow weaj 3t4 bl4 bl1 bl5 pa1 rfrw impw nrfw", "balliauw_large", "imaginary", "bl1 bl5"),
+    "badball": (_BADGEROW, "balliauw_large", "imaginary", ""),
+    "badSball": (_BADGEROW, "balliauw_small", "imaginary", ""),
+    "badMball": (_BADGEROW, "balliauw_medium", "imaginary", ""),
+}
+
+
+def _millimetres(a: str, b: str) -> str:
+    at = keys.key_positions()
+    return f"CASE WHEN {b} < {a} THEN -1 ELSE 1 END * len(list_filter({keys.semitone_bounds()!r}, lambda x: x < abs(list_extract({at!r}, CAST({b} - 20 AS INT)) - list_extract({at!r}, CAST({a} - 20 AS INT)))))"
+
+
 def _preset(name: str) -> str:
-    tags, table, ruler, own = dims.PRESETS[name]
-    pair = {"semitone": "greatest(least({1} - {0}, 17), -17)", "imaginary": f"({imaginary('{1}')} - {imaginary('{0}')})"}[ruler]
-    r = _rules_sql(table, pair.format("m1", "m2"), pair.format("m1", "m3"))
-    return " + ".join(f"{float(own.get(t, 1.0))} * {r[t]}" for t in tags)
+    tags, table, ruler, half = _MODELS[name]
+    ruler = {"semitone": lambda a, b: f"greatest(least({b} - {a}, 17), -17)", "imaginary": lambda a, b: f"({imaginary(b)} - {imaginary(a)})", "physical": _millimetres}[ruler]
+    r = _rules_sql(table, ruler("m1", "m2"), ruler("m1", "m3"))
+    return " + ".join(f"{0.5 if t in half.split() else 1.0} * {r[t]}" for t in tags.split())
 
 
 def _costed(name: str):
@@ -676,7 +708,7 @@ def _costed(name: str):
     return cost
 
 
-for _name in ("parncutt", "jarules", "badgerow", "badpar", "badball", "balliauw"):
+for _name in _MODELS:
     _costed(_name)
 
 
@@ -688,12 +720,62 @@ def _phrases(spark, d):
 PHRASE = ("score_id", "segment_idx")
 
 
-@query("advise_parncutt", "score_id:i segment_idx:i rank:i digits:s cost:d")
+_SEGS = NOTES_SQL + f", cut AS (SELECT *, {_SEG.replace(chr(39) + ',' + chr(39) + ', ' + chr(39) + ';' + chr(39) + ', ', '')} AS segment_idx FROM notes), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM cut)"
+
+
+def _searched(cost: str, allowed: str, k: int, ring: bool = False) -> str:
+    """Tables to search phrases step by step: `tri` (notes and neighbours), `cand` (digits of three notes with costs) and `best` (the k cheapest, by cost and digits).
+
+    ring: the first note comes again at the end, and paths with different first fingers are kept apart, to be closed.
+    """
+    notes = "seg" if not ring else "(SELECT score_id, segment_idx, pos, len + 1 AS len, digit, hand, midi FROM seg UNION ALL SELECT score_id, segment_idx, len, len + 1, digit, hand, midi FROM seg WHERE pos = 0)"
+    apart, closed = (", p.digits[1]", " AND digits[1] = digits[-1]") if ring else ("", "")
+    return "RECURSIVE " + _SEGS + f""", five AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS d), tri AS (
+  SELECT *, hand AS h2, lag(midi) OVER p AS m1, midi AS m2, lead(midi) OVER p AS m3 FROM {notes} WINDOW p AS (PARTITION BY score_id, segment_idx ORDER BY pos)
+), cand AS MATERIALIZED (
+  SELECT score_id, segment_idx, pos, len, m1, m3, d1, d2, d3, CAST({cost} AS DOUBLE) AS cost
+  FROM (SELECT tri.*, a.d AS d1, b.d AS d2, c.d AS d3 FROM tri, five a, five b, five c WHERE (m1 IS NOT NULL OR a.d = 1) AND (m3 IS NOT NULL OR c.d = 1)) WHERE {allowed}
+), paths AS (
+  SELECT score_id, segment_idx, pos, len, d2 AS a, d3 AS b, cost, CASE WHEN len = 1 THEN d2 || '' ELSE d2 || '' || d3 END AS digits FROM cand WHERE pos = 0
+  UNION ALL
+  SELECT score_id, segment_idx, pos, len, a, b, cost, digits FROM (
+    SELECT p.score_id, p.segment_idx, c.pos, c.len, c.d2 AS a, c.d3 AS b, p.cost + c.cost AS cost, p.digits || CASE WHEN c.pos < c.len - 1 THEN c.d3 || '' ELSE '' END AS digits,
+      row_number() OVER (PARTITION BY p.score_id, p.segment_idx, c.d2, c.d3{apart} ORDER BY p.cost + c.cost, p.digits || CASE WHEN c.pos < c.len - 1 THEN c.d3 || '' ELSE '' END) AS r
+    FROM paths p JOIN cand c ON c.score_id = p.score_id AND c.segment_idx = p.segment_idx AND c.pos = p.pos + 1 AND c.d1 = p.a AND c.d2 = p.b) WHERE r <= {k}
+), best AS (
+  SELECT * FROM (SELECT score_id, segment_idx, len, digits, cost, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY cost, digits) AS rank FROM paths WHERE pos = len - 1{closed}) WHERE rank <= {k}
+)"""
+
+
+_LONE = f"SELECT score_id, segment_idx, 1 AS rank, CASE WHEN {black('midi')} THEN '2' ELSE '1' END AS digits, 0.0 AS cost FROM seg WHERE len = 1"
+_BEST = f"SELECT score_id, segment_idx, rank, digits, cost FROM best WHERE len > 1 UNION ALL {_LONE}"
+_ADVISED = f"{_BEST} UNION ALL SELECT DISTINCT score_id, segment_idx, 0, NULL, NULL FROM seg WHERE len > 1 AND NOT EXISTS (SELECT 1 FROM best WHERE best.score_id = seg.score_id AND best.segment_idx = seg.segment_idx)"
+
+
+def _move(a: str, b: str, table: str = "parncutt") -> str:
+    fingers = {"1": "d1", "2": "d2", "3": "d3"}
+    return f"CASE WHEN m{a} IS NULL OR m{b} IS NULL THEN true WHEN m{a} = m{b} THEN {fingers[a]} = {fingers[b]} ELSE {fingers[a]} <> {fingers[b]} AND m{b} - m{a} <= {_span('max_prac', fingers[a], fingers[b], table)} END"
+
+
+_PLAYABLE = f"({_move('1', '2')}) AND ({_move('2', '3')})"
+
+
+@query("advise_parncutt", "score_id:i segment_idx:i rank:i digits:s cost:d", _ADVISED, _searched(_preset("parncutt"), _PLAYABLE, 5))
 def advise_parncutt(spark, d):
+    """The five cheapest fingerings of every phrase; one that can't be played has a row of rank 0."""
     return search.advise(_phrases(spark, d), "parncutt", 5, keys=PHRASE)
 
 
-_SEGS = NOTES_SQL + f", cut AS (SELECT *, {_SEG.replace(chr(39) + ',' + chr(39) + ', ' + chr(39) + ';' + chr(39) + ', ', '')} AS segment_idx FROM notes), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM cut)"
+@query("advise_details", "score_id:i segment_idx:i rank:i note_idx:i digit:i cost:d rules:d", f"""
+  SELECT score_id, segment_idx, rank, note_idx, d2 AS digit, {_preset("parncutt")} AS cost, {_preset("parncutt")} AS rules FROM (
+    SELECT *, lag(m2) OVER w AS m1, lead(m2) OVER w AS m3, lag(d2) OVER w AS d1, lead(d2) OVER w AS d3 FROM (
+      SELECT a.score_id, a.segment_idx, a.rank, s.note_idx, s.pos, s.hand AS h2, s.midi AS m2, CAST(a.digits[s.pos + 1] AS INT) AS d2 FROM ({_ADVISED}) a JOIN seg s ON s.score_id = a.score_id AND s.segment_idx = a.segment_idx AND a.rank > 0)
+    WINDOW w AS (PARTITION BY score_id, segment_idx, rank ORDER BY pos))""", _searched(_preset("parncutt"), _PLAYABLE, 2))
+def advise_details(spark, d):
+    """What each note of the two cheapest fingerings costs, and the sum of its rules' map."""
+    p = _phrases(spark, d)
+    out = search.suggestion_details(search.advise(p, "parncutt", 2, keys=PHRASE), p, keys=PHRASE)
+    return out.withColumn("rules", F.aggregate(F.map_values("detail"), F.lit(0.0), lambda a, x: a + x))
 
 
 @query("fingering_count", "score_id:i segment_idx:i paths:d", "SELECT score_id, segment_idx, 5 * product(CASE WHEN m1 IS NULL THEN 1.0 WHEN m1 = midi THEN 1.0 ELSE 4.0 END) AS paths FROM (SELECT *, lag(midi) OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) AS m1 FROM seg) GROUP BY 1, 2", _SEGS)
@@ -701,20 +783,35 @@ def fingering_count(spark, d):
     return search.fingering_count(_phrases(spark, d), keys=PHRASE)
 
 
-@query("table_advise", "score_id:i segment_idx:i rank:i digits:s cost:d")
+_UP = "((m2 > m1) = (h2 = '>'))"
+_INTERVAL = f"""CASE WHEN m1 IS NULL THEN 0 WHEN abs(m2 - m1) > 12 THEN 999 ELSE abs(abs(m2 - m1) - 2 * (CASE WHEN {_UP} THEN d2 - d1 ELSE d1 - d2 END))
+  + CASE WHEN CASE WHEN {_UP} THEN d2 = 1 AND {black('m2')} ELSE d1 = 1 AND {black('m1')} END THEN 3 ELSE 0 END END"""
+
+
+@query("table_advise", "score_id:i segment_idx:i rank:i digits:s cost:d", _BEST, _searched(_INTERVAL, "true", 3))
 def table_advise(spark, d):
     return search.table_advise(_phrases(spark, d), interval_costs(spark), 3, keys=PHRASE)
 
 
-@query("transition_weights", "p:i q:i f:i g:i weight:d", f"SELECT p, midi AS q, f, digit AS g, count(*) / sum(count(*)) OVER (PARTITION BY p, midi) AS weight FROM (SELECT *, lag(midi) {W} AS p, lag(digit) {W} AS f FROM notes) WHERE p IS NOT NULL GROUP BY p, midi, f, digit")
+@query("transition_weights", "p:i q:i f:i g:i weight:d", f"""
+  SELECT p, q, f, g, sum(share) AS weight FROM (
+    SELECT score_id, p, midi AS q, f, digit AS g, count(*) / CAST(sum(count(*)) OVER (PARTITION BY score_id, p, midi) AS DOUBLE) AS share FROM (SELECT *, lag(midi) {W} AS p, lag(digit) {W} AS f FROM notes) WHERE p IS NOT NULL GROUP BY score_id, p, midi, f, digit)
+  GROUP BY 1, 2, 3, 4""")
 def transition_weights(spark, d):
     return search.transition_weights(bound_notes(spark, d))
 
 
-@query("trained_advise", "score_id:i segment_idx:i rank:i digits:s cost:d")
+_LEARNT = """-coalesce((SELECT round(sum(share), 6) FROM (
+    SELECT p, q, f, g, count(*) / CAST(sum(count(*)) OVER (PARTITION BY score_id, segment_idx, p, q) AS DOUBLE) AS share FROM (
+      SELECT score_id, segment_idx, lag(midi) OVER s AS p, midi AS q, lag(digit) OVER s AS f, digit AS g FROM seg WINDOW s AS (PARTITION BY score_id, segment_idx ORDER BY pos)) WHERE p IS NOT NULL GROUP BY score_id, segment_idx, p, q, f, g) w
+  WHERE w.p = m1 AND w.q = m2 AND w.f = d1 AND w.g = d2), 0)"""
+
+
+@query("trained_advise", "score_id:i segment_idx:i rank:i digits:s cost:d", _BEST, _searched(_LEARNT, "true", 2))
 def trained_advise(spark, d):
+    """By shares in millionths, so that equal sums are ties for any order of adding up."""
     p = _phrases(spark, d)
-    return search.trained_advise(p, search.transition_weights(p, keys=PHRASE), 2, keys=PHRASE)
+    return search.trained_advise(p, search.transition_weights(p, keys=PHRASE).withColumn("weight", F.round("weight", 6)), 2, keys=PHRASE)
 
 
 @query("random_advise", "score_id:i rank:i notes:i valid:b", "SELECT score_id, rank, count(*) AS notes, true AS valid FROM notes, (SELECT unnest(range(1, 4)) AS rank) GROUP BY 1, 2")
@@ -722,12 +819,17 @@ def random_advise(spark, d):
     return search.random_advise(bound_notes(spark, d), 3).select("score_id", "rank", F.length("digits").alias("notes"), F.col("digits").rlike("^[1-5]+$").alias("valid"))
 
 
-@query("bad_fingers", "score_id:i segment_idx:i note_idx:i position:i bad:s")
+@query("bad_fingers", "score_id:i segment_idx:i note_idx:i position:i bad:s", """
+  SELECT score_id, segment_idx, note_idx, position, coalesce(string_agg(f.d || '', '' ORDER BY f.d) FILTER (WHERE NOT list_contains(used, f.d)), '') AS bad FROM (
+    SELECT c.score_id, c.segment_idx, s.note_idx, position, list(DISTINCT CASE position WHEN -1 THEN d1 WHEN 0 THEN d2 ELSE d3 END) AS used
+    FROM (SELECT *, min(cost) OVER (PARTITION BY score_id, segment_idx, pos) AS least FROM cand) c JOIN seg s USING (score_id, segment_idx, pos), (SELECT unnest([-1, 0, 1]) AS position)
+    WHERE cost = least AND (position = 0 OR position = -1 AND m1 IS NOT NULL OR position = 1 AND m3 IS NOT NULL) GROUP BY 1, 2, 3, 4), five f GROUP BY 1, 2, 3, 4""",
+    _searched(_preset("parncutt"), "(m1 IS NULL OR d1 <> d2) AND (m3 IS NULL OR d2 <> d3)", 1))
 def bad_fingers(spark, d):
     return search.bad_fingers(_phrases(spark, d), keys=PHRASE).withColumn("bad", F.array_join("bad", ""))
 
 
-@query("strike_reentry", "score_id:i segment_idx:i corrections:i distance:i")
+@query("strike_reentry", "score_id:i segment_idx:i corrections:i distance:i playable:b")
 def strike_reentry(spark, d):
     return search.strike_reentry(_phrases(spark, d), keys=PHRASE)
 
@@ -765,7 +867,10 @@ def combine_segments(spark, d):
     return corpus.combine_segments(p, 1)
 
 
-@query("combine_segments_best", "score_id:i rank:i fingering:s cost:d")
+@query("combine_segments_best", "score_id:i rank:i fingering:s cost:d", "SELECT score_id, rank, f AS fingering, c AS cost FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY c, f) AS rank FROM whole WHERE s = last) WHERE rank <= 4",
+    "RECURSIVE " + _SEGS + """, options AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY score_id ORDER BY segment_idx) AS s, count(DISTINCT segment_idx) OVER (PARTITION BY score_id) AS last FROM (SELECT score_id, segment_idx, digit || '' AS f, CAST(min(dur_ms) AS DOUBLE) AS c FROM seg GROUP BY 1, 2, 3)),
+  whole AS (SELECT score_id, s, last, f, c FROM options WHERE s = 1 UNION ALL
+    SELECT score_id, s, last, f, c FROM (SELECT o.score_id, o.s, o.last, w.f || o.f AS f, w.c + o.c AS c, row_number() OVER (PARTITION BY o.score_id ORDER BY w.c + o.c, w.f || o.f) AS r FROM whole w JOIN options o ON o.score_id = w.score_id AND o.s = w.s + 1) WHERE r <= 4)""")
 def combine_segments_best(spark, d):
     """The four cheapest whole sequences of one suggestion for each phrase: its digits, each at its shortest duration."""
     p = sequence.with_segments(bound_notes(spark, d), level=".").groupBy("score_id", "segment_idx", F.col("digit").cast("string").alias("fingering")).agg(F.min("dur_ms").alias("cost")).withColumn("rank", F.lit(1))
@@ -810,6 +915,19 @@ def prob_satisfied(spark, d):
     return ranking.prob_satisfied(ranking.big_delta(p, delta="al"), ranking.pivot_clashes(p))
 
 
+def _mus(mu: str, by: str):
+    @query(f"prob_satisfied_{mu}", "score_id:i rank:i p:d", f"SELECT a.score_id, a.rank, (1 - a.x) / {by} AS p FROM (SELECT score_id, rank, avg({_DELTA['al']}) AS x FROM tips GROUP BY 1, 2) a JOIN ({_RHO}) r USING (score_id, rank)", SUGGESTIONS_SQL)
+    def satisfied(spark, d):
+        p = pairs(bound_notes(spark, d))
+        return ranking.prob_satisfied(ranking.big_delta(p, delta="al"), ranking.pivot_clashes(p), mu=mu)
+
+    return satisfied
+
+
+_mus("power2", "pow(2.0, r.rho)")
+_mus("plus1", "(r.rho + 1.0)")
+
+
 def _err(p: str) -> str:
     left = " * ".join(f"(1 - coalesce(lag(p, {k}) OVER w, 0))" for k in range(1, 5))
     return f"SELECT score_id, sum(t) AS err FROM (SELECT score_id, p / rank * {left} AS t FROM ({p}) WINDOW w AS (PARTITION BY score_id ORDER BY rank)) GROUP BY 1"
@@ -842,15 +960,17 @@ for _name in ("trigram", "nuanced", "relaxed"):
 
 
 def _gains(spark, d):
-    """Digits ranked by how often annotator 1 uses them; annotator 2's uses are votes."""
+    """Fingers on pitch classes, ranked by how often annotator 1 uses them; annotator 2's uses are votes."""
     n = bound_notes(spark, d)
-    used = n.groupBy("score_id", F.col("digit").alias("fingering")).agg(F.count("*").alias("_n"))
+    item = lambda c: F.concat_ws("-", F.col(c), F.col("midi") % 12).alias("fingering")
+    used = n.groupBy("score_id", item("digit")).agg(F.count("*").alias("_n"))
     s = used.select("score_id", F.row_number().over(Window.partitionBy("score_id").orderBy(F.desc("_n"), "fingering")).alias("rank"), "fingering")
-    v = n.where("digit_b <= 3").groupBy("score_id", F.col("digit_b").alias("fingering")).agg(F.count("*").alias("votes"))
+    v = n.groupBy("score_id", item("digit_b")).agg(F.count("*").alias("votes"))
     return ranking.with_gains(s, v), v
 
 
-_GAINS = NOTES_SQL + """, tips AS (SELECT score_id, digit AS fingering, row_number() OVER (PARTITION BY score_id ORDER BY count(*) DESC, digit) AS rank FROM notes GROUP BY 1, 2), votes AS (SELECT score_id, digit_b AS fingering, count(*) AS votes FROM notes WHERE digit_b <= 3 GROUP BY 1, 2),
+_GAINS = NOTES_SQL + """, tips AS (SELECT score_id, fingering, row_number() OVER (PARTITION BY score_id ORDER BY c DESC, fingering) AS rank FROM (SELECT score_id, digit || '-' || midi % 12 AS fingering, count(*) AS c FROM notes GROUP BY 1, 2)),
+ votes AS (SELECT score_id, digit_b || '-' || midi % 12 AS fingering, count(*) AS votes FROM notes GROUP BY 1, 2),
  gains AS (SELECT t.score_id, t.rank, t.fingering, coalesce(v.votes, 0) AS votes, coalesce(v.votes, 0) / CAST(x.t AS DOUBLE) AS gain, CAST(v.votes IS NOT NULL AS INT) AS hit, x.relevant
   FROM tips t JOIN (SELECT score_id, sum(votes) AS t, count(*) AS relevant FROM votes GROUP BY 1) x USING (score_id) LEFT JOIN votes v ON v.score_id = t.score_id AND v.fingering = t.fingering)"""
 
@@ -861,6 +981,17 @@ def average_precision(spark, d):
     return ranking.average_precision(g).join(ranking.precision_recall_at_k(g, 3), "score_id")
 
 
+@query("mean_average_precision", "hand:s map:d pieces:i at_recall:d whole:i", """
+  SELECT CASE score_id % 2 WHEN 0 THEN '>' ELSE '<' END AS hand, avg(ap) AS map, count(*) AS pieces, avg(CASE WHEN found = relevant THEN ap END) AS at_recall, count(CASE WHEN found = relevant THEN 1 END) AS whole FROM (
+    SELECT score_id, sum(hit * h / rank) / max(relevant) AS ap, max(h) AS found, max(relevant) AS relevant FROM (SELECT *, CAST(sum(hit) OVER (PARTITION BY score_id ORDER BY rank) AS DOUBLE) AS h FROM gains) GROUP BY 1) GROUP BY 1""", _GAINS)
+def mean_average_precision(spark, d):
+    g, _ = _gains(spark, d)
+    side = F.when(F.col("score_id") % 2 == 0, ">").otherwise("<")
+    of = lambda p: ranking.mean_average_precision(p.withColumn("hand", side), by=("hand",))
+    at = of(ranking.average_precision_at_recall(g)).select("hand", F.col("map").alias("at_recall"), F.col("pieces").alias("whole"))
+    return of(ranking.average_precision(g)).join(at, "hand")
+
+
 @query("ndcg", "score_id:i dcg:d ideal:d ndcg:d", """
   SELECT g.score_id, dcg, ideal, dcg / ideal AS ndcg FROM (SELECT score_id, sum(gain / CASE rank WHEN 1 THEN 1 ELSE log2(rank) END) AS dcg FROM gains WHERE rank <= 4 GROUP BY 1) g
   JOIN (SELECT score_id, sum(share / CASE r WHEN 1 THEN 1 ELSE log2(r) END) AS ideal FROM (SELECT score_id, votes / CAST(sum(votes) OVER (PARTITION BY score_id) AS DOUBLE) AS share, row_number() OVER (PARTITION BY score_id ORDER BY votes DESC) AS r FROM votes) WHERE r <= 4 GROUP BY 1) i USING (score_id)""", _GAINS)
@@ -888,6 +1019,7 @@ _MARKS = SUGGESTIONS_SQL + """, cells AS (SELECT score_id, rank, note_idx, tip,
 _USERS = {
     "strict": ("CAST(m = n AS DOUBLE)", "1.0"),
     "estimated": ("CASE WHEN m = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE ELSE 0 END", "CASE WHEN m = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE ELSE 1 END"),
+    "equal_proxy": ("CASE WHEN m = n OR m + x = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE WHEN w + m + x = n THEN (m + x / pow(2.0, x)) / n ELSE 0 END", "CASE WHEN m = n OR m + x = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE WHEN w + m + x = n THEN (m + x) / n::DOUBLE ELSE 1 END"),
     "proxy": ("CASE WHEN m = n THEN 1.0 WHEN m + x = n THEN (m + x / pow(2.0, x)) / n WHEN w + m = n THEN m / n::DOUBLE WHEN w + m + x = n THEN (m + x / pow(2.0, x)) / n ELSE 0 END", "CASE WHEN m = n OR m + x = n THEN 1.0 WHEN w + m = n THEN m / n::DOUBLE WHEN w + m + x = n THEN (m + x) / n::DOUBLE ELSE 1 END"),
     "equity": ("CASE WHEN w = n THEN 0 WHEN m = n THEN n ELSE eq / pow(2.0, ec) END", "CASE WHEN w = n THEN 0 ELSE n END"),
     "pure_equity": ("CASE WHEN w = n OR w + m + x <> n THEN 0 ELSE eq END", "CASE WHEN w = n THEN 0 ELSE n END"),
@@ -968,7 +1100,7 @@ def mean_err(spark, d):
 
 @query("features_v7", "score_id:i note_idx:i chord_cat:s chord_border:s bop:b eop:b dxgram_1:s dxgram_2:s black3gram:s returning:b leap:b velocity:i odd_repeats_before:b separated_count:i left_nps:d", f"""
   SELECT c.score_id, c.note_idx, c.staff || c.chord_lower || c.chord_upper AS chord_cat, CASE WHEN c.chord_lower = 0 AND c.chord_upper > 0 THEN 'left' WHEN c.chord_upper = 0 AND c.chord_lower > 0 THEN 'right' ELSE 'none' END AS chord_border, c.note_idx = 0 AS bop, p1 IS NULL AS eop,
-    x_m1 || '|' || x_p1 AS dxgram_1, x_m2 || '|' || x_m1 || '|' || x_p1 || '|' || x_p2 AS dxgram_2, coalesce({black('m1')}, false) || '|' || {black('midi')} || '|' || coalesce({black('p1')}, false) AS black3gram, x_m2 = 0 AS returning, coalesce(abs(midi - m1) > 15, false) AS leap, velocity,
+    x_m1 || '|' || x_p1 AS dxgram_1, x_m2 || '|' || x_m1 || '|' || x_p1 || '|' || x_p2 AS dxgram_2, coalesce({black('m1')}, false) || '|' || {black('c.midi')} || '|' || coalesce({black('p1')}, false) AS black3gram, x_m2 = 0 AS returning, coalesce(abs(c.midi - m1) > 15, false) AS leap, c.velocity,
     r.repeats_before % 2 = 1 AS odd_repeats_before, a.separated_count, t.left_nps
   FROM (SELECT *, {_XY} FROM ({_CHORDS})) c JOIN ({_ART}) a USING (score_id, note_idx) JOIN ({_TEMPO}) t ON t.score_id = c.score_id AND t.note_idx = c.note_idx
   JOIN (SELECT score_id, note_idx, row_number() OVER (PARTITION BY score_id, run ORDER BY note_idx) - 1 AS repeats_before FROM (SELECT *, sum(new) {W} AS run FROM (SELECT *, CASE WHEN lag(midi) {W} = midi THEN 0 ELSE 1 END AS new FROM notes))) r ON r.score_id = c.score_id AND r.note_idx = c.note_idx""")
@@ -976,14 +1108,28 @@ def features_v7(spark, d):
     return features.features(bound_notes(spark, d))
 
 
-ORACLE_SQL["features_v7"] = ORACLE_SQL["features_v7"].replace("x_m2 = 0 AS returning, coalesce(abs(midi - m1) > 15, false) AS leap, velocity,", "x_m2 = 0 AS returning, coalesce(abs(c.midi - m1) > 15, false) AS leap, c.velocity,").replace(black("midi") + " || '|'", black("c.midi") + " || '|'")
-
-
 @query("group_kfold", "score_id:i fold:i", "SELECT score_id, CASE WHEN p % 10 < 5 THEN p % 10 ELSE 9 - p % 10 END AS fold FROM (SELECT score_id, row_number() OVER (ORDER BY count(*) DESC, score_id) - 1 AS p FROM notes GROUP BY 1)")
 def group_kfold(spark, d):
     return features.group_kfold(bound_notes(spark, d), 5).select("score_id", "fold").distinct()
 
 
+@query("reverse_sequences", "score_id:i note_idx:i midi:i", "SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY note_idx DESC) - 1 AS note_idx, midi FROM notes")
+def reverse_sequences(spark, d):
+    return features.reverse_sequences(bound_notes(spark, d))
+
+
+@query("build_examples", "score_id:i segment_idx:i note_idx:i hsd:s chord_left:i chord_right:i", f"""
+  SELECT p.score_id, p.segment_idx, p.note_idx, p.hand || p.strike_digit AS hsd, c.chord_left, c.chord_right FROM (SELECT *, bool_or(strike_digit IS NULL) OVER (PARTITION BY score_id, segment_idx) AS x FROM phrased) p
+  JOIN ({_CHORDS.replace('PARTITION BY score_id', 'PARTITION BY score_id, segment_idx').replace('FROM notes', 'FROM (SELECT n.*, phrased.segment_idx FROM notes n JOIN phrased USING (score_id, note_idx))')}) c ON c.score_id = p.score_id AND c.note_idx = p.note_idx WHERE NOT x""",
+    FINGERINGS_SQL + f", phrased AS (SELECT *, {_SEG} AS segment_idx FROM hands)")
+def build_examples(spark, d):
+    """Features and labels of the phrases without wildcards."""
+    n = sequence.with_segments(bound_notes(spark, d)).drop("hand", "digit")
+    f = fingering.with_handed_digits(_exploded(spark, d), keys=["score_id"]).select("score_id", "note_idx", "hsd", "hand")
+    f = n.select("score_id", "segment_idx", "note_idx").join(f, ["score_id", "note_idx"])
+    return features.build_examples(n, f, 3, keys=("score_id", "segment_idx"))
+
+
 @query("fold_counts", "fold:i staff:s examples:i notes:i", "SELECT score_id % 3 AS fold, staff, count(DISTINCT score_id) AS examples, count(*) AS notes FROM notes GROUP BY GROUPING SETS ((score_id % 3, staff), (score_id % 3))")
 def fold_counts(spark, d):
     return features.fold_counts(bound_notes(spark, d).withColumn("fold", F.col("score_id") % 3))
@@ -995,7 +1141,10 @@ def group_split(spark, d):
     return s.agg(F.countDistinct("t").alias("sides"), (F.max("n") == 1).alias("whole"))
 
 
-@query("edge_features", "score_id:i note_idx:i r_str:i r_pa1:i repeat_finger:b", f"SELECT t.score_id, t.note_idx, {_RULES['str']} AS r_str, {_RULES['pa1']} AS r_pa1, coalesce(d1 = d2, false) AS repeat_finger FROM ({_TRI}) t")
+_EDGES = "str sma lar 3t4 bl4 bl1 bl5 pa1 wea".split()
+
+
+@query("edge_features", "score_id:i note_idx:i " + " ".join(f"r_{t}:i" for t in _EDGES) + " chord_lower:i chord_upper:i repeat_finger:b", f"SELECT t.score_id, t.note_idx, {', '.join(f'{_RULES[t]} AS r_{t}' for t in _EDGES)}, c.chord_lower, c.chord_upper, coalesce(d1 = d2, false) AS repeat_finger FROM ({_TRI}) t JOIN (SELECT score_id, note_idx, chord_lower, chord_upper FROM ({_CHORDS})) c USING (score_id, note_idx)")
 def edge_features(spark, d):
     return features.edge_features(bound_notes(spark, d))
 
@@ -1011,7 +1160,11 @@ def tag_scores(spark, d):
     return out.groupBy("score_id").agg(F.count("*").alias("notes"), F.sum(same).alias("matches"), F.avg(same).alias("rate"))
 
 
-@query("viterbi_decode", "score_id:i segment_idx:i digits:s score:d")
+_TAGGED = """-(CASE WHEN d2 = digit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - m2 % 7 * d2 / 40.0::DOUBLE + CASE WHEN m1 IS NULL THEN 0.0::DOUBLE ELSE coalesce((SELECT ln(count(*)) FROM (
+    SELECT lag(digit) OVER s AS f, digit AS g FROM seg WINDOW s AS (PARTITION BY score_id, segment_idx ORDER BY pos)) w WHERE w.f = d1 AND w.g = d2), 0) END)"""
+
+
+@query("viterbi_decode", "score_id:i segment_idx:i digits:s score:d", "SELECT score_id, segment_idx, digits, -cost AS score FROM best", _searched(_TAGGED, "true", 1))
 def viterbi_decode(spark, d):
     p = _phrases(spark, d)
     e = p.withColumn("label", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("score", F.when(F.col("label") == F.col("digit"), F.lit(1.0)).otherwise(F.lit(0.0)) - F.col("midi") % 7 * F.col("label") / 40)
@@ -1089,26 +1242,27 @@ def pivot_clash_discount(spark, d):
     return ranking.pivot_clash_discount(ranking.pivot_clashes(pairs(bound_notes(spark, d))), 1.1)
 
 
-@query("pseudo_model", "score_id:i rank:i annot_idx:i notes:i", "SELECT score_id, 1 + digit - min(digit) OVER (PARTITION BY score_id) * 0 - 1 + 0 * count(*) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit")
+@query("pseudo_model", "score_id:i rank:i annot_idx:i notes:i", "SELECT * FROM (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY digit) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit) WHERE rank <= 3")
 def pseudo_model(spark, d):
     n = bound_notes(spark, d).withColumn("annot_idx", F.col("digit"))
     return search.pseudo_model(n, k=3).groupBy("score_id", "rank", "annot_idx").agg(F.count("*").alias("notes"))
 
 
-ORACLE_SQL["pseudo_model"] = ORACLE_SQL["pseudo_model"].replace("SELECT score_id, 1 + digit - min(digit) OVER (PARTITION BY score_id) * 0 - 1 + 0 * count(*) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit", "SELECT * FROM (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY digit) AS rank, digit AS annot_idx, count(*) AS notes FROM notes GROUP BY score_id, digit) WHERE rank <= 3")
-
-
-@query("strike_distance", "score_id:i segment_idx:i rank:i distance:i")
+@query("strike_distance", "score_id:i segment_idx:i rank:i distance:i", f"""
+  SELECT a.score_id, a.segment_idx, a.rank, sum(abs(s.digit - t.d) + CASE WHEN (s.digit = 1) <> (t.d = 1) THEN 3 ELSE 0 END) AS distance
+  FROM ({_ADVISED}) a JOIN seg s ON s.score_id = a.score_id AND s.segment_idx = a.segment_idx, LATERAL (SELECT CAST(a.digits[s.pos + 1] AS INT) AS d) t WHERE a.rank > 0 GROUP BY 1, 2, 3""", _searched(_preset("parncutt"), _PLAYABLE, 3))
 def strike_distance(spark, d):
     p = _phrases(spark, d)
     gold = p.withColumn("pos", F.row_number().over(Window.partitionBy(*PHRASE).orderBy("note_idx")) - 1)
     return search.strike_distance(search.advise(p, "parncutt", 3, keys=PHRASE), gold, "pivot", keys=PHRASE, k=3)
 
 
-@query("advise_cyclic", "score_id:i segment_idx:i rank:i closed:b")
+@query("advise_cyclic", "score_id:i segment_idx:i rank:i digits:s cost:d", """
+  SELECT score_id, segment_idx, rank, digits, cost FROM best UNION ALL SELECT DISTINCT score_id, segment_idx, 0, NULL, NULL FROM seg WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.score_id = seg.score_id AND best.segment_idx = seg.segment_idx)""",
+    _searched(_preset("parncutt"), _PLAYABLE, 3, ring=True))
 def advise_cyclic(spark, d):
     """The three cheapest fingerings of each phrase, played over and over."""
-    return search.advise_cyclic(_phrases(spark, d), "parncutt", 3, keys=PHRASE).withColumn("closed", F.substring("digits", 1, 1) == F.substring("digits", -1, 1))
+    return search.advise_cyclic(_phrases(spark, d), "parncutt", 3, keys=PHRASE)
 
 
 @query("order_gold", "o_custkey:i place:i votes:i", "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY votes) AS place, votes FROM (SELECT o_custkey, l_returnflag || l_linestatus AS fingering, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")

@@ -115,10 +115,10 @@ class Corpora:
 
 
 def enrich_composer(scores: DataFrame, pieces: DataFrame, composers: DataFrame) -> DataFrame:
-    """Adds composer by the piece's number (before '-') and the composer's periods as text; a composer without periods fails the job."""
-    s = scores.withColumn("_piece", F.split("score_id", "-")[0]).join(F.broadcast(pieces.withColumnRenamed("piece", "_piece")), "_piece", "left")
-    s = s.join(F.broadcast(composers), "composer", "left")  # both lists are small tables of names
-    known = F.when(F.col("composer").isNotNull() & F.col("periods").isNull(), F.raise_error(F.concat(F.lit("unknown composer: "), F.col("composer")))).otherwise(F.array_join("periods", "_"))
+    """Adds composer by the piece's number (before '-') and the composer's periods as text; a piece that isn't listed, or a composer without periods, fails the job."""
+    s = scores.withColumn("_piece", F.split("score_id", "-")[0]).join(pieces.withColumnRenamed("piece", "_piece"), "_piece", "left")
+    s = s.join(composers, "composer", "left")
+    known = F.when(F.col("composer").isNull(), F.raise_error(F.concat(F.lit("unknown piece: "), F.col("score_id")))).when(F.col("composer").isNotNull() & F.col("periods").isNull(), F.raise_error(F.concat(F.lit("unknown composer: "), F.col("composer")))).otherwise(F.array_join("periods", "_"))
     return s.withColumn("period_str", known).drop("_piece")
 
 

@@ -8,9 +8,6 @@ import pytest
 
 from handspan.plans.queries import ORACLE_SQL, QUERIES
 
-SLOW = {"strike_reentry"}
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
@@ -34,6 +31,6 @@ def test_equals_sql(spark, sf_dir, con, name):
     assert _rows(got) == _rows([tuple(r[names.index(c)] for c in columns) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
