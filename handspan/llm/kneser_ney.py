@@ -353,7 +353,6 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, passes: int = PAS
         o, at = _grouped(key)
         key, c, grams = key[o][at], np.add.reduceat(c[o].astype(np.int64), at), [g[o][at] for g in grams]
         word, n = _sums(grams[-1], [c])
-        yield from sent("counts", 1, part_of(word, parts), word, n)
         whole = grams[0] != NONE
         short, short_c = [g[~whole] for g in grams], c[~whole]
         key, c, grams = key[whole], c[whole], [g[whole] for g in grams]
@@ -361,8 +360,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, passes: int = PAS
             yield written("grams", m, own, [*shortened(key), *coded(c[:, None])], [int((c == k).sum()) for k in (1, 2, 3, 4)])
             yield from by_context(m, grams, grams[0] if m == 2 else gram_hash(grams[:-1]), c)
             if m == 2:
-                word, n = _sums(grams[1], [np.ones(len(c), bool)])
-                yield from sent("after", 1, part_of(word, parts), word, n)
+                yield from sent("counts", 1, part_of(word, parts), word, np.column_stack([np.bincount(np.searchsorted(word, grams[1]), minlength=len(word)), n]))
                 break
             grams = grams[1:]
             key = gram_hash(grams)
@@ -389,7 +387,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, passes: int = PAS
                 a = unpack(data)
                 value = np.column_stack([x.astype(np.int64) for x in a[1:]])
                 if level < 3:  # contexts of one word, and words: one table
-                    at = {"contexts": 0, "after": 4, "counts": 5}[kind]
+                    at = {"contexts": 0, "counts": 4}[kind]
                     value = np.pad(value, ((0, 0), (at, 6 - at - value.shape[1])))
                     level = 1
                 got.setdefault(level, []).append((a[0], value))
@@ -410,11 +408,12 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, passes: int = PAS
     both = merged[0]
     for m in merged[1:]:
         both = both.unionAll(m)
-    added = stored(dealt(both.where("kind <> 'grams'"), parts).mapInArrow(frees_memory(add), schema), "kneser-ney-tables")
-    rows = grams + added.select("kind", "level", "part", "name", "n").collect()  # one row per part and table
+    # in passes too, so that not all of it is in a shuffle beside the tables that it comes from
+    added = [stored(dealt(both.where((F.col("kind") != "grams") & (F.col("part") % passes == k)), parts).mapInArrow(frees_memory(add), schema), "kneser-ney-tables") for k in range(passes)]
+    rows = grams + [r for a in added for r in a.select("kind", "level", "part", "name", "n").collect()]  # one row per part and table
     for r in rows:
         files.setdefault((r.kind, r.level), {})[r.part] = r.name
-    dropped(*merged, added)
+    dropped(*merged, *added)
     total = lambda kind, level, width: np.sum([np.zeros(width, np.int64), *[r.n for r in rows if (r.kind, r.level) == (kind, level)]], axis=0)
     s = total("words", 1, 8)
     d = {1: discounts(*s[3:7].tolist())} | {m: discounts(*total("grams", m, 4).tolist()) for m in range(2, order + 1)}
