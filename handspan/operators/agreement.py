@@ -37,6 +37,12 @@ def cohens_kappa(table: DataFrame, *, one: str = "one", other: str = "other", ke
     return both.select(*keys, F.col("total").alias("n"), po.alias("po"), pe.alias("pe"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
+def with_pooled(table: DataFrame, *, one: str = "one", other: str = "other", key: str = "staff", pooled: str = "both") -> DataFrame:
+    """A confusion table by key with the table over all keys, by grouping sets of its cells; so one pass over the pairs gives both."""
+    cells = [F.col(one), F.col(other)]
+    return table.groupingSets([[F.col(key), *cells], cells], key, one, other).agg(F.sum("n").alias("n")).select(F.coalesce(key, F.lit(pooled)).alias(key), one, other, "n")
+
+
 def nominal(a: Column, b: Column) -> Column:
     return F.when(a == b, 0.0).otherwise(1.0)
 

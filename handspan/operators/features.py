@@ -62,8 +62,11 @@ def features(notes: DataFrame, version: int = 7, *, max_leap: int = 15, concurre
     return n.select(*notes.columns, *[c for c in VERSIONS[version] if c not in notes.columns and (c != "concurrent_cat" or concurrent)])
 
 
-def features_by_settings(notes: DataFrame, *, distance: str = "lattice", chording: bool = True, black: bool = True, leap: bool = True, velocity: bool = True, tempo: bool = True, articulation: bool = True, repeats: bool = True, categorical: bool = False, max_leap: int = 15, keys=KEY) -> DataFrame:
-    """Feature columns by switches; `categorical` makes all of them strings."""
+def features_by_settings(notes: DataFrame, *, distance: str = "lattice", chording: bool = True, black: bool = True, leap: bool = True, velocity: bool = True, tempo: bool = True, articulation: bool = True, repeats: bool = True, categorical: bool = False, max_leap: int = 15, builders=(), keys=KEY) -> DataFrame:
+    """Feature columns by switches; `categorical` makes all of them strings.
+
+    builders: functions of the notes that give (notes with new columns, their names), for features of the caller's.
+    """
     w, n, got = by_note(keys), notes, []
 
     def add(df, *names):
@@ -90,6 +93,9 @@ def features_by_settings(notes: DataFrame, *, distance: str = "lattice", chordin
         n = add(n.withColumn("black", is_black("midi")), "black")
     if velocity:
         n = add(n.withColumn("velocity", F.coalesce("velocity", F.lit(64))), "velocity")
+    for build in builders:
+        n, names = build(n)
+        n = add(n, *names)
     kind = (lambda c: F.col(c).cast("string").alias(c)) if categorical else F.col
     return n.select(*[c for c in notes.columns if c not in got], *[kind(c) for c in got])
 

@@ -23,9 +23,9 @@ def big_delta(pairs: DataFrame, *, delta: str = "hmg", decay: str = "none", keys
     return p.groupBy(*keys, "n").agg((F.first("n") * F.sum(weight * d) / F.sum(weight)).alias("big_delta")).withColumn("normalized", F.col("big_delta") / F.col("n"))
 
 
-def _tau_rows(pairs: DataFrame, keys, proxy: str) -> DataFrame:
+def _tau_rows(pairs: DataFrame, keys, proxy) -> DataFrame:
     """The n + 2 trigram positions of each pair: equal, middle-similar and relaxed flags."""
-    near = adjacent_long(F.col("one"), F.col("other")) if proxy == "long" else adjacent_on_white(F.col("one"), F.col("other"), F.col("midi"))
+    near = (PROXIES[proxy] if isinstance(proxy, str) else proxy)(F.col("one"), F.col("other"), F.col("midi"))
     p = with_counts(pairs, keys=keys).withColumns({"same": (F.col("one") == F.col("other")) & F.col("same_hand"), "near": near & F.col("same_hand")})
     ends = p.where("i = n").select(*keys, "n", F.explode(F.array(F.col("i") + 1, F.col("i") + 2, F.col("i") + 3, F.col("i") + 4)).alias("i"), F.lit(True).alias("same"), F.lit(False).alias("near"))
     heads = p.where("i = n").select(*keys, "n", F.explode(F.array(F.lit(-1), F.lit(0))).alias("i"), F.lit(True).alias("same"), F.lit(False).alias("near"))
@@ -39,18 +39,26 @@ def _tau_rows(pairs: DataFrame, keys, proxy: str) -> DataFrame:
     return rows.where("i between 1 and n + 2")
 
 
-def trigram_big_delta(pairs: DataFrame, *, tau: str = "trigram", decay: str = "none", eps: float = 0.99, proxy: str = "long", full_context: bool = True, keys=RANKED) -> DataFrame:
+#: Which unequal fingers may stand for one another, by name: Columns of two digits and the pitch.
+PROXIES = {"long": lambda one, other, midi: adjacent_long(one, other), "white": adjacent_on_white}
+
+
+def trigram_big_delta(pairs: DataFrame, *, tau="trigram", decay: str = "none", eps: float = 0.99, proxy="long", full_context: bool = True, keys=RANKED) -> DataFrame:
     """(keys, n, tri_delta, tri_normalized): the same with trigrams that end at each position; in full context two more than notes.
 
     tau: trigram (equal or not), nuanced (ends equal and the middle interchangeable), relaxed (each of the three
-    equal or interchangeable in its own trigram).
+    equal or interchangeable in its own trigram), or a function of these three flags that gives the value. proxy: long,
+    white, or a function (one, other, midi) that says which fingers are interchangeable.
     """
     rows = _tau_rows(pairs, keys, proxy)
     if not full_context:
         rows = rows.where("i <= n")
     total = F.col("n") + (2 if full_context else 0)
-    soft = {"trigram": F.lit(False), "nuanced": F.col("similar"), "relaxed": F.col("relaxed")}[tau]
-    value = F.when(F.col("equal"), 0.0).when(soft, 1.0 - eps).otherwise(1.0)
+    if callable(tau):
+        value = tau(F.col("equal"), F.col("similar"), F.col("relaxed"))
+    else:
+        soft = {"trigram": F.lit(False), "nuanced": F.col("similar"), "relaxed": F.col("relaxed")}[tau]
+        value = F.when(F.col("equal"), 0.0).when(soft, 1.0 - eps).otherwise(1.0)
     weight = DECAYS[decay](total, F.col("i"))
     out = rows.groupBy(*keys, "n").agg((F.sum(weight * value) / F.sum(weight)).alias("tri_normalized"))
     return out.select(*keys, "n", (F.col("tri_normalized") * total).alias("tri_delta"), "tri_normalized")
@@ -245,9 +253,12 @@ def _user(kind: str) -> tuple[Column, Column]:
 USERS = ("strict", "estimated", "proxy", "equal_proxy", "equity", "pure_equity")
 
 
-def user_prob(marks: DataFrame, kind: str, *, keys=RANKED) -> DataFrame:
-    """(keys, p): the chance that a user who would play one of the gold fingerings takes the suggestion; 0 without any that tells."""
-    num, den = _user(kind)
+def user_prob(marks: DataFrame, kind, *, keys=RANKED) -> DataFrame:
+    """(keys, p): the chance that a user who would play one of the gold fingerings takes the suggestion; 0 without any that tells.
+
+    kind: one of USERS, or a function of a dictionary of the marks' columns that gives (numerator, denominator) of one gold.
+    """
+    num, den = kind({c: F.col(c) for c in marks.columns}) if callable(kind) else _user(kind)
     return marks.groupBy(*keys).agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0.0))).alias("p")).withColumn("p", F.coalesce("p", F.lit(0.0)))
 
 

@@ -425,7 +425,14 @@ def combine_staves(spark, d):
     return corpus.combine_staves(u, lo)
 
 
-@query("model_vs_baseline", "event_type:s n:i mean_difference:d t:d df:i", "SELECT event_type, count(*) AS n, avg(x) AS mean_difference, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM (SELECT event_type, score_id, avg(value) - avg(dur_ms) / 10.0 AS x FROM notes GROUP BY 1, 2) GROUP BY 1")
+#: Two-sided chance of a t, by integrating its density in 4000 steps.
+_T_CHANCE = "1 - 2 * abs(t) / 4000 / 3 * list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * pow(1 + pow(k * abs(t) / 4000, 2) / df, -(df + 1) / 2.0)))"
+#: Chance of an F, likewise.
+_F_CHANCE = """1 - f / 4000 / 3 * list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+  * exp(lgamma((a + b) / 2.0) - lgamma(a / 2.0) - lgamma(b / 2.0) + a / 2.0 * ln(a / b)) * pow(k * f / 4000, a / 2.0 - 1) * pow(1 + a * k * f / 4000 / b, -(a + b) / 2.0)))"""
+
+
+@query("model_vs_baseline", "event_type:s n:i mean_difference:d t:d df:i p:d", f"SELECT *, {_T_CHANCE} AS p FROM (SELECT event_type, count(*) AS n, avg(x) AS mean_difference, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM (SELECT event_type, score_id, avg(value) - avg(dur_ms) / 10.0 AS x FROM notes GROUP BY 1, 2) GROUP BY 1)")
 def model_vs_baseline(spark, d):
     n = bound_notes(spark, d)
     a = n.groupBy("event_type", "score_id").agg(F.avg("value").alias("value"))
@@ -459,6 +466,13 @@ def cohens_kappa(spark, d):
     return agreement.cohens_kappa(agreement.confusion(_coders(spark, d), [1, 2, 3, 4, 5], keys=["staff"]), keys=["staff"])
 
 
+@query("kappa_by_staff", "staff:s n:i po:d pe:d kappa:d", f"{_KAPPA} UNION ALL {_KAPPA.replace('FROM notes', 'FROM (SELECT score_id, note_idx, digit, digit_b, ' + repr('both') + ' AS staff FROM notes) notes')}")
+def kappa_by_staff(spark, d):
+    """Of each staff and of both, from one table of counts."""
+    table = agreement.with_pooled(agreement.confusion(_coders(spark, d), [1, 2, 3, 4, 5], keys=["staff"]))
+    return agreement.cohens_kappa(table, keys=["staff"])
+
+
 @query("label_kappa", "n:i po:d pe:d kappa:d", "SELECT n, po, pe, (po - pe) / (1 - pe) AS kappa FROM (SELECT count(*) AS n, avg(CAST(quality = toxic AS INT)) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels)")
 def label_kappa(spark, d):
     lab = spark.read.parquet(f"{d}/labels.parquet").select(F.col("quality").alias("one"), F.col("toxic").alias("other"))
@@ -590,8 +604,8 @@ def verbatim_match_counts(spark, d):
 # --- statistics -----------------------------------------------------------------------------------------------------
 
 
-@query("one_way_anova", "groups:i n:i ss_between:d ss_within:d f:d", """
-  SELECT g AS groups, n, round(b, 3) AS ss_between, round(w, 3) AS ss_within, (b / (g - 1)) / (w / (n - g)) AS f FROM (SELECT count(*) AS g, sum(c) AS n, sum(c * pow(m - gm, 2)) AS b, sum(c * v) AS w FROM (SELECT event_type, count(*) AS c, avg(value) AS m, var_pop(value) AS v, (SELECT avg(value) FROM notes) AS gm FROM notes GROUP BY 1))""")
+@query("one_way_anova", "groups:i n:i ss_between:d ss_within:d f:d p:d", f"""
+  SELECT *, {_F_CHANCE} AS p FROM (SELECT *, groups - 1.0 AS a, CAST(n - groups AS DOUBLE) AS b FROM (SELECT g AS groups, n, round(b, 3) AS ss_between, round(w, 3) AS ss_within, (b / (g - 1)) / (w / (n - g)) AS f FROM (SELECT count(*) AS g, sum(c) AS n, sum(c * pow(m - gm, 2)) AS b, sum(c * v) AS w FROM (SELECT event_type, count(*) AS c, avg(value) AS m, var_pop(value) AS v, (SELECT avg(value) FROM notes) AS gm FROM notes GROUP BY 1))))""")
 def one_way_anova(spark, d):
     a = stats.one_way_anova(bound_notes(spark, d), group="event_type")
     return a.withColumns({"ss_between": F.round("ss_between", 3), "ss_within": F.round("ss_within", 3)})

@@ -1,13 +1,14 @@
 """Searches that find nothing, corrections one after the other, spans of the left hand, strings outside the grammar."""
 
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from handspan.functions import dims, fingering
-from handspan.operators import corpus, features, ranking, search
+from handspan.operators import corpus, features, ranking, search, stats
 
 
 def notes(spark, sequences):
@@ -145,3 +146,40 @@ def test_feature_settings_and_validation(spark):
     assert [r.notes for r in cv.orderBy("fold").collect()] == [24] * 3 and cv.agg(F.min("rate")).first()[0] > 0.4
     tuned = features.tune(labelled, ["black", "x_m1"], [0.01, 10.0], 2)
     assert [r for r, _ in tuned][0] == 0.01 and len(tuned) == 2
+
+
+def test_chances_are_those_of_the_distributions(spark):
+    cases = [(0.0, 3, 20), (0.38, 4, 995), (2.5, 1, 1), (7.3, 9, 40), (1.01, 200, 5000), (900.0, 2, 3)]
+    d = spark.createDataFrame([(f, float(a), float(b)) for f, a, b in cases], "f double, a double, b double")
+    jvm = spark._jvm.org.apache.commons.math3.distribution
+    for r in d.select("*", stats.f_test_p(F.col("f"), F.col("a"), F.col("b")).alias("p"), stats.t_test_p(F.col("f"), F.col("b")).alias("q"), stats.ln_gamma(F.col("b")).alias("g")).collect():
+        assert r.p == pytest.approx(1 - jvm.FDistribution(r.a, r.b).cumulativeProbability(r.f), abs=1e-9)
+        assert r.q == pytest.approx(2 * (1 - jvm.TDistribution(r.b).cumulativeProbability(r.f)), abs=1e-9)
+        assert r.g == pytest.approx(math.lgamma(r.b), rel=1e-12)
+
+
+def test_functions_of_the_callers(spark):
+    rows = [(1, 1, i, 60 + i, a, b, True, ">", ">") for i, (a, b) in enumerate([(1, 1), (2, 3), (3, 3), (4, 1)])]
+    p = spark.createDataFrame(rows, "score_id long, rank int, note_idx int, midi int, one int, other int, same_hand boolean, one_hand string, other_hand string")
+    named = ranking.trigram_big_delta(p, tau="nuanced").first()
+    own = ranking.trigram_big_delta(p, tau=lambda equal, similar, relaxed: F.when(equal, 0.0).when(similar, 0.01).otherwise(1.0), proxy=lambda one, other, midi: F.array_sort(F.array(one, other)) == F.array(F.lit(2), F.lit(3))).first()
+    assert named.tri_delta == pytest.approx(own.tri_delta) and named.tri_delta == pytest.approx(0.01 + 5 - 1 + 0.0)
+    marks = spark.createDataFrame([(1, 1, 4, 3, 0), (1, 1, 4, 4, 0)], "score_id long, rank int, n int, matches int, wild int")
+    assert ranking.user_prob(marks, lambda c: (c["matches"].cast("double"), c["n"].cast("double"))).first().p == 7 / 8
+    n = spark.createDataFrame([(1, 0, 60), (1, 1, 62)], "score_id long, note_idx int, midi int")
+    off = dict.fromkeys(("chording", "black", "leap", "velocity", "tempo", "articulation", "repeats"), False)
+    got = features.features_by_settings(n, **off, builders=[lambda d: (d.withColumn("high", F.col("midi") > 61), ["high"])])
+    assert sorted(r.high for r in got.collect()) == [False, True]
+
+
+def test_every_measure_of_one_pass_is_that_of_its_own(spark):
+    rng = random.Random(9)
+    rows = [(s, r, i, rng.randrange(48, 72), rng.randrange(1, 6), rng.randrange(1, 6), rng.random() > 0.1, ">", rng.choice("><")) for s in range(4) for r in range(1, 4) for i in range(1 + s * 2)]
+    p = spark.createDataFrame(rows, "score_id long, rank int, note_idx int, midi int, one int, other int, same_hand boolean, one_hand string, other_hand string").withColumn("same_hand", F.col("one_hand") == F.col("other_hand"))
+    got = {(r.score_id, r.rank): r for r in ranking.rank_measures(p).collect()}
+    for mark, decay in (("", "none"), ("_u", "uniform")):
+        for d in ("hmg", "al"):
+            assert all(got[r.score_id, r.rank][d + mark] == pytest.approx(r.normalized) for r in ranking.big_delta(p, delta=d, decay=decay).collect())
+        assert all(got[r.score_id, r.rank]["rho" + mark] == pytest.approx(r.rho) for r in ranking.pivot_clashes(p, decay=decay).collect())
+        for t, tau in (("tri", "trigram"), ("nua", "nuanced"), ("rlx", "relaxed")):
+            assert all(got[r.score_id, r.rank][t + mark] == pytest.approx(r.tri_normalized) for r in ranking.trigram_big_delta(p, tau=tau, decay=decay).collect())
