@@ -20,7 +20,7 @@ from handspan.llm.packed import frees_memory
 from handspan.llm.shared import carried, dropped, numbered, stored
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, _power, blocks, mix, raw, slice_hashes, words
 
-#: Words of benchmark items in one broadcast set (about 100 bytes each).
+#: Words of benchmark items in one broadcast set (about 50 bytes each).
 SET_WORDS = 2_000_000
 FILTER_BITS = 20
 
@@ -35,46 +35,49 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class GramSet:
-    """The windows of some benchmark items by length: sorted hashes, a small filter, and the words to verify with."""
+    """The windows of some benchmark items by length, in arrays: sorted distinct hashes, the place of each one's words, and its items; a small filter of the hashes; the words to verify with."""
 
     def __init__(self, items: list[tuple], n: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        data, offsets = raw(texts)
-        low = LOWER[data]
-        start, end, row = words(low, offsets, NOT_ALNUM)
-        h = slice_hashes(low, start, end)
-        first = np.searchsorted(row, np.arange(len(items) + 1))
-        self.low, self.start, self.end = low, start, end
-        self.known: dict[int, dict[int, tuple[int, set]]] = {}  # by length and hash: the first word, and the items
-        for i, (item, _) in enumerate(items):
-            a, b = first[i], first[i + 1]
-            size = min(n, b - a)
-            if not size:
-                continue
-            for k, x in enumerate(window_hashes(h[a:b], size).tolist()):
-                self.known.setdefault(int(size), {}).setdefault(x, (int(a + k), set()))[1].add(str(item))
-        self.sorted = {size: np.array(sorted(d), np.uint64) for size, d in self.known.items()}
-        self.filter = {}
-        for size, keys in self.sorted.items():
+        data, offsets = raw(pa.array([t for _, t in items], pa.string()))
+        self.low = LOWER[data]
+        start, end, row = words(self.low, offsets, NOT_ALNUM)
+        h = slice_hashes(self.low, start, end)
+        self.start, self.end = start.astype(np.uint32), end.astype(np.uint32)
+        self.names = sorted({str(item) for item, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
+        first = np.searchsorted(row, np.arange(len(items) + 1)).tolist()
+        found: dict[int, list] = {}
+        for (item, _), a, b in zip(items, first[:-1], first[1:], strict=True):
+            if size := min(n, b - a):
+                x = window_hashes(h[a:b], size)
+                found.setdefault(size, []).append((x, np.arange(a, a + len(x), dtype=np.uint32), np.full(len(x), place[str(item)], np.uint32)))
+        self.tables, self.filter = {}, {}
+        for size, parts in found.items():
+            x, at, item = map(np.concatenate, zip(*parts))
+            order = np.lexsort((at, item, x))
+            x, at, item = x[order], at[order], item[order]
+            keep = np.append(True, (x[1:] != x[:-1]) | (item[1:] != item[:-1]))
+            x, at, item = x[keep], at[keep], item[keep]
+            begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            self.tables[size] = (x[begin], at[begin], np.append(begin, len(x)).astype(np.uint32), item)
             self.filter[size] = np.zeros(1 << FILTER_BITS, bool)
-            self.filter[size][(keys >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.filter[size][(x >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, int, set]]:
+    def hits(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, int, list]]:
         """(first word, words, items) of every verified window in a block."""
         h, out = slice_hashes(low, start, end), []
-        for size, keys in self.sorted.items():
+        for size, (keys, place, begin, item) in self.tables.items():
             x = window_hashes(h, size)
             if not len(x):
                 continue
             maybe = np.flatnonzero(self.filter[size][(x >> U64(64 - FILTER_BITS)).astype(np.int64)])
             maybe = maybe[row[maybe] == row[maybe + size - 1]]
-            at = np.searchsorted(keys, x[maybe])
-            maybe = maybe[keys[np.minimum(at, len(keys) - 1)] == x[maybe]]
-            known = self.known[size]
-            for i in maybe.tolist():
-                at, items = known[int(x[i])]
+            u = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
+            fit = keys[u] == x[maybe]
+            for i, k in zip(maybe[fit].tolist(), u[fit].tolist(), strict=True):
+                at = int(place[k])
                 if all(low[start[i + j] : end[i + j]].tobytes() == self.low[self.start[at + j] : self.end[at + j]].tobytes() for j in range(size)):
-                    out.append((i, size, items))
+                    out.append((i, size, [self.names[m] for m in item[begin[k] : begin[k + 1]].tolist()]))
         return out
 
 

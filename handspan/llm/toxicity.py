@@ -44,9 +44,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def _counted(batch: pa.RecordBatch, keys: np.ndarray | None = None):
-    """(row, feature, count) over a batch; with keys only of those features, which must be sorted."""
-    rows, feats, counts = [], [], []
+def _counted(batch: pa.RecordBatch, keys: np.ndarray):
+    """(row, feature, count) over a batch of the features in keys, which must be sorted."""
+    got = zip(*[(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)), *_counted_blocks(batch, keys)])
+    return tuple(map(np.concatenate, got))
+
+
+def _counted_blocks(batch: pa.RecordBatch, keys: np.ndarray | None = None):
+    """(row, feature, count) of a batch, block by block; with keys only of those features."""
     known = None
     if keys is not None:
         known = np.zeros(1 << 20, bool)
@@ -66,10 +71,7 @@ def _counted(batch: pa.RecordBatch, keys: np.ndarray | None = None):
         order = np.lexsort((f, r))
         f, r = f[order], r[order]
         at = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (r[1:] != r[:-1]))) if len(f) else np.empty(0, np.int64)
-        rows.append(r[at])
-        feats.append(f[at])
-        counts.append(np.diff(np.append(at, len(f))))
-    return tuple(np.concatenate([np.empty(0, t), *x]) for t, x in ((np.int64, rows), (np.uint64, feats), (np.int64, counts)))
+        yield r[at], f[at], np.diff(np.append(at, len(f)))
 
 
 class Model:
@@ -135,14 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def each(batches):
         for b in batches:
-            r, f, _ = _counted(b)
-            y = np.asarray(b.column(1).to_numpy(zero_copy_only=False))[r]
-            order = np.argsort(f, kind="stable")
-            f, y = f[order], y[order]
-            at = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.empty(0, np.int64)
-            n = np.diff(np.append(at, len(f)))
-            pos = np.add.reduceat(y > 0, at, dtype=np.int64) if len(at) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"f": f[at].view(np.int64), "n": n.astype(np.int64), "pos": pos})
+            toxic = b.column(1).to_numpy(zero_copy_only=False) > 0
+            for r, f, _ in _counted_blocks(b):
+                if not len(f):
+                    continue
+                order = np.argsort(f, kind="stable")
+                f, y = f[order], toxic[r[order]]
+                at = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+                yield pa.RecordBatch.from_pydict({"f": f[at].view(np.int64), "n": np.diff(np.append(at, len(f))).astype(np.int64), "pos": np.add.reduceat(y, at, dtype=np.int64)})
 
     n_all, n_pos = texts.agg(F.count("*"), F.sum((F.col("y") > 0).cast("long"))).first()
     n_pos = n_pos or 0
