@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from handspan.llm.shared import stored
@@ -63,14 +64,16 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a binary column, a row each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if not n:
         return np.empty((0, 0))
-    if len(column.value_lengths().unique()) > 1:
+    if len(pc.unique(pc.binary_length(column))) > 1:
         raise ValueError("vectors of different lengths")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(n, -1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -109,16 +112,33 @@ def _best(q_unit: np.ndarray, rows: np.ndarray, unit: np.ndarray, q: np.ndarray,
     return i[order], j[order], score[order]
 
 
-def distinct_vectors(vectors: DataFrame, k: int, queries, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(entry, vector, ids, asked): one row per distinct usable vector; ids are its k + 1 smallest, asked whether it holds a query."""
-    v = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("vector"), queries.alias("asked"))
-    usable = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
-    v = v.where(usable).withColumn("entry", F.xxhash64("vector"))
-    asked = v.groupBy("entry", "vector").agg(F.max("asked").alias("asked"), F.min("id").alias("first"))
-    place = Window.partitionBy("entry", "vector").orderBy("id")
-    few = v.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)  # cut per task before the exchange
-    ids = few.groupBy("entry", "vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return asked.join(ids, ["entry", "vector"]).select(F.col("first").alias("entry"), "vector", "ids", "asked")
+def usable_vectors(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, vector, asked) of the rows that take part; a vector is the bytes of its components in double precision."""
+
+    def work(batches):
+        for b in batches:
+            ids, column, asked = b.columns
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # null components are not finite now, and no zero has a sign
+            row = np.repeat(np.arange(len(size)), size)
+            bad, some = np.bincount(row, ~np.isfinite(value), len(size)), np.bincount(row, value != 0, len(size))
+            good = np.flatnonzero(np.asarray(ids.is_valid()) & (bad == 0) & (some > 0))
+            end = np.cumsum(size)
+            data = [value[z - n : z].tobytes() for z, n in zip(end[good].tolist(), size[good].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.array(data, pa.binary()), asked.take(pa.array(good))], names=["id", "vector", "asked"])
+
+    rows = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    return rows.mapInArrow(work, "id long, vector binary, asked boolean")
+
+
+def distinct_vectors(usable: DataFrame, k: int) -> DataFrame:
+    """(entry, vector, ids, asked): one row per distinct vector; entry is its smallest id, ids its k + 1 smallest, asked whether it holds a query."""
+    v = usable.withColumn("h", F.xxhash64("vector"))
+    asked = v.groupBy("h", "vector").agg(F.max("asked").alias("asked"), F.min("id").alias("entry"))
+    place = Window.partitionBy("h", "vector").orderBy("id")
+    few = v.select("h", "vector", "id").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)  # cut per task before the exchange
+    ids = few.groupBy("h", "vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return asked.join(ids, ["h", "vector"]).select("entry", "vector", "ids", "asked")
 
 
 def _ordered(entries: DataFrame) -> DataFrame:
@@ -141,7 +161,7 @@ def _ordered(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n)), *b.columns], names=["part", "at", *b.schema.names])
             seen += n
 
-    inner = "entry long, vector array<double>, ids array<long>, asked boolean"
+    inner = "entry long, vector binary, ids array<long>, asked boolean"
     keyed = entries.mapInArrow(keys, f"curve int, key long, {inner}").repartitionByRange("curve", "key", "entry").sortWithinPartitions("curve", "key", "entry")
     numbered = stored(keyed.mapInArrow(number, f"part int, at long, curve int, key long, {inner}"), "curves")
     sizes = numbered.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a few rows for each part
@@ -155,7 +175,7 @@ def _window(ordered: DataFrame, entries: DataFrame, n: int, k: int) -> int:
     asked = entries.where("asked").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_QUERIES).select("entry", "vector").collect()
     if not asked:
         return 0
-    q, own = np.array([r.vector for r in asked]), np.array([r.entry for r in asked])
+    q, own = _matrix(pa.array([bytes(r.vector) for r in asked], pa.binary())), np.array([r.entry for r in asked])
     q_unit = _unit(q)
 
     def nearest(batches):
@@ -187,7 +207,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     count as one; of an id's different vectors each may be found, and the largest cosine counts. A null id takes no
     part. Other columns are not read.
     """
-    entries = stored(distinct_vectors(vectors, k, queries, key, vector), "vectors")
+    usable = stored(usable_vectors(vectors, queries, key, vector), "usable-vectors")
+    entries = stored(distinct_vectors(usable, k), "vectors")
     n = entries.count()
     ordered = stored(_ordered(entries), "ordered-vectors")
     half = _window(ordered, entries, n, k)
@@ -213,8 +234,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     found = found.groupBy("query", "entry").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k + 1)
     found = stored(found.select("query", "score", "ids"), "nearest-vectors")
-    asked = vectors.where(queries).select(vectors[key].cast("long").alias("query_id"), vectors[vector].cast("array<double>").alias("own")).withColumn("h", F.xxhash64("own"))
     of = entries.where("asked").select(F.col("entry").alias("query"), "vector", F.xxhash64("vector").alias("h"))
+    asked = usable.where("asked").select(F.col("id").alias("query_id"), F.col("vector").alias("own"), F.xxhash64("vector").alias("h"))
     asked = asked.join(of, "h").where(F.col("own") == F.col("vector")).select("query_id", "query").distinct()
     each = asked.join(found, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
