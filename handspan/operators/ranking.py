@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handspan.functions.measures import DECAYS, DELTAS, MUS, adjacent_long, adjacent_on_white, phi_inverse
@@ -293,66 +295,102 @@ def tied_ranking(scores: DataFrame, *, item: str = "item", score: str = "score",
     return s.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(score, "set")), False), lambda x: x["set"]).alias("ranking"))
 
 
-def _prefix(ranking: Column, depth: Column) -> Column:
-    """The sets of a ranking that begin within a depth, as one array."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, s: F.struct((a["n"] + F.size(s)).alias("n"), F.when(a["n"] < depth, F.concat(a["out"], s)).otherwise(a["out"]).alias("out"))
-    return F.aggregate(ranking, start, step, lambda a: a["out"])
+def _depths(ranking: Column) -> Column:
+    """(item, at) of every item: the least depth whose prefix holds it; the items of a tie come in together."""
+    before = lambda i: F.aggregate(F.slice(ranking, 1, i), F.lit(0), lambda n, tie: n + F.size(tie))
+    ties = F.transform(ranking, lambda tie, i: F.struct(tie.alias("tie"), (before(i) + 1).alias("at")))
+    return F.flatten(F.transform(ties, lambda t: F.transform(t["tie"], lambda x: F.struct(x.alias("item"), t["at"].alias("at")))))
+
+
+class Overlap:
+    """Two rankings met once: at which depths the items of each, and those of both, come in. All sums over depths count these."""
+
+    def __init__(self, met: Column):
+        self.met = met
+        self.short, self.long = F.least(F.size(met["a"]), F.size(met["b"])), F.greatest(F.size(met["a"]), F.size(met["b"]))
+
+    def at(self, depth: Column) -> Column:
+        """Items in both prefixes of a depth."""
+        return self._within("both", depth)
+
+    def share(self, depth: Column) -> Column:
+        """The part of both prefixes that they have in common."""
+        return 2.0 * self.at(depth) / (self._within("a", depth) + self._within("b", depth))
+
+    def _within(self, which: str, depth: Column) -> Column:
+        return F.size(F.filter(self.met[which], lambda d: d <= depth))
+
+
+def _met(a: Column, b: Column, measure) -> Column:
+    """measure(Overlap of a and b), for which the two are met once."""
+    pair = F.struct(_depths(a).alias("a"), _depths(b).alias("b"))
+    places = lambda items: F.transform(items, lambda x: x["at"])
+    both = lambda p, known: F.filter(F.transform(p["a"], lambda x: F.when(F.try_element_at(known, x["item"]).isNotNull(), F.greatest(x["at"], F.try_element_at(known, x["item"])))), lambda d: d.isNotNull())
+    once = lambda column, f: F.get(F.transform(F.array(column), f), F.lit(0))
+    joined = once(pair, lambda p: F.struct(places(p["a"]).alias("a"), places(p["b"]).alias("b"), once(F.map_from_entries(p["b"]), lambda known: both(p, known)).alias("both")))
+    return once(joined, lambda met: measure(Overlap(met)))
 
 
 def overlap(a: Column, b: Column, depth: Column) -> Column:
     """Items in both rankings down to a depth; sets of ties count whole."""
-    return F.size(F.array_intersect(_prefix(a, depth), _prefix(b, depth)))
+    return _met(a, b, lambda o: o.at(depth))
 
 
 def agreement(a: Column, b: Column, depth: Column) -> Column:
     """2 * overlap over the lengths of both prefixes."""
-    return 2.0 * overlap(a, b, depth) / (F.size(_prefix(a, depth)) + F.size(_prefix(b, depth)))
+    return _met(a, b, lambda o: o.share(depth))
 
 
-def _length(r: Column) -> Column:
-    return F.size(F.flatten(r))
-
-
-def _sum_to(n: Column, f) -> Column:
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), f), F.lit(0.0), lambda x, y: x + y)
+def _total(first: Column, last: Column, term) -> Column:
+    """The sum of term(depth, as a double) over the depths first..last; 0 where there are none."""
+    depths = F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(depths, F.lit(0.0), lambda total, d: total + term(d.cast("double")))
 
 
 def average_overlap(a: Column, b: Column, depth: Column) -> Column:
-    return _sum_to(depth, lambda d: agreement(a, b, d)) / depth
+    return _met(a, b, lambda o: _total(F.lit(1), depth, o.share) / depth)
 
 
 def rbo_at_k(a: Column, b: Column, p: float, depth: Column) -> Column:
-    return _sum_to(depth, lambda d: F.pow(F.lit(p), (d - 1).cast("double")) * agreement(a, b, d)) * (1 - p)
+    return _met(a, b, lambda o: (1 - p) * _total(F.lit(1), depth, lambda d: F.pow(F.lit(p), d - 1) * o.share(d)))
 
 
 def rbo_min(a: Column, b: Column, p: float, depth: Column | None = None) -> Column:
-    """The overlap that no continuation of the two rankings can undercut."""
-    k = F.least(_length(a), _length(b)) if depth is None else depth
-    x_k = overlap(a, b, k)
-    total = _sum_to(k, lambda d: F.pow(F.lit(p), d.cast("double")) / d * (overlap(a, b, d) - x_k))
-    return (1 - p) / p * (total - F.log(F.lit(1 - p)) * x_k)
+    """The overlap that no continuation of the two rankings can undercut: what is seen, and nothing new after it."""
+
+    def measure(o):
+        end = o.short if depth is None else depth
+        seen = o.at(end)
+        gained = _total(F.lit(1), end, lambda d: F.pow(F.lit(p), d) * (o.at(d) - seen) / d)
+        return (1 - p) / p * (gained - seen * math.log(1 - p))
+
+    return _met(a, b, measure)
 
 
 def rbo_ext(a: Column, b: Column, p: float) -> Column:
-    """The overlap carried on beyond both rankings as they end."""
-    s, n = F.least(_length(a), _length(b)), F.greatest(_length(a), _length(b))
-    x_s, x_l = overlap(a, b, s), overlap(a, b, n)
-    one = _sum_to(n, lambda d: F.pow(F.lit(p), d.cast("double")) * agreement(a, b, d))
-    two = F.when(n > s, F.aggregate(F.transform(F.when(n > s, F.sequence(s + 1, n)).otherwise(F.array().cast("array<int>")), lambda d: F.pow(F.lit(p), d.cast("double")) * x_s * (d - s) / s / d), F.lit(0.0), lambda x, y: x + y)).otherwise(0.0)
-    return (1 - p) / p * (one + two) + ((x_l - x_s) / n + x_s / s) * F.pow(F.lit(p), n.cast("double"))
+    """The overlap carried on beyond both rankings as they end; within the longer one the shorter goes on at its last rate."""
+
+    def measure(o):
+        rate = o.at(o.short) / o.short
+        seen = _total(F.lit(1), o.long, lambda d: F.pow(F.lit(p), d) * o.share(d))
+        lent = _total(o.short + 1, o.long, lambda d: F.pow(F.lit(p), d) * rate * (d - o.short) / d)
+        beyond = rate + (o.at(o.long) - o.at(o.short)) / o.long
+        return (1 - p) / p * (seen + lent) + beyond * F.pow(F.lit(p), o.long.cast("double"))
+
+    return _met(a, b, measure)
 
 
 def rbo_res(a: Column, b: Column, p: float) -> Column:
-    """What the unseen rest of the rankings can add at most."""
-    s, n = F.least(_length(a), _length(b)), F.greatest(_length(a), _length(b))
-    x_l = overlap(a, b, n)
-    f = F.ceil(n + s - x_l).cast("int")
-    term = lambda lo, hi: F.aggregate(F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), lambda d: F.pow(F.lit(p), d.cast("double")) / d), F.lit(0.0), lambda x, y: x + y)
-    return (
-        F.pow(F.lit(p), s.cast("double")) + F.pow(F.lit(p), n.cast("double")) - F.pow(F.lit(p), f.cast("double"))
-        - (1 - p) / p * (s * term(s + 1, f) + n * term(n + 1, f) + x_l * (F.log(F.lit(1 / (1 - p))) - term(F.lit(1), f)))
-    )
+    """What the unseen rest of the rankings can add at most: each unseen place is one that both would share."""
+
+    def measure(o):
+        known = o.at(o.long)
+        full = o.short + o.long - known  # the depth from which the two could agree wholly
+        tail = lambda first: _total(first, full, lambda d: F.pow(F.lit(p), d) / d)
+        ends = F.pow(F.lit(p), o.short.cast("double")) + F.pow(F.lit(p), o.long.cast("double")) - F.pow(F.lit(p), full.cast("double"))
+        return ends - (1 - p) / p * (o.short * tail(o.short + 1) + o.long * tail(o.long + 1) - known * (math.log(1 - p) + tail(F.lit(1))))
+
+    return _met(a, b, measure)
 
 
 # --- result sets ----------------------------------------------------------------------------------------------------
