@@ -17,9 +17,12 @@ RING, LITTLE = 4, 5
 
 
 class Trigram:
-    """Columns of a trigram, with the spans and the ruler that its rules use."""
+    """Columns of a trigram, with the spans and the ruler that its rules use.
 
-    def __init__(self, midi: list[Column], hand: list[Column], digit: list[Column], table: str = "parncutt", ruler: str = "semitone"):
+    step and skip are the ruler's distances from note 1 to notes 2 and 3, where columns hold them already.
+    """
+
+    def __init__(self, midi: list[Column], hand: list[Column], digit: list[Column], table: str = "parncutt", ruler: str = "semitone", step: Column | None = None, skip: Column | None = None):
         self.m1, self.m2, self.m3 = midi
         self.h1, self.h2, self.h3 = hand
         self.d1, self.d2, self.d3 = digit
@@ -27,8 +30,8 @@ class Trigram:
         self.hand = self.h2
         self.same = F.coalesce(self.h1 == self.h2, F.lit(True)) & F.coalesce(self.h2 == self.h3, F.lit(True)) & F.coalesce(self.h1 == self.h3, F.lit(True))
         self.right = self.hand == ">"
-        self.step = RULERS[ruler](self.m1, self.m2)
-        self.skip = RULERS[ruler](self.m1, self.m3)
+        self.step = RULERS[ruler](self.m1, self.m2) if step is None else step
+        self.skip = RULERS[ruler](self.m1, self.m3) if skip is None else skip
         self.thumb12 = (self.d1 == 1) | (self.d2 == 1)
         #: Digits rise outwards on the keyboard: 1 to 5 upwards for the right hand, 5 to 1 for the left.
         self.outward = F.when(self.right, self.d2 - self.d1).otherwise(self.d1 - self.d2)

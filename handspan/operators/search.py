@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handspan.functions.dims import PRESETS, edit_distance, span
+from handspan.functions.keys import RULERS
 from handspan.functions.rules import Trigram, preset_costs
 from handspan.operators.sequence import KEY, by_note
 
@@ -26,25 +27,28 @@ def with_trigrams(fingered: DataFrame, *, hand: str = "hand", digit: str = "digi
     return fingered.withColumns(new)
 
 
-def _trigram(preset: str) -> Trigram:
-    _, table, ruler, _ = PRESETS[preset]
+def _measured(trigrams: DataFrame, table: str, ruler: str) -> tuple[DataFrame, Trigram]:
+    """(trigrams with their distances as columns _step and _skip, the trigram of these columns); so rules don't measure anew."""
     c = lambda x: [F.col(f"{x}{k}") for k in (1, 2, 3)]
-    return Trigram(c("m"), c("h"), c("d"), table, ruler)
+    measure = RULERS[ruler]
+    with_distances = trigrams.withColumns({"_step": measure(F.col("m1"), F.col("m2")), "_skip": measure(F.col("m1"), F.col("m3"))})
+    return with_distances, Trigram(c("m"), c("h"), c("d"), table, ruler, F.col("_step"), F.col("_skip"))
 
 
 def trigram_cost(trigrams: DataFrame, preset: str = "parncutt", weights: dict[str, float] | None = None) -> DataFrame:
     """Adds cost and detail, a map of the weighted costs of the preset's rules."""
-    costs = preset_costs(_trigram(preset), preset, weights)
-    return trigrams.withColumns({"cost": sum(costs.values(), F.lit(0.0)), "detail": F.create_map(*[x for tag, c in costs.items() for x in (F.lit(tag), c)])})
+    _, table, ruler, _ = PRESETS[preset]
+    measured, t = _measured(trigrams, table, ruler)
+    costs = preset_costs(t, preset, weights)
+    return measured.withColumns({"cost": sum(costs.values(), F.lit(0.0)), "detail": F.create_map(*[x for tag, c in costs.items() for x in (F.lit(tag), c)])}).drop("_step", "_skip")
 
 
 def rule_costs(trigrams: DataFrame, tags: Iterable[str], *, table: str = "parncutt", ruler: str = "semitone") -> DataFrame:
     """Adds a column r_<tag> for each rule, unweighted."""
     from handspan.functions.rules import RULES
 
-    c = lambda x: [F.col(f"{x}{k}") for k in (1, 2, 3)]
-    t = Trigram(c("m"), c("h"), c("d"), table, ruler)
-    return trigrams.withColumns({f"r_{tag}": RULES[tag](t) for tag in tags})
+    measured, t = _measured(trigrams, table, ruler)
+    return measured.withColumns({f"r_{tag}": RULES[tag](t) for tag in tags}).drop("_step", "_skip")
 
 
 def segment_cost(fingered: DataFrame, preset: str = "parncutt", *, keys=KEY, **options) -> DataFrame:

@@ -1309,7 +1309,11 @@ def pig_rows(spark, d):
     return _pig(spark, d)
 
 
-@query("pig_text", "piece_id:s annot_id:s lines:i", "SELECT score_id AS piece_id, event_id % 2 AS annot_id, count(*) + 1 AS lines FROM notes GROUP BY 1, 2")
+@query("pig_text", "piece_id:s annot_id:s lines:i text:s", """
+  SELECT piece_id, annot_id, count(*) + 1 AS lines, '//Version: PianoFingering_v170101' || chr(10) || string_agg(concat_ws(chr(9), id, printf('%.6f', on_s), printf('%.6f', off_s), name, velocity, velocity, channel, finger), chr(10) ORDER BY id) AS text FROM (
+    SELECT *, row_number() OVER (PARTITION BY piece_id, annot_id ORDER BY on_s, midi, off_s, finger, velocity) - 1 AS id FROM (
+      SELECT score_id AS piece_id, event_id % 2 AS annot_id, onset_ms / 1000.0::DOUBLE AS on_s, (onset_ms + dur_ms) / 1000.0::DOUBLE AS off_s, midi, velocity, CASE hand WHEN '<' THEN 1 ELSE 0 END AS channel, CASE hand WHEN '<' THEN '-' ELSE '' END || digit AS finger,
+        list_extract(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'], midi % 12 + 1) || (midi // 12 - 1) AS name FROM notes)) GROUP BY 1, 2""")
 def pig_text(spark, d):
     from handspan.sources import pig
 

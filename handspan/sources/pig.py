@@ -19,8 +19,8 @@ def read_pig(spark: SparkSession, path: str) -> DataFrame:
 
 
 def render_pig(notes: DataFrame, *, keys=("piece_id", "annot_id")) -> DataFrame:
-    """(keys, text): a version line and the notes, numbered from 0 by onset and pitch name, times to six places."""
-    w = Window.partitionBy(*keys).orderBy("on_s", "midi")
+    """(keys, text): a version line and the notes, numbered from 0 by onset and pitch, then offset, finger and velocity; times to six places."""
+    w = Window.partitionBy(*keys).orderBy("on_s", "midi", "off_s", "finger", "on_vel")
     n = notes.withColumn("_id", F.row_number().over(w) - 1)
     line = F.concat_ws("\t", F.col("_id").cast("string"), F.format_string("%.6f", F.round("on_s", 6)), F.format_string("%.6f", F.round("off_s", 6)), "name", F.col("on_vel").cast("string"), F.col("off_vel").cast("string"), F.col("channel").cast("string"), "finger")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", line.alias("l")))), lambda s: s["l"]), "\n")
