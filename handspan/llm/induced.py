@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of queued tuples that one sweep keeps in memory.
-QUEUE_BYTES = 8 << 20
+QUEUE_BYTES = 2 << 20
 #: Symbols that are looked at together.
 RUN = 1 << 20
 
