@@ -2,7 +2,10 @@
 documents go, sources are mixed to target weights, and the token ids are written in a binary format.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents, whatever their names;
+columns beside doc_id, text and source are carried along and may be null. Every stage takes an empty table and gives one,
+works on very long texts whole, and takes repeated rows and rows without an id; what it does with these, and with null
+and empty texts, is said with each.
 """
 
 from __future__ import annotations
@@ -17,25 +20,40 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on labelled ones, rejects go."""
+    """Documents that the ordinal model, fitted on labelled ones, rejects go.
+
+    Null and empty texts have no features, so they stay unless most labelled texts are toxic; without toxic labels all
+    stay. Repeated rows, and rows without an id, are judged each by their own text.
+    """
     workers_find_library(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words to a shingle, a similarity of 0.8 or more."""
+    """One document of each group, the smallest id, stays: five words to a shingle, a similarity of 0.8 or more.
+
+    Null texts, empty ones and those without words are near to nothing and stay, as do rows without an id. Rows that
+    repeat an id are one document: they stay or go together.
+    """
     workers_find_library(spark)
     return near_dedup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark windows go."""
+    """Documents of which a twentieth or more is benchmark windows go.
+
+    Null and empty texts have no words and stay; repeated rows, and rows without an id, are judged each.
+    """
     workers_find_library(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; those of small sources are repeated to bring the sources' weights to the target."""
+    """Every document stays; those of small sources are repeated to bring the sources' weights to the target.
+
+    Documents without a source are a source of their own. Null and empty texts have no tokens: they come as often as
+    their source's epochs. Repeated rows come each as often; rows without an id are dealt like one id.
+    """
     workers_find_library(spark)
     plan = mixing.mixture(docs, public_tokenizers.path(TOKENIZER))
     names = docs.columns
@@ -44,7 +62,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as bit-plane token files; one row per document as read back from them."""
+    """The corpus as bit-plane token files; one row per document as read back from them.
+
+    Null and empty texts give the end id only; repeated rows are written each; rows without an id come first.
+    """
     workers_find_library(spark)
     return token_output.token_digest(token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER)))
 
