@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, suffix_dedup, token_counts, token_output, toxicity, warc_fixity
+from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, phrases, suffix_dedup, token_counts, token_output, toxicity, warc_fixity, whitening
 from handspan.llm.shared import workers_find_library
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -109,6 +109,41 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 16)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), support=100, longest=5, best=2000, contained=100)
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY 1
+), grams AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, k FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, phrase, k AS words, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1
+), longer AS (
+  SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS held FROM c, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i + m - 1 <= words AND m < words GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, i AS k, l.a AS l, r.a AS r, n FROM c LEFT JOIN longer ON longer.lang = c.lang AND longer.phrase = c.phrase, (SELECT unnest([1, 2, 3, 4]) AS i), f l, f r, total
+  WHERE (held IS NULL OR 100 * held < 100 * c.a) AND i < c.words AND l.lang = c.lang AND r.lang = c.lang AND total.lang = c.lang AND l.phrase = array_to_string(w[1:i], ' ') AND r.phrase = array_to_string(w[i + 1:], ' ')
+), lowest AS (
+  SELECT lang, phrase, a, l, r, n, CAST(1000 * a::HUGEINT * n // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY 1000 * a::HUGEINT * n // (l::HUGEINT * r), k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM lowest
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -120,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL, "op13_phrases": OP13_SQL}
