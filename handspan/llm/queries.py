@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, phrases, suffix_dedup, token_counts, token_output, toxicity, warc_fixity, whitening
+from handspan.llm import decontaminate, hilbert_ann, kneser_ney, mixing, near_dedup, overlap_join, phrases, suffix_dedup, token_counts, token_output, toxicity, warc_fixity, whitening
 from handspan.llm.shared import workers_find_library
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -113,6 +113,28 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), 16)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * ((SELECT n FROM size WHERE size.doc_id = a.doc_id) + (SELECT n FROM size WHERE size.doc_id = b.doc_id) - count(*))
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce((SELECT min(other) FROM reach WHERE reach.doc_id = w.doc_id), w.doc_id)) AS component_id
+FROM w LEFT JOIN size ON size.doc_id = w.doc_id
+"""
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), support=100, longest=5, best=2000, contained=100)
 
@@ -156,7 +178,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
     "op11_whitening": op11_whitening,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_phrases": op13_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL, "op13_phrases": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL, "op12_jaccard_join": OP12_SQL, "op13_phrases": OP13_SQL}
