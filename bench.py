@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from handspan.plans.queries import QUERIES
+from handspan.plans.registry import QUERIES
 
 HEADLINE = (
     "key_predicates", "lattice_ngrams", "chord_counts", "tempo_features", "sounding_at_onset", "features_v7", "explode_abcdf", "confusion", "alpha_trigram", "match_rates",

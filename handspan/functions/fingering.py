@@ -19,15 +19,17 @@ def explode_abcdf(annotations: DataFrame, *, text: str = "abcdf", strict: bool =
     ornament the first finger is taken, of alternatives the first. A null or empty string gives no rows. White space
     is left out; other text that is no fingering fails the job, or is left out too if not strict.
     """
-    a = annotations.withColumn("_id", F.struct(*[F.col(c) for c in annotations.columns if c != text]))
-    lines = a.select("*", F.posexplode(F.split(text, "@")).alias("_s", "_staff")).select("*", F.posexplode(F.split("_staff", "&")).alias("line_idx", "_line"))
-    lines = lines.withColumn("_line", F.regexp_replace("_line", r"\s+", ""))
+    staffs = annotations.select("*", F.posexplode(F.split(text, "@")).alias("_s", "_staff"))
+    lines = staffs.withColumn("_lines", F.transform(F.split("_staff", "&"), lambda line: F.regexp_replace(line, r"\s+", "")))
+    # notes are counted inside the row, so rows that repeat an annotation keep their own numbers
+    size = lambda line: F.size(F.regexp_extract_all(line, F.lit(f"({TOKEN})"), 1))
+    before = F.transform("_lines", lambda _, i: F.aggregate(F.slice("_lines", F.lit(1), i), F.lit(0), lambda n, line: n + size(line)))
+    lines = lines.select("*", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), before.alias("before"))).alias("line_idx", "_z"))
+    lines = lines.withColumns({"_line": F.col("_z.line"), "_before": F.col("_z.before")})
     found, rest = F.regexp_extract_all("_line", F.lit(f"({TOKEN})"), 1), F.regexp_replace("_line", TOKEN, "")
     if strict:
         found = F.when((rest == "") | rest.isNull(), found).otherwise(F.raise_error(F.concat(F.lit("not a fingering: "), rest, F.lit(" in "), F.col("_line"))).cast("array<string>"))
     tokens = lines.withColumn("_tokens", found)
-    before = Window.partitionBy("_id", "_s").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    tokens = tokens.withColumn("_before", F.coalesce(F.sum(F.size("_tokens")).over(before), F.lit(0)))
     rows = tokens.select(*annotations.columns, "_s", "line_idx", "_before", F.posexplode("_tokens").alias("_i", "token"))
     first = F.regexp_replace(F.split("token", "/")[0], r"[,;.]$", "")
     bare = F.regexp_replace(first, r"^\(", "")

@@ -38,9 +38,10 @@ def cohens_kappa(table: DataFrame, *, one: str = "one", other: str = "other", ke
 
 
 def with_pooled(table: DataFrame, *, one: str = "one", other: str = "other", key: str = "staff", pooled: str = "both") -> DataFrame:
-    """A confusion table by key with the table over all keys, by grouping sets of its cells; so one pass over the pairs gives both."""
+    """A confusion table by key with the table over all keys, by grouping sets of its cells; so one pass over the pairs gives both. A null key keeps its own table."""
     cells = [F.col(one), F.col(other)]
-    return table.groupingSets([[F.col(key), *cells], cells], key, one, other).agg(F.sum("n").alias("n")).select(F.coalesce(key, F.lit(pooled)).alias(key), one, other, "n")
+    sets = table.groupingSets([[F.col(key), *cells], cells], key, one, other).agg(F.sum("n").alias("n"), F.grouping(F.col(key)).alias("_all"))
+    return sets.select(F.when(F.col("_all") == 1, pooled).otherwise(F.col(key)).alias(key), one, other, "n")
 
 
 def nominal(a: Column, b: Column) -> Column:
@@ -51,13 +52,37 @@ def interval(a: Column, b: Column) -> Column:
     return F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))
 
 
-def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Column] = nominal, *, unit=("unit",), value: str = "value", keys=(), among: list[str] | None = None, coder: str = "coder") -> DataFrame:
+#: Different labels of which a caller's distance function is asked for every two; a table of distances has no such limit.
+MOST_LABELS = 2_000
+
+
+def _table_expected(values: DataFrame, table: DataFrame, missing: float, keys) -> DataFrame:
+    """(keys, de): the distances of all two labels, from those that the table has and `missing` for all others; equal labels have none."""
+    n = values.withColumn("n", F.col("n_v").cast("double"))
+    all_ = n.groupBy(*keys).agg((F.pow(F.sum("n"), F.lit(2.0)) - F.sum(F.col("n") * F.col("n"))).alias("_pairs"))
+    known = n.select(*keys, F.col("v").alias("a"), F.col("n").alias("n_a")).join(table, "a")
+    known = known.join(n.select(*keys, F.col("v").alias("b"), F.col("n").alias("n_b")), [*keys, "b"])
+    listed = known.groupBy(*keys).agg(F.sum(F.col("n_a") * F.col("n_b") * F.col("d")).alias("_sum"), F.sum(F.col("n_a") * F.col("n_b")).alias("_listed"))
+    both = all_.join(listed, list(keys), "left") if keys else all_.crossJoin(F.broadcast(listed))  # one row each
+    return both.select(*keys, (F.coalesce("_sum", F.lit(0.0)) + missing * (F.col("_pairs") - F.coalesce("_listed", F.lit(0.0)))).alias("de"))
+
+
+def distance_table(distances: DataFrame, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
+    """(a, b, d) both ways, of different labels: a pair given both ways must agree, of a pair given twice the larger distance counts."""
+    one = distances.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).cast("double").alias("d")).where("a != b and d is not null")
+    return one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.max("d").alias("d"))
+
+
+def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Column] | DataFrame = nominal, *, unit=("unit",), value: str = "value", keys=(), among: list[str] | None = None, coder: str = "coder", missing: float = 1.0) -> DataFrame:
     """(keys, pairable, observed, expected, alpha): 1 - Do/De from the coincidence matrix; units of fewer than two values don't count.
 
     Pairs are made within a unit between its different values, with their counts, so a unit that very many coders
     share is summed first. `among` keeps some coders. Values that are null aren't given. Chance disagreement is in
-    closed form for the nominal and the interval distance; another distance is asked for each pair of different labels.
+    closed form for the nominal and the interval distance; another function is asked for each pair of different labels,
+    of which there may be MOST_LABELS, or the call fails. A table of distances (a, b, d) is joined to the pairs that occur:
+    equal labels are 0 apart, and two that the table lacks are `missing` apart, so no label meets every other.
     """
+    table = distance_table(distance) if isinstance(distance, DataFrame) else None
     d = data.where(F.col(value).isNotNull())
     if among is not None:
         d = d.where(F.col(coder).isin(*among))
@@ -68,13 +93,23 @@ def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Col
     values = counts.groupBy(*keys, "v").agg(F.sum("c").alias("n_v"))
     pairs = counts.alias("a").join(counts.select(*by, F.col("v").alias("w"), F.col("c").alias("e")), by)
     coincidence = pairs.groupBy(*keys, "v", "w").agg(F.sum(F.col("c") * (F.col("e") - F.when(F.col("v") == F.col("w"), 1).otherwise(0)) / (F.col("m") - 1)).alias("o"))
-    observed = coincidence.groupBy(*keys).agg(F.sum(F.col("o") * distance(F.col("v"), F.col("w"))).alias("do"), F.sum("o").alias("n"))
+    if table is not None:
+        coincidence = coincidence.join(table.select(F.col("a").alias("v"), F.col("b").alias("w"), "d"), ["v", "w"], "left")
+        apart = F.when(F.col("v") == F.col("w"), 0.0).otherwise(F.coalesce("d", F.lit(float(missing))))
+    else:
+        apart = distance(F.col("v"), F.col("w"))
+    observed = coincidence.groupBy(*keys).agg(F.sum(F.col("o") * apart).alias("do"), F.sum("o").alias("n"))
     n, v = F.col("n_v").cast("double"), F.col("v")
     if distance is nominal:
         expected = values.groupBy(*keys).agg((F.pow(F.sum(n), F.lit(2.0)) - F.sum(n * n)).alias("de"))
     elif distance is interval:
         expected = values.groupBy(*keys).agg((2.0 * (F.sum(n) * F.sum(n * v * v) - F.pow(F.sum(n * v), F.lit(2.0)))).alias("de"))
+    elif table is not None:
+        expected = _table_expected(values, table, float(missing), keys)
     else:  # a distance of the caller's is asked for each pair of different labels
+        found = values.select("v").distinct().limit(MOST_LABELS + 1).count()
+        if found > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels: give a table of distances")
         other = values.select(*keys, F.col("v").alias("w"), F.col("n_v").alias("n_w"))
         cross = values.join(other, list(keys)) if keys else values.join(other, F.lit(True))
         expected = cross.groupBy(*keys).agg(F.sum(F.col("n_v") * F.col("n_w") * distance(F.col("v"), F.col("w"))).alias("de"))
@@ -83,7 +118,7 @@ def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Col
     return both.select(*keys, F.col("n").alias("pairable"), do.alias("observed"), de.alias("expected"), F.when(de > 0, 1 - do / de).alias("alpha"))
 
 
-def alpha_with_candidate(humans: DataFrame, candidate: DataFrame, distance: Callable[[Column, Column], Column] = nominal, *, keys=(), **options) -> DataFrame:
+def alpha_with_candidate(humans: DataFrame, candidate: DataFrame, distance: Callable[[Column, Column], Column] | DataFrame = nominal, *, keys=(), **options) -> DataFrame:
     """(keys, alpha, alpha_with, delta): the humans' alpha, theirs with one model's labels, and the difference."""
     own = krippendorff_alpha(humans, distance, keys=keys, **options).select(*keys, "alpha")
     more = krippendorff_alpha(humans.unionByName(candidate), distance, keys=keys, **options).select(*keys, F.col("alpha").alias("alpha_with"))

@@ -129,9 +129,9 @@ def group_kfold(rows: DataFrame, k: int, *, group=KEY) -> DataFrame:
 
 
 def fold_counts(rows: DataFrame, *, fold: str = "fold", staff: str = "staff", group=KEY) -> DataFrame:
-    """(fold, staff, examples, notes) for each fold and staff, and for both together (null staff)."""
+    """(fold, staff, pooled, examples, notes) for each fold and staff, and for all staffs together (pooled, with a null staff); a null staff of the rows has its own row."""
     per = rows.groupBy(fold, staff, *group).agg(F.count("*").alias("n"))
-    return per.groupingSets([[F.col(fold), F.col(staff)], [F.col(fold)]], fold, staff).agg(F.count("*").alias("examples"), F.sum("n").alias("notes"))
+    return per.groupingSets([[F.col(fold), F.col(staff)], [F.col(fold)]], fold, staff).agg((F.grouping(F.col(staff)) == 1).alias("pooled"), F.count("*").alias("examples"), F.sum("n").alias("notes"))
 
 
 def edge_features(fingered: DataFrame, *, keys=KEY, tags=("str", "sma", "lar", "3t4", "bl4", "bl1", "bl5", "pa1", "wea")) -> DataFrame:

@@ -56,14 +56,14 @@ def human_match_rates(annotations: DataFrame, *, keys=KEY, coder: str = "coder",
     return note_rates(pair_annotations(annotations, annotations, keys=keys, ordered=False, coder=coder, value=value), keys=(*keys, "a_coder"))
 
 
-def classification_report(pairs: DataFrame, *, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """(label, support, predicted_n, precision, recall, f1): null where there is nothing to divide by."""
-    cells = pairs.groupBy(truth, predicted).agg(F.count("*").alias("n"))
-    long = cells.select(F.col(truth).alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("given"), F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0).alias("hit"))
-    long = long.unionAll(cells.select(F.col(predicted).alias("label"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))
-    s = long.groupBy("label").agg(F.sum("support").alias("support"), F.sum("given").alias("predicted_n"), F.sum("hit").alias("hit"))
+def classification_report(pairs: DataFrame, *, truth: str = "truth", predicted: str = "predicted", keys=()) -> DataFrame:
+    """(keys, label, support, predicted_n, precision, recall, f1): null where there is nothing to divide by."""
+    cells = pairs.groupBy(*keys, truth, predicted).agg(F.count("*").alias("n"))
+    long = cells.select(*keys, F.col(truth).alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("given"), F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0).alias("hit"))
+    long = long.unionAll(cells.select(*keys, F.col(predicted).alias("label"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))
+    s = long.groupBy(*keys, "label").agg(F.sum("support").alias("support"), F.sum("given").alias("predicted_n"), F.sum("hit").alias("hit"))
     p, r = F.col("hit") / F.nullif("predicted_n", F.lit(0)), F.col("hit") / F.nullif("support", F.lit(0))
-    return s.select("label", "support", "predicted_n", p.alias("precision"), r.alias("recall"), F.when(F.col("predicted_n") + F.col("support") > 0, 2 * F.col("hit") / (F.col("predicted_n") + F.col("support"))).alias("f1"))
+    return s.select(*keys, "label", "support", "predicted_n", p.alias("precision"), r.alias("recall"), F.when(F.col("predicted_n") + F.col("support") > 0, 2 * F.col("hit") / (F.col("predicted_n") + F.col("support"))).alias("f1"))
 
 
 def weighted_f1(report: DataFrame) -> DataFrame:

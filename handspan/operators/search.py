@@ -13,9 +13,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handspan.functions.dims import PRESETS, edit_distance, span
-from handspan.functions.keys import RULERS
-from handspan.functions.rules import Trigram, preset_costs
+from handspan.functions.keys import RULERS, is_between
+from handspan.functions.rules import RULES, Trigram, preset_costs
 from handspan.operators.sequence import KEY, by_note
+from handspan.plans.lineage import cut_lineage, workers_find_library
 
 
 def with_trigrams(fingered: DataFrame, *, hand: str = "hand", digit: str = "digit", keys=KEY) -> DataFrame:
@@ -93,46 +94,326 @@ def layers(costed: DataFrame, *, width: int = 125, keys=KEY) -> DataFrame:
 
     A segment with a note that nothing is allowed for has no layers, as no path passes it.
     """
-    some = F.array_sort(F.collect_list(F.when(F.col("allowed"), F.struct("q", F.col("cost").cast("double").alias("cost")))))
+    some = F.sort_array(F.collect_list(F.when(F.col("allowed"), F.struct("q", F.col("cost").cast("double").alias("cost")))))
     per = costed.groupBy(*keys, "note_idx").agg(F.first("midi").alias("midi"), some.alias("_some"))
     spread = F.get(F.transform(F.array(F.map_from_entries("_some")), lambda m: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda q: F.try_element_at(m, q))), F.lit(0))
     per = per.withColumn("m", F.when(F.size("_some") == width, F.transform("_some", lambda s: s["cost"])).when(F.size("_some") > 0, spread))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
     return per.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("midi", "note_idx").alias("first_midi"), F.when(F.count("m") == F.count("*"), whole).alias("layers"))
 
 
-_CELL = "array<struct<c:double,p:string>>"
-
+#: What a rule looks at: `own` the digit of the note and the colours of the three, `step` the first two notes, `skip` the first
+#: and the last note, whether the second is a thumb and lies between, `digits` no pitch. Other rules look at the whole trigram.
+REACH = dict.fromkeys(("wea", "weaj", "bl1", "bl5"), "own") | dict.fromkeys(("345", "aprb"), "digits")
+REACH |= dict.fromkeys(("str", "sma", "smal", "smaw", "lar", "larl", "larj", "3t4", "bl4", "pa1", "pa1w", "b1pb", "b1wb", "wb1b", "impw", "nrfw"), "step")
+REACH |= dict.fromkeys(("pcc", "pcs", "pchw", "pcow", "rfrw", "afcb"), "skip")
+#: Classes of a reach that may be broadcast, at most 125 costs of each; more are joined.
+HELD_CLASSES = 40_000
+#: The longest list that a fold of whole paths keeps.
+MOST_BEST = 200
+_NONE = -1_000_000
 
-def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
-    """(keys, rank, digits, cost): the k cheapest digit strings of each segment; ties in order of the digits.
 
-    A segment without any allowed path has one row of rank 0, without digits or cost. k should stay small (50): the
-    state is 25 * k paths.
+def neighbours(notes: DataFrame, hand: str = "hand", keys=KEY) -> DataFrame:
+    """Adds m1 m2 m3 and h2: a note's pitch with its neighbours', null past the ends, and its hand."""
+    w = by_note(keys)
+    return notes.withColumns({"m1": F.lag("midi").over(w), "m2": F.col("midi"), "m3": F.lead("midi").over(w), "h2": F.col(hand)})
+
+
+def _reach(reach: str, table: str, ruler: str):
+    """(keys of its classes, digits of a place, number of places, trigram) of a reach; a class's keys are its columns k0, k1, .."""
+    m1, m2, m3, h = F.col("m1"), F.col("m2"), F.col("m3"), F.col("h2")
+    k, q, none = [F.col(f"k{i}") for i in range(4)], F.col("q"), F.lit(None)
+    place = lambda by, count: F.floor(q / by).cast("int") % count + 1
+    shown = lambda hand, *notes: [F.when(n.isNotNull(), hand) for n in notes]
+    number, nothing = none.cast("int"), none.cast("string")
+    if reach == "own":
+        return [m1 % 12, m2 % 12, m3 % 12, h], 5, Trigram(k[:3], shown(k[3], *k[:3]), [number, place(1, 5), number], table, ruler)
+    if reach == "step":
+        return [m1, m2, h], 25, Trigram([k[0], k[1], number], [*shown(k[2], k[0]), k[2], nothing], [place(5, 5), place(1, 5), number], table, ruler)
+    if reach == "skip":
+        between = is_between(m2, m1, m3)
+        middle = F.when(k[3], k[0] + F.signum(k[1] - k[0]).cast("int")).otherwise(k[0])
+        return [m1, m3, h, between], 50, Trigram([k[0], middle, k[1]], [*shown(k[2], k[0]), k[2], *shown(k[2], k[1])], [place(5, 5), F.floor(q / 25).cast("int") + 1, place(1, 5)], table, ruler)
+    if reach == "digits":
+        return [], 125, Trigram([F.lit(60), F.lit(60), F.lit(60)], [F.lit(">")] * 3, [place(25, 5), place(5, 5), place(1, 5)], table, ruler)
+    return [m1, m2, m3, h], 125, Trigram(k[:3], [*shown(k[3], k[0]), k[3], *shown(k[3], k[2])], [place(25, 5), place(5, 5), place(1, 5)], table, ruler)
+
+
+def cost_classes(neighboured: DataFrame, reach: str, tags, weights: dict[str, float], table: str, ruler: str, mode: str | None = None, apart: bool = False) -> tuple[DataFrame, list[Column]]:
+    """(a table with a row for each class of the notes: k0, k1, .., costs; the notes' keys): the costs of one reach at each place.
+
+    costs sums the weighted rules; if apart, it has an array for each rule, unweighted. With a mode, a step that isn't
+    allowed has no cost. Keys that are null stand as _NONE, so that classes are joined by equality.
+    """
+    keys, places, t = _reach(reach, table, ruler)
+    found = neighboured.select(*[c.alias(f"k{i}") for i, c in enumerate(keys)]).distinct() if keys else neighboured.sparkSession.range(1).select()
+    rows = found.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    each = [RULES[tag](t).cast("double") for tag in tags]
+    cost = F.array(*each) if apart else sum((c * F.lit(float(weights.get(tag, 1.0))) for tag, c in zip(tags, each, strict=True)), F.lit(0.0))
+    if mode is not None:
+        k0, k1, h = F.col("k0"), F.col("k1"), F.col("k2")
+        cost = F.when(transition_allowed(k0, t.d1, k1, t.d2, h, table, mode), cost)
+    names = [f"k{i}" for i in range(len(keys))]
+    got = rows.withColumn("c", cost).groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "c"))), lambda s: s["c"]).alias("costs"))
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(str(_NONE)))
+    return got.select(*[plain(F.col(n)).alias(n) for n in names], "costs"), [plain(c) for c in keys]
+
+
+def with_cost_arrays(neighboured: DataFrame, preset: str, weights: dict[str, float] | None = None, *, mode: str = "max", apart: bool = False) -> DataFrame:
+    """Adds c_step, c_skip, c_own, c_digits, c_whole (where the preset has such rules): each note's costs from tables of the distinct classes.
+
+    Notes are many and classes few: what a rule looks at is computed once for each class (at most 129 * 129 steps of
+    each hand, whatever the number of notes) and joined.
     """
+    tags, table, ruler, own = PRESETS[preset]
+    weights = own | (weights or {})
+    out = neighboured
+    for reach in ("step", "skip", "own", "digits", "whole"):
+        rules = [tag for tag in tags if REACH.get(tag, "whole") == reach]
+        if not rules and reach != "step":
+            continue
+        classes, keys = cost_classes(neighboured, reach, rules, weights, table, ruler, mode if reach == "step" else None, apart)
+        if keys:
+            classes = cut_lineage(classes)
+        held = not keys or classes.count() <= HELD_CLASSES
+        named = classes.select(*[F.col(f"k{i}").alias(f"_{reach}{i}") for i in range(len(keys))], F.col("costs").alias(f"c_{reach}"))
+        named = F.broadcast(named) if held else named
+        if not keys:
+            out = out.crossJoin(named)  # one row
+            continue
+        out = out.withColumns({f"_on{i}": c for i, c in enumerate(keys)})
+        on = [F.col(f"_on{i}") == F.col(f"_{reach}{i}") for i in range(len(keys))]
+        out = out.join(named, on, "left").drop(*[f"_{reach}{i}" for i in range(len(keys))], *[f"_on{i}" for i in range(len(keys))])
+    return out
+
+
+def _composed(at, have: set[str], first: Column | None = None) -> Column:
+    """The 125 costs of a note from the arrays of its reaches; at(name) gives an array. first: the digit that the note must have, or null."""
+
+    def cost(q: int) -> Column:
+        a, b, c = q // 25, q // 5 % 5, q % 5
+        places = {"c_step": a * 5 + b, "c_skip": 25 * (b > 0) + a * 5 + c, "c_own": b, "c_digits": q, "c_whole": q}
+        total = sum((F.get(at(name), F.lit(i)) for name, i in places.items() if name in have and name != "c_step"), F.get(at("c_step"), F.lit(places["c_step"])))
+        return total if first is None else F.when(F.coalesce(first == b + 1, F.lit(True)), total)
+
+    return F.array(*[cost(q) for q in range(125)])  # generated code; a lambda would be interpreted at each of the 125 places
+
+
+def class_layers(notes: DataFrame, preset: str, weights: dict[str, float] | None = None, *, mode: str = "max", first=None, last=None, hand: str = "hand", keys=KEY) -> DataFrame:
+    """(keys, n, first_midi, layers) as `layers` gives them, by tables of classes: no row for each candidate, and one collect.
+
+    first and last fix the digits of the end notes (a null Column value doesn't).
+    """
+    costed = with_cost_arrays(cut_lineage(neighbours(notes, hand, keys)), preset, weights, mode=mode)
+    have = {c for c in costed.columns if c.startswith("c_")}
+    fixed = None
+    if first is not None or last is not None:
+        value = lambda v: F.lit(None).cast("int") if v is None else v if isinstance(v, Column) else F.lit(v)
+        a, z = F.when(F.col("m1").isNull(), value(first)), F.when(F.col("m3").isNull(), value(last))
+        fixed = F.when(a.isNotNull() & z.isNotNull() & (a != z), 0).otherwise(F.coalesce(a, z))
+    per = costed.select(*keys, "note_idx", "midi", _composed(F.col, have, fixed).alias("m"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
+    return per.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("midi", "note_idx").alias("first_midi"), whole.alias("layers"))
+
+
+_CELL = "array<struct<c:double,p:string>>"
+
+
+def _k_best(layers: Column, n: Column, k: int) -> Column:
+    """The k cheapest (c, p) of a segment's layers: a fold whose state is 25 cells of at most k paths."""
     digit = lambda i: (i + 1).cast("string")
     known = lambda cell: F.filter(cell, lambda x: x["c"].isNotNull())
-    head = F.element_at("layers", 1)
+    head, tail = F.element_at(layers, 1), F.element_at(layers, -1)
     start = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda q: known(F.array(F.struct(F.get(head, q).alias("c"), F.concat(digit(F.floor(q / 5).cast("int")), digit(q % 5)).alias("p")))))
 
     def step(acc, m):
         def cell(q):
             grown = F.transform(
                 F.sequence(F.lit(0), F.lit(4)),
-                lambda a: F.transform(F.get(acc, a * 5 + F.floor(q / 5).cast("int")), lambda x: F.struct((x["c"] + F.get(m, a * 25 + q)).alias("c"), F.concat(x["p"], digit(q % 5)).alias("p"))),
+                lambda a: F.transform(F.get(acc, a * 5 + F.floor(q / 5).cast("int")), lambda x: F.struct((x["c"] + F.get(m, a * 25 + q)).alias("c"), x["p"].alias("p"))),
             )
-            return F.slice(F.array_sort(known(F.flatten(grown))), 1, k)
+            best = F.slice(F.sort_array(known(F.flatten(grown))), 1, k)  # all get the same digit, so only those that stay are given it
+            return F.transform(best, lambda x: F.struct(x["c"].alias("c"), F.concat(x["p"], digit(q % 5)).alias("p")))
 
         return F.transform(F.sequence(F.lit(0), F.lit(24)), cell)
 
-    tail = F.element_at("layers", -1)
-    end = lambda acc: F.slice(F.array_sort(known(F.flatten(F.transform(acc, lambda cell, q: F.transform(cell, lambda x: F.struct((x["c"] + F.get(tail, q * 5)).alias("c"), x["p"].alias("p"))))))), 1, k)
-    inner = F.when(F.col("n") > 2, F.slice("layers", F.lit(2), (F.col("n") - 2).cast("int"))).otherwise(F.expr("array()").cast("array<array<double>>"))
-    lone = F.slice(F.array_sort(known(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.struct(F.get(head, d * 5).alias("c"), digit(d).alias("p"))))), 1, k)
-    best = layered.select(*keys, F.posexplode_outer(F.when(F.col("layers").isNull(), None).when(F.col("n") > 1, F.aggregate(inner, start, step, end)).otherwise(lone)).alias("_r", "x"))
+    end = lambda acc: F.slice(F.sort_array(known(F.flatten(F.transform(acc, lambda cell, q: F.transform(cell, lambda x: F.struct((x["c"] + F.get(tail, q * 5)).alias("c"), x["p"].alias("p"))))))), 1, k)
+    inner = F.when(n > 2, F.slice(layers, F.lit(2), (n - 2).cast("int"))).otherwise(F.expr("array()").cast("array<array<double>>"))
+    lone = F.slice(F.sort_array(known(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.struct(F.get(head, d * 5).alias("c"), digit(d).alias("p"))))), 1, k)
+    return F.when(layers.isNull(), None).when(n > 1, F.aggregate(inner, start, step, end)).otherwise(lone)
+
+
+def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
+    """(keys, rank, digits, cost): the k cheapest digit strings of each segment; ties in order of the digits.
+
+    A segment without any allowed path has one row of rank 0, without digits or cost. The state is 25 * k paths, so k is
+    for short lists (MOST_BEST at most); `deep_paths` goes on to any depth.
+    """
+    if k > MOST_BEST:
+        raise ValueError(f"k is {k}; beyond {MOST_BEST} use deep_paths")
+    best = layered.select(*keys, F.posexplode_outer(_k_best(F.col("layers"), F.col("n"), k)).alias("_r", "x"))
     return best.select(*keys, F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
 
 
+def _layer_arrays(column) -> list[list]:
+    """The layers of each row of an Arrow list column: a numpy table (notes x 125) with inf where nothing is allowed, None for null."""
+    import numpy as np
+
+    out = []
+    for x in column:
+        if not x.is_valid or not len(x.values):
+            out.append(None)
+            continue
+        notes = x.values
+        flat = notes.flatten().to_numpy(zero_copy_only=False).astype(float)
+        whole = len(flat) == 125 * len(notes)
+        out.append(np.where(np.isnan(flat), np.inf, flat).reshape(len(notes), 5, 5, 5) if whole else None)
+    return out
+
+
+def _to_come(m) -> list:
+    """For each note, the least cost still to come after it and its follower have their digits (5 x 5)."""
+    rest = [m[-1][:, :, 0]]  # the last note's own cost, by the digits of the two last notes
+    for layer in m[-2:0:-1]:
+        rest.append((layer + rest[-1][None, :, :]).min(axis=2))
+    return rest[::-1]
+
+
+def _paths_in_order(m):
+    """(cost, digits) of every allowed path, the cheapest first, ties by digits: one at a time, as long as they are asked for.
+
+    Each entry of the queue is a beginning of a path with the least cost that it can end with. One that is taken leaves
+    two: its own best continuation, and the next best beginning in its place. So the queue grows by one an entry, not by
+    the paths there are.
+    """
+    import heapq
+
+    import numpy as np
+
+    if len(m) == 1:
+        costs = sorted((float(m[0][0, d, 0]), str(d + 1)) for d in range(5) if np.isfinite(m[0][0, d, 0]))
+        yield from costs
+        return
+    rest = _to_come(m)
+    head = [(float(m[0][0, a, b] + rest[0][a, b]), f"{a + 1}{b + 1}", float(m[0][0, a, b])) for a in range(5) for b in range(5)]
+    head = sorted(x for x in head if x[0] < np.inf)
+    queue = [(*head[0], head, 0)] if head else []
+    number = 0
+    while queue:
+        total, digits, cost, among, i = heapq.heappop(queue)[:5]
+        if i + 1 < len(among):
+            heapq.heappush(queue, (*among[i + 1], among, i + 1))
+        at = len(digits) - 1
+        if at == len(m) - 1:
+            yield total, digits
+            number += 1
+            continue
+        a, b = int(digits[-2]) - 1, int(digits[-1]) - 1
+        more = [(cost + float(m[at][a, b, c]), c) for c in range(5)]
+        after = rest[at] if at < len(m) - 1 else None
+        more = sorted((g + float(after[b, c]), f"{digits}{c + 1}", g) for g, c in more if np.isfinite(g) and np.isfinite(after[b, c]))
+        if more:
+            heapq.heappush(queue, (*more[0], more, 0))
+
+
+def deep_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
+    """(keys, rank, digits, cost): the k cheapest digit strings of each segment, for any k, as `k_best_paths` ranks them.
+
+    The least cost still to come is known for every note and pair of digits, so beginnings are taken in the order of the
+    paths they lead to (`_paths_in_order`) and rows go out as they are found; memory grows with the paths taken of one
+    segment at a time. A segment without any allowed path has one row of rank 0.
+    """
+    import pyarrow as pa
+
+    kinds = [f"`{c}` {t}" for c, t in layered.dtypes if c in keys]
+    rows = layered.select(*keys, "layers")
+    workers_find_library(layered.sparkSession)
+
+    def work(batches):
+        from itertools import islice
+
+        for b in batches:
+            for i, m in enumerate(_layer_arrays(b.column(len(keys)))):
+                paths = iter(_paths_in_order(m)) if m is not None else iter(())
+                rank = 0
+                while chunk := list(islice(paths, min(k - rank, 10_000))):
+                    yield found(b, i, [rank + 1 + x for x in range(len(chunk))], [x[1] for x in chunk], [x[0] for x in chunk])
+                    rank += len(chunk)
+                if not rank:
+                    yield found(b, i, [0], [None], [None])
+
+    def found(b, i, ranks, digits, costs):
+        own = [b.column(j).take(pa.array([i] * len(ranks))) for j in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*own, pa.array(ranks, pa.int32()), pa.array(digits, pa.string()), pa.array(costs, pa.float64())], names=[*keys, "rank", "digits", "cost"])
+
+    return rows.mapInArrow(work, ", ".join([*kinds, "rank int", "digits string", "cost double"]))
+
+
+def gold_rank(layered: DataFrame, gold: DataFrame, *, keys=KEY) -> DataFrame:
+    """(keys, digits, cost, rank): the rank that each given digit string has among all allowed paths of its segment, however deep.
+
+    Nothing is listed: paths are counted, by their cost and by how they compare with the given one, from note to note. rank
+    is a string of digits, as it passes 64 bits; cost and rank are null where the string can't be played or has not one
+    digit for each note. gold: keys, digits.
+    """
+    import pyarrow as pa
+
+    kinds = [f"`{c}` {t}" for c, t in layered.dtypes if c in keys]
+    rows = layered.join(gold, list(keys)).select(*keys, "digits", "layers")
+    workers_find_library(layered.sparkSession)
+
+    def work(batches):
+        for b in batches:
+            got = [_rank_of(m, d) for m, d in zip(_layer_arrays(b.column(len(keys) + 1)), b.column(len(keys)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys) + 1], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*keys, "digits", "cost", "rank"])
+
+    return rows.mapInArrow(work, ", ".join([*kinds, "digits string", "cost double", "rank string"]))
+
+
+def _rank_of(m, digits: str | None) -> tuple[float | None, str | None]:
+    from collections import Counter
+
+    import numpy as np
+
+    if m is None or digits is None or len(digits) != len(m) or not set(digits) <= set("12345"):
+        return None, None
+    d = [int(c) - 1 for c in digits]
+    if len(m) == 1:
+        own = float(m[0][0, d[0], 0])
+        costs = [(float(m[0][0, x, 0]), x) for x in range(5)]
+        return (own, str(sum(c < (own, d[0]) for c in costs) + 1)) if np.isfinite(own) else (None, None)
+    own = float(m[0][0, d[0], d[1]])
+    for i in range(1, len(m)):
+        own += float(m[i][d[i - 1], d[i], d[i + 1] if i + 1 < len(m) else 0])
+    if not np.isfinite(own):
+        return None, None
+    order = lambda x, y: (x > y) - (x < y)
+    rest = _to_come(m)
+    cells: dict[tuple[int, int, int], Counter] = {}
+    for a in range(5):
+        for b in range(5):
+            if np.isfinite(m[0][0, a, b]):
+                cells[a, b, order((a, b), (d[0], d[1]))] = Counter({float(m[0][0, a, b]): 1})
+    for i in range(1, len(m)):
+        last = i == len(m) - 1
+        following: dict[tuple[int, int, int], Counter] = {}
+        for (a, b, sign), counts in cells.items():
+            for c in range(1 if last else 5):
+                g = float(m[i][a, b, c])
+                if not np.isfinite(g):
+                    continue
+                least = 0.0 if last else float(rest[i][b, c])
+                key = (b, c, sign) if last else (b, c, sign or order(c, d[i + 1]))
+                held = following.setdefault(key, Counter())
+                for cost, n in counts.items():
+                    if cost + g + least <= own:  # what must end beyond it is behind it
+                        held[cost + g] += n
+        cells = following
+    before = sum(n for (_, _, sign), counts in cells.items() for cost, n in counts.items() if cost < own or cost == own and sign < 0)
+    return own, str(before + 1)
+
+
 def _with_lone(layered: DataFrame, k: int, given: int | None = None, *, keys=KEY) -> DataFrame:
     """The k best paths, but a lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost."""
     from handspan.functions.fingering import one_note_advice
@@ -147,8 +428,8 @@ def fingering_count(notes: DataFrame, *, table: str = "parncutt", mode: str = "n
     c = candidates(notes, table=table, mode=mode, hand=hand, keys=keys).where("d1 = 1 or m1 is not null").withColumn("cost", F.lit(1.0))
     ok = transition_allowed(F.col("m1"), F.col("d1"), F.col("m2"), F.col("d2"), F.col(hand), table, mode)
     steps = c.where("d3 = 1").withColumn("ok", ok.cast("double"))
-    per = steps.groupBy(*keys, "note_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "ok"))), lambda s: s["ok"]).alias("m"))
-    seq = per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"]).alias("ms"))
+    per = steps.groupBy(*keys, "note_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "ok"))), lambda s: s["ok"]).alias("m"))
+    seq = per.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"]).alias("ms"))
     five = F.sequence(F.lit(0), F.lit(4))
     add = lambda x, y: x + y
     step = lambda acc, m: F.transform(five, lambda b: F.aggregate(F.transform(five, lambda a: F.get(acc, a) * F.get(m, a * 5 + b)), F.lit(0.0), add))
@@ -162,9 +443,8 @@ def advise(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, mode: str
     A lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost. A segment
     that no fingering fits has one row of rank 0 without digits or cost (unplayable="row"), or fails the job ("error").
     """
-    table = PRESETS[preset][1]
-    costed = trigram_cost(playable(candidates(notes, table=table, mode=mode, first=first, last=last, hand=hand, keys=keys)), preset, weights)
-    best = _with_lone(layers(costed, keys=keys), k, first if first is not None else last, keys=keys)
+    layered = class_layers(notes, preset, weights, mode=mode, first=first, last=last, hand=hand, keys=keys)
+    best = _with_lone(layered, k, first if first is not None else last, keys=keys)
     if unplayable == "error":
         where = F.concat_ws(", ", *[F.col(c).cast("string") for c in keys])
         best = best.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.raise_error(F.concat(F.lit("no fingering for "), where)).cast("int")))
@@ -191,8 +471,8 @@ def advise_cyclic(notes: DataFrame, preset: str = "parncutt", k: int = 5, *, mod
     ring = notes.unionByName(again)
     own, first = (*keys, "_first"), F.col("_first")
     ring = ring.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    costed = trigram_cost(playable(candidates(ring, table=PRESETS[preset][1], mode=mode, first=first, last=first, hand=hand, keys=own)), preset, weights)
-    every = k_best_paths(layers(costed, keys=own), k, keys=own).drop("_first")
+    layered = class_layers(ring, preset, weights, mode=mode, first=first, last=first, hand=hand, keys=own)
+    every = k_best_paths(layered, k, keys=own).drop("_first")
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("cost"), "digits")
     best = every.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= k) & ((F.col("_r") == 1) | F.col("digits").isNotNull()))
     return best.withColumn("rank", F.when(F.col("digits").isNull(), 0).otherwise(F.col("_r"))).drop("_r")
@@ -246,7 +526,7 @@ def random_advise(notes: DataFrame, k: int, seed: int = 1, *, keys=KEY) -> DataF
     """(keys, rank, digits, cost): k digit strings fixed by the seed; cost is the rank."""
     n = notes.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
     n = n.withColumn("_d", (F.pmod(F.xxhash64(*keys, "note_idx", "rank", F.lit(seed)), F.lit(5)) + 1).cast("string"))
-    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "_d"))), lambda s: s["_d"]), "")
+    digits = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("note_idx", "_d"))), lambda s: s["_d"]), "")
     return n.groupBy(*keys, "rank").agg(digits.alias("digits")).withColumn("cost", F.col("rank").cast("double"))
 
 
@@ -262,7 +542,7 @@ def bad_fingers(notes: DataFrame, preset: str = "parncutt", *, hand: str = "hand
     best = c.withColumn("_min", F.min("cost").over(w)).where("cost = _min")
     long = best.select(*keys, "note_idx", F.explode(F.create_map(F.lit(-1), F.when(F.col("m1").isNotNull(), F.col("d1")), F.lit(0), F.col("d2"), F.lit(1), F.when(F.col("m3").isNotNull(), F.col("d3")))).alias("position", "d"))
     used = long.where("d is not null").groupBy(*keys, "note_idx", "position").agg(F.collect_set("d").alias("_used"))
-    return used.select(*keys, "note_idx", "position", F.array_except(F.array(*[F.lit(d) for d in range(1, 6)]), F.array_sort("_used")).alias("bad"))
+    return used.select(*keys, "note_idx", "position", F.array_except(F.array(*[F.lit(d) for d in range(1, 6)]), F.sort_array("_used")).alias("bad"))
 
 
 def explode_digits(suggestions: DataFrame, *, keys=KEY) -> DataFrame:
@@ -293,7 +573,7 @@ def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "ha
     c = playable(c)
     begin = begin.withColumn("allowed", transition_allowed(F.col("m2"), F.col("d2"), F.col("m3"), F.col("d3"), F.col("hand"), table))
     starts = layers(trigram_cost(playable(begin), preset), width=25, keys=keys).select(*keys, F.col("layers").alias("starts"))
-    gold = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("note_idx", "hand", "digit"))).alias("gold"))
+    gold = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("note_idx", "hand", "digit"))).alias("gold"))
     every = layers(trigram_cost(c, preset), keys=keys).join(starts, list(keys)).join(gold, list(keys))
 
     n, five, pairs = F.col("n"), F.sequence(F.lit(0), F.lit(4)), F.sequence(F.lit(0), F.lit(24))
@@ -337,18 +617,41 @@ def ablations(preset: str, n: int) -> list[tuple[str, dict[str, float]]]:
     return [("all", {})] + [("-" + "-".join(m), dict.fromkeys(m, 0.0)) for size in range(1, n + 1) for m in combinations(tags, size)]
 
 
+def versioned_paths(notes: DataFrame, preset: str, versions: list[tuple[str, dict[str, float]]], k: int, *, mode: str = "max", hand: str = "hand", keys=KEY) -> DataFrame:
+    """(version, keys, rank, digits, cost): the k best of each segment under several sets of weights, in one fold over its notes.
+
+    The notes' rule costs come once, unweighted, from the tables of classes; a version's costs are their weighted sums,
+    made inside the fold. So neither notes nor candidates are multiplied by the versions. Phrases of one note have the
+    finger that their cheapest candidate gives.
+    """
+    tags, _, _, own = PRESETS[preset]
+    costed = with_cost_arrays(cut_lineage(neighbours(notes, hand, keys)), preset, mode=mode, apart=True)
+    have = [c for c in costed.columns if c.startswith("c_")]
+    rules = {c: [t for t in tags if REACH.get(t, "whole") == c[2:]] for c in have}
+    every = costed.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("note_idx", *have))).alias("notes"))
+    weight = lambda given, tag: F.lit(float((own | given).get(tag, 1.0)))
+    sets = F.array(*[F.struct(F.lit(name).alias("version"), *[F.array(*([weight(given, t) for t in rules[c]] or [F.lit(0.0)])).alias(c) for c in have]) for name, given in versions])
+
+    def weighted(note, version, c):
+        return F.transform(note[c], lambda costs: F.when(costs.isNotNull(), sum((F.get(costs, F.lit(i)) * F.get(version[c], F.lit(i)) for i in range(len(rules[c]))), F.lit(0.0))))
+
+    def layers_of(version):
+        arrays = F.transform("notes", lambda note: F.struct(*[weighted(note, version, c).alias(c) for c in have]))
+        return F.transform(arrays, lambda a: _composed(lambda c: a[c], set(have)))
+
+    bound = lambda v: F.get(F.transform(F.array(layers_of(v)), lambda layers: _k_best(layers, F.col("n"), k)), F.lit(0))  # noqa: E731  layers are made once
+    found = every.select(*keys, F.transform(sets, lambda v: F.struct(v["version"].alias("version"), bound(v).alias("paths"))).alias("found"))
+    each = found.select(*keys, F.inline("found")).select("version", *keys, F.posexplode_outer("paths").alias("_r", "x"))
+    return each.select("version", *keys, F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
+
+
 def rule_ablation(notes: DataFrame, preset: str, n: int, value, *, k: int = 5, hand: str = "hand", keys=KEY) -> DataFrame:
-    """(version, value, loss): value(suggestions) -> (keys, v) averaged for each muted version; loss is the full model's less its own.
+    """(version, value, loss): value(suggestions) -> (version, keys, v) averaged for each muted version; loss is the full model's less its own.
 
-    The candidates' rule costs are computed once; each version is a sum of the rules it keeps.
+    All versions share one search (`versioned_paths`).
     """
-    tags, table, _, own = PRESETS[preset]
-    base = trigram_cost(playable(candidates(notes, table=table, hand=hand, keys=keys)), preset)
-    versions = ablations(preset, n)
-    keep = F.array(*[F.struct(F.lit(name).alias("version"), F.array(*[F.lit(w.get(t, 1.0)) for t in tags]).alias("w")) for name, w in versions])
-    each = base.withColumn("_v", F.explode(keep)).withColumns({"version": F.col("_v.version"), "cost": sum((F.col("detail")[t] * F.col("_v.w")[i] for i, t in enumerate(tags)), F.lit(0.0))})
-    best = k_best_paths(layers(each, keys=("version", *keys)), k, keys=("version", *keys))
-    scored = value(best).groupBy("version").agg(F.avg("v").alias("value"))
+    best = versioned_paths(notes, preset, ablations(preset, n), k, hand=hand, keys=keys)
+    scored = cut_lineage(value(best).groupBy("version").agg(F.avg("v").alias("value")))
     full = scored.where("version = 'all'").select(F.col("value").alias("_full"))
     return scored.crossJoin(F.broadcast(full)).select("version", "value", (F.col("_full") - F.col("value")).alias("loss"))  # a row for each version
 
@@ -372,7 +675,6 @@ def recall_all(suggest, gold: DataFrame, *, step: int = 25, keys=KEY) -> DataFra
     those that still miss gold are deepened. Gold that can't be played makes a segment go through all its fingerings.
     """
     from handspan.operators.corpus import gold_missing
-    from handspan.plans.lineage import cut_lineage
 
     k, only, before, done = step, None, None, None
     while True:

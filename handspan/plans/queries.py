@@ -17,20 +17,25 @@ from handspan.streaming.notes import note_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+COLUMNS: dict[str, list[list[str]]] = {}
 SPARK = {"i": "bigint", "d": "double", "s": "string", "b": "boolean"}
 SQL = {"i": "CAST({0} AS BIGINT)", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
 
 
+def _typed(df: DataFrame, spec: list[list[str]]) -> DataFrame:
+    """The columns of a query, cast to their kinds."""
+    return df.select(*[(F.round(F.col(c).cast("double"), 6) + 0.0 if k == "d" else F.col(c).cast(SPARK[k])).alias(c) for c, k in spec])
+
+
 def query(name: str, columns: str, sql: str | None = None, ctes: str = NOTES_SQL, lambdas: bool = False):
     """Registers a function (spark, sf_dir) under a name, and its SQL: a select over the named tables."""
     spec = [c.split(":") for c in columns.split()]
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*[(F.round(F.col(c).cast("double"), 6) + 0.0 if k == "d" else F.col(c).cast(SPARK[k])).alias(c) for c, k in spec])
+            return _typed(f(spark, sf_dir), spec)
 
-        QUERIES[name] = run
+        QUERIES[name], COLUMNS[name] = run, spec
         if sql is not None:
             out = ", ".join(f'{SQL[k].format(chr(34) + c + chr(34))} AS "{c}"' for c, k in spec)
             ORACLE_SQL[name] = f"WITH {ctes}\nSELECT {out} FROM (\n{sql}\n)"
@@ -734,17 +739,20 @@ def _phrases(spark, d):
 PHRASE = ("score_id", "segment_idx")
 
 
-_SEGS = NOTES_SQL + f", cut AS (SELECT *, {_SEG.replace(chr(39) + ',' + chr(39) + ', ' + chr(39) + ';' + chr(39) + ', ', '')} AS segment_idx FROM notes), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM cut)"
+#: Phrases end at full stops.
+_SEG_FULL = "coalesce(sum(CASE WHEN seg_mark = '.' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY note_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_SEGS = NOTES_SQL + f", cut AS (SELECT *, {_SEG_FULL} AS segment_idx FROM notes), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM cut)"
 
 
-def _searched(cost: str, allowed: str, k: int, ring: bool = False) -> str:
+def _searched(cost: str, allowed: str, k: int, ring: bool = False, more: str = "", segs: str | None = None) -> str:
     """Tables to search phrases step by step: `tri` (notes and neighbours), `cand` (digits of three notes with costs) and `best` (the k cheapest, by cost and digits).
 
     ring: the first note comes again at the end, and paths with different first fingers are kept apart, to be closed.
+    more: tables that costs look into, made of `seg`. segs: what makes `seg`, where that isn't the phrases.
     """
     notes = "seg" if not ring else "(SELECT score_id, segment_idx, pos, len + 1 AS len, digit, hand, midi FROM seg UNION ALL SELECT score_id, segment_idx, len, len + 1, digit, hand, midi FROM seg WHERE pos = 0)"
     apart, closed = (", p.digits[1]", " AND digits[1] = digits[-1]") if ring else ("", "")
-    return "RECURSIVE " + _SEGS + f""", five AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS d), tri AS (
+    return "RECURSIVE " + (segs or _SEGS) + f""", five AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS d){more}, tri AS (
   SELECT *, hand AS h2, lag(midi) OVER p AS m1, midi AS m2, lead(midi) OVER p AS m3 FROM {notes} WINDOW p AS (PARTITION BY score_id, segment_idx ORDER BY pos)
 ), cand AS MATERIALIZED (
   SELECT score_id, segment_idx, pos, len, m1, m3, d1, d2, d3, CAST({cost} AS DOUBLE) AS cost
@@ -1144,7 +1152,7 @@ def build_examples(spark, d):
     return features.build_examples(n, f, 3, keys=("score_id", "segment_idx"))
 
 
-@query("fold_counts", "fold:i staff:s examples:i notes:i", "SELECT score_id % 3 AS fold, staff, count(DISTINCT score_id) AS examples, count(*) AS notes FROM notes GROUP BY GROUPING SETS ((score_id % 3, staff), (score_id % 3))")
+@query("fold_counts", "fold:i staff:s pooled:b examples:i notes:i", "SELECT score_id % 3 AS fold, staff, grouping(staff) = 1 AS pooled, count(DISTINCT score_id) AS examples, count(*) AS notes FROM notes GROUP BY GROUPING SETS ((score_id % 3, staff), (score_id % 3))")
 def fold_counts(spark, d):
     return features.fold_counts(bound_notes(spark, d).withColumn("fold", F.col("score_id") % 3))
 
@@ -1330,16 +1338,6 @@ def standard_channels(spark, d):
     return pig.standardize_channels(p)
 
 
-@query("same_song", "piece_id:s annot_id:s song_id:s", "SELECT score_id AS piece_id, v AS annot_id, CASE WHEN v = 2 THEN 2 ELSE 0 END AS song_id FROM (SELECT DISTINCT score_id FROM notes), (SELECT unnest([0, 1, 2]) AS v)")
-def same_song(spark, d):
-    """Three annotations of each score, of which the third is a beat late."""
-    from handspan.sources import pig
-
-    p = _pig(spark, d).drop("annot_id").withColumn("annot_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
-    late = F.when(F.col("annot_id") == "2", 0.5).otherwise(0.0)
-    return pig.group_same_song(p.withColumns({"on_s": F.col("on_s") + late, "off_s": F.col("off_s") + late}))
-
-
 @query("abcd_header", "score_id:i abcdf:s authority:s weight:i", "SELECT score_id, string_agg(digit || '', '' ORDER BY note_idx) AS abcdf, 'A ' || score_id AS authority, count(*) AS weight FROM notes GROUP BY 1")
 def abcd_header(spark, d):
     """Headers written from the scores' fingerings, and read back."""

@@ -51,9 +51,33 @@ def zero_channels(pig: DataFrame) -> DataFrame:
     return pig.withColumn("channel", F.lit(0))
 
 
-def group_same_song(pig: DataFrame, *, ticks_per_second: int = 1920) -> DataFrame:
-    """(piece_id, annot_id, song_id): annotations of a piece whose events fall on the same ticks share the least annotation id."""
+def event_prints(pig: DataFrame, *, ticks_per_second: int = 1920) -> DataFrame:
+    """(piece_id, annot_id, n, s1, s2): a print of each annotation's set of (channel, tick): its size and the sums of two hashes.
+
+    Repeated events are dropped first, so prints are sums over a set: they add up in any order and task, and only sums are
+    exchanged after that, whatever the length of an annotation.
+    """
+    tick = lambda c: F.round(F.col(c) * ticks_per_second).cast("long")
+    events = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick")).distinct()
+    total = lambda seed: F.sum(F.xxhash64("channel", "tick", F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  sums of 64-bit hashes never leave 38 digits
+    return events.groupBy("piece_id", "annot_id").agg(F.count("*").alias("n"), total(1).alias("s1"), total(2).alias("s2"))
+
+
+def group_same_song(pig: DataFrame, *, ticks_per_second: int = 1920, verify: bool = True) -> DataFrame:
+    """(piece_id, annot_id, song_id): annotations of a piece whose events fall on the same ticks share the least annotation id.
+
+    Equal prints are candidates. With verify, an annotation's events are compared with those of its candidate, one by one,
+    and one that differs from it is a song of its own.
+    """
+    prints = event_prints(pig, ticks_per_second=ticks_per_second)
+    least = Window.partitionBy("piece_id", "n", "s1", "s2")
+    found = prints.select("piece_id", "annot_id", F.min("annot_id").over(least).alias("song_id"))
+    if not verify:
+        return found
     tick = lambda c: F.round(F.col(c) * ticks_per_second).cast("long")
-    sign = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick"))
-    sign = sign.groupBy("piece_id", "annot_id").agg(F.array_sort(F.collect_set(F.struct("channel", "tick"))).alias("events"))
-    return sign.select("piece_id", "annot_id", F.min("annot_id").over(Window.partitionBy("piece_id", "events")).alias("song_id"))
+    events = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick")).distinct()
+    pairs = found.where("annot_id != song_id")
+    theirs = pairs.join(events.withColumnRenamed("annot_id", "song_id"), ["piece_id", "song_id"]).select("piece_id", "annot_id", "channel", "tick")
+    odd = events.join(pairs.select("piece_id", "annot_id"), ["piece_id", "annot_id"]).join(theirs, ["piece_id", "annot_id", "channel", "tick"], "left_anti")  # sets of one size differ where one has what the other lacks
+    odd = odd.select("piece_id", "annot_id").distinct().withColumn("_odd", F.lit(True))
+    return found.join(odd, ["piece_id", "annot_id"], "left").select("piece_id", "annot_id", F.when(F.col("_odd"), F.col("annot_id")).otherwise(F.col("song_id")).alias("song_id"))

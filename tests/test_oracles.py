@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from handspan.plans.queries import ORACLE_SQL, QUERIES
+from handspan.plans.registry import ORACLE_SQL, QUERIES
 
 @pytest.fixture(scope="module")
 def con(sf_dir):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from handspan.plans.queries import QUERIES
+from handspan.plans.registry import QUERIES
 
 KINDS = {1: "click", 2: "view", 3: "purchase", 4: "signup", 5: "error"}
 
