@@ -111,7 +111,7 @@ def weak_ring_finger(t: Trigram) -> Column:
 
 
 def three_four_five(t: Trigram) -> Column:
-    return _cost(t.same & (F.array_sort(F.array(t.d1, t.d2, t.d3)) == F.array(F.lit(3), F.lit(4), F.lit(5))), 1)
+    return _cost(t.same & (F.sort_array(F.array(t.d1, t.d2, t.d3)) == F.array(F.lit(3), F.lit(4), F.lit(5))), 1)
 
 
 def three_to_four(t: Trigram) -> Column:

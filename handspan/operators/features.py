@@ -106,8 +106,10 @@ def reverse_sequences(notes: DataFrame, *, keys=KEY) -> DataFrame:
 
 
 def group_split(rows: DataFrame, test_size: float, seed: int = 1, *, group=KEY) -> DataFrame:
-    """Adds is_test; a group is whole on one side, by a hash of its key."""
-    return rows.withColumn("is_test", F.pmod(F.xxhash64(*group, F.lit(seed)), F.lit(1_000_000)) < int(test_size * 1_000_000))
+    """Adds is_test; a group is whole on one side, by the md5 of its key and the seed, so other engines can split alike."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group], F.lit(str(seed)))
+    place = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") % 1_000_000
+    return rows.withColumn("is_test", place < int(test_size * 1_000_000))
 
 
 def group_kfold(rows: DataFrame, k: int, *, group=KEY) -> DataFrame:

@@ -247,11 +247,11 @@ def _k_best(layers: Column, n: Column, k: int) -> Column:
 def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
     """(keys, rank, digits, cost): the k cheapest digit strings of each segment; ties in order of the digits.
 
-    A segment without any allowed path has one row of rank 0, without digits or cost. The state is 25 * k paths, so k is
-    for short lists (MOST_BEST at most); `deep_paths` goes on to any depth.
+    A segment without any allowed path has one row of rank 0, without digits or cost. The state of the fold is 25 * k
+    paths; beyond MOST_BEST the same rows come from `deep_paths`.
     """
     if k > MOST_BEST:
-        raise ValueError(f"k is {k}; beyond {MOST_BEST} use deep_paths")
+        return deep_paths(layered, k, keys=keys)
     best = layered.select(*keys, F.posexplode_outer(_k_best(F.col("layers"), F.col("n"), k)).alias("_r", "x"))
     return best.select(*keys, F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
 
@@ -350,6 +350,53 @@ def deep_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
     return rows.mapInArrow(work, ", ".join([*kinds, "rank int", "digits string", "cost double"]))
 
 
+def recall_paths(layered: DataFrame, gold: DataFrame, *, keys=KEY) -> DataFrame:
+    """(keys, rank, digits, cost, is_gold): the paths of each segment in order, until all of its gold strings that can be played have come.
+
+    One search a segment: it goes on from where it is, whatever depth that takes. gold: keys, digits; segments without
+    playable gold have no rows.
+    """
+    import pyarrow as pa
+
+    kinds = [f"`{c}` {t}" for c, t in layered.dtypes if c in keys]
+    wanted = gold.groupBy(*keys).agg(F.collect_set("digits").alias("_wanted"))
+    rows = layered.join(wanted, list(keys)).select(*keys, "layers", "_wanted")
+    workers_find_library(layered.sparkSession)
+
+    def work(batches):
+        for b in batches:
+            for i, (m, strings) in enumerate(zip(_layer_arrays(b.column(len(keys))), b.column(len(keys) + 1).to_pylist(), strict=True)):
+                left = {s for s in strings if _rank_cost(m, s) is not None}
+                rank, found = 0, []
+                for cost, digits in _paths_in_order(m) if left else ():
+                    rank += 1
+                    hit = digits in left
+                    left.discard(digits)
+                    found.append((rank, digits, cost, hit))
+                    if len(found) == 10_000 or not left:
+                        own = [b.column(j).take(pa.array([i] * len(found))) for j in range(len(keys))]
+                        ranks, texts, costs, hits = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(ranks, pa.int32()), pa.array(texts), pa.array(costs, pa.float64()), pa.array(hits)], names=[*keys, "rank", "digits", "cost", "is_gold"])
+                        found = []
+                    if not left:
+                        break
+
+    return rows.mapInArrow(work, ", ".join([*kinds, "rank int", "digits string", "cost double", "is_gold boolean"]))
+
+
+def _rank_cost(m, digits: str | None) -> float | None:
+    """What a digit string costs; None if it can't be played or hasn't one digit for each note."""
+    import numpy as np
+
+    if m is None or digits is None or len(digits) != len(m) or not set(digits) <= set("12345"):
+        return None
+    d = [int(c) - 1 for c in digits]
+    cost = float(m[0][0, d[0], d[1] if len(d) > 1 else 0])
+    for i in range(1, len(m)):
+        cost += float(m[i][d[i - 1], d[i], d[i + 1] if i + 1 < len(m) else 0])
+    return cost if np.isfinite(cost) else None
+
+
 def gold_rank(layered: DataFrame, gold: DataFrame, *, keys=KEY) -> DataFrame:
     """(keys, digits, cost, rank): the rank that each given digit string has among all allowed paths of its segment, however deep.
 
@@ -376,18 +423,13 @@ def _rank_of(m, digits: str | None) -> tuple[float | None, str | None]:
 
     import numpy as np
 
-    if m is None or digits is None or len(digits) != len(m) or not set(digits) <= set("12345"):
+    own = _rank_cost(m, digits)
+    if own is None:
         return None, None
     d = [int(c) - 1 for c in digits]
     if len(m) == 1:
-        own = float(m[0][0, d[0], 0])
         costs = [(float(m[0][0, x, 0]), x) for x in range(5)]
-        return (own, str(sum(c < (own, d[0]) for c in costs) + 1)) if np.isfinite(own) else (None, None)
-    own = float(m[0][0, d[0], d[1]])
-    for i in range(1, len(m)):
-        own += float(m[i][d[i - 1], d[i], d[i + 1] if i + 1 < len(m) else 0])
-    if not np.isfinite(own):
-        return None, None
+        return own, str(sum(c < (own, d[0]) for c in costs) + 1)
     order = lambda x, y: (x > y) - (x < y)
     rest = _to_come(m)
     cells: dict[tuple[int, int, int], Counter] = {}

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from handspan.functions import fingering, sql
 from handspan.functions.dims import PARNCUTT_RULES
 from handspan.functions.keys import is_black
-from handspan.operators import agreement, folds, ranges, search, sequence
-from handspan.plans.binding import FINGERINGS_SQL, NOTES_SQL, bound_notes
-from handspan.plans.queries import _PLAYABLE, _RULES, _SEG, _SEG_FULL, _V, COLUMNS, ORACLE_SQL, PHRASE, QUERIES, W, _alpha, _exploded, _phrases, _pig, _preset, _searched, _two, _typed, query
+from handspan.operators import agreement, corpus, folds, ranges, search, sequence
+from handspan.plans.binding import FINGERINGS_SQL, NOTES_SQL, SUGGESTIONS_SQL, bound_notes, suggestions
+from handspan.plans.queries import _BEST, _PLAYABLE, _RULES, _SEG, _SEG_FULL, _TAGS, _TRI, _V, COLUMNS, ORACLE_SQL, PHRASE, QUERIES, W, _alpha, _exploded, _phrases, _pig, _preset, _searched, _span, _two, _typed, query
 from handspan.sources import pig
 
 
@@ -95,6 +96,61 @@ def gold_rank(spark, d):
     return search.gold_rank(layered, gold, keys=PHRASE)
 
 
+@query("recall_all", "score_id:i segment_idx:i rank:i digits:s cost:d is_gold:b", "SELECT score_id, segment_idx, rank, digits, cost, rank IN (2, 5) AS is_gold FROM best b WHERE len > 1 AND rank <= (SELECT max(rank) FROM best g WHERE g.score_id = b.score_id AND g.segment_idx = b.segment_idx AND g.rank IN (2, 5))", _searched(_preset("parncutt"), _PLAYABLE, 5))
+def recall_all(spark, d):
+    """The fingerings of each phrase up to the last of its gold ones, which are the second and the fifth best here."""
+    layered = search.cut_lineage(search.class_layers(_phrases(spark, d), "parncutt", keys=PHRASE))
+    gold = search.k_best_paths(layered.where("n > 1"), 5, keys=PHRASE).where("rank in (2, 5)").select(*PHRASE, "digits")
+    return search.recall_paths(layered, gold, keys=PHRASE)
+
+
+def _bounded(a: str, b: str, mode: str) -> str:
+    over, under = f"m{b} - m{a} <= {_span('max_prac', f'd{a}', f'd{b}')}", f"m{b} - m{a} >= {_span('min_prac', f'd{a}', f'd{b}')}"
+    fits = {"min": under, "both": f"{over} AND {under}"}[mode]
+    return f"CASE WHEN m{a} IS NULL OR m{b} IS NULL THEN true WHEN m{a} = m{b} THEN d{a} = d{b} ELSE d{a} <> d{b} AND {fits} END"
+
+
+def _bounded_search(mode: str):
+    text = f"{_BEST} UNION ALL SELECT DISTINCT score_id, segment_idx, 0, NULL, NULL FROM seg WHERE len > 1 AND NOT EXISTS (SELECT 1 FROM best WHERE best.score_id = seg.score_id AND best.segment_idx = seg.segment_idx)"
+
+    @query(f"advise_within_{mode}", "score_id:i segment_idx:i rank:i digits:s cost:d", text, _searched(_preset("parncutt"), f"({_bounded('1', '2', mode)}) AND ({_bounded('2', '3', mode)})", 3))
+    def run(spark, d):
+        return search.advise(_phrases(spark, d), "parncutt", 3, mode=mode, keys=PHRASE)
+
+
+for _mode in ("min", "both"):
+    _bounded_search(_mode)
+
+
+@query("rule_costs_by_sql", "score_id:i note_idx:i " + " ".join(f"r_{t}:i" for t in _TAGS), f"SELECT score_id, note_idx, {', '.join(f'{c} AS r_{t}' for t, c in _RULES.items())} FROM ({_TRI})")
+def rule_costs_by_sql(spark, d):
+    """All rules as SQL functions in a query of plain text."""
+    if not spark.catalog.functionExists("hs_rule_costs"):
+        sql.register(spark, prefix="hs_")
+    trigrams = search.with_trigrams(bound_notes(spark, d))
+    call = ", ".join(f"hs_rule_{t}(m1, m2, m3, h1, h2, h3, d1, d2, d3) AS r_{t}" for t in _TAGS)
+    return spark.sql(f"SELECT score_id, note_idx, {call} FROM {{trigrams}}", trigrams=trigrams)
+
+
+@query("rank_cutoff", "score_id:i rank:i tip:i", "SELECT score_id, rank, tip FROM tips WHERE note_idx = 0 AND rank <= 3", SUGGESTIONS_SQL)
+def rank_cutoff(spark, d):
+    return corpus.cutoff_at(suggestions(bound_notes(spark, d)).where("note_idx = 0"), 3)
+
+
+@query("without_wildcards", "score_id:i segment_idx:i notes:i", f"SELECT score_id, segment_idx, count(*) AS notes FROM (SELECT *, {_SEG} AS segment_idx FROM hands) GROUP BY 1, 2 HAVING NOT bool_or(strike_digit IS NULL)", FINGERINGS_SQL)
+def without_wildcards(spark, d):
+    f = sequence.with_segments(fingering.with_handed_digits(_exploded(spark, d), keys=["score_id"]))
+    return corpus.drop_wildcards(f, keys=PHRASE).groupBy(*PHRASE).agg(F.count("*").alias("notes"))
+
+
+@query("confusion_matrix", "staff:s one:i l1:i l2:i l3:i l4:i l5:i", "SELECT s.staff, l AS one, " + ", ".join(f"(SELECT count(*) FROM notes n WHERE n.staff = s.staff AND n.digit = l AND n.digit_b = {i}) AS l{i}" for i in range(1, 6)) + " FROM (SELECT DISTINCT staff FROM notes) s, (SELECT unnest(range(1, 6)) AS l)")
+def confusion_matrix(spark, d):
+    n = bound_notes(spark, d).select("staff", F.col("digit").alias("one"), F.col("digit_b").alias("other"))
+    labels = [1, 2, 3, 4, 5]
+    wide = agreement.confusion_matrix(agreement.confusion(n, labels, keys=["staff"]), labels, keys=["staff"])
+    return wide.select("staff", "one", *[F.col(str(i)).alias(f"l{i}") for i in labels])
+
+
 #: Ablation: a version's number is the last two digits of the phrase's id; rule i is muted in version i.
 _VERSIONS = NOTES_SQL + f", cut AS (SELECT *, {_SEG_FULL} AS segment_idx FROM notes), many AS (SELECT score_id * 100 + v AS score_id, segment_idx, note_idx, midi, hand, digit FROM cut, (SELECT unnest(range(0, {len(PARNCUTT_RULES) + 1})) AS v)), seg AS (SELECT *, count(*) OVER (PARTITION BY score_id, segment_idx) AS len, row_number() OVER (PARTITION BY score_id, segment_idx ORDER BY note_idx) - 1 AS pos FROM many)"
 _MUTED = " + ".join(f"CASE WHEN score_id % 100 = {i + 1} THEN 0 ELSE ({_RULES[tag]}) END" for i, tag in enumerate(PARNCUTT_RULES))

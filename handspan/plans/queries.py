@@ -851,7 +851,21 @@ def bad_fingers(spark, d):
     return search.bad_fingers(_phrases(spark, d), keys=PHRASE).withColumn("bad", F.array_join("bad", ""))
 
 
-@query("strike_reentry", "score_id:i segment_idx:i corrections:i distance:i playable:b")
+#: Every beginning of a phrase as a phrase of its own, numbered by 100 * segment_idx: 0 the whole one, p + 1 that from place p on with gold's finger there.
+_RESTARTS = _SEGS.replace("seg AS (", "whole_seg AS (") + ", seg AS (SELECT score_id, segment_idx * 100 + s AS segment_idx, note_idx, midi, hand, digit, pos - greatest(s - 1, 0) AS pos, len - greatest(s - 1, 0) AS len FROM whole_seg, (SELECT unnest(range(0, 100)) AS s) WHERE pos >= s - 1)"
+
+
+@query("strike_reentry", "score_id:i segment_idx:i corrections:i distance:i playable:b", """
+  SELECT score_id, phrase AS segment_idx, max(corrections) AS corrections, max(corrections) AS distance, arg_max(playable, corrections) AS playable FROM walk GROUP BY 1, 2""",
+  _searched(_preset("parncutt"), f"{_PLAYABLE} AND (pos > 0 OR segment_idx % 100 = 0 OR d2 = digit)", 1, segs=_RESTARTS) + f""", advised AS (
+  SELECT score_id, segment_idx, digits FROM best WHERE len > 1 OR segment_idx % 100 > 0 UNION ALL SELECT score_id, segment_idx, CASE WHEN {black('midi')} THEN '2' ELSE '1' END FROM seg WHERE len = 1 AND segment_idx % 100 = 0
+), wrong AS (
+  SELECT a.score_id, a.segment_idx, min(CASE WHEN CAST(a.digits[s.pos + 1] AS INT) <> s.digit THEN s.pos END) AS at FROM advised a JOIN seg s ON s.score_id = a.score_id AND s.segment_idx = a.segment_idx GROUP BY 1, 2
+), walk AS (
+  SELECT p.score_id, p.segment_idx // 100 AS phrase, 0::BIGINT AS p, 0 AS corrections, m.at, m.score_id IS NOT NULL AS playable FROM (SELECT DISTINCT score_id, segment_idx FROM seg WHERE segment_idx % 100 = 0) p LEFT JOIN wrong m ON m.score_id = p.score_id AND m.segment_idx = p.segment_idx
+  UNION ALL
+  SELECT w.score_id, w.phrase, w.p + w.at, w.corrections + 1, m.at, m.score_id IS NOT NULL FROM walk w LEFT JOIN wrong m ON m.score_id = w.score_id AND m.segment_idx = w.phrase * 100 + w.p + w.at + 1 WHERE w.at IS NOT NULL
+)""")
 def strike_reentry(spark, d):
     return search.strike_reentry(_phrases(spark, d), keys=PHRASE)
 
@@ -874,7 +888,18 @@ def cross_hand_distances(spark, d):
     return n.groupBy("score_id").agg(dist("natural"), dist("pivot"))
 
 
-@query("span_diff", "hd1:s hd2:s field:s a:i b:i events:i")
+# The spans of rising right-hand pairs in which the two tables differ (pair, field, values), and of the left hand's own.
+_DIFFERING = """
+  SELECT * FROM (VALUES (1, 2, 'max_comf', 8, 9), (1, 3, 'min_rel', 3, 1), (1, 3, 'max_comf', 10, 11), (1, 4, 'min_rel', 5, 2), (1, 4, 'max_comf', 12, 13), (1, 5, 'max_comf', 13, 14), (2, 3, 'max_comf', 3, 2)) AS t(x, y, field, a, b)"""
+_LEFT_DIFFERING = """
+  SELECT * FROM (VALUES (1, 2, 'max_comf', 8, 9), (1, 3, 'min_rel', 3, 1), (1, 3, 'max_comf', 10, 11), (1, 4, 'min_rel', 5, 3), (1, 4, 'max_comf', 12, 13), (1, 5, 'max_comf', 13, 14)) AS t(x, y, field, a, b)"""
+
+
+@query("span_diff", "hd1:s hd2:s field:s a:i b:i events:i", f"""
+  SELECT hd1, hd2, field, a, b, events FROM (
+    SELECT '>' || x AS hd1, '>' || y AS hd2, field, a, b FROM ({_DIFFERING}) UNION ALL SELECT '<' || y, '<' || x, field, a, b FROM ({_LEFT_DIFFERING})
+    UNION ALL SELECT '>' || y, '>' || x, CASE WHEN starts_with(field, 'min') THEN 'max' ELSE 'min' END || substr(field, 4), -a, -b FROM ({_DIFFERING}) UNION ALL SELECT '<' || x, '<' || y, CASE WHEN starts_with(field, 'min') THEN 'max' ELSE 'min' END || substr(field, 4), -a, -b FROM ({_LEFT_DIFFERING})
+  ) LEFT JOIN (SELECT hand || lag_digit AS hd1, hand || digit AS hd2, count(*) AS events FROM (SELECT *, lag(digit) {W} AS lag_digit FROM notes) GROUP BY 1, 2) USING (hd1, hd2)""")
 def span_diff(spark, d):
     """Where two span tables differ, with how often the pair is played."""
     n = sequence.with_neighbours(bound_notes(spark, d), column="digit", after=0)
@@ -1157,10 +1182,11 @@ def fold_counts(spark, d):
     return features.fold_counts(bound_notes(spark, d).withColumn("fold", F.col("score_id") % 3))
 
 
-@query("group_split", "sides:i whole:b", "SELECT 2 AS sides, true AS whole")
+@query("group_split", "score_id:i is_test:b whole:b", """
+  SELECT score_id, CAST(CAST('0x' || substr(md5(score_id || '|1'), 1, 12) AS UBIGINT) % 1000000 AS BIGINT) < 300000 AS is_test, true AS whole FROM (SELECT DISTINCT score_id FROM notes)""")
 def group_split(spark, d):
-    s = features.group_split(bound_notes(spark, d), 0.3).groupBy("score_id").agg(F.countDistinct("is_test").alias("n"), F.first("is_test").alias("t"))
-    return s.agg(F.countDistinct("t").alias("sides"), (F.max("n") == 1).alias("whole"))
+    s = features.group_split(bound_notes(spark, d), 0.3)
+    return s.groupBy("score_id").agg(F.first("is_test").alias("is_test"), (F.countDistinct("is_test") == 1).alias("whole"))
 
 
 _EDGES = "str sma lar 3t4 bl4 bl1 bl5 pa1 wea".split()
