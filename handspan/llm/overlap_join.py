@@ -43,7 +43,9 @@ SALT_ROWS = 256
 #: Size classes grow by this much, in hundredths.
 GROWTH = 130
 #: A part of fewer shingles is small.
-LEAST = 3
+LEAST = 2
+#: Parts that a task groups at once before it sends them on.
+GROUPED_PARTS = 3_000_000
 #: What a lookup in a long list costs against a step of the merge; the method's paper calls it mu.
 LOOKUP = 0.01
 _P, _S, _C = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B), U64(0x3C6EF372FE94F82B)
@@ -64,7 +66,7 @@ def differ(edges: np.ndarray, percent: int) -> np.ndarray:
 
 
 def spare(k: np.ndarray) -> np.ndarray:
-    return 2 + k // 10
+    return 2 + k // 50
 
 
 def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +132,75 @@ def set_parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(frees_memory(work), "doc_id long, n_shingles long, s1 long, s2 long, parts array<long>")
 
 
+def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, its smallest document) of each part; (smallest document, document) of each member of a part that several documents have."""
+    order = np.lexsort((doc, part))
+    part, doc = part[order], doc[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    count = np.diff(np.append(at, len(part)))
+    lead = np.repeat(doc[at], count)
+    several = np.repeat(count > 1, count)
+    return part[at], doc[at], lead[several], doc[several]
+
+
+def shared_parts(reps: DataFrame) -> DataFrame:
+    """(lead, doc_id, n): for every document that has a part in common with others a smallest document of such, and how many parts they share.
+
+    reps: doc_id, parts. A task joins what it holds itself, so of a part that very many documents have each task sends on one row.
+    """
+    names = ["part", "lead", "doc_id", "n"]
+
+    def counted(lead, doc):
+        if not len(lead):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        pair = np.unique(np.column_stack([lead, doc]), axis=0, return_counts=True)
+        return pair[0][:, 0], pair[0][:, 1], pair[1]
+
+    def batch(part, lead, doc, n):
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(lead, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=names)
+
+    def local(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def grouped():
+            part, lead, star, doc = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield batch(part, lead, lead, np.zeros(len(part), np.int64))
+            yield batch(pa.nulls(len((c := counted(star, doc))[0]), pa.int64()), *c)
+
+        for b in batches:
+            size = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            held.append((b.column(1).flatten().to_numpy(zero_copy_only=False), np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)))
+            if sum(len(x[0]) for x in held) >= GROUPED_PARTS:
+                yield from grouped()
+                held.clear()
+        if held:
+            yield from grouped()
+
+    def across(batches):
+        part, lead = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def grouped(part, lead):
+            _, _, star, doc = _stars(part, lead)
+            return batch(pa.nulls(len((c := counted(star, doc))[0]), pa.int64()), *c)
+
+        for b in batches:
+            done = b.filter(b.column(0).is_null())
+            if done.num_rows:
+                yield done
+            b = b.filter(b.column(0).is_valid())
+            part, lead = np.append(part, b.column(0).to_numpy()), np.append(lead, b.column(1).to_numpy())
+            if len(part) >= GROUPED_PARTS:
+                cut = int(np.searchsorted(part, part[-1]))  # rows come in order of their parts; the last part may go on
+                yield grouped(part[:cut], lead[:cut])
+                part, lead = part[cut:], lead[cut:]
+        yield grouped(part, lead)
+
+    kind = "part long, lead long, doc_id long, n long"
+    sent = reps.select("doc_id", "parts").mapInArrow(frees_memory(local), kind)
+    dealt = sent.repartition(F.coalesce("part", "lead")).sortWithinPartitions("part", "lead")
+    return dealt.mapInArrow(frees_memory(across), kind).groupBy("lead", "doc_id").agg(F.sum("n").alias("n"))
+
+
 class Lists:
     """Inverted lists of some sets: for each value the places of the sets that hold it, rising."""
 
@@ -248,7 +319,8 @@ def _small(members: DataFrame, size: int, percent: int) -> DataFrame:
         if ids:
             yield done()
 
-    dealt = members.select("family", "doc_id", "text").repartition("family").sortWithinPartitions("family", "doc_id")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # searching costs more than its bytes tell, so tasks aren't merged by bytes
+    dealt = members.select("family", "doc_id", "text").repartition(n, "family").sortWithinPartitions("family", "doc_id")
     return dealt.mapInArrow(frees_memory(work), "a long, b long")
 
 
@@ -339,10 +411,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     named = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     sig = stored(set_parts(named.select("doc_id", F.col("text").alias("_text")), size, percent), "set-parts")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = kept(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts")), "distinct-sets")
-    rows = reps.select("doc_id", F.explode("parts").alias("part"))
-    shared = kept(rows.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1"), "shared-parts")
-    members = kept(rows.join(shared, "part").groupBy("lead", "doc_id").agg(F.sum("n").alias("n")), "part-members")
+    members = kept(shared_parts(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))), "part-members")
+    reps = kept(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "distinct-sets")
     once = named.where("doc_id is not null")
     families = connected_components(members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
     used.append(families)
@@ -353,14 +423,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     large = of.groupBy("family").agg(F.sum("sets").alias("rows"), F.sum("n").alias("n")).where(f"rows > {BLOCK_ROWS} or n > {BLOCK_SHINGLES}")
     large = kept(large.select("family", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts")), "large-families")
     any_large = not large.isEmpty()
-    little = of.join(large, "family", "left_anti") if any_large else of
-    links = [kept(_small(little.join(once, "doc_id"), size, percent), "family-links")]
+    texts = kept(of.select("doc_id", "family").join(once.hint("merge"), "doc_id").select("family", "doc_id", "text"), "family-texts")  # one join of the texts, at every size
+    little = texts.join(large, "family", "left_anti") if any_large else texts
+    links = [kept(_small(little, size, percent), "family-links")]
     if any_large:
         wide = kept(of.join(large, "family").select("family", "doc_id", "salts"), "large-family-members")
         worth = members.groupBy("doc_id").agg(F.sum("n").alias("worth"))
         pivots = wide.join(worth, "doc_id").groupBy("family").agg(F.max_by("doc_id", F.struct("worth", -F.col("doc_id"))).alias("pivot"), F.max("salts").alias("salts"))
         pivots = kept(pivots, "family-pivots")
-        apart = kept(_against_pivot(wide.select("family", "doc_id"), once, pivots, size, percent), "apart-from-pivot")
+        apart = kept(_against_pivot(wide.select("family", "doc_id"), texts.select("doc_id", "text"), pivots, size, percent), "apart-from-pivot")
         links.append(apart.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         rest, blocks_of = _among_rest(apart, percent)
         used.append(blocks_of)
