@@ -33,7 +33,7 @@ from handspan.llm.text import LOWER, U64, blocks, mix, slice_hashes, words
 
 SHARDS = 8
 #: Words that are counted together before they go to the exchange.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 #: Shares of a lang and shard that Spark may broadcast; more are joined as a table.
 HELD_SHARES = 100_000
 #: Bytes that end a piece, and those that part words.
@@ -355,6 +355,6 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = 5, best: in
     long = _mined(rows, parts, range(3, longest + 1), pairs) if longest > 2 else None
     merged = short.unionByName(long) if long is not None else short
     candidates = _sets(merged, folder, parts, False)[0]
-    counted = _counted(rows, parts, candidates, longest, support)
+    counted = _counted(rows, parts * SHARDS, candidates, longest, support)
     dropped(short, *([long] if long is not None else []))
     return _ranked(counted, contained, best)
