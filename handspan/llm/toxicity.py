@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from handspan.llm.packed import frees_memory
-from handspan.llm.shared import carried, numbered
+from handspan.llm.shared import carried, dropped, numbered, stored
 from handspan.llm.text import LOWER, NOT_ALNUM, U64, blocks, mix, slice_hashes, words
 
 #: Most labelled rows that the model is fitted on.
@@ -127,13 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The model from labelled documents; rows whose label or id is null aren't labelled, a repeated id takes its largest label.
 
     Labels are 0 or 1, or grades from 0 up. Without toxic labels nothing is toxic; without any features only the share
-    of labels counts; a null text has no features; rows of one id are all used; an empty table of labels or documents
+    of labels counts; a null text has no features; of the rows of one id that whose text has the least hash is used; an empty table of labels or documents
     is like one without toxic labels. No other column of either table is read.
     """
     named = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y is not null")
     named = named.groupBy("key").agg(F.max("y").alias("y"))
     sample = named.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("_text")).join(F.broadcast(sample), "key").select("_text", "y")
+    labelled = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("_text")).join(F.broadcast(sample), "key")
+    least = F.min_by(F.col("_text"), F.struct(F.col("_text").isNull(), F.xxhash64("_text")))  # a row of each id, so that the sample is bounded
+    texts = stored(labelled.groupBy("key").agg(least.alias("_text"), F.first("y").alias("y")).select("_text", "y"), "labelled-texts")
 
     def each(batches):
         for b in batches:
@@ -150,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n_pos = n_pos or 0
     n_neg = n_all - n_pos
     if not n_pos:
+        dropped(texts)
         return Model(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 50.0) + np.arange(GRADES))
     p1, p0 = F.col("pos") / n_pos, (F.col("n") - F.col("pos")) / max(n_neg, 1)
     mean = F.col("n") / n_all
@@ -170,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             )
 
     rows = texts.mapInArrow(frees_memory(chosen), "y int, c array<int>, n array<int>").collect()  # at most SAMPLE_ROWS rows of MOST_FEATURES features
+    dropped(texts)
     rows.sort(key=lambda r: (r[0], r[1], r[2]))  # sums of floating-point numbers depend on the order
     grade = np.array([max(r[0], 0) for r in rows], np.int64)
     grades = int(grade.max())
