@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from handspan.llm.shared import stored
+from handspan.llm.shared import dropped, stored
 
 CURVES, DIMENSIONS, BITS = 4, 8, 7
 BLOCK_ROWS = 4096
@@ -64,7 +64,10 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """The vectors of a binary column, a row each."""
+    """The vectors of a binary column, a row each, times a power of two that brings the largest component to about 1.
+
+    Cosines and directions are the same, but no square of a tiny or huge component leaves the range of doubles.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -73,7 +76,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if len(pc.unique(pc.binary_length(column))) > 1:
         raise ValueError("vectors of different lengths")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(n, -1)
+    v = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(n, -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -142,7 +146,7 @@ def distinct_vectors(usable: DataFrame, k: int) -> DataFrame:
 
 
 def _ordered(entries: DataFrame) -> DataFrame:
-    """(curve, rank, entry, vector, ids, asked): every entry on every curve, with its place in the curve's order."""
+    """(curve, rank, entry, vector, ids, asked), a stored table: every entry on every curve, with its place in the curve's order."""
 
     def keys(batches):
         for b in batches:
@@ -167,7 +171,10 @@ def _ordered(entries: DataFrame) -> DataFrame:
     sizes = numbered.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a few rows for each part
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).select("curve", "part", "before")
-    return numbered.join(F.broadcast(sizes), ["curve", "part"]).select("curve", (F.col("before") + F.col("at")).alias("rank"), "entry", "vector", "ids", "asked")
+    placed = numbered.join(F.broadcast(sizes), ["curve", "part"]).select("curve", (F.col("before") + F.col("at")).alias("rank"), "entry", "vector", "ids", "asked")
+    placed = stored(placed, "ordered-vectors")
+    dropped(numbered)
+    return placed
 
 
 def _window(ordered: DataFrame, entries: DataFrame, n: int, k: int) -> int:
@@ -189,12 +196,14 @@ def _window(ordered: DataFrame, entries: DataFrame, n: int, k: int) -> int:
 
     true = entries.select("entry", "vector").mapInArrow(nearest, "query long, entry long, score double")
     true = true.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k).select("query", "entry")
-    wanted = F.broadcast(stored(true, "true-neighbours"))  # at most SAMPLE_QUERIES * k rows
+    true = stored(true, "true-neighbours")
+    wanted = F.broadcast(true)  # at most SAMPLE_QUERIES * k rows
     places = ordered.select("curve", "rank", "entry")
     there = places.join(wanted, "entry").select("query", "entry", "curve", "rank")
     here = places.join(F.broadcast(wanted.select("query").distinct()), places["entry"] == F.col("query")).select("query", "curve", F.col("rank").alias("own_rank"))
     apart = there.join(here, ["query", "curve"]).groupBy("query", "entry").agg(F.min(F.abs(F.col("rank") - F.col("own_rank"))).alias("apart"))
     got = sorted(r[0] for r in apart.select("apart").collect())
+    dropped(true)
     return min(int(got[min(len(got) - 1, math.ceil(RECALL * len(got)) - 1)]) + 1, n) if got else 0
 
 
@@ -210,10 +219,11 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     usable = stored(usable_vectors(vectors, queries, key, vector), "usable-vectors")
     entries = stored(distinct_vectors(usable, k), "vectors")
     n = entries.count()
-    ordered = stored(_ordered(entries), "ordered-vectors")
+    ordered = _ordered(entries)
     half = _window(ordered, entries, n, k)
     block = F.floor(F.col("rank") / BLOCK_ROWS).cast("long")
-    salts = max(1, math.ceil((2 * half + 2 * BLOCK_ROWS) / 50 / QUERY_ROWS))
+    share = entries.where("asked").count() / max(n, 1)
+    salts = max(1, math.ceil((2 * half + 2 * BLOCK_ROWS) * share / QUERY_ROWS))  # about QUERY_ROWS queries meet a block in a task
     salt = F.pmod(F.xxhash64("entry"), F.lit(salts)).cast("int")
     last = F.floor(F.least(F.col("rank") + half, F.lit(max(n - 1, 0))) / BLOCK_ROWS).cast("long")
     first = F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / BLOCK_ROWS).cast("long")
@@ -239,4 +249,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector
     asked = asked.join(of, "h").where(F.col("own") == F.col("vector")).select("query_id", "query").distinct()
     each = asked.join(found, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = stored(out, "neighbours")
+    dropped(usable, entries, ordered, found)
+    return out
