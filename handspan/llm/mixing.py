@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from handspan.llm.shared import dropped, stored
+from handspan.llm.shared import column, dropped, folded, numbered, place, stored
 from handspan.llm.token_counts import token_counts
 
 #: Sources up to which the source table is held by the driver and broadcast; beyond it it stays a table.
@@ -75,7 +75,7 @@ def mixture(docs: DataFrame, tokenizer: str, entropy: float = 0.95, repeats: flo
     epochs of any source within the budget. budget: tokens in all; None takes the least that uses every
     source whole at least once. A source without tokens takes one epoch. An empty table has no rows.
     """
-    counted = token_counts(docs.select(docs[key].alias("k"), docs[source].alias("s"), docs[text].alias("text")), tokenizer, keep=["k", "s"])
+    counted = token_counts(docs.select(column(key).alias("k"), column(source).alias("s"), column(text).alias("text")), tokenizer, keep=["k", "s"])
     counted = stored(counted.select(F.col("k").alias("key"), _source(F.col("s")).alias("src"), "n_tokens"), "mixing-tokens")
     sources = counted.groupBy("src").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     sources = per_source = stored(sources, "mixing-sources")
@@ -145,16 +145,17 @@ def mix(docs: DataFrame, plan: DataFrame, seed: int = 7, key: str = "doc_id", so
     Read in order of (mix_epoch, mix_block, mix_place) a source's rows are its block permutations. Rows
     of a source that is not in the plan don't appear; repeated rows of docs are taken like any other; a null key
     is dealt like any other value, a null source is a source; an empty table gives no rows. Columns that clash with
-    the three new names are replaced, and any other name may occur.
+    the three new names, by the session's rule of case, are replaced, and any other name may occur.
     """
     held = plan.count() <= HELD_SOURCES
     own = plan.select("src", F.col("epochs").alias("_epochs"), "n_blocks", "cut_block", "cut_doc")
     new = ("mix_epoch", "mix_block", "mix_place")
-    kept = [c for c in docs.columns if c not in new]
-    d = docs.select(F.struct(*[docs[c].alias(f"c_{i}") for i, c in enumerate(kept)]).alias("row"), docs[key].alias("key"), _source(docs[source]).alias("src"))
+    fold = folded(docs.sparkSession)
+    kept = [(i, c) for i, c in enumerate(docs.columns) if fold(c) not in new]
+    d = numbered(docs).select(F.struct(*[f"c_{i}" for i, _ in kept]).alias("row"), F.col(f"c_{place(docs, key)}").alias("key"), _source(F.col(f"c_{place(docs, source)}")).alias("src"))
     d = d.join(F.broadcast(own) if held else own, "src").withColumn("block", _block(seed))
     last = _block_place(seed, F.col("_epochs"))
     taken = F.col("cut_block").isNotNull() & ((last < F.col("cut_block")) | ((last == F.col("cut_block")) & (_doc_place(seed, F.col("_epochs")) <= F.col("cut_doc"))))
     n = F.col("_epochs") + F.when(taken, 1).otherwise(0)
     d = d.where(n > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return d.select(*[F.col(f"row.c_{i}").alias(c) for i, c in enumerate(kept)], F.col("epoch").alias("mix_epoch"), _block_place(seed, F.col("epoch")).alias("mix_block"), _doc_place(seed, F.col("epoch")).alias("mix_place"))
+    return d.select(*[F.col(f"row.c_{i}").alias(c) for i, c in kept], F.col("epoch").alias("mix_epoch"), _block_place(seed, F.col("epoch")).alias("mix_block"), _doc_place(seed, F.col("epoch")).alias("mix_place"))

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     text has its whole word sequence as one shingle. Rows with equal sets are linked. A row without an id
     is linked with nothing: its component is null and it is kept. Repeated rows are all returned; rows of one id
     are one document that has all their links. Very long texts are compared whole; an empty table gives no rows;
-    other columns of docs are not read, so their names may be any.
+    other columns of docs are not read, so their names may be any. Ids are whole numbers; an id that is none fails the job.
     """
     used: list[DataFrame] = []
 

@@ -71,17 +71,31 @@ def column(name: str) -> Column:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with its columns named c_0, c_1, .. in their order, so that none can clash."""
-    return docs.select(*[column(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)])
+    return docs.toDF(*[f"c_{i}" for i in range(len(docs.columns))])
+
+
+def folded(spark: SparkSession):
+    """A function that makes names alike which the session takes for the same."""
+    return str if spark.conf.get("spark.sql.caseSensitive", "false") == "true" else str.lower
+
+
+def place(docs: DataFrame, name: str) -> int:
+    """The place of the column that a name means: the one of the very name, else one that the session takes for the same."""
+    fold = folded(docs.sparkSession)
+    return docs.columns.index(name) if name in docs.columns else [fold(c) for c in docs.columns].index(fold(name))
 
 
 def carried(docs: DataFrame, text: str, new: dict[str, str], keep: list[str] | None) -> tuple[DataFrame, T.StructType]:
     """(rows for a task: the text as _text, then the columns to keep; the schema that the task returns).
 
-    Columns named like a new one are replaced; those to keep have names of their own on the way, so none can clash.
+    Columns named like a new one, by the session's rule of case, are replaced; those to keep have names of their own on
+    the way, so none can clash.
     """
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    rows = docs.select(column(text).cast("string").alias("_text"), *[column(f.name).alias(f"c_{i}") for i, f in enumerate(kept)])
-    return rows, T.StructType([*kept, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields])
+    fold = folded(docs.sparkSession)
+    taken, wanted = {fold(k) for k in new}, None if keep is None else {fold(k) for k in keep}
+    kept = [(i, f) for i, f in enumerate(docs.schema.fields) if fold(f.name) not in taken and (wanted is None or fold(f.name) in wanted)]
+    rows = numbered(docs).select(F.col(f"c_{place(docs, text)}").cast("string").alias("_text"), *[f"c_{i}" for i, _ in kept])
+    return rows, T.StructType([*[f for _, f in kept], *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields])
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:

@@ -38,11 +38,16 @@ def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return r.groupBy("node").agg(F.count("*").alias("records"), F.sum("size").alias("size"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *limbs), 256).alias("digest"))
 
 
+def _above(node: str, width: int):
+    """The floor of node / width in whole numbers: exact for every 64-bit id."""
+    return F.expr(f"({node} div {width}) - if(pmod({node}, {width}) != 0 and {node} < 0, 1, 0)")
+
+
 def tree(leaf_rows: DataFrame, levels: int) -> list[DataFrame]:
     """The levels of the tree, leaves first; each has (node, records, size, digest)."""
     out = [leaf_rows]
     for _ in range(levels):
-        up = out[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
+        up = out[-1].withColumn("child", F.col("node")).withColumn("node", _above("node", FAN))
         digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "records", "size", "digest"))), lambda c: F.concat_ws(":", c["child"].cast("string"), c["records"].cast("string"), c["size"].cast("string"), c["digest"])), "\n"), 256)
         level = up.groupBy("node").agg(F.sum("records").alias("records"), F.sum("size").alias("size"), digest.alias("digest"))  # at most FAN children
         out.append(stored(level, "tree-level"))
@@ -65,14 +70,14 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> DataFrame:
     suspects, used = None, []
     for x, y in zip(ours[::-1], theirs[::-1], strict=True):
         if suspects is not None:
-            x, y = (t.withColumn("above", F.floor(F.col("node") / FAN).cast("long")).join(suspects, "above", "left_semi").drop("above") for t in (x, y))
+            x, y = (t.withColumn("above", _above("node", FAN)).join(suspects, "above", "left_semi").drop("above") for t in (x, y))
         y = y.select("node", F.col("records").alias("replica_records"), F.col("size").alias("replica_size"), F.col("digest").alias("replica_digest"))
         differ = x.join(y, "node", "full").where(~F.col("digest").eqNullSafe(F.col("replica_digest")))
         last = stored(differ, "differing-nodes")
         used.append(last)
         suspects = last.select(F.col("node").alias("above"))
     dropped(*ours[1:], *theirs, *used[:-1])
-    file = F.floor(F.col("node") / FILE_SLOTS).cast("long")
+    file = _above("node", FILE_SLOTS)
     before = Window.partitionBy("file").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # at most FILE_SLOTS slots
     places = a.withColumn("file", file).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).select("node", "file", "offset")
     status = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").otherwise("changed")
