@@ -674,4 +674,4 @@ def test_pipeline(spark, sf_dir):
 def test_registered():
     from handspan.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and json.dumps(sorted(QUERIES))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and json.dumps(sorted(QUERIES))
