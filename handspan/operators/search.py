@@ -188,8 +188,8 @@ def with_cost_arrays(neighboured: DataFrame, preset: str, weights: dict[str, flo
     return out
 
 
-def _composed(at, have: set[str], first: Column | None = None) -> Column:
-    """The 125 costs of a note from the arrays of its reaches; at(name) gives an array. first: the digit that the note must have, or null."""
+def _composed(at, have: set[str], first: Column | None = None, places: int = 125) -> Column:
+    """The costs of a note (125, or the first of them) from the arrays of its reaches; at(name) gives an array. first: the digit that the note must have, or null."""
 
     def cost(q: int) -> Column:
         a, b, c = q // 25, q // 5 % 5, q % 5
@@ -197,7 +197,7 @@ def _composed(at, have: set[str], first: Column | None = None) -> Column:
         total = sum((F.get(at(name), F.lit(i)) for name, i in places.items() if name in have and name != "c_step"), F.get(at("c_step"), F.lit(places["c_step"])))
         return total if first is None else F.when(F.coalesce(first == b + 1, F.lit(True)), total)
 
-    return F.array(*[cost(q) for q in range(125)])  # generated code; a lambda would be interpreted at each of the 125 places
+    return F.array(*[cost(q) for q in range(places)])  # generated code; a lambda would be interpreted at each of the 125 places
 
 
 def class_layers(notes: DataFrame, preset: str, weights: dict[str, float] | None = None, *, mode: str = "max", first=None, last=None, hand: str = "hand", keys=KEY) -> DataFrame:
@@ -608,15 +608,19 @@ def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "ha
     """
     from handspan.functions.fingering import one_note_advice
 
-    table = PRESETS[preset][1]
     own = notes.select(*keys, "note_idx", "midi", F.col(hand).alias("hand"), "digit")
-    c = candidates(own, table=table, keys=keys)
-    begin = c.where("d1 = 1").withColumns({"m1": F.lit(None).cast("int"), "h1": F.lit(None).cast("string")})
-    c = playable(c)
-    begin = begin.withColumn("allowed", transition_allowed(F.col("m2"), F.col("d2"), F.col("m3"), F.col("d3"), F.col("hand"), table))
-    starts = layers(trigram_cost(playable(begin), preset), width=25, keys=keys).select(*keys, F.col("layers").alias("starts"))
-    gold = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("note_idx", "hand", "digit"))).alias("gold"))
-    every = layers(trigram_cost(c, preset), keys=keys).join(starts, list(keys)).join(gold, list(keys))
+    # each note twice, the second time as one that a search begins at; both take their costs from the same classes
+    both = cut_lineage(neighbours(own, "hand", keys)).withColumn("_anew", F.explode(F.array(F.lit(False), F.lit(True))))
+    costed = with_cost_arrays(both.withColumn("m1", F.when(~F.col("_anew"), F.col("m1"))), preset)
+    have = {c for c in costed.columns if c.startswith("c_")}
+    m = F.when(F.col("_anew"), _composed(F.col, have, places=25)).otherwise(_composed(F.col, have))
+    listed = lambda which, *names: F.sort_array(F.collect_list(F.when(which, F.struct("note_idx", *names))))
+    per = costed.withColumn("m", m).groupBy(*keys).agg(
+        F.count(F.when(~F.col("_anew"), 1)).alias("n"), F.min_by("midi", "note_idx").alias("first_midi"),
+        listed(~F.col("_anew"), "hand", "digit", "m").alias("gold"), listed(F.col("_anew"), "m").alias("starts"),
+    )
+    costs = lambda c: F.transform(c, lambda s: s["m"])
+    every = per.withColumns({"layers": costs(F.col("gold")), "starts": costs(F.col("starts"))})
 
     n, five, pairs = F.col("n"), F.sequence(F.lit(0), F.lit(4)), F.sequence(F.lit(0), F.lit(24))
 
