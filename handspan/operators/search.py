@@ -188,16 +188,23 @@ def with_cost_arrays(neighboured: DataFrame, preset: str, weights: dict[str, flo
     return out
 
 
-def _composed(at, have: set[str], first: Column | None = None, places: int = 125) -> Column:
-    """The costs of a note (125, or the first of them) from the arrays of its reaches; at(name) gives an array. first: the digit that the note must have, or null."""
+def _places(q: int) -> dict[str, int]:
+    """Where each reach's array has the cost of place q of the 125."""
+    a, b, c = q // 25, q // 5 % 5, q % 5
+    return {"c_step": a * 5 + b, "c_skip": 25 * (b > 0) + a * 5 + c, "c_own": b, "c_digits": q, "c_whole": q}
 
-    def cost(q: int) -> Column:
-        a, b, c = q // 25, q // 5 % 5, q % 5
-        places = {"c_step": a * 5 + b, "c_skip": 25 * (b > 0) + a * 5 + c, "c_own": b, "c_digits": q, "c_whole": q}
-        total = sum((F.get(at(name), F.lit(i)) for name, i in places.items() if name in have and name != "c_step"), F.get(at("c_step"), F.lit(places["c_step"])))
-        return total if first is None else F.when(F.coalesce(first == b + 1, F.lit(True)), total)
 
-    return F.array(*[cost(q) for q in range(places)])  # generated code; a lambda would be interpreted at each of the 125 places
+def _composed(have: set[str], first: str | None = None, places: int = 125) -> Column:
+    """The costs of a note (125, or the first of them) from its columns c_step, c_skip, ..; first: a column of the digit that the note must have, or null.
+
+    Generated code: a lambda would be interpreted at each place. It is SQL text, as some thousand Columns take seconds to make.
+    """
+
+    def cost(q: int) -> str:
+        total = " + ".join(f"get({name}, {i})" for name, i in _places(q).items() if name in have)
+        return total if first is None else f"if(coalesce({first} = {q // 5 % 5 + 1}, true), {total}, null)"
+
+    return F.expr(f"array({', '.join(cost(q) for q in range(places))})")
 
 
 def class_layers(notes: DataFrame, preset: str, weights: dict[str, float] | None = None, *, mode: str = "max", first=None, last=None, hand: str = "hand", keys=KEY) -> DataFrame:
@@ -212,7 +219,9 @@ def class_layers(notes: DataFrame, preset: str, weights: dict[str, float] | None
         value = lambda v: F.lit(None).cast("int") if v is None else v if isinstance(v, Column) else F.lit(v)
         a, z = F.when(F.col("m1").isNull(), value(first)), F.when(F.col("m3").isNull(), value(last))
         fixed = F.when(a.isNotNull() & z.isNotNull() & (a != z), 0).otherwise(F.coalesce(a, z))
-    per = costed.select(*keys, "note_idx", "midi", _composed(F.col, have, fixed).alias("m"))
+    if fixed is not None:
+        costed = costed.withColumn("_fixed", fixed)
+    per = costed.select(*keys, "note_idx", "midi", _composed(have, None if fixed is None else "_fixed").alias("m"))
     whole = F.transform(F.sort_array(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
     return per.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("midi", "note_idx").alias("first_midi"), whole.alias("layers"))
 
@@ -252,7 +261,11 @@ def k_best_paths(layered: DataFrame, k: int, *, keys=KEY) -> DataFrame:
     """
     if k > MOST_BEST:
         return deep_paths(layered, k, keys=keys)
-    best = layered.select(*keys, F.posexplode_outer(_k_best(F.col("layers"), F.col("n"), k)).alias("_r", "x"))
+    return _ranked(layered, _k_best(F.col("layers"), F.col("n"), k), keys)
+
+
+def _ranked(layered: DataFrame, paths: Column, keys) -> DataFrame:
+    best = layered.select(*keys, F.posexplode_outer(paths).alias("_r", "x"))
     return best.select(*keys, F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rank"), F.col("x.p").alias("digits"), F.col("x.c").alias("cost"))
 
 
@@ -460,9 +473,11 @@ def _with_lone(layered: DataFrame, k: int, given: int | None = None, *, keys=KEY
     """The k best paths, but a lone note has one: the given digit, else the second finger on black and the thumb on white, at no cost."""
     from handspan.functions.fingering import one_note_advice
 
-    lone = F.col("n") == 1
-    best = k_best_paths(layered.where(~lone), k, keys=keys)
-    return best.unionAll(layered.where(lone).select(*keys, F.lit(1), one_note_advice("first_midi", F.lit(given)).cast("string"), F.lit(0.0)))
+    lone, digit = F.col("n") == 1, one_note_advice("first_midi", F.lit(given)).cast("string")
+    if k > MOST_BEST:
+        return deep_paths(layered.where(~lone), k, keys=keys).unionAll(layered.where(lone).select(*keys, F.lit(1), digit, F.lit(0.0)))
+    one = F.array(F.struct(F.lit(0.0).alias("c"), digit.alias("p")))
+    return _ranked(layered, F.when(lone, one).otherwise(_k_best(F.col("layers"), F.col("n"), k)), keys)
 
 
 def fingering_count(notes: DataFrame, *, table: str = "parncutt", mode: str = "none", hand: str = "hand", keys=KEY) -> DataFrame:
@@ -613,7 +628,7 @@ def strike_reentry(notes: DataFrame, preset: str = "parncutt", method: str = "ha
     both = cut_lineage(neighbours(own, "hand", keys)).withColumn("_anew", F.explode(F.array(F.lit(False), F.lit(True))))
     costed = with_cost_arrays(both.withColumn("m1", F.when(~F.col("_anew"), F.col("m1"))), preset)
     have = {c for c in costed.columns if c.startswith("c_")}
-    m = F.when(F.col("_anew"), _composed(F.col, have, places=25)).otherwise(_composed(F.col, have))
+    m = F.when(F.col("_anew"), _composed(have, places=25)).otherwise(_composed(have))
     listed = lambda which, *names: F.sort_array(F.collect_list(F.when(which, F.struct("note_idx", *names))))
     per = costed.withColumn("m", m).groupBy(*keys).agg(
         F.count(F.when(~F.col("_anew"), 1)).alias("n"), F.min_by("midi", "note_idx").alias("first_midi"),
@@ -683,7 +698,8 @@ def versioned_paths(notes: DataFrame, preset: str, versions: list[tuple[str, dic
 
     def layers_of(version):
         arrays = F.transform("notes", lambda note: F.struct(*[weighted(note, version, c).alias(c) for c in have]))
-        return F.transform(arrays, lambda a: _composed(lambda c: a[c], set(have)))
+        total = lambda a, q: sum((F.get(a[c], F.lit(i)) for c, i in _places(q).items() if c in have and c != "c_step"), F.get(a["c_step"], F.lit(_places(q)["c_step"])))
+        return F.transform(arrays, lambda a: F.array(*[total(a, q) for q in range(125)]))
 
     bound = lambda v: F.get(F.transform(F.array(layers_of(v)), lambda layers: _k_best(layers, F.col("n"), k)), F.lit(0))  # noqa: E731  layers are made once
     found = every.select(*keys, F.transform(sets, lambda v: F.struct(v["version"].alias("version"), bound(v).alias("paths"))).alias("found"))
