@@ -3,7 +3,7 @@
 import itertools
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from handspan.functions import dims, fingering, keys
 from handspan.operators import agreement, ranking, search, sequence
@@ -154,3 +154,20 @@ def test_viterbi_is_brute_force(spark):
 def test_ngrams_reach_past_both_ends(spark):
     n = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "score_id long, note_idx int, hsd string")
     assert [r.ngram for r in sequence.ngram_labels(n, 3).orderBy("ngram_idx").collect()] == ["xxa", "xab", "abx", "bxx"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bad_fingers_take_no_row_of_each_candidate(spark):
+    n = notes(spark, [60, 61, 61, 67]).unionAll(notes(spark, [64]).withColumn("score_id", F.lit(2).cast("long")))
+    bad = search.bad_fingers(n)
+    assert "sequence(0, 124" not in _plan(bad)
+    got = {(r.score_id, r.note_idx, r.position) for r in bad.collect()}
+    assert got == {(2, 0, 0)} | {(1, i, p) for i in range(4) for p in (-1, 0, 1) if 0 <= i + p < 4}
+    trigrams = search.trigram_cost(search.candidates(n, mode="none").where("(m1 is null or d1 <> d2) and (m3 is null or d2 <> d3)"))
+    best = trigrams.withColumn("least", F.min("cost").over(Window.partitionBy("score_id", "note_idx"))).where("cost = least").collect()
+    for r in bad.collect():
+        used = {b[f"d{r.position + 2}"] for b in best if (b.score_id, b.note_idx) == (r.score_id, r.note_idx)}
+        assert r.bad == sorted({1, 2, 3, 4, 5} - used)
