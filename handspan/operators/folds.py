@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handspan.operators.matchrates import match_rates
-from handspan.operators.search import k_best_paths, transition_weights
+from handspan.operators.search import gathered_costs, k_best_paths, transition_weights
 from handspan.operators.sequence import KEY, by_note
 
 LABELS = 5
@@ -69,11 +69,9 @@ def decode(scored: DataFrame, *, carry: tuple[str, ...] = (), keys=KEY) -> DataF
     """(keys, digits, score): the likeliest labels of each sequence by em and tr; a first label has no transition."""
     first = F.lag("note_idx").over(by_note(keys)).isNull()
     rows = scored.withColumn("_first", first)
-    cost = lambda a, b: -(F.get("em", F.lit(b)) + F.when(F.col("_first"), 0.0).otherwise(F.get("tr", F.lit(a * 5 + b))))
-    per = rows.select(*keys, "note_idx", F.array(*[cost(q // 25, q // 5 % 5) for q in range(125)]).alias("m"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "m"))), lambda s: s["m"])
-    layered = per.groupBy(*keys).agg(F.count("*").alias("n"), whole.alias("layers"))
-    return k_best_paths(layered, 1, keys=keys).select(*keys, "digits", (-F.col("cost")).alias("score"))
+    cost = F.expr(f"array({', '.join(f'-(get(em, {q % 5}) + if(_first, 0D, get(tr, {q})))' for q in range(25))})")
+    costs = gathered_costs(rows.select(*keys, "note_idx", cost.alias("c_step"), F.lit(0).alias("midi")), keys)
+    return k_best_paths(costs, 1, keys=keys).select(*keys, "digits", (-F.col("cost")).alias("score"))
 
 
 def cross_validate_counts(examples: DataFrame, features: list[str], *, label: str = "digit", fold: str = "fold", smooth: float = 1.0, places: int | None = None, keys=KEY) -> DataFrame:

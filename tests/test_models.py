@@ -171,3 +171,71 @@ def test_bad_fingers_take_no_row_of_each_candidate(spark):
     for r in bad.collect():
         used = {b[f"d{r.position + 2}"] for b in best if (b.score_id, b.note_idx) == (r.score_id, r.note_idx)}
         assert r.bad == sorted({1, 2, 3, 4, 5} - used)
+
+
+def _brute(costs, k):
+    """The k cheapest paths of a segment's 125 costs, by cost and digits; for rings of those only that end as they begin."""
+    found = []
+    n = len(costs)
+    for d in itertools.product(range(5), repeat=n):
+        of = [costs[i][(d[i - 1] if i else 0) * 25 + d[i] * 5 + (d[i + 1] if i + 1 < n else 0)] for i in range(n)]
+        if None not in of:
+            found.append((sum(of), "".join(str(x + 1) for x in d)))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_fold_of_batches(k):
+    """Segments of all lengths in one batch, equal costs, notes that nothing is allowed for, empty and null segments."""
+    import random
+
+    import pyarrow as pa
+
+    from handspan.operators import paths
+
+    r = random.Random(k)
+    segments = [[[r.choice([None, 0.0, 1.0, 2.0, 3.0]) for _ in range(125)] for _ in range(n)] for n in (3, 1, 5, 2, 4, 3, 1, 2)]
+    segments += [[[0.0] * 125] * 4, [[None] * 125, [1.0] * 125], [], None]
+    column = pa.array(segments, pa.list_(pa.list_(pa.float64())))
+    for ring in (False, True):
+        got = {i: [] for i in range(len(segments))}
+        for who, ranks, digits, costs in paths.best_rows(column, None, None, k, ring):
+            for i, rank, d, c in zip(who, ranks, digits.to_pylist(), [None] * len(who) if costs is None else costs, strict=True):
+                got[i].append((rank, d, c))
+        for i, s in enumerate(segments):
+            want = [x for x in (_brute(s, k) if s else []) if not ring or x[1][0] == x[1][-1]][:k]
+            assert sorted(got[i]) == [(j + 1, d, c) for j, (c, d) in enumerate(want)] or (not want and got[i] == [(0, None, None)])
+
+
+def test_fold_of_long_segments():
+    """Orders are numbered anew on the way: on equal costs the first strings in order come, at any length."""
+    import pyarrow as pa
+
+    from handspan.operators import paths
+
+    n = 3 * paths.RENUMBER + 5
+    (_, ranks, digits, _), *rest = paths.best_rows(pa.array([[[0.0] * 125] * n], pa.list_(pa.list_(pa.float64()))), None, None, 6)
+    assert not rest and list(ranks) == [1, 2, 3, 4, 5, 6]
+    assert digits.to_pylist() == ["1" * (n - 2) + x for x in ("11", "12", "13", "14", "15", "21")]
+
+
+@pytest.mark.parametrize("search_of", [
+    lambda n: search.table_advise(n, n.sparkSession.sql("select 0 as low_color, 0 as high_color, 1 as low_finger, 2 as high_finger, 2 as semitones, 1 as cost")),
+    lambda n: search.trained_advise(n, n.sparkSession.sql("select 60 as p, 62 as q, 1 as f, 3 as g, 0.5D as weight")),
+    lambda n: search.advise_cyclic(n, "parncutt", 2),
+    lambda n: search.rule_ablation(n, "parncutt", 1, lambda s: s.withColumn("v", F.col("cost")), k=1),
+    lambda n: search.viterbi_decode(n.selectExpr("score_id", "note_idx", "explode(sequence(1, 5)) as label", "1D as score"), n.sparkSession.sql("select 1 as prev, 2 as cur, 1D as score")),
+])
+def test_searches_fold_batches(spark, search_of):
+    """All searches hand their gathered notes to the fold of batches, once."""
+    n = notes(spark, [60, 62, 64])
+    assert search_of(n).count()
+    seen = []
+    best_of, versions_of = search._best_of, search._versions_of
+    keep = lambda f: lambda gathered, *a, **o: seen.append(gathered.columns) or f(gathered, *a, **o)
+    search._best_of, search._versions_of = keep(best_of), keep(versions_of)
+    try:
+        search_of(n)
+    finally:
+        search._best_of, search._versions_of = best_of, versions_of
+    assert len(seen) == 1 and "notes" in seen[0]
