@@ -77,7 +77,7 @@ def tempo_at_in_ranges(spark, d):
 @query("deep_paths", "score_id:i segment_idx:i rank:i digits:s cost:d", "SELECT score_id, segment_idx, rank, digits, cost FROM best WHERE len > 1", _searched(_preset("parncutt"), _PLAYABLE, 12))
 def deep_paths(spark, d):
     """The twelve cheapest fingerings of phrases of several notes, taken one at a time from the queue."""
-    layered = search.class_layers(_phrases(spark, d), "parncutt", keys=PHRASE)
+    layered = search.class_costs(_phrases(spark, d), "parncutt", keys=PHRASE)
     return search.deep_paths(layered.where("n > 1"), 12, keys=PHRASE).where("rank > 0")
 
 
@@ -91,7 +91,7 @@ def deep_paths(spark, d):
     FROM counted p JOIN cand c ON c.score_id = p.score_id AND c.segment_idx = p.segment_idx AND c.pos = p.pos + 1 AND c.d1 = p.a AND c.d2 = p.b JOIN gold g ON g.score_id = p.score_id AND g.segment_idx = p.segment_idx WHERE p.cost + c.cost <= g.cost) GROUP BY ALL)""")
 def gold_rank(spark, d):
     """The place of each phrase's fifth best fingering among all of its fingerings, by counting them all."""
-    layered = search.cut_lineage(search.class_layers(_phrases(spark, d), "parncutt", keys=PHRASE))
+    layered = search.class_costs(_phrases(spark, d), "parncutt", keys=PHRASE)
     gold = search.k_best_paths(layered.where("n > 1"), 5, keys=PHRASE).where("rank = 5").select(*PHRASE, "digits")
     return search.gold_rank(layered, gold, keys=PHRASE)
 
@@ -99,7 +99,7 @@ def gold_rank(spark, d):
 @query("recall_all", "score_id:i segment_idx:i rank:i digits:s cost:d is_gold:b", "SELECT score_id, segment_idx, rank, digits, cost, rank IN (2, 5) AS is_gold FROM best b WHERE len > 1 AND rank <= (SELECT max(rank) FROM best g WHERE g.score_id = b.score_id AND g.segment_idx = b.segment_idx AND g.rank IN (2, 5))", _searched(_preset("parncutt"), _PLAYABLE, 5))
 def recall_all(spark, d):
     """The fingerings of each phrase up to the last of its gold ones, which are the second and the fifth best here."""
-    layered = search.cut_lineage(search.class_layers(_phrases(spark, d), "parncutt", keys=PHRASE))
+    layered = search.class_costs(_phrases(spark, d), "parncutt", keys=PHRASE)
     gold = search.k_best_paths(layered.where("n > 1"), 5, keys=PHRASE).where("rank in (2, 5)").select(*PHRASE, "digits")
     return search.recall_paths(layered, gold, keys=PHRASE)
 
