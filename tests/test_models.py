@@ -243,7 +243,7 @@ def test_searches_fold_batches(spark, search_of):
 
 def test_deep_searches_take_costs_by_reach(spark):
     n = notes(spark, [60, 62, 64, 61])
-    costs, layered = search.class_costs(n), search.class_layers(n)
+    costs, layered = search.class_costs(n, "parncutt"), search.class_layers(n, "parncutt")
     gold = search.k_best_paths(costs, 9).where("rank in (4, 9)").select("score_id", "digits")
     rows = lambda df: sorted(map(str, df.collect()))
     for deep in (lambda x: search.deep_paths(x, 20), lambda x: search.recall_paths(x, gold), lambda x: search.gold_rank(x, gold)):
