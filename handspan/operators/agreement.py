@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handspan.operators.sequence import KEY, ngram_labels
 
@@ -87,12 +87,14 @@ def krippendorff_alpha(data: DataFrame, distance: Callable[[Column, Column], Col
     if among is not None:
         d = d.where(F.col(coder).isin(*among))
     by = [*keys, *unit]
-    counts = d.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    totals = counts.groupBy(*by).agg(F.sum("c").alias("m")).where("m > 1")
-    counts = counts.join(totals, by)
-    values = counts.groupBy(*keys, "v").agg(F.sum("c").alias("n_v"))
-    pairs = counts.alias("a").join(counts.select(*by, F.col("v").alias("w"), F.col("c").alias("e")), by)
-    coincidence = pairs.groupBy(*keys, "v", "w").agg(F.sum(F.col("c") * (F.col("e") - F.when(F.col("v") == F.col("w"), 1).otherwise(0)) / (F.col("m") - 1)).alias("o"))
+    counts = d.dropna(subset=by).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    # one exchange and one sort by unit; a unit's labels stand beside each of them, and no row meets another by a join
+    w = Window.partitionBy(*by)
+    units = counts.withColumns({"m": F.sum("c").over(w), "_all": F.collect_list(F.struct(F.col("v").alias("w"), F.col("c").alias("e"))).over(w)}).where("m > 1")
+    pairs = units.select(*keys, "v", "c", "m", F.explode("_all").alias("_w")).select(*keys, "v", "c", "m", "_w.w", "_w.e")
+    same = F.col("v") == F.col("w")
+    coincidence = pairs.groupBy(*keys, "v", "w").agg(F.sum(F.col("c") * (F.col("e") - F.when(same, 1).otherwise(0)) / (F.col("m") - 1)).alias("o"), F.sum(F.when(same, F.col("c"))).alias("n_v"))
+    values = coincidence.where(same).select(*keys, "v", "n_v")  # each label of a unit meets itself once there
     if table is not None:
         coincidence = coincidence.join(table.select(F.col("a").alias("v"), F.col("b").alias("w"), "d"), ["v", "w"], "left")
         apart = F.when(F.col("v") == F.col("w"), 0.0).otherwise(F.coalesce("d", F.lit(float(missing))))
