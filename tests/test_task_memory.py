@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from handspan.operators import agreement
+from handspan.operators import agreement, sequence
 from handspan.plans import binding
 
 
@@ -26,3 +26,12 @@ def test_alpha_joins_no_units(spark, distance):
     first = got.first()
     assert first.pairable == pytest.approx(5)  # units 1 and 2; one value is no pair, and rows without a unit don't count
     assert first.observed == pytest.approx({True: (2 * 1 + 2 * 2 / 2) / 5, False: (2 * 1 + 2 * 2 * 2 / 2) / 5}[distance is agreement.nominal])
+
+
+def test_ngrams_by_one_window(spark):
+    rows = [(s, i, chr(97 + i) if i != 2 else None) for s, n in ((1, 1), (2, 4)) for i in range(n)]
+    got = sequence.ngram_labels(spark.createDataFrame(rows, "score_id int, note_idx int, l string"), 3, label="l")
+    assert _plan(got).count("Window [") == 1
+    want = {1: ["xxa", "xax", "axx"], 2: ["xxa", "xab", "abx", "bxd", "xdx", "dxx"]}
+    assert {s: [r.ngram for r in got.where(f"score_id = {s}").orderBy("ngram_idx").collect()] for s in want} == want
+    assert [r.ngram_idx for r in got.where("score_id = 2").orderBy("ngram_idx").collect()] == list(range(6))
