@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from handspan.operators import agreement, sequence
+from handspan.operators import agreement, search, sequence
 from handspan.plans import binding
 
 
@@ -35,3 +35,15 @@ def test_ngrams_by_one_window(spark):
     want = {1: ["xxa", "xax", "axx"], 2: ["xxa", "xab", "abx", "bxd", "xdx", "dxx"]}
     assert {s: [r.ngram for r in got.where(f"score_id = {s}").orderBy("ngram_idx").collect()] for s in want} == want
     assert [r.ngram_idx for r in got.where("score_id = 2").orderBy("ngram_idx").collect()] == list(range(6))
+
+
+def test_reentry_folds_batches_of_segments(spark):
+    """Costs go by reach to a fold of Arrow batches; segments of many lengths have the rows that they have alone."""
+    pitches = [60, 62, 64, 65, 67, 69, 71, 72, 84, 36]
+    rows = [(s, i, pitches[(s * 3 + i) % 10], ">" if s % 2 else "<", (s + i) % 5 + 1 if (s + i) % 4 else None) for s in range(8) for i in range(s + 1)]
+    df = spark.createDataFrame(rows, "score_id int, note_idx int, midi int, hand string, digit int")
+    got = search.strike_reentry(df, method="pivot")
+    assert "MapInArrow" in _plan(got) and "lambdafunction(CASE" not in _plan(got)
+    together = sorted(map(tuple, got.collect()))
+    assert [r[0] for r in together] == list(range(8)) and any(r[1] for r in together) and {r[3] for r in together} == {True, False}
+    assert together[5:] == sorted(tuple(r) for s in (5, 6, 7) for r in search.strike_reentry(df.where(f"score_id = {s}"), method="pivot").collect())
