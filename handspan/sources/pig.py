@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from handspan.functions.keys import midi_to_pitch_name
+from handspan.plans.binding import in_parts
 
 FILE = r"((\d+)-(\d+))_fingering\.txt$"
 FIELDS = "id int, on_s double, off_s double, name string, on_vel int, off_vel int, channel int, finger string"
@@ -51,33 +52,44 @@ def zero_channels(pig: DataFrame) -> DataFrame:
     return pig.withColumn("channel", F.lit(0))
 
 
+def _event_classes(pig: DataFrame, ticks_per_second: int) -> DataFrame:
+    """(piece_id, _annots, n, s1, s2): the sets of annotations (structs, in order) that share events (channel, tick), with the number of these events and the sums of two hashes.
+
+    One exchange, by event, so a task's share depends on no piece's or annotation's length; repeated events fall together.
+    """
+    tick = lambda c: F.round(F.col(c) * ticks_per_second).cast("long")
+    events = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick"))
+    sets = in_parts(events, "piece_id", "channel", "tick").groupBy("piece_id", "channel", "tick").agg(F.sort_array(F.collect_set(F.struct("annot_id"))).alias("_annots"))
+    total = lambda seed: F.sum(F.xxhash64("channel", "tick", F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  sums of 64-bit hashes never leave 38 digits
+    return sets.groupBy("piece_id", "_annots").agg(F.count("*").alias("n"), total(1).alias("s1"), total(2).alias("s2"))
+
+
+def _prints(classes: DataFrame) -> DataFrame:
+    each = classes.select("piece_id", F.explode("_annots").alias("_a"), "n", "s1", "s2").select("piece_id", "_a.annot_id", "n", "s1", "s2")
+    return each.groupBy("piece_id", "annot_id").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+
+
 def event_prints(pig: DataFrame, *, ticks_per_second: int = 1920) -> DataFrame:
     """(piece_id, annot_id, n, s1, s2): a print of each annotation's set of (channel, tick): its size and the sums of two hashes.
 
     Repeated events are dropped first, so prints are sums over a set: they add up in any order and task, and only sums are
     exchanged after that, whatever the length of an annotation.
     """
-    tick = lambda c: F.round(F.col(c) * ticks_per_second).cast("long")
-    events = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick")).distinct()
-    total = lambda seed: F.sum(F.xxhash64("channel", "tick", F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  sums of 64-bit hashes never leave 38 digits
-    return events.groupBy("piece_id", "annot_id").agg(F.count("*").alias("n"), total(1).alias("s1"), total(2).alias("s2"))
+    return _prints(_event_classes(pig, ticks_per_second))
 
 
 def group_same_song(pig: DataFrame, *, ticks_per_second: int = 1920, verify: bool = True) -> DataFrame:
     """(piece_id, annot_id, song_id): annotations of a piece whose events fall on the same ticks share the least annotation id.
 
-    Equal prints are candidates. With verify, an annotation's events are compared with those of its candidate, one by one,
-    and one that differs from it is a song of its own.
+    Equal prints are candidates. With verify, an annotation's events are compared with those of its candidate, by the sets
+    of annotations that share events, and one that differs from it is a song of its own.
     """
-    prints = event_prints(pig, ticks_per_second=ticks_per_second)
+    classes = _event_classes(pig, ticks_per_second)
     least = Window.partitionBy("piece_id", "n", "s1", "s2")
-    found = prints.select("piece_id", "annot_id", F.min("annot_id").over(least).alias("song_id"))
+    found = _prints(classes).select("piece_id", "annot_id", F.min("annot_id").over(least).alias("song_id"))
     if not verify:
         return found
-    tick = lambda c: F.round(F.col(c) * ticks_per_second).cast("long")
-    events = pig.select("piece_id", "annot_id", "channel", F.explode(F.array(tick("on_s"), tick("off_s"))).alias("tick")).distinct()
-    pairs = found.where("annot_id != song_id")
-    theirs = pairs.join(events.withColumnRenamed("annot_id", "song_id"), ["piece_id", "song_id"]).select("piece_id", "annot_id", "channel", "tick")
-    odd = events.join(pairs.select("piece_id", "annot_id"), ["piece_id", "annot_id"]).join(theirs, ["piece_id", "annot_id", "channel", "tick"], "left_anti")  # sets of one size differ where one has what the other lacks
+    has = lambda c: F.array_contains("_annots", F.struct(F.col(c).alias("annot_id")))
+    odd = found.where("annot_id != song_id").join(classes.select("piece_id", "_annots"), "piece_id").where(has("annot_id") & ~has("song_id"))  # sets of one size differ where one has what the other lacks
     odd = odd.select("piece_id", "annot_id").distinct().withColumn("_odd", F.lit(True))
     return found.join(odd, ["piece_id", "annot_id"], "left").select("piece_id", "annot_id", F.when(F.col("_odd"), F.col("annot_id")).otherwise(F.col("song_id")).alias("song_id"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from handspan.operators import agreement, search, sequence
 from handspan.plans import binding
+from handspan.sources import pig
 
 
 def _plan(df) -> str:
@@ -47,3 +48,12 @@ def test_reentry_folds_batches_of_segments(spark):
     together = sorted(map(tuple, got.collect()))
     assert [r[0] for r in together] == list(range(8)) and any(r[1] for r in together) and {r[3] for r in together} == {True, False}
     assert together[5:] == sorted(tuple(r) for s in (5, 6, 7) for r in search.strike_reentry(df.where(f"score_id = {s}"), method="pivot").collect())
+
+
+def test_same_song_exchanges_events_once(spark):
+    """Annotations are compared by the sets that share events: no join has the events themselves."""
+    rows = [("p", a, 0, t / 10, t / 10 + 0.05) for a in "abc" for t in range(6) if (a, t) != ("c", 5)] + [("p", "c", 0, 0.7, 0.75), ("p", "a", 0, 0.0, 0.05), ("q", None, 1, 0.0, 1.0), (None, "a", 1, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "piece_id string, annot_id string, channel int, on_s double, off_s double")
+    got = pig.group_same_song(df)
+    assert "tick" not in "".join(line for line in _plan(got).splitlines() if "Join" in line)
+    assert {tuple(r) for r in got.collect()} == {("p", "a", "a"), ("p", "b", "a"), ("p", "c", "c"), ("q", None, None), (None, "a", "a")}
