@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from handspan.operators import agreement, search, sequence
 from handspan.plans import binding
+from handspan.plans.registry import QUERIES
 from handspan.sources import pig
 
 
@@ -57,3 +58,8 @@ def test_same_song_exchanges_events_once(spark):
     got = pig.group_same_song(df)
     assert "tick" not in "".join(line for line in _plan(got).splitlines() if "Join" in line)
     assert {tuple(r) for r in got.collect()} == {("p", "a", "a"), ("p", "b", "a"), ("p", "c", "c"), ("q", None, None), (None, "a", "a")}
+
+
+def test_evaluate_model_takes_annotators_from_one_pass(spark, sf_dir):
+    joined = [line for line in _plan(QUERIES["evaluate_model"](spark, sf_dir)).splitlines() if "Join Inner, " in line]
+    assert len(joined) == 3  # annotations with notes, with suggestions, and with sizes
