@@ -31,34 +31,42 @@ class BucketQueue:
     """A monotone priority queue: tuples (position, common prefix) by bucket, in order of arrival."""
 
     def __init__(self, buckets: int, memory: int = QUEUE_BYTES):
-        self.parts: list[list] = [[] for _ in range(buckets)]
+        self.parts: list[list] = [[] for _ in range(buckets)]  # of each bucket what is in memory
+        self.spilled: list[list] = [[] for _ in range(buckets)]  # and before it (place, tuples) in the file
         self.held, self.memory = 0, memory
         self.file = None
 
     def push(self, bucket: int, position: np.ndarray, common: np.ndarray) -> None:
-        size = position.nbytes + common.nbytes
-        if self.held + size > self.memory:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            at = self.file.seek(0, 2)
-            self.file.write(position.tobytes() + common.tobytes())
-            self.parts[bucket].append((at, len(position)))
-        else:
-            self.held += size
-            self.parts[bucket].append((position, common))
+        self.held += position.nbytes + common.nbytes
+        self.parts[bucket].append((position, common))
+        if self.held > self.memory:
+            self.spill()
+
+    def spill(self) -> None:
+        """All that is in memory goes to the file, each bucket in one piece."""
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        for b, got in enumerate(self.parts):
+            if got:
+                n = sum(len(g[0]) for g in got)
+                self.file.writelines([*[g[0].tobytes() for g in got], *[g[1].tobytes() for g in got]])
+                self.spilled[b].append((at, n))
+                at += n * 9
+                self.parts[b] = []
+        self.held = 0
 
     def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
         """All tuples of a bucket that have arrived; they leave the queue."""
         got = []
+        for at, n in self.spilled[bucket]:
+            self.file.seek(at)
+            data = self.file.read(n * 9)
+            got.append((np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint8, n, n * 8)))
         for a, b in self.parts[bucket]:
-            if isinstance(a, int):
-                self.file.seek(a)
-                data = self.file.read(b * 9)
-                got.append((np.frombuffer(data, np.int64, b), np.frombuffer(data, np.uint8, b, b * 8)))
-            else:
-                self.held -= a.nbytes + b.nbytes
-                got.append((a, b))
-        self.parts[bucket] = []
+            self.held -= a.nbytes + b.nbytes
+            got.append((a, b))
+        self.parts[bucket], self.spilled[bucket] = [], []
         if not got:
             return np.empty(0, np.int64), np.empty(0, np.uint8)
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
@@ -74,7 +82,7 @@ def mapped(n: int, dtype: type, memory: int) -> np.ndarray:
         return np.zeros(n, dtype)
     with tempfile.TemporaryFile() as f:
         f.truncate(n * np.dtype(dtype).itemsize)
-        return np.memmap(f, dtype, "r+", shape=(n,))
+        return np.memmap(f, dtype, "r+", shape=(n,)).view(np.ndarray)  # a plain array on the map: its slices cost less
 
 
 def _rising(t: np.ndarray) -> np.ndarray:
@@ -145,10 +153,26 @@ class _Sweep:
 
 
 def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to depth."""
+    """Common prefixes of pairs of suffixes, up to depth: by four symbols at a time, then by one."""
     out = np.zeros(len(a), np.uint8)
-    alive, end = np.arange(len(a)), len(t) - 1
-    for k in range(depth):
+    alive, end, k = np.arange(len(a)), len(t) - 1, 0
+    four = np.ndarray(max(len(t) - 3, 0), np.uint64, t, strides=(2,))
+    while k + 4 <= depth and len(alive):
+        x, y = a[alive] + k, b[alive] + k
+        same = np.maximum(x, y) < len(four)
+        same[same] = four[x[same]] == four[y[same]]
+        stay = alive[~same]
+        out[stay] = k + _differ(t, a[stay] + k, b[stay] + k, 4, end)
+        alive, k = alive[same], k + 4
+    out[alive] = k + _differ(t, a[alive] + k, b[alive] + k, depth - k, end)
+    return out
+
+
+def _differ(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, end: int) -> np.ndarray:
+    """How many symbols from a and from b on are the same, up to `most`, one symbol after the other."""
+    out = np.zeros(len(a), np.uint8)
+    alive = np.arange(len(a))
+    for k in range(most):
         x, y = a[alive] + k, b[alive] + k
         same = (np.maximum(x, y) <= end) & (t[np.minimum(x, end)] == t[np.minimum(y, end)])
         alive = alive[same]
@@ -178,16 +202,24 @@ def _key_word(t: np.ndarray, rising: np.ndarray, minima: np.ndarray, length: np.
 
 
 def _named(t: np.ndarray, rising: np.ndarray, minima: np.ndarray, depth: int) -> np.ndarray:
-    """The ranks of the pieces between local minima, equal ones alike, by one key word after the other from the last."""
+    """The ranks of the pieces between local minima, equal ones alike, by one key word after the other from the last.
+
+    A piece that ends before a word comes before all that have it, so only those are sorted by it; most end within the first.
+    """
     following = np.append(minima[1:], len(t) - 1)
     length = np.minimum(following - minima + 1, depth + 2)
     words = range(0, int(length.max(initial=1)), 4)
     order = np.arange(len(minima))
     for k in reversed(words):
-        order = order[np.argsort(_key_word(t, rising, minima[order], length[order], k), kind="stable")]
+        has = length[order] > k
+        own = order[has]
+        order = np.concatenate([order[~has], own[np.argsort(_key_word(t, rising, minima[own], length[own], k), kind="stable")]])
     new = np.zeros(len(order), bool)
     for k in words:
-        word = _key_word(t, rising, minima[order], length[order], k)
+        has = np.flatnonzero(length[order] > k)
+        own = order[has]
+        word = np.zeros(len(order), np.uint64)
+        word[has] = _key_word(t, rising, minima[own], length[own], k)
         new[1:] |= word[1:] != word[:-1]
     names = np.empty(len(order), np.int64)
     names[order] = np.cumsum(new)
@@ -200,7 +232,7 @@ def sorted_buckets(symbols: np.ndarray, depth: int = 50, memory: int = QUEUE_BYT
 
     symbols: small positive integers, and a 0 at the end and nowhere else; strings are parted by 1.
     """
-    t = symbols
+    t = np.ascontiguousarray(symbols, np.uint16)
     n = len(t)
     if n < 2:
         return

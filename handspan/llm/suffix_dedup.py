@@ -7,17 +7,20 @@ part is to see that equal strings meet in one shard and that only suffixes that
    with one anchor (about 18 windows, 67 bytes). Equal windows have equal anchors, so pieces of different
    anchor grams never share a window. Each task packs its pieces (two hashes, document, place) by anchor.
 2. Classes. A part gets all pieces of its anchors. A piece that is equal to one of an earlier document is
-   removed whole. A piece whose anchor, together with the 17 bytes before or the 18 bytes after it, stands in
-   one document only, or in equal pieces only, holds nothing that repeats elsewhere. The rest needs sorting.
-3. Strings. The texts of those pieces are fetched by document and cut into strings by what all their windows
-   contain: the anchor and the bytes before or after it. A class of very many pieces is cut finer, by more of
-   the bytes on its rarer side, until its strings spread over the shards.
-4. Suffixes. Each shard sorts the suffixes of its strings; suffixes with a common prefix of `length` bytes are
-   one window, and its smallest document keeps it.
+   removed whole. The windows of an anchor are of four zones, by how many bytes they have before it (0 to 8, 9 to 17,
+   18 to 26, 27 to 34); those of a zone share 42 bytes, told by 16 bits. A zone whose bytes stand in one document only,
+   or in equal pieces only, holds nothing that repeats elsewhere. The rest needs sorting. (Fewer bytes or bits would
+   be shared by chance, and the more so the larger the table is.)
+3. Strings. The texts of those pieces are fetched by document and cut into strings by zone. A class of very many
+   pieces is cut finer, by more of the bytes on its outer side, until its strings spread over the shards.
+4. Suffixes. Each shard makes strings that are equal as a whole one, leaves out those that are alone in their class,
+   and sorts the suffixes of the others; suffixes with a common prefix of `length` bytes are one window, and its
+   smallest document keeps it.
 5. The removed ranges meet their documents once more, and each text is read through.
 
 Equal strings of one task are sent once, with the places in their smallest document, so a passage that stands in
-a third of all documents is a few rows a task. All exchanges are by hash; no group is collected.
+a third of all documents is a few rows a task. All exchanges are by hash; no group is collected. Removed ranges that
+have come to their documents' part go on as one row, so their rows don't add up from exchange to exchange.
 """
 
 from __future__ import annotations
@@ -35,19 +38,37 @@ from handspan.llm.shared import stored
 from handspan.llm.text import _BASE, _BYTE, U64, blocks, mix
 
 GRAM = 16
-CHUNK_BYTES = 8 << 20
-BATCH_BYTES = 8 << 20
+#: Bytes of text whose pieces are packed together, and of strings that are sent together.
+PIECE_BYTES, STRING_BYTES = 32 << 20, 8 << 20
+#: Bytes of texts that wait to be packed.
+TEXT_BYTES = 16 << 20
+#: Bytes and rows that go to or from a worker together.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 256
+#: Ranges that wait to be sent to their documents' parts.
+RANGES = 1 << 20
 WINDOWS = 1 << 16
 #: Pieces of a class from which it is cut finer.
 LARGE_CLASS = 400
 #: Bytes of strings whose suffixes are sorted together.
 SORT_BYTES = 3 << 20
+#: Strings whose bytes are put in their places together.
+STRINGS_AT_ONCE = 1 << 14
 _K = U64(0x9E3779B97F4A7C15)
 _PLACE = U64((1 << 20) - 1)
 _P = {n: U64(pow(int(_BASE), n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 
 
-_KINDS = {"row": np.int32, "start": np.uint32, "windows": np.uint8, "anchor": np.uint8, "left": np.uint8, "right": np.uint8}
+#: Of each piece what the windows of a zone share.
+ZONES = ("zone_0", "zone_1", "zone_2", "zone_3")
+_KINDS = {"row": np.int32, "start": np.uint32, "windows": np.uint8, "anchor": np.uint8, **dict.fromkeys(ZONES, np.uint16)}
+
+
+def zones(length: int) -> list[tuple[int, int]]:
+    """(fewest, most) bytes before the anchor in the windows of each zone."""
+    n = length - GRAM + 1
+    half = (n + 1) // 2
+    edges = [0, (half + 1) // 2, half, half + (n - half + 1) // 2, n]
+    return [(a, z - 1) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +80,9 @@ def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The pieces of a block: row, start (byte in its text), windows, anchor (bytes after start), mark (anchor gram), text (hash of all), and one byte each of what stands before and after the anchor (0 where no window reaches it)."""
-    cols: dict[str, list] = {k: [] for k in ("row", "start", "windows", "anchor", "mark", "text", "left", "right")}
+    """The pieces of a block: row, start (byte in its text), windows, anchor (bytes after start), mark (anchor gram), text (hash of all), and 16 bits each of what the windows of a zone share (0 where it has none)."""
+    cols: dict[str, list] = {k: [] for k in ("row", "start", "windows", "anchor", "mark", "text", *ZONES)}
     span = length - GRAM + 1
-    half = (length - GRAM) // 2
     sizes = np.diff(offsets)
     for a in range(0, len(data) - length + 1, WINDOWS):
         z = min(a + WINDOWS + length - 1, len(data))
@@ -79,16 +99,14 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.n
         anchor = (least[:m] & _PLACE).astype(np.int64)
         r0 = int(np.searchsorted(offsets, a, "right") - 1)
         r1 = int(np.searchsorted(offsets, a + m, "left"))
-        ok = np.zeros(m + 1, np.int64)
         lo = np.clip(offsets[r0:r1] - a, 0, m)
         hi = np.clip(offsets[r0:r1] + sizes[r0:r1] - length + 1 - a, 0, m)
-        fit = hi > lo
-        np.add.at(ok, lo[fit], 1)
-        np.add.at(ok, hi[fit], -1)
-        at = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
-        if not len(at):
+        fit = np.flatnonzero(hi > lo)
+        if not len(fit):
             continue
-        row = np.searchsorted(offsets, at + a, "right") - 1
+        lo, n = lo[fit], (hi - lo)[fit]
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        row = np.repeat(r0 + fit, n)
         new = np.ones(len(at), bool)
         new[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
@@ -100,20 +118,29 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.n
         mid = (s + end - 32) // 2
         text = mix(mix(h32[s] * _K + h32[mid]) * _K + h32[end - 32] + (windows * 64 + (g - s)).astype(np.uint64))
         reach = g - s  # the most bytes that a window has before the anchor
-        least_reach = reach - (windows - 1)
-        left = np.where(reach > half, mix(h32[np.maximum(g - half - 1, 0)] + mark) >> U64(56) | U64(1), U64(0))
-        right = np.where(least_reach <= half, mix(h32[np.minimum(g + length - half - 32, len(h32) - 1)] + mark) >> U64(56) | U64(1), U64(0))
-        for k, v in (("row", row[first]), ("start", s + a - offsets[row[first]]), ("windows", windows), ("anchor", reach), ("mark", mark), ("text", text), ("left", left), ("right", right)):
+        shared = []
+        for fewest, most in zones(length):
+            has = np.flatnonzero((reach >= fewest) & (reach - (windows - 1) <= most))
+            bits = np.zeros(len(s), np.uint64)
+            bits[has] = np.maximum(mix(h32[g[has] - fewest] * _K + h32[g[has] + length - most - 32]) >> U64(48), U64(1))
+            shared.append(bits)
+        for k, v in (("row", row[first]), ("start", s + a - offsets[row[first]]), ("windows", windows), ("anchor", reach), ("mark", mark), ("text", text), *zip(ZONES, shared, strict=True)):
             cols[k].append(v.astype(_KINDS.get(k, np.uint64)))
     return {k: np.concatenate(v) if v else np.empty(0, _KINDS.get(k, np.uint64)) for k, v in cols.items()}
 
 
-def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, new): a stable order by the keys, and where a new group begins in it."""
-    order = np.lexsort(keys[::-1])
+def _together(keys: list[np.ndarray], exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): an order that brings equal tuples of the keys together, by one hash of the tuple, and where a new hash begins in it.
+
+    exact: where a new tuple begins; should two tuples share a hash, the same tuple may begin more than once.
+    """
+    h = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        h = mix(h * _K + k)
+    order = np.argsort(h)
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (keys if exact else [h])], axis=0)
     return order, new
 
 
@@ -141,8 +168,28 @@ SCHEMA = "part int, kind int, data binary"
 GONE, WANTED, PIECES, STRINGS, TEXTS = 0, 1, 2, 3, 4
 
 
-def _row(part: int, kind: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "kind": pa.array([kind], pa.int32()), "data": pa.array([data], pa.binary())})
+def _rows(work):
+    """work, which gives (part, kind, data), as a task of Spark: its rows go out many together."""
+
+    def wrapped(batches):
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
+        for row in work(batches):
+            held.append(row)
+            size += len(row[2])
+            if size >= BATCH_BYTES // 4 or len(held) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), KINDS.values(), strict=True)], names=list(KINDS))
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), KINDS.values(), strict=True)], names=list(KINDS))
+
+    return frees_memory(wrapped)
+
+
+def _come(batches):
+    """(part, kind, data) of each row that a task gets."""
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
 
 
 def _by_owner(kind: int, parts: int, doc: np.ndarray, tie: np.ndarray, *arrays: np.ndarray):
@@ -154,7 +201,7 @@ def _by_owner(kind: int, parts: int, doc: np.ndarray, tie: np.ndarray, *arrays:
     for p in range(parts):
         i = o[cut[p] : cut[p + 1]]
         if len(i):
-            yield _row(p, kind, pack(doc[i], tie[i], *[a[i] for a in arrays]))
+            yield p, kind, pack(doc[i], tie[i], *[a[i] for a in arrays])
 
 
 def _gone(parts: int, doc, tie, start, end):
@@ -163,6 +210,44 @@ def _gone(parts: int, doc, tie, start, end):
         yield from _by_owner(GONE, parts, d, t, s.astype(np.uint32), (e - s).astype(np.uint32))
 
 
+def _joined(rows: list[bytes]) -> list[np.ndarray]:
+    """Removed ranges that have come to their documents' part, as one set: document, tie, start, end."""
+    m = _merge_docs(rows)
+    if not m:
+        return []
+    start = m[2].astype(np.int64)
+    return list(_ranges(m[0], m[1], start, start + m[3]))
+
+
+def _carried(gone: dict[int, list[bytes]]):
+    """Removed ranges that have come to their documents' part, as one row of each part; they leave `gone`."""
+    while gone:
+        p, rows = gone.popitem()
+        d, t, s, e = _joined(rows)
+        yield p, GONE, pack(d, t, s.astype(np.uint32), (e - s).astype(np.uint32))
+
+
+class _Lost:
+    """Ranges that a task removes, kept until there are many, so that they are few rows for each part."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.n = parts, [], 0
+
+    def add(self, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Rows for the parts, if there are many."""
+        if len(doc):
+            self.held.append(_ranges(doc, tie, start, end))
+            self.n += len(self.held[-1][0])
+        if self.n >= RANGES:
+            yield from self.rest()
+
+    def rest(self):
+        """Rows for the parts of all that is kept."""
+        if self.held:
+            yield from _gone(self.parts, *[np.concatenate(a) for a in zip(*self.held, strict=True)])
+        self.held, self.n = [], 0
+
+
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ties, valid): the 64-bit id and the text's hash; rows without an id aren't valid."""
     ids = batch.column(0)
@@ -176,11 +261,11 @@ def _pack_texts(docs: DataFrame, parts: int) -> DataFrame:
     def work(batches):
         held: list[list] = [[] for _ in range(parts)]
         size = [0] * parts
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=2)
 
         def out(p):
             ids, ties, valid, texts = zip(*held[p])
-            row = _row(p, TEXTS, pack(np.array(ids, np.int64), np.array(ties, np.uint64), np.array(valid, bool), np.array([len(t) for t in texts], np.int64), np.frombuffer(zip_.compress(b"".join(texts)), np.uint8)))
+            row = p, TEXTS, pack(np.array(ids, np.int64), np.array(ties, np.uint64), np.array(valid, bool), np.array([len(t) for t in texts], np.int64), np.frombuffer(zip_.compress(b"".join(texts)), np.uint8))
             held[p], size[p] = [], 0
             return row
 
@@ -198,7 +283,7 @@ def _pack_texts(docs: DataFrame, parts: int) -> DataFrame:
                     if size[p] > 4 << 20:
                         total -= size[p]
                         yield out(p)
-                if total > 2 * CHUNK_BYTES:
+                if total > TEXT_BYTES:
                     for p in range(parts):
                         if held[p]:
                             yield out(p)
@@ -207,7 +292,7 @@ def _pack_texts(docs: DataFrame, parts: int) -> DataFrame:
             if held[p]:
                 yield out(p)
 
-    return docs.mapInArrow(frees_memory(work), SCHEMA)
+    return docs.mapInArrow(_rows(work), SCHEMA)
 
 
 def _texts(data: bytes):
@@ -248,38 +333,26 @@ class _Finder:
         return [x[a:z] for x in self.arrays[2:]] if z else []
 
 
-def _segments(reach: int, least: int, large_left: bool, large_right: bool, half: int):
-    """Cuts the windows of a piece by how many bytes they have before the anchor: (most, fewest, side) of each string.
+def _cuts(length: int) -> list[list[tuple[int, int]]]:
+    """For each flag of a piece the (most, fewest) bytes before the anchor in the windows of each string that it is cut into.
 
-    side 1: more than half before the anchor, known by the bytes before it; side 0: by those after it.
-    Fine cuts, for large classes, double in width with the distance from the shared side.
+    Bits 0 to 3 of a flag: which zones need sorting; 4 to 7: which of them are large. A large one is cut finer, into widths that
+    double with the distance from its outer side.
     """
-    out = []
-    if reach > half:
-        if large_left:
-            top = 2 * half
-            cuts, width = [], 1
-            while top > half:
-                low = max(top - width + 1, half + 1)
-                cuts.append((top, low))
-                top, width = low - 1, width * 2
-        else:
-            cuts = [(2 * half, half + 1)]
-        out += [(min(m, reach), max(f, least), 1, m, f) for m, f in cuts if min(m, reach) >= max(f, least)]
-    if least <= half:
-        if large_right:
-            low, cuts, width = 0, [], 1
-            while low <= half:
-                top = min(low + width - 1, half)
-                cuts.append((top, low))
-                low, width = top + 1, width * 2
-        else:
-            cuts = [(half, 0)]
-        out += [(min(m, reach), max(f, least), 0, m, f) for m, f in cuts if min(m, reach) >= max(f, least)]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    for zone, (low, top) in enumerate(zones(length)):
+        fine, width, n = [], 1, 0
+        while n <= top - low:
+            width = min(width, top - low + 1 - n)
+            fine.append((low + n + width - 1, low + n) if zone < 2 else (top - n, top - n - width + 1))
+            n, width = n + width, width * 2
+        for flag, cuts in enumerate(out):
+            if flag >> zone & 1:
+                cuts += fine if flag >> zone & 16 else [(top, low)]
     return out
 
 
-def _send_strings(parts: int, length: int, half: int, found: list[tuple[bytes, int, int, int, bytes]]):
+def _send_strings(parts: int, lost: _Lost, found: list[tuple[bytes, int, int, int, bytes]]):
     """Distinct strings with the places in their smallest document to their shards; other places are removed at once.
 
     found: (class, document, tie, start, string).
@@ -300,18 +373,18 @@ def _send_strings(parts: int, length: int, half: int, found: list[tuple[bytes, i
             else:
                 gone.append((*p, len(text)))
         h = xxhash.xxh3_64_intdigest(key)
-        rows.setdefault((h >> 32) * parts >> 32, []).append((text, own, h & 0xFFFF))
+        rows.setdefault((h >> 32) * parts >> 32, []).append((text, own, h & 0xFFFFFFFF))
     if gone:
         d, t, s, n = zip(*gone)
         start = np.array(s, np.int64)
-        yield from _gone(parts, np.array(d, np.int64), np.array(t, np.uint64), start, start + np.array(n, np.int64))
+        yield from lost.add(np.array(d, np.int64), np.array(t, np.uint64), start, start + np.array(n, np.int64))
     for p, strings in rows.items():
         text = b"".join(s[0] for s in strings)
         places = [x for s in strings for x in s[1]]
-        yield _row(
+        yield (
             p, STRINGS,
             pack(
-                np.array([len(s[0]) for s in strings], np.uint32), np.array([len(s[1]) for s in strings], np.uint32), np.array([s[2] for s in strings], np.uint16),
+                np.array([len(s[0]) for s in strings], np.uint32), np.array([len(s[1]) for s in strings], np.uint32), np.array([s[2] for s in strings], np.uint32),
                 np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.uint64), np.array([x[2] for x in places], np.uint32), np.frombuffer(zstandard.compress(text, 3), np.uint8),
             ),
         )
@@ -322,16 +395,20 @@ def sort_shard(texts: list[bytes], docs: np.ndarray, length: int, memory: int =
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     symbols = mapped(int(sizes.sum()) + len(texts) + 1, np.uint16, memory)
-    for at, t in zip(starts.tolist(), texts, strict=True):
-        symbols[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        symbols[at : at + len(t)] += 2
-        symbols[at + len(t)] = 1
+    symbols[:-1] = 1
+    for a in range(0, len(texts), STRINGS_AT_ONCE):
+        own = sizes[a : a + STRINGS_AT_ONCE]
+        data = np.frombuffer(b"".join(texts[a : a + STRINGS_AT_ONCE]), np.uint8)
+        symbols[np.arange(len(data)) + np.repeat(starts[a] + np.arange(len(own)), own)] = data + np.uint16(2)
     lost = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for suffix, common in sorted_buckets(symbols, length, memory):
+        same = common >= length
+        several = same.copy()  # a window that neither the one before nor the one after equals stands once
+        several[:-1] |= same[1:]
+        suffix, group = suffix[several], np.cumsum(~same)[several]
         owner = np.searchsorted(starts, suffix, "right") - 1
         place = suffix - starts[owner]
         window = place + length <= sizes[owner]
-        group = np.cumsum(common < length)
         owner, place, group = owner[window], place[window], group[window]
         if not len(group):
             continue
@@ -352,7 +429,6 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
         raise ValueError("strings of 48 to 56 bytes are supported")
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # both sides of the pipe to a worker hold a batch
-    half = (length - GRAM) // 2
     named = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("tie"), docs[text].cast("string").alias("_text"))
     parts = parts_of(named)
 
@@ -363,7 +439,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
         def flush():
             c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             held.clear()
-            order, new = _first_of([c["mark"], c["text"]])
+            order, new = _together([c["mark"], c["text"]], exact=True)
             group = np.cumsum(new) - 1
             least = np.minimum.reduceat(c["doc"][order], np.flatnonzero(new)) if len(order) else np.empty(0, np.int64)
             own = c["doc"][order] == least[group] if len(order) else np.empty(0, bool)
@@ -380,10 +456,10 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
                 start = c["start"][i].astype(np.int64)
                 change = np.append(True, (pair[1:] != pair[:-1]).any(axis=1) | (start[1:] < start[:-1]))
                 first = np.flatnonzero(change)
-                yield _row(
+                yield (
                     p, PIECES,
                     pack(c["doc"][i[first]], c["tie"][i[first]], np.diff(np.append(first, len(i))).astype(np.uint32), np.where(change, start, np.append(0, start[1:] - start[:-1])).astype(np.uint32),
-                         c["windows"][i].astype(np.uint8), c["anchor"][i].astype(np.uint8), *_planes(c["mark"][i]), *_planes(c["text"][i]), c["left"][i].astype(np.uint8), c["right"][i].astype(np.uint8)),
+                         c["windows"][i].astype(np.uint8), c["anchor"][i].astype(np.uint8), *_planes(c["mark"][i]), *_planes(c["text"][i]), *[c[z][i] for z in ZONES]),
                 )
 
         for b in batches:
@@ -394,7 +470,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
                 ok = valid[row]
                 held.append({k: v[ok] for k, v in c.items()} | {"doc": ids[row[ok]], "tie": ties[row[ok]]})
                 size += len(data)
-                if size >= CHUNK_BYTES:
+                if size >= PIECE_BYTES:
                     yield from flush()
                     size = 0
         if held:
@@ -402,18 +478,19 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
 
     def classes(batches):
         got = []
-        for b in batches:
-            for p, kind, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if kind != PIECES:
-                    yield _row(p, kind, data)
-                    continue
-                a = unpack(data)
-                n = a[2].astype(np.int64)
-                step = a[3].astype(np.int64)
-                total = np.cumsum(step)
-                head = np.cumsum(n) - n
-                start = total - np.repeat(total[head] - step[head], n)
-                got.append([np.repeat(a[0], n), np.repeat(a[1], n), start.astype(np.uint32), a[4], a[5], _from_planes(*a[6:8]), _from_planes(*a[8:10]), a[10], a[11]])
+        gone: dict[int, list[bytes]] = {}
+        for p, kind, data in _come(batches):
+            if kind == GONE:
+                gone.setdefault(p, []).append(data)
+                continue
+            a = unpack(data)
+            n = a[2].astype(np.int64)
+            step = a[3].astype(np.int64)
+            total = np.cumsum(step)
+            head = np.cumsum(n) - n
+            start = total - np.repeat(total[head] - step[head], n)
+            got.append([np.repeat(a[0], n), np.repeat(a[1], n), start.astype(np.uint32), a[4], a[5], _from_planes(*a[6:8]), _from_planes(*a[8:10]), *a[10:14]])
+        yield from _carried(gone)
         if not got:
             return
         whole = []
@@ -421,87 +498,114 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             whole.append(np.concatenate([g[k] for g in got]))
             for g in got:
                 g[k] = None
-        order = np.lexsort((whole[0], whole[6], whole[5])).astype(np.int32)
-        doc, tie, start, windows, anchor, mark, text, left, right = (whole.pop(0)[order] for _ in range(9))
-        new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
-        group = np.cumsum(new) - 1
+        order, new = _together(whole[5:11], exact=True)
+        order = order.astype(np.int32)
+        doc, tie, start, windows, anchor, mark = (whole.pop(0)[order] for _ in range(6))
+        del whole[0]
+        group = (np.cumsum(new) - 1).astype(np.int32)
         first = np.flatnonzero(new)
-        late = doc > doc[first][group]
+        least = np.minimum.reduceat(doc, first)
+        late = doc > least[group]
         yield from _gone(parts, doc[late], tie[late], start[late].astype(np.int64), start[late].astype(np.int64) + windows[late] + length - 1)
-        needs = np.zeros((2, len(first)), bool)
-        large = np.zeros((2, len(first)), bool)
-        for side, byte in ((1, left[first]), (0, right[first])):
-            some = np.flatnonzero(byte)
-            o, fresh = _first_of([mark[first[some]], byte[some]])
+        flag = np.zeros(len(first), np.uint8)
+        head, mark = order[first], mark[first]
+        for zone, bits in enumerate(whole):
+            bits = bits[head]
+            some = np.flatnonzero(bits)
+            o, fresh = _together([mark[some], bits[some]])
             at = np.flatnonzero(fresh)
             if not len(at):
                 continue
             size = np.diff(np.append(at, len(o)))
-            d = doc[first[some[o]]]
+            d = least[some[o]]
             several = (size > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
-            needs[side, some[o]] = np.repeat(several, size)
-            large[side, some[o]] = np.repeat(several & (size >= LARGE_CLASS), size)
-        want = ~late & needs.any(axis=0)[group]
-        flag = (needs[1] * 1 + needs[0] * 2 + large[1] * 4 + large[0] * 8).astype(np.uint8)[group]
+            flag[some[o]] |= np.repeat(np.where(several, np.where(size >= LARGE_CLASS, 17 << zone, 1 << zone), 0).astype(np.uint8), size)
+        flag = flag[group]
+        want = ~late & (flag > 0)
         yield from _by_owner(WANTED, parts, doc[want], tie[want], start[want], windows[want], anchor[want], flag[want])
 
+    cuts = _cuts(length)
+
     def fetch(batches):
         wanted: list[bytes] = []
+        gone: dict[int, list[bytes]] = {}
+        lost = _Lost(parts)
         finder, found, size = None, [], 0
-        for b in batches:
-            for p, kind, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if kind == GONE:
-                    yield _row(p, kind, data)
-                elif kind == WANTED:
-                    wanted.append(data)
-                else:
-                    if finder is None:
-                        finder, wanted = _Finder(_merge_docs(wanted)), []
-                    if not finder.at:
-                        continue
-                    for doc, tie, valid, t in _texts(data):
-                        got = finder.of(doc, tie) if valid else []
-                        if not got:
+        for p, kind, data in _come(batches):
+            if kind == GONE:
+                gone.setdefault(p, []).append(data)
+                continue
+            yield from _carried(gone)
+            if kind == WANTED:
+                wanted.append(data)
+                continue
+            if finder is None:
+                finder, wanted = _Finder(_merge_docs(wanted)), []
+            if not finder.at:
+                continue
+            for doc, tie, valid, t in _texts(data):
+                got = finder.of(doc, tie) if valid else []
+                if not got:
+                    continue
+                for start, n, reach, flag in zip(*[x.tolist() for x in got], strict=True):
+                    g = start + reach
+                    for m, f in cuts[flag]:
+                        most, fewest = min(m, reach), max(f, reach - n + 1)
+                        if most < fewest:
                             continue
-                        for start, n, reach, flag in zip(*[x.tolist() for x in got], strict=True):
-                            g = start + reach
-                            for most, fewest, side, m, f in _segments(reach, reach - n + 1, flag & 4 > 0, flag & 8 > 0, half):
-                                if not flag & (1 if side else 2):
-                                    continue
-                                # what all windows of the class hold: f bytes before the anchor, and as many after it as the class's longest leaves
-                                key = bytes([side, m]) + t[g - f : g + length - m]
-                                s = t[g - most : g + length - fewest]
-                                found.append((key, doc, tie, g - most, s))
-                                size += len(s)
-                        if size >= CHUNK_BYTES // 4:
-                            yield from _send_strings(parts, length, half, found)
-                            found, size = [], 0
+                        # what all windows of the class hold: f bytes before the anchor, and as many after it as the class's longest leaves
+                        key = bytes([m]) + t[g - f : g + length - m]
+                        s = t[g - most : g + length - fewest]
+                        found.append((key, doc, tie, g - most, s))
+                        size += len(s)
+                if size >= STRING_BYTES:
+                    yield from _send_strings(parts, lost, found)
+                    found, size = [], 0
+        yield from _carried(gone)
         if found:
-            yield from _send_strings(parts, length, half, found)
+            yield from _send_strings(parts, lost, found)
+        yield from lost.rest()
 
     def sort(batches):
         texts, counts, tags, docs_, ties, starts = [], [], [], [], [], []
-        for b in batches:
-            for p, kind, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if kind != STRINGS:
-                    yield _row(p, kind, data)
-                    continue
-                n, k, tag, d, t, s, z = unpack(data)
-                text = zstandard.decompress(z.tobytes())
-                ends = np.cumsum(n, dtype=np.int64)
-                texts += [text[e - m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-                counts.append(k)
-                tags.append(tag)
-                docs_.append(d)
-                ties.append(t)
-                starts.append(s)
+        gone: dict[int, list[bytes]] = {}
+        lost = _Lost(parts)
+        for p, kind, data in _come(batches):
+            if kind == GONE:
+                gone.setdefault(p, []).append(data)
+                continue
+            n, k, tag, d, t, s, z = unpack(data)
+            text = zstandard.decompress(z.tobytes())
+            ends = np.cumsum(n, dtype=np.int64)
+            texts += [text[e - m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            counts.append(k)
+            tags.append(tag)
+            docs_.append(d)
+            ties.append(t)
+            starts.append(s)
+        yield from _carried(gone)
         if not texts:
             return
         count, doc, tie, start = np.concatenate(counts).astype(np.int64), np.concatenate(docs_), np.concatenate(ties), np.concatenate(starts).astype(np.int64)
-        first = np.cumsum(count) - count
-        tag = np.concatenate(tags)
+        # strings that are equal as a whole become one, with the places in its smallest document
+        seen: dict[tuple[int, bytes], int] = {}
+        string = np.repeat([seen.setdefault(s, len(seen)) for s in zip(np.concatenate(tags).tolist(), texts, strict=True)], count)
+        tag, texts = np.array([s[0] for s in seen], np.uint32), [s[1] for s in seen]
+        del seen
+        n = np.array([len(s) for s in texts], np.int64)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, string, doc)
+        late = doc > least[string]
+        yield from lost.add(doc[late], tie[late], start[late], start[late] + n[string[late]])
+        places = np.flatnonzero(~late)
+        places = places[np.argsort(string[places], kind="stable")]
+        doc, tie, start = doc[places], tie[places], start[places]
+        first = np.searchsorted(string[places], np.arange(len(texts) + 1))
         order = np.argsort(tag, kind="stable")
-        size = np.cumsum([len(texts[i]) for i in order.tolist()])
+        new = np.flatnonzero(np.append(True, tag[order[1:]] != tag[order[:-1]]))
+        members = np.diff(np.append(new, len(order)))
+        order = order[np.repeat(members > 1, members)]  # a string that is alone in its class shares no window
+        size = np.cumsum(n[order])
         a = 0
         while a < len(order):  # whole classes, of about SORT_BYTES together
             z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SORT_BYTES, "right")))
@@ -509,21 +613,21 @@ def repeated_ranges(docs: DataFrame, length: int = 50, key: str = "doc_id", text
                 z += 1
             own = order[a:z]
             a = z
-            got = sort_shard([texts[i] for i in own.tolist()], doc[first[own]], length)
-            n = np.array([len(g) for g in got], np.int64)
+            got = sort_shard([texts[i] for i in own.tolist()], least[own], length)
             flat = np.concatenate(got)
-            string = np.repeat(own, n)
-            times = count[string]  # every place of a string loses the windows that the string loses
+            string = np.repeat(own, [len(g) for g in got])
+            times = first[string + 1] - first[string]  # every place of a string loses the windows that the string loses
             i = np.repeat(np.arange(len(flat)), times)
             which = first[string[i]] + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
             at = start[which] + flat[i]
-            yield from _gone(parts, doc[which], tie[which], at, at + length)
+            yield from lost.add(doc[which], tie[which], at, at + length)
+        yield from lost.rest()
 
     texts = _pack_texts(named, parts)
-    cut_up = dealt(named.mapInArrow(frees_memory(cut), SCHEMA), parts)
-    fetched = dealt(cut_up.mapInArrow(frees_memory(classes), SCHEMA).unionAll(texts), parts).sortWithinPartitions("kind").mapInArrow(frees_memory(fetch), SCHEMA)
+    cut_up = dealt(named.mapInArrow(_rows(cut), SCHEMA), parts)
+    fetched = dealt(cut_up.mapInArrow(_rows(classes), SCHEMA).unionAll(texts), parts).sortWithinPartitions("kind").mapInArrow(_rows(fetch), SCHEMA)
     # a table, so that what was shuffled for it is gone before the texts are dealt again
-    ranges = stored(dealt(fetched, parts).mapInArrow(frees_memory(sort), SCHEMA), "removed-ranges")
+    ranges = stored(dealt(fetched, parts).mapInArrow(_rows(sort), SCHEMA), "removed-ranges")
     return dealt(ranges.unionAll(texts), parts).sortWithinPartitions("kind"), parts
 
 
@@ -548,11 +652,7 @@ def _finished(ranges: DataFrame, names: str, each) -> DataFrame:
                     gone.append(data)
                     continue
                 if finder is None:
-                    m = _merge_docs(gone)
-                    if m:
-                        d, t, s, e = _ranges(m[0], m[1], m[2].astype(np.int64), m[2].astype(np.int64) + m[3])
-                        m = [d, t, s, e]
-                    finder, gone = _Finder(m), []
+                    finder, gone = _Finder(_joined(gone)), []
                 rows = []
                 for doc, tie, valid, t in _texts(data):
                     got = finder.of(doc, tie) if valid else []

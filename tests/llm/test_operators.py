@@ -108,6 +108,46 @@ def test_suffix_dedup_of_a_large_class(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == removed(rows)
 
 
+def test_suffix_dedup_sorts_little_that_is_shared_by_chance(spark, monkeypatch, tmp_path):
+    """Texts of few syllables share most 34 bytes by chance, but hardly any 50: few of them need sorting."""
+    rng = random.Random(11)
+    syllables = ["ta", "rei", "mosu", "le"]
+    passage = "".join(rng.choice(syllables) for _ in range(60))
+    rows = [(i, "".join(rng.choice(syllables) for _ in range(150)) + (passage if i % 50 == 0 else "")) for i in range(700)]
+    sort_shard = suffix_dedup.sort_shard
+
+    def counted(texts, docs, length):
+        (tmp_path / f"{hash(texts[0])}-{len(texts)}").write_text(str(sum(map(len, texts))))
+        return sort_shard(texts, docs, length)
+
+    monkeypatch.setattr(suffix_dedup, "sort_shard", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.suffix_dedup(d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows)
+    assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) < 0.2 * sum(len(t) for _, t in rows)
+
+
+def test_suffix_dedup_sends_few_rows(spark, monkeypatch):
+    """Removed ranges go from exchange to exchange as one row of each part, however many tasks have found them."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("etaoin ") for _ in range(300)) for _ in range(40)]
+    rows = [(i, rng.choice(texts) + rng.choice(texts)) for i in range(600)]
+    monkeypatch.setattr(packed, "LEAST_BYTES", 80 << 10)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    ranges, parts = suffix_dedup.repeated_ranges(d)
+    assert parts > 1
+    assert 0 < ranges.where("kind = 0").count() <= parts * (parts + 1)
+    got = suffix_dedup.suffix_dedup(d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows)
+
+
+@pytest.mark.parametrize("length", [48, 53, 56])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rows = [(r[0], r[1]) for r in corpus(3)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows, length)
+
+
 def test_suffix_dedup_keeps_texts_and_takes_empty_tables(docs, empty, rows):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     kept = {r.doc_id: r.kept for r in suffix_dedup.kept_texts(docs).collect()}
